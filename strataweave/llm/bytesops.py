@@ -29,22 +29,19 @@ def _odd(seed: int) -> int:
     return int(mix64(np.array([seed + 0x9E3779B97F4A7C15], dtype=U64))[0]) | 1
 
 
-@lru_cache(maxsize=8)
-def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    m = _odd(seed)
-    out = []
-    for base in (m, pow(m, -1, 1 << 64)):
-        p = np.full(size, base, dtype=U64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U64))
-    return out[0], out[1]
+MULTIPLIER = _odd(17)
+_held: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``M**i`` and ``M**-i`` for i in [0, n)."""
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(seed, size)
-    return up[:n], down[:n]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``M**i`` and ``M**-i`` for i in [0, n); one table a process, grown as needed."""
+    if n > len(_held[0]):
+        size = 1 << max(16, int(n - 1).bit_length())
+        for k, base in enumerate((MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))):
+            p = np.full(size, base, dtype=U64)
+            p[0] = 1
+            _held[k] = np.cumprod(p, dtype=U64)
+    return _held[0][:n], _held[1][:n]
 
 
 @lru_cache(maxsize=8)
@@ -56,7 +53,7 @@ class SpanHash:
     """64-bit hashes of spans of one sequence (bytes, or 64-bit item hashes)."""
 
     def __init__(self, items: np.ndarray, seed: int):
-        up, self._down = powers(seed, len(items) + 1)
+        up, self._down = powers(len(items) + 1)
         vals = byte_table(seed)[items] if items.dtype == np.uint8 else mix64(items + U64(seed))
         self._sum = np.zeros(len(items) + 1, dtype=U64)
         np.cumsum(vals * up[: len(items)], dtype=U64, out=self._sum[1:])

@@ -29,8 +29,8 @@ from .bytesops import SpanHash, flatten, ranges, row_slices, word_spans
 from .scratch import stored
 
 U64 = np.uint64
-FLUSH = 4_000_000
-SLICE = 2 << 20
+FLUSH = 2_000_000
+SLICE = 1 << 20
 
 
 def window_hashes(data: np.ndarray, offs: np.ndarray, window: int, second: bool = True):
