@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
+from .quality_rules import op10_quality_rules
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_suffix_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_bpe, op5_suffix_dedup, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
