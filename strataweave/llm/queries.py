@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .language_id import op4_language_id
+from .pii import op3_pii
 from .quality_rules import op10_quality_rules
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
+from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op5_suffix_dedup, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_pii, op4_language_id, op5_suffix_dedup, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
