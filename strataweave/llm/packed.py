@@ -74,19 +74,22 @@ ENTRY = np.dtype([("a", "<u8"), ("b", "<u4")])
 ENTRIES = "grp int, bucket int, blob binary"
 
 
-def entry_rows(grp: int, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row per bucket with a group's distinct 96-bit hashes. ``a`` must be sorted; buckets are ranges of ``a``."""
-    dest = bucket_of(a, buckets)
-    found, at = np.unique(dest, return_index=True)
-    rec = np.empty(len(a), ENTRY)
-    rec["a"], rec["b"] = a, b
-    ends = [*at[1:], len(a)]
+def entry_rows(grp: int, rec: np.ndarray, buckets: int, offset: int = 0) -> pa.RecordBatch:
+    """One row per bucket with a group's distinct records. They must be sorted by ``a``; buckets are ranges of it."""
+    found, at = np.unique(bucket_of(rec["a"], buckets), return_index=True)
+    ends = [*at[1:], len(rec)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(found), grp, np.int32)), pa.array(found.astype(np.int32)), pa.array([rec[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())],
+        [pa.array(np.full(len(found), grp, np.int32)), pa.array(found.astype(np.int32) + offset), pa.array([rec[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())],
         ["grp", "bucket", "blob"],
     )
 
 
+def records(dtype: np.dtype, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    rec = np.empty(len(a), dtype)
+    rec["a"], rec["b"] = a, b
+    return rec
+
+
 def bucket_of(a: np.ndarray, buckets: int) -> np.ndarray:
     return ((a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -104,42 +107,55 @@ def distinct_sorted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sa[first], sb[first], np.diff(np.append(first, len(sa)))
 
 
-def shared_hashes(entries: DataFrame, later_only: bool) -> DataFrame:
-    """Rows (grp, blob): a group's hashes that another group holds too (later_only: that a lower group holds)."""
+def answer_entries(entries: DataFrame, dtype: np.dtype, hits: Callable) -> DataFrame:
+    """Rows (grp, bucket, blob): one bit for each record that the group sent to the bucket, in the order sent.
+
+    ``hits(rec, owner)`` gets a bucket's records in order of a (then b where a repeats with
+    different b, then group) and marks those to answer with 1.
+    """
 
     def answer(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("grp").to_numpy(), kind="stable")
         grps = table.column("grp").to_numpy()[order]
         blobs = table.column("blob")
-        recs = [np.frombuffer(blobs[int(i)].as_buffer(), ENTRY) for i in order]
-        rec = np.concatenate(recs)
-        owner = np.repeat(grps, [len(r) for r in recs])
+        recs = [np.frombuffer(blobs[int(i)].as_buffer(), dtype) for i in order]
+        sizes = np.array([len(r) for r in recs])
+        rec, owner = np.concatenate(recs), np.repeat(grps, sizes)
         at = np.argsort(rec["a"], kind="stable")
-        if len(at) > 1:
-            a, b = rec["a"][at], rec["b"][at]
-            if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
-                at = np.lexsort((owner, rec["b"], rec["a"]))
-        rec, owner = rec[at], owner[at]
-        same = (rec["a"][1:] == rec["a"][:-1]) & (rec["b"][1:] == rec["b"][:-1])
-        hit = np.concatenate(([False], same))
-        if not later_only:
-            hit |= np.concatenate((same, [False]))
-        rec, owner = rec[hit], owner[hit]
-        back = np.argsort(owner, kind="stable")
-        rec, owner = rec[back], owner[back]
-        found, first = np.unique(owner, return_index=True)
-        ends = [*first[1:], len(owner)]
-        return pa.table({"grp": pa.array(found.astype(np.int32)), "blob": pa.array([rec[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())})
-
-    return entries.groupBy("bucket").applyInArrow(answer, "grp int, blob binary")
-
-
-def answered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A group's answers as sorted hashes."""
-    recs = [np.frombuffer(v.as_buffer(), ENTRY) for v in table.column("blob")]
-    rec = np.concatenate(recs) if recs else np.zeros(0, ENTRY)
-    order = np.lexsort((rec["b"], rec["a"]))
-    return rec["a"][order], rec["b"][order]
+        a, b = rec["a"][at], rec["b"][at]
+        if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
+            at = np.lexsort((owner, rec["b"], rec["a"]))
+        out = np.zeros(len(rec), bool)
+        out[at] = hits(rec[at], owner[at])
+        parts = np.split(out, np.cumsum(sizes)[:-1])
+        full = [i for i, x in enumerate(parts) if x.any()]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"grp": pa.array(grps[full].astype(np.int32)), "bucket": pa.array([bucket] * len(full), pa.int32()), "blob": pa.array([np.packbits(parts[i]).tobytes() for i in full], pa.binary())})
+
+    return entries.groupBy("bucket").applyInArrow(answer, ENTRIES)
+
+
+def in_lower_group(rec: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Records that a group before the record's own holds too."""
+    same = (rec["a"][1:] == rec["a"][:-1]) & (rec["b"][1:] == rec["b"][:-1])
+    return np.concatenate(([False], same))
+
+
+def in_other_group(rec: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Records that any other group holds too."""
+    same = (rec["a"][1:] == rec["a"][:-1]) & (rec["b"][1:] == rec["b"][:-1])
+    return np.concatenate(([False], same)) | np.concatenate((same, [False]))
+
+
+def answered(table: pa.Table, a: np.ndarray, buckets: int, offset: int = 0) -> np.ndarray:
+    """The answers to the records with sorted ``a`` that a group had sent."""
+    out = np.zeros(len(a), bool)
+    cuts = np.searchsorted(bucket_of(a, buckets), np.arange(buckets + 1))
+    for k, v in zip(table.column("bucket").to_pylist(), table.column("blob")):
+        if offset <= k < offset + buckets:
+            x, y = cuts[k - offset], cuts[k - offset + 1]
+            out[x:y] = np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=int(y - x))
+    return out
 
 
 def is_in(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:

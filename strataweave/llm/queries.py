@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .language_id import op4_language_id
+from .minhash_dedup import op8_minhash_near_dedup
 from .pii import op3_pii
 from .quality_rules import op10_quality_rules
 from .substring_dedup import op9_substring_dedup
@@ -13,7 +14,7 @@ from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_pii, op4_language_id, op5_suffix_dedup, op7_toxicity, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_pii, op4_language_id, op5_suffix_dedup, op7_toxicity, op8_minhash_near_dedup, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

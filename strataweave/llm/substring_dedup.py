@@ -157,9 +157,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, max_bits
         *_, a, b = window_hashes(*flatten(text), window)
         ok = sketch.value.repeated(a, b)
         a, b, _ = pk.distinct_sorted(a[ok], b[ok].astype(np.uint32))
-        return pk.entry_rows(grp, a, b, buckets)
+        return pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets)
 
-    answers = stored(pk.shared_hashes(pk.by_group(packed, entries, pk.ENTRIES), later_only=True), "windows")
+    answers = stored(pk.answer_entries(pk.by_group(packed, entries, pk.ENTRIES), pk.ENTRY, pk.in_lower_group), "windows")
 
     def settle(grp, table, back):
         ids, text, null = pk.unpack(table)
@@ -167,7 +167,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, max_bits
         starts, ends, first, at, a, b = window_hashes(data, offs, window)
         pick = np.flatnonzero(sketch.value.repeated(a, b))
         a, b = a[pick], b[pick].astype(np.uint32)
-        gone = pk.is_in(a, b, *pk.answered(back))
+        ua, ub, _ = pk.distinct_sorted(a, b)
+        hit = pk.answered(back, ua, buckets)
+        gone = pk.is_in(a, b, ua[hit], ub[hit])
         owner = np.repeat(np.arange(len(ids)), np.diff(first))
         doc = ids[owner[at[pick]]] if len(pick) else np.zeros(0, np.int64)
         order = np.lexsort((doc, b, a))
@@ -177,9 +179,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, max_bits
             least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             gone[order] |= doc[order] > least
         cover = np.zeros(len(starts) + 1, np.int64)
-        hit = at[pick][gone]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + window, -1)
+        begin = at[pick][gone]
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + window, -1)
         removed = np.cumsum(cover)[:-1] > 0
         counts = np.diff(np.concatenate(([0], np.cumsum(removed)))[first])
         return pa.RecordBatch.from_arrays(

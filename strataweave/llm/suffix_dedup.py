@@ -83,44 +83,21 @@ class Runs:
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def _core_rows(grp: int, runs: Runs, buckets: int) -> pa.RecordBatch:
-    """A group's cores with at most two of their covers each."""
+def _cores(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """A group's cores with at most two of their covers each, sorted."""
     a, b, _ = pk.distinct_sorted(runs.core, runs.cover)
     nth = np.arange(len(a)) - np.searchsorted(a, a)
-    a, b = a[nth < 2], b[nth < 2]
-    dest = pk.bucket_of(a, buckets)
-    found, at = np.unique(dest, return_index=True)
-    rec = np.empty(len(a), PAIR)
-    rec["a"], rec["b"] = a, b
-    ends = [*at[1:], len(a)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(found), grp, np.int32)), pa.array(found.astype(np.int32) + buckets), pa.array([rec[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())],
-        ["grp", "bucket", "blob"],
-    )
-
-
-def _mixed_cores(cores: DataFrame) -> DataFrame:
-    """Rows (grp, blob): the group's cores that stand with two covers or more anywhere."""
-
-    def answer(table: pa.Table) -> pa.Table:
-        recs = [np.frombuffer(v.as_buffer(), PAIR) for v in table.column("blob")]
-        owner = np.repeat(table.column("grp").to_numpy(), [len(r) for r in recs])
-        rec = np.concatenate(recs)
-        order = np.argsort(rec["a"], kind="stable")
-        a, b, owner = rec["a"][order], rec["b"][order], owner[order]
-        new = np.concatenate(([True], a[1:] != a[:-1]))
-        run = np.cumsum(new) - 1
-        mixed = np.zeros(int(new.sum()), bool)
-        mixed[run[b != b[np.flatnonzero(new)][run]]] = True
-        hit = mixed[run]
-        a, owner = a[hit], owner[hit]
-        back = np.argsort(owner, kind="stable")
-        a, owner = a[back], owner[back]
-        found, first = np.unique(owner, return_index=True)
-        ends = [*first[1:], len(owner)]
-        return pa.table({"grp": pa.array(found.astype(np.int32)), "blob": pa.array([np.unique(a[x:y]).tobytes() for x, y in zip(first, ends)], pa.binary())})
-
-    return cores.groupBy("bucket").applyInArrow(answer, "grp int, blob binary")
+    return a[nth < 2], b[nth < 2]
+
+
+def _mixed(rec: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Cores that stand with two covers or more."""
+    a, b = rec["a"], rec["b"]
+    new = np.concatenate(([True], a[1:] != a[:-1]))
+    run = np.cumsum(new) - 1
+    mixed = np.zeros(int(new.sum()), bool)
+    mixed[run[b != b[np.flatnonzero(new)][run]]] = True
+    return mixed[run]
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 20) -> DataFrame:
@@ -133,23 +110,23 @@ def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 2
         _, text, _ = pk.unpack(table)
         runs = Runs(*flatten(text, ""), length)
         a, b, _ = pk.distinct_sorted(runs.cover, runs.cover2.astype(np.uint32))
-        return pa.Table.from_batches([pk.entry_rows(grp, a, b, buckets), _core_rows(grp, runs, buckets)])
+        cores = pk.entry_rows(grp, pk.records(PAIR, *_cores(runs)), buckets, buckets)
+        return pa.Table.from_batches([pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets), cores])
 
     named = stored(pk.by_group(packed, names, pk.ENTRIES), "names")
-    covers = pk.shared_hashes(named.where(F.col("bucket") < buckets), later_only=False).withColumn("kind", F.lit(0))
-    mixed = _mixed_cores(named.where(F.col("bucket") >= buckets)).withColumn("kind", F.lit(1))
-    first = stored(covers.unionByName(mixed), "covers")
+    covers = pk.answer_entries(named.where(F.col("bucket") < buckets), pk.ENTRY, pk.in_other_group)
+    first = stored(covers.unionByName(pk.answer_entries(named.where(F.col("bucket") >= buckets), PAIR, _mixed)), "covers")
 
     def decide(text, back):
         """The runs, which repeat as a whole, and which take part in the matching of single strings."""
         data, offs = flatten(text, "")
         runs = Runs(data, offs, length)
-        kind = back.column("kind").to_numpy()
-        a, b, n = pk.distinct_sorted(runs.cover, runs.cover2.astype(np.uint32))
-        twice = pk.is_in(runs.cover, runs.cover2.astype(np.uint32), a[n > 1], b[n > 1])
-        twice |= pk.is_in(runs.cover, runs.cover2.astype(np.uint32), *pk.answered(back.filter(pa.array(kind == 0))))
-        cores = [np.frombuffer(v.as_buffer(), U64) for v in back.filter(pa.array(kind == 1)).column("blob")]
-        mixed = np.isin(runs.core, np.unique(np.concatenate(cores)) if cores else np.zeros(0, U64))
+        b32 = runs.cover2.astype(np.uint32)
+        a, b, n = pk.distinct_sorted(runs.cover, b32)
+        again = (n > 1) | pk.answered(back, a, buckets)
+        twice = pk.is_in(runs.cover, b32, a[again], b[again])
+        cores, _ = _cores(runs)
+        mixed = np.isin(runs.core, cores[pk.answered(back, cores, buckets, buckets)])
         whole = np.flatnonzero(mixed & twice)
         _, rep = np.unique(runs.cover[whole], return_index=True)
         return data, offs, runs, twice, np.flatnonzero(mixed & ~twice), whole[rep]
@@ -159,17 +136,17 @@ def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 2
         *_, runs, _, open_, reps = decide(text, back)
         _, a, b = runs.strings(np.concatenate([open_, reps]))
         a, b, _ = pk.distinct_sorted(a, b)
-        return pk.entry_rows(grp, a, b, buckets)
+        return pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets, 2 * buckets)
 
-    second = stored(pk.shared_hashes(pk.by_group_with(packed, first, strings, pk.ENTRIES), later_only=False).withColumn("kind", F.lit(2)), "strings")
+    second = stored(pk.answer_entries(pk.by_group_with(packed, first, strings, pk.ENTRIES), pk.ENTRY, pk.in_other_group), "strings")
 
     def settle(grp, table, back):
         ids, text, null = pk.unpack(table)
         data, offs, runs, twice, open_, reps = decide(text, back)
         s, a, b = runs.strings(np.concatenate([open_, reps]))
         ua, ub, n = pk.distinct_sorted(a, b)
-        hit = pk.is_in(a, b, ua[n > 1], ub[n > 1])
-        hit |= pk.is_in(a, b, *pk.answered(back.filter(pa.array(back.column("kind").to_numpy() == 2))))
+        again = (n > 1) | pk.answered(back, ua, buckets, 2 * buckets)
+        hit = pk.is_in(a, b, ua[again], ub[again])
         edge = np.zeros(len(data) + 1, np.int64)
         np.add.at(edge, np.concatenate([runs.lo[twice], s[hit]]), 1)
         np.add.at(edge, np.concatenate([runs.hi[twice], s[hit]]) + length, -1)
