@@ -229,7 +229,7 @@ def linked(ids: list[bytes], col: pa.Array, side: np.ndarray, weights: Weights,
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 12, rows: int = 3, max_bits: int = 28, block: int = 512) -> DataFrame:
-    """v (MD5 of the text) and class_id (the least doc_id of the class; null if all are) for every distinct text."""
+    """v (MD5 of the text), class_id (the least doc_id of the class; null if all are) and class_v (the v of that document) for every distinct text."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -257,19 +257,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     links = stored(sent.join(cands.select("v", "text"), "v").groupBy("comp", "i", "j").applyInArrow(verify, "a binary, b binary"), "links")
     comps = components(links)
     named = texts.select("v", "doc_id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    least = stored(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "classes")
-    return named.join(least, "comp").select("v", "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v"))
+    least = stored(named.groupBy("comp").agg(first.alias("first")).select("comp", F.col("first.doc_id").alias("class_id"), F.col("first.v").alias("class_v")), "classes")
+    return named.join(least, "comp").select("v", "class_id", "class_v")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without near-duplicates: of each class one row with its least doc_id (nulls last, then least MD5 of the text)."""
+    classed = with_class(docs, **options)
+    return classed.where(F.expr("_v = class_v and doc_id <=> class_id")).dropDuplicates(["_v"]).select(*docs.columns)
 
 
 def with_class(docs: DataFrame, **options) -> DataFrame:
-    """docs with class_id; a column of that name gives way."""
-    classes = stored(near_duplicates(docs, **options), "near")
-    keyed = docs.drop("class_id").withColumn("_v", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    return keyed.join(classes.withColumnRenamed("v", "_v"), "_v").drop("_v")
+    """docs with _v, class_id and class_v; columns of these names give way."""
+    classes = stored(near_duplicates(docs, **options).withColumnRenamed("v", "_v"), "near")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.drop("_v", "class_id", "class_v").withColumn("_v", F.unhex(F.md5(text.cast("binary")))).join(classes, "_v")
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    classes = stored(near_duplicates(docs), "near")
-    keyed = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("v"))
-    return keyed.join(classes, "v").select("doc_id", "class_id", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)).alias("is_duplicate"))
+    return with_class(docs).select("doc_id", "class_id", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)).alias("is_duplicate"))
