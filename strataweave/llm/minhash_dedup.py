@@ -8,7 +8,7 @@
 3. The other texts get ``bands`` x ``rows`` samples, equal with probability equal to the weighted Jaccard
    similarity. Texts that share a band join one candidate group (components of the bands' stars, on ids alone).
 4. Within candidate groups, in blocks of bounded size, the exact weighted Jaccard similarity
-   is computed for all pairs that a prefix filter leaves; links of the threshold or more join classes.
+   is computed for all pairs of texts that have weight enough in common shingles; links of the threshold or more join classes.
 
 Defined results: null text is empty; texts of fewer words than a shingle are one shingle; texts without a word match only equal
 texts; a class is named by its least doc_id (nulls last).
@@ -172,60 +172,74 @@ def candidates(texts: DataFrame, weights, words: int, bands: int, rows: int, thr
     return texts.select("v", "text").mapInArrow(run, "v binary, text string, bands array<long>")
 
 
+def overlaps(doc: np.ndarray, elem: np.ndarray, w: np.ndarray, m: int, dense_from: int = 48, chunk: int = 2048) -> np.ndarray:
+    """Weight shared by each two of m documents. ``elem`` is sorted; each document holds an element once.
+
+    Elements of many documents are multiplied as dense blocks, those of few by their pairs.
+    """
+    out = np.zeros((m, m), np.float32)
+    new = np.concatenate(([True], elem[1:] != elem[:-1]))
+    first = np.flatnonzero(new)
+    df = np.diff(np.append(first, len(elem)))
+    run = np.cumsum(new) - 1
+    rare = df[run] < dense_from
+    e, d, x = elem[rare], doc[rare], w[rare]
+    flat = out.reshape(-1)
+    for k in range(1, dense_from):
+        same = np.flatnonzero(e[k:] == e[:-k])
+        if not len(same):
+            break
+        flat += np.bincount(d[same] * m + d[same + k], x[same], minlength=m * m).astype(np.float32)
+    common = np.flatnonzero(df >= dense_from)
+    for at in range(0, len(common), chunk):
+        part = common[at : at + chunk]
+        rows = ranges(first[part], df[part])
+        block = np.zeros((m, len(part)), np.float32)
+        block[doc[rows], np.repeat(np.arange(len(part)), df[part])] = np.sqrt(w[rows])
+        product = block @ block.T
+        np.fill_diagonal(product, 0)
+        out += np.triu(product)
+    return out + out.T
+
+
 def linked(ids: list[bytes], col: pa.Array, side: np.ndarray, weights: Weights, words: int, threshold: float) -> list[tuple[bytes, bytes]]:
-    """Links of the threshold or more as a forest. ``side``: 0 and 1 are the two blocks (pairs across only), 2 a block with itself."""
+    """Links of the threshold or more, as stars of what they connect. ``side``: 0 and 1 are the two blocks, 2 a block with itself; links inside 0 or 1 may be there too."""
+    slack = 1 - 1e-6
     h, owner, tf = elements(col, words)
     w, _ = weights.of(h)
-    w = w * tf
-    m = len(ids)
-    total = np.bincount(owner, w, minlength=m)
-    uniq, inv, df = np.unique(h, return_inverse=True, return_counts=True)
-    shared = np.bincount(owner, w * (df[inv] > 1), minlength=m)
-    alive = shared >= threshold * total * (1 - 1e-9)
-    order = np.lexsort((inv, df[inv], owner))
-    order = order[alive[owner[order]] & (df[inv[order]] > 1)]
-    o, e, we = owner[order], inv[order], w[order]
-    if not len(o):
+    total = np.bincount(owner, w * tf, minlength=len(ids))
+    # The k-th occurrence of a shingle is an element of its own, so shared weight is a sum over shared elements.
+    nth = ranges(np.zeros(len(tf), np.int64), tf)
+    h, owner, w = mix64(np.repeat(h, tf) + nth.astype(U64)), np.repeat(owner, tf), np.repeat(w, tf)
+    while True:
+        order = np.argsort(h, kind="stable")
+        h, owner, w = h[order], owner[order], w[order]
+        new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        run = np.cumsum(new) - 1
+        df = np.bincount(run) if len(h) else np.zeros(0, np.int64)
+        shared = df[run] > 1 if len(h) else np.zeros(0, bool)
+        keep = np.bincount(owner, w * shared, minlength=len(ids)) >= threshold * total * slack
+        keep &= total > 0
+        ok = shared & keep[owner]
+        if ok.all():
+            break
+        h, owner, w = h[ok], owner[ok], w[ok]
+    docs = np.flatnonzero(np.bincount(owner, minlength=len(ids)) > 0)
+    if len(docs) < 2:
         return []
-    first = np.flatnonzero(np.diff(o, prepend=-1))
-    before = np.cumsum(we) - we
-    before -= np.repeat(before[first], np.diff(np.append(first, len(o))))
-    prefix = shared[o] - before >= threshold * total[o] * (1 - 1e-9)  # what is left from here on could still suffice
-    pe, po = e[prefix], o[prefix]
-    at = np.lexsort((po, pe))
-    pe, po = pe[at], po[at]
-    cuts = np.flatnonzero(np.diff(pe, prepend=-1, append=-1))
-    parent = list(range(m))
-
-    def root(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    lo = np.searchsorted(owner, np.arange(m))
-    hi = np.searchsorted(owner, np.arange(m), "right")
-    out, tried = [], set()
-    for a, b in zip(cuts, cuts[1:]):
-        docs = po[a:b].tolist()
-        for i, x in enumerate(docs):
-            for y in docs[:i]:
-                if side[x] == side[y] != 2 or (y, x) in tried:
-                    continue
-                rx, ry = root(x), root(y)
-                if rx == ry:
-                    continue
-                tried.add((y, x))
-                big, small = max(total[x], total[y]), min(total[x], total[y])
-                if small < threshold * big * (1 - 1e-9):
-                    continue
-                hx, hy = h[lo[x] : hi[x]], h[lo[y] : hi[y]]
-                _, ix, iy = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
-                both = np.minimum(w[lo[x] : hi[x]][ix], w[lo[y] : hi[y]][iy]).sum()
-                if both >= threshold * (total[x] + total[y] - both) * (1 - 1e-9):
-                    parent[max(rx, ry)] = min(rx, ry)
-                    out.append((ids[x], ids[y]))
-    return out
+    local = np.searchsorted(docs, owner)
+    both = overlaps(local, h, w, len(docs))
+    t = total[docs]
+    link = both >= threshold * (t[:, None] + t[None, :] - both) * slack
+    label = np.arange(len(docs))
+    while True:
+        near = np.where(link, label[None, :], len(docs)).min(1)
+        after = np.minimum(label, near)
+        after = after[after]
+        if np.array_equal(after, label):
+            break
+        label = after
+    return [(ids[docs[i]], ids[docs[k]]) for i, k in enumerate(label) if i != k]
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 12, rows: int = 3, max_bits: int = 28, block: int = 512) -> DataFrame:
