@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from strataweave.plans import domains, graphs, proofs, reviews, rollups
+
+ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: entry[0] for name, entry in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: entry[1] for name, entry in ENTRIES.items() if entry[1]}
