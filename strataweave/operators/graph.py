@@ -19,11 +19,11 @@ def neighbours(edges: DataFrame, direction: str) -> DataFrame:
 
 def reach(spark: SparkSession, edges: DataFrame, target: str, direction: str, max_depth: int) -> DataFrame:
     """id and least depth of every node within max_depth of target, target included: one join a level, joined visited nodes left out."""
-    pairs = neighbours(edges, direction)
+    pairs = neighbours(edges, direction).persist()
     seen = level = spark.createDataFrame([(target, 0)], "id string, depth int")
     for depth in range(1, max_depth + 1):
         step = level.select(F.col("id").alias("src")).join(pairs, "src").select(F.col("dst").alias("id")).distinct()
-        level = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
+        level = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).persist()  # else each level repeats all before it
         seen = seen.unionByName(level)
     return seen
 
@@ -43,10 +43,10 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_hops: int, top_
     by at most max_hops joins; nodes that cannot reach the target in the hops left are cut first.
     """
     pair = edges.groupBy("subject_id", "object_id").agg(F.min_by(F.struct("edge_weight", "confidence"), "relation_type").alias("e"))
-    step = pair.select(F.col("subject_id").alias("at"), F.col("object_id").alias("next"), F.col("e.edge_weight").alias("w"), F.coalesce("e.confidence", F.lit(0.0)).alias("c"))
+    step = pair.select(F.col("subject_id").alias("at"), F.col("object_id").alias("next"), F.col("e.edge_weight").alias("w"), F.coalesce("e.confidence", F.lit(0.0)).alias("c")).persist()
     left = [step.where(F.col("next") == target).select("at").distinct()]
     for _ in range(max_hops - 2):
-        left.append(left[-1].union(step.join(left[-1].withColumnRenamed("at", "next"), "next", "left_semi").select("at")).distinct())
+        left.append(left[-1].union(step.join(left[-1].withColumnRenamed("at", "next"), "next", "left_semi").select("at")).distinct().persist())
     live = step.where(F.col("at") == source).select(F.array("at", "next").alias("path"), F.col("next").alias("at"), F.col("c").alias("sum_c"), F.col("w").alias("least_w"))
     done = []
     for hops in range(1, max_hops + 1):
@@ -55,7 +55,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_hops: int, top_
             break
         live = live.where(F.col("at") != target).join(left[max_hops - hops - 1], "at", "left_semi")
         live = live.join(step, "at").where(~F.array_contains("path", F.col("next")))
-        live = live.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"), (F.col("sum_c") + F.col("c")).alias("sum_c"), F.least("least_w", "w").alias("least_w"))
+        live = live.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"), (F.col("sum_c") + F.col("c")).alias("sum_c"), F.least("least_w", "w").alias("least_w")).persist()
     found = reduce(DataFrame.unionByName, done).withColumn("avg_confidence", F.col("sum_c") / F.col("hops"))
     found = found.select("hops", F.concat_ws(">", "path").alias("path"), "avg_confidence", "least_w", path_score(F.col("avg_confidence"), F.col("least_w"), F.col("hops")).alias("score"))
     return found.orderBy(F.desc(F.round("score", 9)), "hops", "path").limit(top_k)

@@ -43,10 +43,10 @@ def config_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, host, path of each absolute link in a page."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(https?://[^\s\"'<>]+)"), F.lit(1))
-    urls = pages.select("page_id", F.explode(links).alias("url"))
-    return urls.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    """page_id, link_host (empty for links inside the site) and path of each link in a page."""
+    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="([^"]*)"'), F.lit(1))
+    urls = pages.select("page_id", F.explode(links).alias("l"))
+    return urls.select("page_id", url_host(F.col("l")).alias("link_host"), F.when(F.col("l").contains("://"), url_path(F.col("l"))).otherwise(F.regexp_extract("l", "^[^?#]*", 0)).alias("path"))
 
 
 def sql_tables(statements: DataFrame, key: str, sql: str) -> DataFrame:

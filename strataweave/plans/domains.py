@@ -72,8 +72,8 @@ def structural_clusters(spark, sf_dir):
 
 
 def name_jaccard(spark, sf_dir):
-    """Part types that share tokens, with the Jaccard similarity of their names; pairs meet on tokens."""
-    t = GraphTables(spark, sf_dir).source("part").select(F.col("p_type").alias("a")).distinct().withColumn("ta", name_tokens(F.col("a")))
+    """Part names that share tokens, with the Jaccard similarity of their names; pairs meet on tokens."""
+    t = GraphTables(spark, sf_dir).source("part").select(F.col("p_name").alias("a")).distinct().withColumn("ta", name_tokens(F.col("a")))
     left = t.withColumn("tok", F.explode("ta"))
     right = t.select(F.col("a").alias("b"), F.col("ta").alias("tb")).withColumn("tok", F.explode("tb"))
     pairs = left.join(right, "tok").where("a < b").select("a", "b", "ta", "tb").distinct()
@@ -81,11 +81,10 @@ def name_jaccard(spark, sf_dir):
 
 
 def fuzzy_domain(spark, sf_dir):
-    """Best part brand or nation for each market segment word, by fuzzy score; candidates meet on their first letter."""
+    """For each nation or region name the best other name, by fuzzy score; candidates meet on their first letter."""
     g = GraphTables(spark, sf_dir)
-    words = g.source("customer").select(F.lower("c_mktsegment").alias("word")).distinct().withColumn("k", F.substring("word", 1, 1))
     names = g.source("nation").select(F.lower("n_name").alias("name")).union(g.source("region").select(F.lower("r_name"))).distinct().withColumn("k", F.substring("name", 1, 1))
-    rows = words.join(names, "k").withColumn("score", domain.fuzzy_score(F.substring("word", 1, 2), F.col("name")))
+    rows = names.withColumnRenamed("name", "word").join(names, "k").where("word <> name").withColumn("score", domain.fuzzy_score(F.col("word"), F.col("name")))
     return rows.where("score > 0").groupBy("word").agg(F.max_by(F.struct("name", "score"), F.struct("score", F.col("name"))).alias("b")).select("word", "b.name", F.col("b.score").cast("long").alias("score"))
 
 
@@ -112,10 +111,10 @@ ENTRIES = {
     "structural_clusters": (structural_clusters, """WITH t AS (SELECT 'T' || p_partkey AS object_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: len(x) >= 2)) AS tokens FROM part),
         s AS (SELECT object_id, unnest(tokens) AS slug, 0.55 / len(tokens) AS score FROM t), k AS (SELECT * FROM s WHERE score >= 0.2)
         SELECT slug, object_id, floor(score * 1000 + 0.5) / 1000 AS score, members FROM k JOIN (SELECT slug, count(*) AS members FROM k GROUP BY 1 HAVING count(*) >= 2) USING (slug)"""),
-    "name_jaccard": (name_jaccard, """WITH t AS (SELECT a, list_distinct(list_filter(string_split_regex(lower(a), '[^a-z0-9]+'), lambda x: len(x) >= 2)) AS t FROM (SELECT DISTINCT p_type AS a FROM part))
+    "name_jaccard": (name_jaccard, """WITH t AS (SELECT a, list_distinct(list_filter(string_split_regex(lower(a), '[^a-z0-9]+'), lambda x: len(x) >= 2)) AS t FROM (SELECT DISTINCT p_name AS a FROM part))
         SELECT x.a, y.a AS b, round(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6) AS jaccard FROM t x JOIN t y ON x.a < y.a WHERE len(list_intersect(x.t, y.t)) > 0"""),
-    "fuzzy_domain": (fuzzy_domain, """WITH w AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer), n AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(r_name) FROM region),
-        s AS (SELECT word, name, CASE WHEN q = name THEN 100 WHEN starts_with(name, q) THEN 85 WHEN contains(name, q) THEN 70 WHEN levenshtein(q, name) <= 2 THEN 60 ELSE 0 END AS score FROM (SELECT word, name, substr(word, 1, 2) AS q FROM w JOIN n ON word[1] = name[1]))
+    "fuzzy_domain": (fuzzy_domain, """WITH n AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(r_name) FROM region),
+        s AS (SELECT w.name AS word, n.name, CASE WHEN starts_with(n.name, w.name) THEN 85 WHEN contains(n.name, w.name) THEN 70 WHEN levenshtein(w.name, n.name) <= 2 THEN 60 ELSE 0 END AS score FROM n w JOIN n ON w.name[1] = n.name[1] AND w.name <> n.name)
         SELECT word, arg_max(name, (score, name)) AS name, CAST(max(score) AS BIGINT) AS score FROM s WHERE score > 0 GROUP BY 1"""),
     "collaborators": (collaborators, with_tables("""SELECT domain_id, direction, relation_type, count(*) AS n FROM (
         SELECT x.domain_id, 'OUT' AS direction, relation_type FROM s2s JOIN prime x ON x.object_id = subject_id JOIN prime y ON y.object_id = s2s.object_id WHERE x.domain_id <> y.domain_id

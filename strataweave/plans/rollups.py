@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from strataweave.functions.scalars import r6
 from strataweave.operators import graph, rollup
 from strataweave.sources.graph_tables import GraphTables, with_tables
+from strataweave.sources.scratch import fresh_path
+from strataweave.streaming import changes
 
 LIFT = """lifted AS (SELECT relation_type, subject_id, object_id, id, confidence FROM (
   SELECT r.relation_type, r.subject_id, r.id, r.confidence, CASE WHEN r.relation_type = 'depend_on' OR o.granularity = 'COMPOUND' THEN r.object_id ELSE o.parent_id END AS object_id
@@ -93,6 +95,25 @@ after AS (SELECT relation_type, subject_id, object_id, confidence FROM relations
   UNION ALL SELECT 'call', subject_id, object_id, confidence FROM last WHERE kind = 'C')"""
 
 
+def stream_s2s(spark, sf_dir):
+    """The same change events, as a stream of files: each micro-batch makes the next version of the rollup."""
+    g = GraphTables(spark, sf_dir)
+    base = fresh_path(spark, "stream")
+    _events(g).repartitionByRange(3, "event_id").write.parquet(f"{base}/events")
+    keeper = changes.RollupMaintainer(spark, g.objects(), g.relations().select("id", "relation_type", "subject_id", "object_id", "confidence", "status"), f"{base}/state")
+    source = spark.readStream.schema(changes.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    keeper.start(source, f"{base}/checkpoint").awaitTermination()
+    return edge_columns(keeper.edges())
+
+
+def generation_log(spark, sf_dir):
+    """Generations of a rollup, one for each month of orders: the newest is active, the others are archived."""
+    g = GraphTables(spark, sf_dir)
+    months = g.source("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("changes"))
+    top = months.agg(F.max("month").alias("newest"))
+    return months.join(F.broadcast(top)).select("month", "changes", F.when(F.col("month") == F.col("newest"), "ACTIVE").otherwise("ARCHIVED").alias("status"))  # one row
+
+
 def rollup_rebuild_levels(spark, sf_dir):
     """A whole rebuild: edges and total weight of each level and relation type."""
     g = GraphTables(spark, sf_dir)
@@ -122,6 +143,9 @@ ENTRIES = {
     "rollup_provenance": (rollup_provenance, with_tables("SELECT DISTINCT relation_type, subject_id, object_id, id AS base_relation_id FROM lifted", LIFT)),
     "incremental_s2s": (incremental_s2s, with_tables("""SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, round(avg(confidence), 6) AS confidence FROM (
         SELECT a.*, CASE WHEN relation_type = 'depend_on' OR granularity = 'COMPOUND' THEN object_id ELSE parent_id END AS target FROM after a JOIN objects o ON a.object_id = o.id) WHERE target <> subject_id GROUP BY ALL""", EVENTS)),
+    "stream_s2s": (stream_s2s, with_tables("""SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, round(avg(confidence), 6) AS confidence FROM (
+        SELECT a.*, CASE WHEN relation_type = 'depend_on' OR granularity = 'COMPOUND' THEN object_id ELSE parent_id END AS target FROM after a JOIN objects o ON a.object_id = o.id) WHERE target <> subject_id GROUP BY ALL""", EVENTS)),
+    "generation_log": (generation_log, "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS changes FROM orders GROUP BY 1) SELECT month, changes, CASE WHEN month = (SELECT max(month) FROM m) THEN 'ACTIVE' ELSE 'ARCHIVED' END AS status FROM m"),
     "affected_scope": (affected_scope, with_tables("SELECT subject_id AS service_id FROM ev UNION SELECT parent_id FROM ev JOIN objects o ON ev.object_id = o.id WHERE parent_id IS NOT NULL", EVENTS)),
     "rollup_rebuild_levels": (rollup_rebuild_levels, with_tables("""SELECT 'SERVICE_TO_SERVICE' AS rollup_level, relation_type, count(*) AS edges, CAST(sum(edge_weight) AS BIGINT) AS total_weight FROM s2s GROUP BY 2
         UNION ALL SELECT CASE WHEN relation_type IN ('read', 'write') THEN 'SERVICE_TO_DATABASE' ELSE 'SERVICE_TO_BROKER' END, relation_type, count(*), CAST(sum(n) AS BIGINT) FROM (
