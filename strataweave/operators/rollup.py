@@ -89,7 +89,7 @@ def affected_services(events: DataFrame, relations: DataFrame, objects: DataFram
 def incremental(old: DataFrame, relations: DataFrame, objects: DataFrame, affected: DataFrame) -> DataFrame:
     """Edges with an affected service at either end are rebuilt from base relations; the others are kept as they are."""
     at = lambda c: affected.select(F.col("service_id").alias(c))
-    kept = old.join(at("subject_id"), "subject_id", "left_anti").join(at("object_id"), "object_id", "left_anti")
+    kept = old.join(at("subject_id"), "subject_id", "left_anti").join(at("object_id"), "object_id", "left_anti").select(*EDGE, "edge_weight", "confidence")
     lifted = service_calls(relations, objects)
     mark = affected.select(F.col("service_id"), F.lit(True).alias("hit"))
     touched = lifted.join(mark.withColumnRenamed("service_id", "subject_id").withColumnRenamed("hit", "h1"), "subject_id", "left").join(mark.withColumnRenamed("service_id", "object_id").withColumnRenamed("hit", "h2"), "object_id", "left")
