@@ -219,7 +219,7 @@ class Scorer:
     def scores(self, col: pa.Array) -> np.ndarray:
         owner, word = self.hits(col)
         z = self.bias + np.bincount(owner, self.weights[word], minlength=len(col))
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, n_words: int, l2: float = 0.05, steps: int = 1000) -> tuple[np.ndarray, float]:
