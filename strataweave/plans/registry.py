@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataweave.plans import domains, graphs, proofs, reviews, rollups
+from strataweave.plans import domains, graphs, proofs, reports, reviews, rollups
 
-ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES
+ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES | reports.ENTRIES
 
 
 def queries() -> dict:

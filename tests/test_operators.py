@@ -98,3 +98,28 @@ def test_signals_and_routes(spark):
     rules = spark.createDataFrame([("r1", "prefix", "/public/**", 1), ("r2", "prefix", "/public/orders/**", 1)], "rule_id string, mode string, match_path string, priority int")
     got = proof.route_matches(intents, rules).withColumn("out", proof.transformed(F.col("path"), F.lit(1), F.lit("/internal")))
     assert [(r.intent_id, r.rule_id, r.out) for r in got.collect()] == [(1, "r2", "/internal/orders/123")]
+
+
+def test_configuration_files(spark, tmp_path):
+    from strataweave.operators import intake
+
+    (tmp_path / "gw" / "src").mkdir(parents=True)
+    (tmp_path / "gw" / "application.yml").write_text("# top\nspring:\n  application:\n    name: gateway\n  datasource:\n    url: jdbc:mysql://orders-db:3306/order_db?ssl=1\nport: '80'\n")
+    (tmp_path / "gw" / "docker-compose.yml").write_text("services:\n  order-service:\n    image: shop/order\n    depends_on:\n      - payment-service\n      - db\n  db:\n    image: postgres:16\n")
+    files = intake.text_files(spark, f"file://{tmp_path}", "*.yml")
+    got = {(r.path.rpartition("/")[2], r.key): r.value for r in intake.flattened(files).collect()}
+    assert got["application.yml", "spring.application.name"] == "gateway" and got["application.yml", "port"] == "80"
+    df = spark.createDataFrame([(got["application.yml", "spring.datasource.url"],)], "u string")
+    assert df.select(intake.jdbc_identity(F.col("u"))).first()[0] == "orders-db:3306/order_db"
+    services = {r.service: (r.kind, r.depends_on) for r in intake.compose_services(files.where("path like '%compose%'")).collect()}
+    assert services == {"order-service": ("service", ["db", "payment-service"]), "db": ("database", [])}
+
+
+def test_scopes_and_placeholders(spark):
+    from strataweave.operators import intake
+
+    files = spark.createDataFrame([("r/a/b/x.java",), ("r/c/y.java",)], "path string")
+    entries = spark.createDataFrame([("r/app.yml", "k", "top"), ("r/a/app.yml", "k", "mid"), ("r/a/app-dev.yml", "k", "dev")], "path string, key string, value string")
+    assert {(r.path, r.value) for r in intake.scoped(files, entries).collect()} == {("r/a/b/x.java", "dev"), ("r/c/y.java", "top")}
+    df = spark.createDataFrame([("${a:1}", "9"), ("${b:1}", "1"), ("plain", "plain"), ("${c}", "")], "v string, want string").withColumn("m", F.create_map(F.lit("a"), F.lit("9"), F.lit("b"), F.lit("")))
+    assert all(r.got == r.want for r in df.withColumn("got", intake.resolved_value(F.col("v"), F.col("m"))).collect())
