@@ -107,11 +107,11 @@ def distinct_sorted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sa[first], sb[first], np.diff(np.append(first, len(sa)))
 
 
-def answer_entries(entries: DataFrame, dtype: np.dtype, hits: Callable) -> DataFrame:
+def answer_entries(entries: DataFrame, dtype: np.dtype, hits: Callable, step: int = 0) -> DataFrame:
     """Rows (grp, bucket, blob): one bit for each record that the group sent to the bucket, in the order sent.
 
     ``hits(rec, owner)`` gets a bucket's records in order of a (then b where a repeats with
-    different b, then group) and marks those to answer with 1.
+    different b, then group) and returns masks of those to answer with 1; the k-th mask's rows have ``bucket + k * step``.
     """
 
     def answer(table: pa.Table) -> pa.Table:
@@ -125,26 +125,31 @@ def answer_entries(entries: DataFrame, dtype: np.dtype, hits: Callable) -> DataF
         a, b = rec["a"][at], rec["b"][at]
         if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
             at = np.lexsort((owner, rec["b"], rec["a"]))
-        out = np.zeros(len(rec), bool)
-        out[at] = hits(rec[at], owner[at])
-        parts = np.split(out, np.cumsum(sizes)[:-1])
-        full = [i for i, x in enumerate(parts) if x.any()]
         bucket = table.column("bucket")[0].as_py()
-        return pa.table({"grp": pa.array(grps[full].astype(np.int32)), "bucket": pa.array([bucket] * len(full), pa.int32()), "blob": pa.array([np.packbits(parts[i]).tobytes() for i in full], pa.binary())})
+        to, where, bits = [], [], []
+        for k, mask in enumerate(hits(rec[at], owner[at])):
+            out = np.zeros(len(rec), bool)
+            out[at] = mask
+            for g, x in zip(grps, np.split(out, np.cumsum(sizes)[:-1])):
+                if x.any():
+                    to.append(g)
+                    where.append(bucket + k * step)
+                    bits.append(np.packbits(x).tobytes())
+        return pa.table({"grp": pa.array(to, pa.int32()), "bucket": pa.array(where, pa.int32()), "blob": pa.array(bits, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(answer, ENTRIES)
 
 
-def in_lower_group(rec: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def in_lower_group(rec: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray]:
     """Records that a group before the record's own holds too."""
     same = (rec["a"][1:] == rec["a"][:-1]) & (rec["b"][1:] == rec["b"][:-1])
-    return np.concatenate(([False], same))
+    return (np.concatenate(([False], same)),)
 
 
-def in_other_group(rec: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def in_other_group(rec: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray]:
     """Records that any other group holds too."""
     same = (rec["a"][1:] == rec["a"][:-1]) & (rec["b"][1:] == rec["b"][:-1])
-    return np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    return (np.concatenate(([False], same)) | np.concatenate((same, [False])),)
 
 
 def answered(table: pa.Table, a: np.ndarray, buckets: int, offset: int = 0) -> np.ndarray:

@@ -1,17 +1,22 @@
 """Suffix dedup: every byte covered by a ``length``-byte string that starts anywhere else goes.
 
-Sampled suffix tuples instead of all suffixes: of the grams inside the first ``WINDOW`` bytes of
-a ``length``-byte string the least one (leftmost of equals) is its sample, so equal strings
-have equal samples at equal offsets. A sample stands for a run of neighbouring string starts
-and carries two names: of the prefix that all strings of the run share (core), and of the span
-that covers them all (cover).
+Induced sorting of sampled suffixes. Of the grams inside the first ``WINDOW`` bytes of a ``length``-byte string the
+least one (leftmost of equals) is its sample, so equal strings have equal samples at equal
+offsets. A sample stands for a run of neighbouring string starts and carries two names: of the prefix
+that all strings of the run share (core), and of the span that covers them all (cover).
 
 1. A core found once: none of the run's strings repeats. A cover found twice: all do.
-2. Induction for the rest (equal cores, different covers): the run's strings are named one by one and
-   matched against those of every run with that core.
+2. Runs of equal cores and different covers go to the core's bucket as suffix tuples (core, suffix from the sample, bytes
+   before it). There the sampled suffixes are sorted with their common-prefix values, and the
+   order and the common prefixes of the suffixes one byte further left are induced from them, byte by byte, up to the
+   start of the run: tuples fall into classes by the byte in front, and a class's common prefixes are the least ones
+   between its members in the order before. A suffix whose neighbour shares ``length`` bytes repeats.
+3. A core in more than ``hot_groups`` document groups could fill a bucket; its runs' strings are named one by one instead
+   and matched by name, each name once a group.
 
-Names are 96-bit or longer hashes, matched between document groups by ``packed``; each group
-sends a name once, and two covers a core at most, so very frequent passages stay bounded.
+Sorting whole texts' suffixes the same way would need more disk than the texts' budget (see README); the samples,
+one in a hundred positions, stand for them without losing any match. Names are 96-bit hashes or longer.
+Spark's sort brings a bucket's tuples together, spilling to disk where they do not fit.
 
 Defined results: null text is empty; shorter texts than ``length`` lose nothing; rows with equal
 doc_ids are separate texts; matches never cross texts.
@@ -90,17 +95,125 @@ def _cores(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
     return a[nth < 2], b[nth < 2]
 
 
-def _mixed(rec: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Cores that stand with two covers or more."""
-    a, b = rec["a"], rec["b"]
-    new = np.concatenate(([True], a[1:] != a[:-1]))
-    run = np.cumsum(new) - 1
-    mixed = np.zeros(int(new.sum()), bool)
-    mixed[run[b != b[np.flatnonzero(new)][run]]] = True
-    return mixed[run]
+def _mixed(hot_groups: int):
+    """Masks of the cores that stand with two covers or more, and of those among them that too many groups hold."""
+
+    def masks(rec: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = rec["a"], rec["b"]
+        new = np.concatenate(([True], a[1:] != a[:-1]))
+        run = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        mixed = np.zeros(len(first), bool)
+        mixed[run[b != b[first][run]]] = True
+        groups = np.unique(run.astype(np.int64) << 32 | owner.astype(np.int64)) >> 32
+        hot = mixed & (np.bincount(groups, minlength=len(first)) > hot_groups)
+        return mixed[run], hot[run]
+
+    return masks
+
+
+def induced(core: np.ndarray, right: np.ndarray, size: np.ndarray, before: list[np.ndarray], least: np.ndarray, most: np.ndarray, length: int) -> np.ndarray:
+    """Marks (tuple, distance): the ``length``-byte string that starts so far left of the sample occurs at another tuple too.
+
+    right: bytes from the sample on, one row a tuple, ``size`` of them real; before: bytes before it, nearest last.
+    Distances from least to most are asked for.
+    """
+    n = len(core)
+    out = np.zeros((n, int(most.max(initial=0)) + 1), bool)
+    key = np.concatenate([core[:, None].astype(">u8").view(np.uint8).reshape(n, 8), right, size[:, None].astype(">u2").view(np.uint8).reshape(n, 2)], 1)
+    order = np.argsort(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), kind="stable")
+    # Common prefixes of neighbours; -1 between different cores.
+    x, y = right[order[:-1]], right[order[1:]]
+    differ = x != y
+    common = np.where(differ.any(1), differ.argmax(1), length)
+    common = np.minimum(common, np.minimum(size[order[:-1]], size[order[1:]]))
+    same = core[order[1:]] == core[order[:-1]]
+    prefix = np.concatenate(([-1], np.where(same, common, -1), [-1]))
+    cls = np.concatenate(([0], np.cumsum(~same)))
+    left = np.zeros((n, out.shape[1]), np.uint8)
+    for i, bytes_ in enumerate(before):
+        left[i, 1 : len(bytes_) + 1] = bytes_[::-1]
+    for d in range(out.shape[1]):
+        near = np.maximum(prefix[:-1], prefix[1:])
+        hit = (near >= length - d) & (least[order] <= d)
+        out[order[hit], d] = True
+        go = np.flatnonzero((most[order] > d) & (near >= length - most[order]))
+        if len(go) < 2:
+            break
+        byte = left[order[go], d + 1].astype(np.int64)
+        at = go[np.argsort(cls[go] * 256 + byte, kind="stable")]
+        full = cls[at] * 256 + left[order[at], d + 1]
+        same = full[1:] == full[:-1]
+        spans = np.stack([at[:-1] + 1, at[1:] + 1], 1)
+        spans[~same] = 0, 1
+        least_common = np.minimum.reduceat(prefix, spans.ravel())[::2]
+        prefix = np.concatenate(([-1], np.where(same, least_common, -1), [-1]))
+        order, cls = order[at], np.concatenate(([0], np.cumsum(~same)))
+    return out
+
+
+TUPLE = np.dtype([("core", "<u8"), ("least", "<u2"), ("most", "<u2"), ("size", "<u2")])
+
+
+def tuple_rows(grp: int, data: np.ndarray, ends: np.ndarray, runs: Runs, pick: np.ndarray, buckets: int, offset: int) -> pa.RecordBatch:
+    """The picked runs (sorted by core) as suffix tuples, one row a bucket: the count, the heads, then the bytes of each."""
+    x, core = runs.x[pick], runs.core[pick]
+    head = np.zeros(len(pick), TUPLE)
+    head["core"], head["least"], head["most"] = core, x - runs.hi[pick], x - runs.lo[pick]
+    head["size"] = np.minimum(runs.length, ends - x)
+    found, at = np.unique(pk.bucket_of(core, buckets), return_index=True)
+    blobs = []
+    for a, b in zip(at, [*at[1:], len(pick)]):
+        lo, n = runs.lo[pick[a:b]], head["most"][a:b].astype(np.int64) + head["size"][a:b]
+        blobs.append(np.uint32(b - a).tobytes() + head[a:b].tobytes() + data[ranges(lo, n)].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), grp, np.int32)), pa.array(found.astype(np.int32) + offset), pa.array(blobs, pa.binary())], ["grp", "bucket", "blob"])
+
+
+def answer_tuples(tuples: DataFrame, length: int) -> DataFrame:
+    """Rows (grp, bucket, blob): for each tuple sent, a bit for each of its starts, the leftmost first."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        heads, right, before, counts = [], [], [], []
+        for v in table.column("blob"):
+            raw = np.frombuffer(v.as_buffer(), np.uint8)
+            n = int(raw[:4].view("<u4")[0])
+            head = raw[4 : 4 + n * TUPLE.itemsize].view(TUPLE)
+            body = raw[4 + n * TUPLE.itemsize :]
+            most, size = head["most"].astype(np.int64), head["size"].astype(np.int64)
+            begin = np.cumsum(most + size) - most - size
+            rows = np.zeros((n, length), np.uint8)
+            where = ranges(np.arange(n) * length, size)
+            rows.reshape(-1)[where] = body[ranges(begin + most, size)]
+            right.append(rows)
+            before += [body[b : b + m] for b, m in zip(begin, most)]
+            heads.append(head)
+            counts.append(n)
+        head = np.concatenate(heads)
+        least, most = head["least"].astype(np.int64), head["most"].astype(np.int64)
+        marks = induced(head["core"], np.concatenate(right), head["size"].astype(np.int64), before, least, most, length)
+        span = most - least + 1
+        flat = marks[np.repeat(np.arange(len(head)), span), np.repeat(most, span) - ranges(np.zeros(len(span), np.int64), span)]
+        cuts = np.concatenate(([0], np.cumsum(span)))[np.concatenate(([0], np.cumsum(counts)))]
+        full = [i for i in range(len(counts)) if flat[cuts[i] : cuts[i + 1]].any()]
+        bits = [np.packbits(flat[cuts[i] : cuts[i + 1]]).tobytes() for i in full]
+        return pa.table({"grp": table.column("grp").take(pa.array(full, pa.int64())), "bucket": table.column("bucket").take(pa.array(full, pa.int64())), "blob": pa.array(bits, pa.binary())})
+
+    return tuples.groupBy("bucket").applyInArrow(answer, pk.ENTRIES)
+
+
+def tuple_hits(back: pa.Table, runs: Runs, pick: np.ndarray, buckets: int, offset: int) -> np.ndarray:
+    """The answers to the picked runs, one for each of their starts."""
+    span = (runs.hi - runs.lo)[pick] + 1
+    out = np.zeros(int(span.sum()), bool)
+    ends = np.concatenate(([0], np.cumsum(span)))[np.searchsorted(pk.bucket_of(runs.core[pick], buckets), np.arange(buckets + 1))]
+    for k, v in zip(back.column("bucket").to_pylist(), back.column("blob")):
+        if offset <= k < offset + buckets:
+            x, y = ends[k - offset], ends[k - offset + 1]
+            out[x:y] = np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=int(y - x))
+    return out
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 20, hot_groups: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, starts and ends of the removed byte runs, kept (the bytes left)."""
     bounds, total = pk.group_bounds(docs, group_bytes)
     packed = pk.pack(docs, bounds)
@@ -115,10 +228,10 @@ def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 2
 
     named = stored(pk.by_group(packed, names, pk.ENTRIES), "names")
     covers = pk.answer_entries(named.where(F.col("bucket") < buckets), pk.ENTRY, pk.in_other_group)
-    first = stored(covers.unionByName(pk.answer_entries(named.where(F.col("bucket") >= buckets), PAIR, _mixed)), "covers")
+    first = stored(covers.unionByName(pk.answer_entries(named.where(F.col("bucket") >= buckets), PAIR, _mixed(hot_groups), 2 * buckets)), "covers")
 
     def decide(text, back):
-        """The runs, which repeat as a whole, and which take part in the matching of single strings."""
+        """The runs, which repeat as a whole, and of those whose core has several covers (one of each cover that repeats) the cold and the hot ones."""
         data, offs = flatten(text, "")
         runs = Runs(data, offs, length)
         b32 = runs.cover2.astype(np.uint32)
@@ -127,26 +240,34 @@ def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 2
         twice = pk.is_in(runs.cover, b32, a[again], b[again])
         cores, _ = _cores(runs)
         mixed = np.isin(runs.core, cores[pk.answered(back, cores, buckets, buckets)])
+        hot = np.isin(runs.core, cores[pk.answered(back, cores, buckets, 3 * buckets)])
         whole = np.flatnonzero(mixed & twice)
         _, rep = np.unique(runs.cover[whole], return_index=True)
-        return data, offs, runs, twice, np.flatnonzero(mixed & ~twice), whole[rep]
+        pick = np.concatenate([np.flatnonzero(mixed & ~twice), whole[rep]])
+        cold = pick[~hot[pick]]
+        return data, offs, runs, twice, cold[np.argsort(runs.core[cold], kind="stable")], pick[hot[pick]]
 
     def strings(grp, table, back):
         _, text, _ = pk.unpack(table)
-        *_, runs, _, open_, reps = decide(text, back)
-        _, a, b = runs.strings(np.concatenate([open_, reps]))
+        data, offs, runs, _, cold, hot = decide(text, back)
+        _, a, b = runs.strings(hot)
         a, b, _ = pk.distinct_sorted(a, b)
-        return pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets, 2 * buckets)
+        ends = offs[np.searchsorted(offs, runs.x[cold], "right")]
+        return pa.Table.from_batches([pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets, 2 * buckets), tuple_rows(grp, data, ends, runs, cold, buckets, 4 * buckets)])
 
-    second = stored(pk.answer_entries(pk.by_group_with(packed, first, strings, pk.ENTRIES), pk.ENTRY, pk.in_other_group), "strings")
+    sent = stored(pk.by_group_with(packed, first, strings, pk.ENTRIES), "tuples")
+    named_back = pk.answer_entries(sent.where(F.col("bucket") < 4 * buckets), pk.ENTRY, pk.in_other_group)
+    second = stored(named_back.unionByName(answer_tuples(sent.where(F.col("bucket") >= 4 * buckets), length)), "strings")
 
     def settle(grp, table, back):
         ids, text, null = pk.unpack(table)
-        data, offs, runs, twice, open_, reps = decide(text, back)
-        s, a, b = runs.strings(np.concatenate([open_, reps]))
+        data, offs, runs, twice, cold, hot = decide(text, back)
+        s, a, b = runs.strings(hot)
         ua, ub, n = pk.distinct_sorted(a, b)
         again = (n > 1) | pk.answered(back, ua, buckets, 2 * buckets)
         hit = pk.is_in(a, b, ua[again], ub[again])
+        t = ranges(runs.lo[cold], (runs.hi - runs.lo)[cold] + 1)
+        s, hit = np.concatenate([s, t]), np.concatenate([hit, tuple_hits(back, runs, cold, buckets, 4 * buckets)])
         edge = np.zeros(len(data) + 1, np.int64)
         np.add.at(edge, np.concatenate([runs.lo[twice], s[hit]]), 1)
         np.add.at(edge, np.concatenate([runs.hi[twice], s[hit]]) + length, -1)

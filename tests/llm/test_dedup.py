@@ -50,8 +50,8 @@ def test_substrings(docs, max_bits, group_bytes):
     assert got == want
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 20, 900])
-def test_suffixes(docs, group_bytes):
+@pytest.mark.parametrize("group_bytes, hot_groups", [(1 << 20, 64), (900, 64), (900, 0), (900, 2)])
+def test_suffixes(docs, group_bytes, hot_groups):
     df, rows = docs
     raw = [(d, (t or "").encode()) for d, t in rows]
     count = Counter(b[i : i + 400] for _, b in raw for i in range(len(b) - 399))
@@ -63,7 +63,7 @@ def test_suffixes(docs, group_bytes):
                 gone[i : i + 400] = b"\1" * 400
         runs = re.findall(b"\1+", bytes(gone))
         want[d, len(b), sum(gone), len(runs), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
-    out = repeated_bytes(df, group_bytes=group_bytes)
+    out = repeated_bytes(df, group_bytes=group_bytes, hot_groups=hot_groups)
     got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert Counter(map(tuple, got)) == want
     assert all(len(r.starts) == r.n_spans and sum(r.ends) - sum(r.starts) == r.n_removed for r in out.collect())
