@@ -159,8 +159,8 @@ def packed_ids(ids: list[int]) -> bytes:
 
 
 def bpe_encode(docs: DataFrame, path: str, long_bytes: int = 1 << 15, leaf_chars: int = 1 << 13) -> DataFrame:
-    """Adds n_tokens (long) and ids (binary, little-endian unsigned 32-bit integers); columns of these names give way."""
-    docs = docs.drop("n_tokens", "ids")
+    """Adds n_tokens (long) and ids (binary, little-endian unsigned 32-bit integers); columns of these names and _uid give way."""
+    docs = docs.drop("n_tokens", "ids", "_uid")
     names, text_at = list(docs.columns), docs.columns.index("text")
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + ["n_tokens long", "ids binary"])
     is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > long_bytes
@@ -194,11 +194,11 @@ def bpe_encode(docs: DataFrame, path: str, long_bytes: int = 1 << 15, leaf_chars
         return pa.table({"uid": pa.array([key[0].as_py()], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()), "ids": pa.array([packed_ids(ids)], pa.binary())})
 
     short = docs.where(~is_long).mapInArrow(whole, schema)
-    long_docs = docs.where(is_long).withColumn("uid", F.monotonically_increasing_id())
-    pieces = long_docs.select("uid", "text").mapInArrow(cut, "uid long, seq int, run int, piece binary")
+    long_docs = docs.where(is_long).withColumn("_uid", F.monotonically_increasing_id())
+    pieces = long_docs.select(F.col("_uid").alias("uid"), "text").mapInArrow(cut, "uid long, seq int, run int, piece binary")
     encoded = pieces.repartition("uid", "seq").mapInArrow(encode, "uid long, seq int, run int, ids binary")
     joined = encoded.groupBy("uid").applyInArrow(put_together, "uid long, n_tokens long, ids binary")
-    return short.unionByName(long_docs.join(joined, "uid").drop("uid"))
+    return short.unionByName(long_docs.join(joined.withColumnRenamed("uid", "_uid"), "_uid").drop("_uid"))
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
