@@ -20,8 +20,18 @@ def edge_columns(df):
     return df.select("relation_type", "subject_id", "object_id", F.col("edge_weight").cast("long").alias("edge_weight"), r6(F.col("confidence")).alias("confidence"))
 
 
+def of_types(g: GraphTables, *types: str):
+    """Objects of some types; the other branches of the union fold away in the plan."""
+    return g.objects().where(F.col("object_type").isin(*types))
+
+
+def called(g: GraphTables):
+    """What calls and dependencies can point at."""
+    return of_types(g, "service", "api_endpoint")
+
+
 def s2s_of(g: GraphTables):
-    return rollup.service_to_service(g.relations(), g.objects())
+    return rollup.service_to_service(g.relations(), called(g))
 
 
 def rollup_s2s(spark, sf_dir):
@@ -30,12 +40,12 @@ def rollup_s2s(spark, sf_dir):
 
 def rollup_s2db(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    return edge_columns(rollup.service_to_database(g.relations(), g.objects()))
+    return edge_columns(rollup.service_to_database(g.relations(), of_types(g, "db_table")))
 
 
 def rollup_s2broker(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    return edge_columns(rollup.service_to_broker(g.relations(), g.objects()))
+    return edge_columns(rollup.service_to_broker(g.relations(), of_types(g, "topic")))
 
 
 def rollup_d2d(spark, sf_dir):
@@ -54,7 +64,7 @@ def hubs(spark, sf_dir):
 
 def rollup_provenance(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    return rollup.provenance(rollup.service_calls(g.relations(), g.objects()))
+    return rollup.provenance(rollup.service_calls(g.relations(), called(g)))
 
 
 def _events(g: GraphTables):
@@ -76,14 +86,14 @@ def _after(g: GraphTables, events):
 def incremental_s2s(spark, sf_dir):
     """Old edges plus a batch of events, by rebuilding only what the events touch; the SQL recomputes everything."""
     g = GraphTables(spark, sf_dir)
-    events, objects = _events(g), g.objects()
+    events, objects = _events(g), called(g)
     new = _after(g, events)
     return edge_columns(rollup.incremental(rollup.service_to_service(g.relations(), objects), new, objects, rollup.affected_services(events, new, objects)))
 
 
 def affected_scope(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    return rollup.affected_services(_events(g), g.relations(), g.objects())
+    return rollup.affected_services(_events(g), g.relations(), called(g))
 
 
 EVENTS = """chain10 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount) AS rn FROM lineitem WHERE l_orderkey % 100 = 10),
@@ -100,7 +110,7 @@ def stream_s2s(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
     base = fresh_path(spark, "stream")
     _events(g).repartitionByRange(3, "event_id").write.parquet(f"{base}/events")
-    keeper = changes.RollupMaintainer(spark, g.objects(), g.relations().select("id", "relation_type", "subject_id", "object_id", "confidence", "status"), f"{base}/state")
+    keeper = changes.RollupMaintainer(spark, called(g), g.relations().select("id", "relation_type", "subject_id", "object_id", "confidence", "status"), f"{base}/state")
     source = spark.readStream.schema(changes.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
     keeper.start(source, f"{base}/checkpoint").awaitTermination()
     return edge_columns(keeper.edges())
@@ -127,7 +137,7 @@ def rollup_rebuild_levels(spark, sf_dir):
 
 def evidence_chain(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    lifted = rollup.service_calls(g.relations(), g.objects())
+    lifted = rollup.service_calls(g.relations(), called(g))
     return graph.evidence_chain(rollup.edges(lifted), rollup.provenance(lifted), g.evidences()).withColumn("confidence", r6(F.col("confidence"))).withColumn("score", r6(F.col("score")))
 
 
