@@ -60,3 +60,21 @@ def proof_confidence(quality: Column, slots: Column, corroborations: Column, spe
 def impacted(dependencies: DataFrame, changed: DataFrame) -> DataFrame:
     """intent_ids whose proof depends on a changed key (kind, key)."""
     return dependencies.join(changed.distinct(), ["kind", "key"], "left_semi").select("intent_id").distinct()
+
+
+def route_chain(intents: DataFrame, rules: DataFrame, rounds: int = 5) -> DataFrame:
+    """intent_id, path, hops after rules (with strip and prepend) were applied up to ``rounds`` times; a path that no rule takes is done."""
+    live, done = intents.select("intent_id", "path").withColumn("hops", F.lit(0)), None
+    for _ in range(rounds):
+        taken = route_matches(live, rules).persist()  # used for what moves on and for what is done
+        rest = live.join(taken.select("intent_id"), "intent_id", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        live = taken.select("intent_id", transformed(F.col("path"), F.col("strip"), F.col("prepend")).alias("path"), (F.col("hops") + 1).alias("hops"))
+    return done.unionByName(live)
+
+
+def clear_winner(scores: DataFrame, key: str, least: float = 0.9, lead: float = 0.2) -> DataFrame:
+    """The best candidate of each key (key, candidate, score) if it reaches ``least`` and leads the second by ``lead``."""
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "candidate")
+    rows = scores.withColumn("place", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
+    return rows.where((F.col("place") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("second") >= lead)).select(key, "candidate", "score")

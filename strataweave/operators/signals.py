@@ -84,3 +84,16 @@ def key_candidates(columns: DataFrame) -> DataFrame:
     guess = rows.select("table_name", "column_name", F.explode(F.array(F.struct(F.lit(1).alias("place"), F.concat("base", F.lit("s")).alias("ref")), F.struct(F.lit(2).alias("place"), F.col("base").alias("ref")))).alias("g"))
     found = guess.select("table_name", "column_name", "g.place", "g.ref").join(tables, "ref")
     return found.groupBy("table_name", "column_name").agg(F.min_by("ref", "place").alias("ref_table")).withColumn("confidence", F.lit(0.5))
+
+
+def with_rules(signals: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Signals after confidence rules (condition, change), in order, each kept within 0 and 1."""
+    c = F.col("confidence")
+    for condition, change in rules:
+        c = F.least(F.greatest(F.when(condition, c + change).otherwise(c), F.lit(0.0)), F.lit(1.0))
+    return signals.withColumn("confidence", c)
+
+
+def unambiguous(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Keys that stand for one value only, with it."""
+    return rows.groupBy(*key).agg(F.count_distinct(value).alias("n"), F.min(value).alias(value)).where("n = 1").drop("n")

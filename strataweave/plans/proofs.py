@@ -131,6 +131,55 @@ def intent_classes(spark, sf_dir):
     return GraphTables(spark, sf_dir).source("conversations").groupBy("role", kind.alias("query_type")).agg(F.count(F.lit(1)).alias("turns"))
 
 
+def route_chain(spark, sf_dir):
+    """Page paths through two tiers of gateway rules: by language, then by version."""
+    g = GraphTables(spark, sf_dir)
+    langs = _intents(g).select(F.regexp_extract("path", "^/([a-z]+)(/|$)", 1).alias("l")).where("l <> ''").distinct()
+    first = langs.select(F.concat(F.lit("a-"), F.col("l")).alias("rule_id"), F.lit("prefix").alias("mode"), F.concat(F.lit("/"), F.col("l"), F.lit("/**")).alias("match_path"), F.lit(1).alias("priority"), F.lit(1).alias("strip"), F.lit("/V1").alias("prepend"))
+    second = spark.range(1).select(F.lit("b").alias("rule_id"), F.lit("prefix").alias("mode"), F.lit("/V1/**").alias("match_path"), F.lit(1).alias("priority"), F.lit(1).alias("strip"), F.lit("/INTERNAL").alias("prepend"))
+    return proof.route_chain(_intents(g), first.unionByName(second)).select("intent_id", "path", F.col("hops").cast("long").alias("hops"))
+
+
+def provider_choice(spark, sf_dir):
+    """The page's language by the share of pages that its first path segment has in each top-level domain, if one leads clearly."""
+    p = GraphTables(spark, sf_dir).source("pages").select(F.regexp_extract("url", r"://[^/]*\.([a-z]+)(/|$)", 1).alias("candidate"), F.regexp_extract("url", r"://[^/]+/([a-z]+)", 1).alias("segment"))
+    n = p.groupBy("segment", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("segment").agg(F.sum("n").alias("total"))
+    scores = n.join(total, "segment").select("segment", "candidate", (F.col("n") / F.col("total")).alias("score"))
+    return proof.clear_winner(scores, "segment", 0.3, 0.02).withColumn("score", r6(F.col("score")))
+
+
+def confidence_rules(spark, sf_dir):
+    """Line signals by kind after rules that raise entries of tokens and links."""
+    docs = GraphTables(spark, sf_dir).source("documents")
+    rows = signals.line_signals(docs, "doc_id", "text")
+    out = signals.with_rules(rows, [(F.col("kind") == "entry", 0.08), (F.col("kind") == "link", 0.6), (F.col("line") > 3, -0.05)])
+    return out.select("doc_id", F.col("line").cast("long").alias("line"), "kind", r6(F.col("confidence")).alias("confidence"))
+
+
+def unambiguous_endpoints(spark, sf_dir):
+    """Paths of a host that one page alone serves."""
+    g = GraphTables(spark, sf_dir)
+    return signals.unambiguous(_intents(g), ["provider_id", "path"], "intent_id")
+
+
+def language_metrics(spark, sf_dir):
+    """Documents, lines and signals of each language, and the share of documents without any."""
+    docs = GraphTables(spark, sf_dir).source("documents")
+    lines = docs.select("doc_id", "lang", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"))
+    hits = signals.line_signals(docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("signals"))
+    rows = lines.join(hits, "doc_id", "left")
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.coalesce(F.sum("signals"), F.lit(0)).alias("signals"), F.round(F.count_if(F.col("signals").isNull()) / F.count(F.lit(1)), 3).alias("fallback_rate"))
+
+
+def module_boundaries(spark, sf_dir):
+    """Hosts scored as modules: many pages, several languages, numbered paths; best first, in three classes."""
+    p = GraphTables(spark, sf_dir).source("pages").select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    m = p.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct(F.regexp_extract("path", "^/([a-z]+)", 1)).alias("langs"), F.count_if(F.col("path").rlike("/[0-9]+")).alias("numbered"))
+    score = 0.4 * (F.col("pages") >= 5).cast("int") + 0.3 * (F.col("langs") >= 2).cast("int") + 0.3 * (F.col("numbered") * 2 >= F.col("pages")).cast("int")
+    return m.select("host", r6(score).alias("score")).withColumn("class", F.when(F.col("score") >= 0.7, "SERVICE").when(F.col("score") >= 0.4, "LIBRARY").otherwise("OTHER"))
+
+
 URLS = "u AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host, CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) END AS path FROM pages)"
 LINKS = """k AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS l FROM pages),
 links AS (SELECT page_id, lower(regexp_extract(l, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
@@ -169,5 +218,20 @@ ENTRIES = {
     "proof_message": (proof_message, """WITH t AS (SELECT DISTINCT 'TP' || event_type || ':' || hour(ts) AS t FROM events) SELECT event_id AS intent_id, CASE WHEN t IS NULL THEN 'MESSAGE_TARGET_UNRESOLVED' ELSE 'CLOSED_ATOMIC' END AS status, t AS target_id FROM events LEFT JOIN t ON t = 'TP' || event_type || ':' || (hour(ts) + event_id % 3)"""),
     "proof_confidence": (proof_confidence, with_tables("""SELECT l_orderkey, rn, round(least(greatest(((1 - l_discount) * 0.45::DOUBLE + l_tax * 10 * 0.25::DOUBLE + least(0.2::DOUBLE, 0.05::DOUBLE * l_linenumber) + CASE WHEN l_returnflag = 'R' THEN 0.2::DOUBLE ELSE 0.12::DOUBLE END - CASE WHEN l_quantity < 5 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) * CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END, 0), 1), 6) AS confidence FROM chain""")),
     "impacted_intents": (impacted_intents, "SELECT DISTINCT l_orderkey AS intent_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"),
+    "route_chain": (route_chain, f"""WITH {URLS}, i AS (SELECT page_id, path, regexp_extract(path, '^/([a-z]+)(/|$)', 1) AS l FROM u)
+        SELECT page_id AS intent_id, CASE WHEN l = '' THEN path ELSE '/INTERNAL' || rtrim(substr(path, len(l) + 2), '/') END AS path, CASE WHEN l = '' THEN 0 ELSE 2 END::BIGINT AS hops FROM i"""),
+    "provider_choice": (provider_choice, """WITH p AS (SELECT regexp_extract(url, '://[^/]*\\.([a-z]+)(/|$)', 1) AS c, regexp_extract(url, '://[^/]+/([a-z]+)', 1) AS segment FROM pages),
+        n AS (SELECT segment, c, count(*) / sum(count(*)) OVER (PARTITION BY segment) AS score FROM p GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS second FROM n WINDOW w AS (PARTITION BY segment ORDER BY score DESC, c))
+        SELECT segment, c AS candidate, round(score, 6) AS score FROM r WHERE place = 1 AND score >= 0.3 AND score - second >= 0.02"""),
+    "confidence_rules": (confidence_rules, """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS c, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+        s AS (SELECT doc_id, line, CASE WHEN regexp_matches(c, '@(Get|Post|Put|Delete|Patch|Request)Mapping') THEN 'expose' WHEN regexp_matches(c, '(RestTemplate|WebClient|FeignClient|axios\\.|fetch\\(|requests\\.)') THEN 'call'
+          WHEN regexp_matches(c, '(kafkaTemplate\\.send|\\.send\\(\\s*new\\s+ProducerRecord)') THEN 'produce' WHEN regexp_matches(c, '@KafkaListener') THEN 'consume' WHEN regexp_matches(c, 'https?://[^\\s"\'\'<>]+') THEN 'link' WHEN regexp_matches(c, '[A-Za-z_][A-Za-z0-9_.-]*\\s*[=:]\\s*"[^"]+"') THEN 'entry' END AS kind FROM l)
+        SELECT doc_id, CAST(line AS BIGINT) AS line, kind, round(CASE kind WHEN 'expose' THEN 0.8 WHEN 'consume' THEN 0.8 WHEN 'link' THEN 1.0 WHEN 'entry' THEN 0.58 ELSE 0.7 END::DOUBLE - CASE WHEN line > 3 THEN 0.05::DOUBLE ELSE 0 END, 6) AS confidence FROM s WHERE kind IS NOT NULL"""),
+    "unambiguous_endpoints": (unambiguous_endpoints, f"WITH {URLS} SELECT host AS provider_id, path, min(page_id) AS intent_id FROM u GROUP BY 1, 2 HAVING count(DISTINCT page_id) = 1"),
+    "language_metrics": (language_metrics, """WITH l AS (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), s AS (SELECT doc_id, lang, len(x) AS lines, len(list_filter(x, lambda c: regexp_matches(c, '@(Get|Post|Put|Delete|Patch|Request)Mapping|RestTemplate|WebClient|FeignClient|axios\\.|fetch\\(|requests\\.|kafkaTemplate\\.send|\\.send\\(\\s*new\\s+ProducerRecord|@KafkaListener|https?://[^\\s"\'\'<>]+|[A-Za-z_][A-Za-z0-9_.-]*\\s*[=:]\\s*"[^"]+"'))) AS n FROM l)
+        SELECT lang, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(n) AS BIGINT) AS signals, round(count(*) FILTER (WHERE n = 0) / count(*), 3) AS fallback_rate FROM s GROUP BY 1"""),
+    "module_boundaries": (module_boundaries, f"""WITH {URLS}, m AS (SELECT host, count(*) AS pages, count(DISTINCT regexp_extract(path, '^/([a-z]+)', 1)) AS langs, count(*) FILTER (WHERE regexp_matches(path, '/[0-9]+')) AS numbered FROM u GROUP BY 1),
+        s AS (SELECT host, round(0.4::DOUBLE * (pages >= 5)::INT + 0.3::DOUBLE * (langs >= 2)::INT + 0.3::DOUBLE * (numbered * 2 >= pages)::INT, 6) AS score FROM m) SELECT host, score, CASE WHEN score >= 0.7 THEN 'SERVICE' WHEN score >= 0.4 THEN 'LIBRARY' ELSE 'OTHER' END AS class FROM s"""),
     "intent_classes": (intent_classes, "SELECT role, CASE WHEN regexp_matches(t, '\\b(path|route|from)\\b') THEN 'PATH_DISCOVERY' WHEN regexp_matches(t, '\\b(impact|affect|of)\\b') THEN 'IMPACT_ANALYSIS' WHEN regexp_matches(t, '\\b(use|uses|for)\\b') THEN 'USAGE_DISCOVERY' ELSE 'DOMAIN_SUMMARY' END AS query_type, count(*) AS turns FROM (SELECT role, lower(text) AS t FROM conversations) GROUP BY ALL"),
 }
