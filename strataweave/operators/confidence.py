@@ -53,3 +53,11 @@ def apply_feedback(rows: DataFrame, stats: DataFrame, specific: str, general: st
     pick = F.when(F.col("n1") >= least, F.col("a1")).when(F.col("n2") >= least, F.col("a2")).otherwise(F.coalesce("a1", "a2", F.lit(0.0)))
     joined = rows.join(s, specific, "left").join(g, general, "left")
     return joined.withColumn("fed_confidence", round_half_up(clamp(F.col("confidence") + pick, 0.1, 0.99), 4)).drop("n1", "a1", "n2", "a2")
+
+
+def unsupported(candidates: DataFrame, support: DataFrame, on: list[str], code: str, penalty: float = 0.15) -> DataFrame:
+    """Adds contradiction (``code`` where no support has the same key, else empty) and the confidence that is left."""
+    known = support.select(*on, F.lit(True).alias("_known")).distinct()
+    bad = F.col("_known").isNull()
+    out = candidates.join(known, on, "left").withColumn("contradiction", F.when(bad, code).otherwise(""))
+    return out.withColumn("adjusted", F.when(bad, clamp(F.col("confidence") - penalty, 0.1, 0.99)).otherwise(F.col("confidence"))).drop("_known")

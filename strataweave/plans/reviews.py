@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import r6
@@ -136,6 +137,35 @@ def sharing_model(spark, sf_dir):
     return rows.withColumn("model", F.when(F.col("services") > 1, "SHARED").otherwise("OWNED"))
 
 
+def stale_config(spark, sf_dir):
+    """Configured accesses to databases without an access in code by the same service to one of their tables."""
+    g = GraphTables(spark, sf_dir)
+    c = g.chain(50).where("l_returnflag in ('R', 'A')").join(g.source("part"), F.col("l_partkey") == F.col("p_partkey"))
+    c = c.select(F.concat_ws(":", "l_orderkey", "rn").alias("id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject_id"), F.concat(F.lit("DB"), F.col("p_brand")).alias("object_id"), (1 - F.col("l_tax")).alias("confidence"))
+    tables = g.objects().where("object_type = 'db_table'").select(F.col("id").alias("object_id"), "parent_id")
+    support = g.relations().where("relation_type in ('read', 'write')").join(tables, "object_id").select("subject_id", F.col("parent_id").alias("object_id"))
+    out = confidence.unsupported(c, support, ["subject_id", "object_id"], "STALE_CONFIG")
+    return out.select("id", "subject_id", "object_id", "contradiction", r6(F.col("adjusted")).alias("adjusted"))
+
+
+def dead_topics(spark, sf_dir):
+    """Every seventh message as a configured one: dead where no other message uses the same topic from the same service."""
+    g = GraphTables(spark, sf_dir)
+    m = g.relations().where("relation_type in ('produce', 'consume')").withColumn("n", F.substring("id", 2, 20).cast("long"))
+    out = confidence.unsupported(m.where("n % 7 = 0"), m.where("n % 7 <> 0"), ["relation_type", "subject_id", "object_id"], "DEAD_TOPIC")
+    return out.select("id", "contradiction", r6(F.col("adjusted")).alias("adjusted"))
+
+
+def orphan_keys(spark, sf_dir):
+    """Keys from each part to the one before it of its brand: orphans where no service uses either."""
+    g = GraphTables(spark, sf_dir)
+    p = g.source("part").withColumn("ref", F.lag("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("ref is not null")
+    used = g.relations().where("relation_type in ('read', 'write')").select(F.substring("object_id", 2, 20).cast("long").alias("end")).distinct()
+    ends = p.select("p_partkey", F.explode(F.array("p_partkey", "ref")).alias("end")).join(used, "end", "left_semi").select("p_partkey")
+    out = confidence.unsupported(p.select("p_partkey", "ref", F.lit(0.5).alias("confidence")), ends, ["p_partkey"], "ORPHAN_FK")
+    return out.select("p_partkey", "ref", "contradiction", r6(F.col("adjusted")).alias("adjusted"))
+
+
 CAND = "cand AS (SELECT *, CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_returnflag = 'N' THEN 'code,db' ELSE 'code' END ELSE CASE WHEN l_returnflag = 'N' THEN 'config,db' ELSE 'config' END END AS sources FROM candidates)"
 VALID = """known AS (SELECT DISTINCT subject_id, parent_id FROM relations r JOIN objects o ON r.object_id = o.id WHERE r.relation_type = 'call' AND r.status = 'APPROVED'),
 vv AS (SELECT c.*, sources LIKE '%,%' AS two, contains(sources, 'code') AND k.parent_id IS NULL AS phantom FROM cand c LEFT JOIN known k ON k.subject_id = c.subject_id AND k.parent_id = c.object_id),
@@ -145,6 +175,12 @@ valid AS (SELECT id, sources, CASE WHEN phantom THEN 'PHANTOM_CALL' ELSE '' END
 ENTRIES = {
     "cross_validation": (cross_validation, with_tables("SELECT * FROM valid", CAND, VALID)),
     "validation_counts": (validation_counts, with_tables("SELECT sources, contradiction, count(*) AS candidates, count(*) FILTER (WHERE validated) AS validated, round(avg(adjusted - confidence), 6) AS mean_change FROM valid GROUP BY ALL", CAND, VALID)),
+    "stale_config": (stale_config, with_tables("""SELECT l_orderkey || ':' || rn AS id, 'S' || l_suppkey AS subject_id, 'DB' || p_brand AS object_id, CASE WHEN k THEN '' ELSE 'STALE_CONFIG' END AS contradiction, round(CASE WHEN k THEN 1 - l_tax ELSE least(greatest(1 - l_tax - 0.15, 0.1), 0.99) END, 6) AS adjusted FROM (
+        SELECT *, EXISTS (SELECT 1 FROM relations r JOIN objects o ON o.id = r.object_id WHERE r.relation_type IN ('read', 'write') AND r.subject_id = 'S' || l_suppkey AND o.parent_id = 'DB' || p_brand) AS k FROM chain50 JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A'))""")),
+    "dead_topics": (dead_topics, with_tables("""SELECT id, CASE WHEN k THEN '' ELSE 'DEAD_TOPIC' END AS contradiction, round(CASE WHEN k THEN confidence ELSE least(greatest(confidence - 0.15, 0.1), 0.99) END, 6)::DOUBLE AS adjusted FROM (
+        SELECT *, bool_or(n % 7 <> 0) OVER (PARTITION BY relation_type, subject_id, object_id) AS k FROM (SELECT *, substr(id, 2)::BIGINT AS n FROM relations WHERE relation_type IN ('produce', 'consume'))) WHERE n % 7 = 0""")),
+    "orphan_keys": (orphan_keys, with_tables("""SELECT p_partkey, ref, CASE WHEN k THEN '' ELSE 'ORPHAN_FK' END AS contradiction, CASE WHEN k THEN 0.5 ELSE 0.35 END::DOUBLE AS adjusted FROM (
+        SELECT *, EXISTS (SELECT 1 FROM relations r WHERE r.relation_type IN ('read', 'write') AND r.object_id IN ('T' || p_partkey, 'T' || ref)) AS k FROM (SELECT p_partkey, lag(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ref FROM part) WHERE ref IS NOT NULL)""")),
     "feedback_stats": (feedback_stats, with_tables("SELECT feedback_key, approved, rejected, total, rate, adjustment FROM fb", FEEDBACK)),
     "feedback_apply": (feedback_apply, with_tables("""SELECT 'C' || l_orderkey || ':' || rn AS id, round(1 - l_discount, 6) AS confidence,
         floor(least(greatest(1 - l_discount + CASE WHEN a.total >= 10 THEN a.adjustment WHEN b.total >= 10 THEN b.adjustment ELSE coalesce(a.adjustment, b.adjustment, 0) END, 0.1), 0.99) * 10000 + 0.5) / 10000 AS fed_confidence
