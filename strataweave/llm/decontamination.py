@@ -3,11 +3,11 @@
 A seed hashes the words at the 1s of a fixed mask and ignores those at the 0s, so a hit
 survives substituted words there. Seeds of every position of the benchmark meet those of every position
 of the documents in one hash join; at each hit the whole item is laid over the document on the hit's
-diagonal, and the pair counts if some ``window`` aligned words hold at least ``least_equal`` equal ones.
+diagonal (once a diagonal), and the pair counts if some ``window`` aligned words hold at least ``least_equal`` equal ones.
 
 The seeds of the benchmark are broadcast while they are fewer than ``broadcast_rows``; a larger
-benchmark is handled in as many parts, each a pass over the documents. Hits are verified where they arise, in
-the same stage, and summed by document and item; hot passages only mean more hits in each document.
+benchmark is handled in as many parts, each a pass over the documents. Hits gather by document, item and diagonal with partial
+aggregates; hot passages only mean more hits in each document.
 
 Words are runs between white space, lower-cased and without .,;:!?"'() around or in them. Defined results: null and
 empty texts match nothing; items of fewer words than the window must match in all but the share of
@@ -28,7 +28,7 @@ MASKS = ("1110111", "11011011", "110101011")
 def word_hashes(text: Column) -> Column:
     """array<long>: a hash of each word."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ".,;:!?\"'()", "")
-    return F.transform(F.filter(F.split(plain, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.split(F.btrim(plain, F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w))
 
 
 def _seed(words: str, at: str, number: int, mask: str) -> str:
@@ -54,24 +54,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_
     items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("iw"))
     positions = items.agg(F.sum(F.size("iw") * len(masks))).first()[0] or 0
     parts = max(1, -(-positions // broadcast_rows))
-    texts = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("dw"))
+    texts = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("dw")).withColumn("dkey", F.xxhash64("dw"))
     found = []
     for k in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
-        known = seeds(some, "iw", masks).select("seed", F.col("pos").alias("ipos"), "item_id", "iw")
+        known = seeds(some, "iw", masks).select("seed", F.col("pos").alias("ipos"), "item_id", F.size("iw").alias("n"))
         found.append(seeds(texts, "dw", masks).join(F.broadcast(known), "seed"))  # at most about broadcast_rows rows
-    hits = reduce(DataFrame.unionByName, found)
-    hits = hits.withColumn("first_word", F.col("pos") - F.col("ipos"))
-    lead = F.expr("greatest(0, -first_word)")
-    hits = hits.withColumn("eq", F.expr("""
-        zip_with(slice(dw, greatest(0, first_word) + 1, size(iw)),
-                 slice(iw, greatest(0, -first_word) + 1, greatest(0, least(size(iw) - greatest(0, -first_word), size(dw) - greatest(0, first_word)))),
-                 (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END)"""))
-    hits = hits.drop("dw").withColumn("need", F.expr(f"CASE WHEN size(iw) >= {window} THEN {least_equal} ELSE ceil(size(iw) * {least_equal} / {window}D) END"))
+    hits = reduce(DataFrame.unionByName, found).withColumn("first_word", F.col("pos") - F.col("ipos"))
+    # Up to here all is generated code and a position is no row of its own; a hit takes along the words under the item.
+    under = F.expr("slice(dw, greatest(0, first_word) + 1, least(n - greatest(0, -first_word), size(dw) - greatest(0, first_word)))")
+    hits = hits.select("doc_id", "dkey", "item_id", "first_word", under.alias("under"))
+    hits = hits.groupBy("doc_id", "dkey", "item_id", "first_word").agg(F.first("under").alias("under"), F.count(F.lit(1)).alias("seed_hits"))
+    laid = hits.join(items, "item_id")
+    eq = F.expr("zip_with(under, slice(iw, greatest(0, -first_word) + 1, size(under)), (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END)")
     sums = F.expr(f"transform(sequence(0, greatest(0, size(eq) - {window})), s -> aggregate(slice(eq, s + 1, {window}), 0, (t, x) -> t + x))")
-    hits = hits.withColumn("equal_words", F.array_max(sums)).where("equal_words >= need")
+    need = F.expr(f"CASE WHEN size(iw) >= {window} THEN {least_equal} ELSE ceil(size(iw) * {least_equal} / {window}D) END")
+    laid = laid.withColumn("eq", eq).withColumn("equal_words", F.array_max(sums)).where(F.col("equal_words") >= need)
     best = F.max(F.struct("equal_words", (-F.col("first_word")).alias("o")))
-    out = hits.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count(F.lit(1)).alias("seed_hits"))
+    out = laid.groupBy("doc_id", "item_id").agg(best.alias("best"), F.sum("seed_hits").alias("seed_hits"))
     return out.select("doc_id", "item_id", F.col("best.equal_words").cast("long").alias("equal_words"), (-F.col("best.o")).cast("long").alias("first_word"), "seed_hits")
 
 
