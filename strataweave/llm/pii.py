@@ -11,6 +11,7 @@ Defined results: null text has no spans; offsets are code points, ends exclusive
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -47,6 +48,11 @@ OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 AT = re.compile(rf"\s?{OPEN}\s?(?:at|@)\s?{CLOSE}\s?|\s(?:at|@)\s(?=[A-Za-z0-9-]+(?:\s(?:dot|\.)\s|\s?{OPEN}\s?(?:dot|\.)))", re.I)
 DOT = re.compile(rf"\s?{OPEN}\s?(?:dot|\.)\s?{CLOSE}\s?|(?<=[A-Za-z0-9])\s(?:dot|\.)\s(?=[A-Za-z0-9])", re.I)
 BRACKETED = re.compile(rf"{OPEN}\s?(?:at|dot|@|\.)\s?{CLOSE}", re.I)
+#: What AT and DOT need where neither "dot" nor a closed bracket is there, and what BEFORE_DOT and AFTER_DOT need.
+BLANK_DOT = re.compile(rf"\.(?:(?<=\s\.)\s|(?<={OPEN}\.)|(?<={OPEN}\s\.))")
+DOTTED = re.compile(r"\.(?:(?<=[A-Za-z]\.)[0-9]|(?<=[0-9]\.)[A-Za-z])")
+#: Letters that match i and s where case is ignored.
+FOLDED = frozenset("\u0130\u0131\u017f")
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(0x30, 0x3A), 0x40, 0x2B]] = True
@@ -114,6 +120,7 @@ class Tape:
         self.at, self.to = at + self.at[last:], to + self.to[last:]
 
 
+@functools.cache
 def _char(c: str) -> str | None:
     """What a single character is rewritten to; None: it stays."""
     if c in INVISIBLE:
@@ -147,11 +154,21 @@ def normalised(text: str) -> Tape:
 
 
 def disguised(text: str) -> bool:
-    """Whether the transducer could change what is found."""
+    """Whether the transducer could change the text: true wherever one of its passes has a match.
+
+    As long as no pass matches, each still sees the text itself, so what each needs can be asked of the text. Tests on
+    substrings come first; they are never narrower than the patterns behind them.
+    """
+    if not text.isascii() and any(c in FOLDED or _char(c) is not None for c in set(text) if c > "\x7f"):
+        return True
     low = text.lower()
-    if "dot" in low or sum(low.count(w) for w in DIGIT_NAMES if len(w) > 2) >= 3:
+    if "dot" in low or BLANK_DOT.search(text) or any(c in text for c in "[({<") and BRACKETED.search(text):
+        return True
+    if "plus" in low and PLUS.search(text):
+        return True
+    if sum(low.count(w) for w in DIGIT_NAMES) >= 2 and DIGITS_RUN.search(text):
         return True
-    return not text.isascii() and any(c > "\xff" or c in INVISIBLE for c in set(text)) or any(c in text for c in "[({<") and BRACKETED.search(text) is not None
+    return DOTTED.search(text) is not None and bool(BEFORE_DOT.search(text) or AFTER_DOT.search(text))
 
 
 def spans(text: str) -> list[tuple[str, int, int, bool]]:

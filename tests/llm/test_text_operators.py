@@ -102,6 +102,28 @@ def test_disguised_spans(text, kind, found):
     assert [(k, text[a:b]) for k, a, b, base in pii.spans(text) if not base] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("alice @ example . org", "email", "alice @ example . org"),
+        ("call plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958"),
+        ("192.168.one.1", "ip", "192.168.one.1"),
+        ("+1 555 one two 4 5678", "phone", "+1 555 one two 4 5678"),
+    ],
+)
+def test_disguises_are_looked_for_on_their_own(text, kind, found):
+    assert [(k, text[a:b]) for k, a, b, base in pii.spans(text) if not base] == [(kind, found)]
+
+
+PIECES = ["at", "@", "dot", ".", "plus", "one", "OH", "nought", "six", "7", "44", "a", "x.", "é", "о", "１", "\xad", "\xa0", "(", "]", " ", " ", ", ", "-", "\t"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=9).map("".join))
+def test_whatever_is_rewritten_is_looked_for(text):
+    assert pii.disguised(text) or pii.normalised(text).text == text
+
+
 def test_pii_table(spark):
     df = spark.createDataFrame([(1, "x a@b.co y +1 (555) 123-4567"), (2, None), (3, "the dot was at home"), (4, "1" * 50_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find_pii(df, redact=True).collect()}
