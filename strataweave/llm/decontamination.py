@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 
 #: Fixed masks of weight six.
 MASKS = ("1110111", "11011011", "110101011")
+#: What MASKS miss: two neighbouring words changed in the middle, or one in an item of eight words; then one in an item of seven.
+#: With them no substitution that the rule accepts is without a hit (enumerated in the tests for a window of 13 and 11 equal words).
+CONTIGUOUS = ("111111",)
+OF_SEVEN = ("1011111", "1101111", "1111011", "1111101")
 
 
 def word_hashes(text: Column) -> Column:
@@ -50,29 +54,37 @@ def seeds(df: DataFrame, words: str, masks: tuple[str, ...] = MASKS) -> DataFram
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal: int = 11, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, equal_words (most in a window), first_word (where the item would begin in the document), seed_hits."""
-    items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("iw"))
-    positions = items.agg(F.sum(F.size("iw") * len(masks))).first()[0] or 0
+    """doc_id, item_id, equal_words (most in a window), first_word (where the item would begin in the document), seed_hits (of ``masks``)."""
+    laid = _laid(docs, benchmark, window, least_equal, masks, broadcast_rows)
+    best = F.max(F.struct("equal_words", (-F.col("first_word")).alias("o")))
+    out = laid.groupBy("doc_id", "item_id").agg(best.alias("best"), F.sum("seed_hits").alias("seed_hits"))
+    return out.select("doc_id", "item_id", F.col("best.equal_words").cast("long").alias("equal_words"), (-F.col("best.o")).cast("long").alias("first_word"), "seed_hits")
+
+
+def _laid(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal: int = 11, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The diagonals that count: doc_id, dkey (of the text), item_id, first_word, equal_words, seed_hits."""
+    counted, shortest = len(masks), min(map(len, masks))
+    items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("iw")).where(F.size("iw") >= shortest)
+    total = items.agg(F.sum(F.size("iw")).alias("n"), F.min(F.size("iw")).alias("least")).first()
+    masks = masks + CONTIGUOUS + (OF_SEVEN if total.least == 7 else ())
+    positions = (total.n or 0) * len(masks)
     parts = max(1, -(-positions // broadcast_rows))
     texts = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("dw")).withColumn("dkey", F.xxhash64("dw"))
     found = []
     for k in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
-        known = seeds(some, "iw", masks).select("seed", F.col("pos").alias("ipos"), "item_id", F.size("iw").alias("n"))
+        known = seeds(some, "iw", masks).select("seed", (F.col("mask_no") < counted).alias("counts"), F.col("pos").alias("ipos"), "item_id", F.size("iw").alias("n"))
         found.append(seeds(texts, "dw", masks).join(F.broadcast(known), "seed"))  # at most about broadcast_rows rows
     hits = reduce(DataFrame.unionByName, found).withColumn("first_word", F.col("pos") - F.col("ipos"))
     # Up to here all is generated code and a position is no row of its own; a hit takes along the words under the item.
     under = F.expr("slice(dw, greatest(0, first_word) + 1, least(n - greatest(0, -first_word), size(dw) - greatest(0, first_word)))")
-    hits = hits.select("doc_id", "dkey", "item_id", "first_word", under.alias("under"))
-    hits = hits.groupBy("doc_id", "dkey", "item_id", "first_word").agg(F.first("under").alias("under"), F.count(F.lit(1)).alias("seed_hits"))
+    hits = hits.select("doc_id", "dkey", "item_id", "first_word", "counts", under.alias("under"))
+    hits = hits.groupBy("doc_id", "dkey", "item_id", "first_word").agg(F.first("under").alias("under"), F.count_if("counts").alias("seed_hits"))
     laid = hits.join(items, "item_id")
     eq = F.expr("zip_with(under, slice(iw, greatest(0, -first_word) + 1, size(under)), (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END)")
     sums = F.expr(f"transform(sequence(0, greatest(0, size(eq) - {window})), s -> aggregate(slice(eq, s + 1, {window}), 0, (t, x) -> t + x))")
     need = F.expr(f"CASE WHEN size(iw) >= {window} THEN {least_equal} ELSE ceil(size(iw) * {least_equal} / {window}D) END")
-    laid = laid.withColumn("eq", eq).withColumn("equal_words", F.array_max(sums)).where(F.col("equal_words") >= need)
-    best = F.max(F.struct("equal_words", (-F.col("first_word")).alias("o")))
-    out = laid.groupBy("doc_id", "item_id").agg(best.alias("best"), F.sum("seed_hits").alias("seed_hits"))
-    return out.select("doc_id", "item_id", F.col("best.equal_words").cast("long").alias("equal_words"), (-F.col("best.o")).cast("long").alias("first_word"), "seed_hits")
+    return laid.withColumn("eq", eq).withColumn("equal_words", F.array_max(sums)).where(F.col("equal_words") >= need)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -242,6 +243,41 @@ def test_substituted_passages_are_found(spark, words):
         assert got[1, 1].first_word == 40 and got[1, 1].equal_words == 13 and got[2, 1].first_word == 40
 
 
+def by_rule(text, item, window=13, least=11):
+    """The rule alone, on every diagonal, without seeds."""
+    d, b = text.split(), item.split()
+    need = least if len(b) >= window else -(-len(b) * least // window)
+    for at in range(-len(b) + 1, len(d)):
+        eq = [0 <= i + at < len(d) and d[i + at] == x for i, x in enumerate(b)]
+        if max(sum(eq[k : k + window]) for k in range(max(1, len(eq) - window + 1))) >= need:
+            return True
+    return False
+
+
+def test_every_accepted_substitution_is_found(spark, words):
+    items = {n: " ".join(f"{w}{n}{i}" for i, w in enumerate(words(70 + n, n).split())) for n in (7, 8, 9, 12, 13, 16)}
+    texts = []
+    for n, item in items.items():
+        for some in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in (0, 1, 2, 3)):
+            if len(some) < 3 or n == 13:
+                w = ["zzz" if i in some else x for i, x in enumerate(item.split())]
+                texts += [" ".join(w), "aaa bbb " + " ".join(w) + " ccc"] if len(some) < 2 else ["aaa bbb " + " ".join(w)]
+        texts += [" ".join(item.split()[1:]) + " ccc", "aaa " + " ".join(item.split()[:-1]), " ".join(item.split()[:-2])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {(k, n) for k, t in enumerate(texts) for n, item in items.items() if by_rule(t, item)}
+    for some in (items, {n: t for n, t in items.items() if n > 7}):
+        bench = spark.createDataFrame(list(some.items()), "item_id int, text string")
+        got = decontamination.contaminated(docs, bench).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(k, n) for k, n in want if n in some}
+    assert len(want) < len(texts)
+
+
+def test_six_words_match_nothing(spark):
+    text = "one two three four five six"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert decontamination.contaminated(rows, rows.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
 def test_decontamination_equals_sql(spark):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
