@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.llm.bpe import bpe_encode
-from strataweave.llm.decontamination import contaminated
+from strataweave.llm.decontamination import without_contaminated
 from strataweave.llm.minhash_dedup import one_of_each
 from strataweave.llm.pii import find_pii
 from strataweave.llm.quality_rules import apply_rules
@@ -29,8 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, F.expr("doc_id <=> _hit"), "left_anti")
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_
     return out.select("doc_id", "item_id", F.col("best.equal_words").cast("long").alias("equal_words"), (-F.col("best.o")).cast("long").alias("first_word"), "seed_hits")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs whose own text holds no passage of the benchmark, whatever other rows share their doc_id."""
+    found = _laid(docs, benchmark, **options).select(F.col("doc_id").alias("_hit"), F.col("dkey").alias("_hit_key")).distinct()
+    keyed = docs.withColumn("_dkey", _text_key(word_hashes(F.col("text").cast("string"))))
+    return keyed.join(found, F.expr("doc_id <=> _hit and _dkey = _hit_key"), "left_anti").select(*docs.columns)
+
+
+def _text_key(words: Column) -> Column:
+    return F.xxhash64(words)
+
+
 def _laid(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal: int = 11, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The diagonals that count: doc_id, dkey (of the text), item_id, first_word, equal_words, seed_hits."""
     counted, shortest = len(masks), min(map(len, masks))
@@ -69,7 +80,7 @@ def _laid(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal:
     masks = masks + CONTIGUOUS + (OF_SEVEN if total.least == 7 else ())
     positions = (total.n or 0) * len(masks)
     parts = max(1, -(-positions // broadcast_rows))
-    texts = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("dw")).withColumn("dkey", F.xxhash64("dw"))
+    texts = docs.select("doc_id", word_hashes(F.col("text").cast("string")).alias("dw")).withColumn("dkey", _text_key(F.col("dw")))
     found = []
     for k in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items

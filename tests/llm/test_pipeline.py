@@ -96,6 +96,16 @@ def test_stages_keep_the_columns(spark, folder):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_contaminated_texts_take_no_others_with_them(spark, words, tmp_path):
+    item = words(2, 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad, clean, other = words(4, 40) + " " + item, words(5, 60), words(6, 60)
+    rows = [(None, bad), (None, clean), (7, bad), (7, other), (8, clean), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, clean), (7, other), (8, clean), (None, None)], key=repr)
+
+
 def test_every_operator_is_registered():
     found = entry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == []
