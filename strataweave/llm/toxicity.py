@@ -44,8 +44,6 @@ _CODE[0x80:] = 27
 _LETTER = _CODE > 0
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[0x30:0x3A] = True
 
 MIXED = re.compile(r"(?<!\S)[^\s0-9@$!|]*+[0-9@$!|]\S*+")
 REPEATED = re.compile(r"(?<![A-Za-z])(?=[A-Za-z]*?([A-Za-z])\1\1)[A-Za-z]++")
@@ -169,7 +167,7 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Texts that may hold a disguised word: a sign next to a letter, a letter three times, or letters on their own."""
     letter, nxt = _LETTER[data], np.roll(data, -1)
     low = FOLD[data]
-    odd = _SIGN[data] & _LETTER[nxt] | letter & _DIGIT[nxt]
+    odd = _SIGN[data] & _LETTER[nxt] | letter & _SIGN[nxt]
     odd |= letter & (data < 0x80) & (low == np.roll(low, 1)) & (low == np.roll(low, -1))
     lone = (letter | _SIGN[data]) & ~_LETTER[nxt] & ~_LETTER[np.roll(data, 1)] & (data < 0x80)
     odd |= lone & np.roll(lone, -2) & np.roll(lone, 2)

@@ -9,6 +9,7 @@ import re
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -229,6 +230,15 @@ def test_toxicity_learns(spark):
     assert toxicity.score(odd, channel, none).where("score > 0").count() == 0
 
 
+def test_signs_at_the_end_of_a_word_are_looked_at():
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    c = np.concatenate(([0, 0], toxicity._CODE[np.frombuffer(b"puta casa " * 200, np.uint8)]))
+    np.add.at(counts, (c[:-2] * toxicity.SYMBOLS + c[1:-1]) * toxicity.SYMBOLS + c[2:], 1)
+    channel = toxicity.Channel(counts)
+    got, changed = toxicity.restored_column(pa.array(["put@", "cas@ puta", "casa"]), channel)
+    assert got.to_pylist() == ["puta", "casa puta", "casa"] and changed.tolist() == [True, True, False]
+
+
 # Decontamination
 
 
