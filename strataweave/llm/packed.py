@@ -1,10 +1,10 @@
-"""Documents packed by id range, and an exchange that tells each group which of its hashes others hold.
+"""Documents packed in groups, and an exchange that tells each group which of its hashes others hold.
 
-A document group holds neighbouring doc_ids (about ``group_bytes`` of text). Groups
-send each distinct hash once to the hash's bucket, so a hash that a third of all
+A group is a run of rows as one task reads them, about ``group_bytes`` of text (a longer text is a group of its own), whatever their
+doc_ids. The groups are stored once, so all passes see the same rows in the same order, after a lost executor too.
+Groups send each distinct hash once to the hash's bucket, so a hash that a third of all
 documents share reaches its bucket once a group, not once a document. Buckets answer the
-groups; no group or bucket holds more than its bounded share and nothing passes through
-the driver but the group bounds.
+groups; no group or bucket holds more than its bounded share and nothing passes through the driver but three sums.
 """
 
 from __future__ import annotations
@@ -13,65 +13,64 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-NULL_ID = np.iinfo(np.int64).max
-
+from .bytesops import row_slices
+from .scratch import stored
 
-def group_bounds(docs: DataFrame, group_bytes: int) -> tuple[list[int], int]:
-    """Upper-exclusive doc_id bounds of the groups, and the bytes of all texts."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // group_bytes))
-    if n == 1:
-        return [], total
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
-    return sorted(set(cuts or [])), total
+NULL_ID = np.iinfo(np.int64).max
 
 
-def pack(docs: DataFrame, bounds: list[int]) -> DataFrame:
-    """Rows (grp, blob): zstd-compressed Arrow streams of the doc_id and text of one group's documents."""
-    cuts = np.array(bounds, np.int64)
+def stored_groups(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, Row]:
+    """A stored table (grp, blob) of all documents, and bytes of all texts, least and largest doc_id. A blob is a zstd-compressed Arrow stream of doc_id and text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("low"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("high")).first()
+    wide = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < wide:  # a small input in few files
+        docs = docs.repartition(wide)
 
-    def one(batch: pa.RecordBatch) -> bytes:
+    def one(parts: list[pa.RecordBatch]) -> bytes:
         sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression="zstd")
-        with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
-            out.write_batch(batch)
+        with pa.ipc.new_stream(sink, parts[0].schema, options=options) as out:
+            for part in parts:
+                out.write_batch(part)
         return sink.getvalue().to_pybytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([one(held)], pa.binary())], ["grp", "blob"])
+
         for batch in batches:
-            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            grp = np.searchsorted(cuts, ids, "right")
-            order = np.argsort(grp, kind="stable")
-            found, at = np.unique(grp[order], return_index=True)
-            if not len(found):
-                continue
-            if len(found) > 1:
-                batch = batch.take(pa.array(order))
-            ends = [*at[1:], len(order)]
-            blobs = [one(batch.slice(a, b - a)) for a, b in zip(at, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary())], ["grp", "blob"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "grp int, blob binary")
-
-
-def unpack(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """doc_ids (null: the largest long), texts and null flags of a group's blobs, ordered by doc_id, then text."""
-    parts = [b for v in table.column("blob") for b in pa.ipc.open_stream(v.as_buffer())]
-    if not parts:
-        return np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, bool)
-    t = pa.Table.from_batches(parts)
-    text = t.column("text").cast(pa.large_string()).combine_chunks()
+            for x, y in row_slices(batch.column(1), group_bytes):
+                part = batch.slice(x, y - x)
+                more = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+                if held and size + more > group_bytes:
+                    yield flush()
+                    grp, held, size = grp + 1, [], 0
+                held.append(part)
+                size += more
+        if held:
+            yield flush()
+
+    return stored(docs.mapInArrow(run, "grp long, blob binary"), "groups"), size
+
+
+def unpack(blob: pa.Scalar) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """doc_ids (null: the largest long), texts and null flags of a group, in the order stored."""
+    t = pa.Table.from_batches(list(pa.ipc.open_stream(blob.as_buffer())))
     ids = t.column("doc_id").combine_chunks()
     null = ids.is_null().to_numpy(zero_copy_only=False)
-    ids = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-    order = np.argsort(ids, kind="stable")
-    return ids[order], text.take(pa.array(order)), null[order]
+    return ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False), t.column("text").cast(pa.large_string()).combine_chunks(), null
 
 
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u4")])
-ENTRIES = "grp int, bucket int, blob binary"
+ENTRIES = "grp long, bucket int, blob binary"
 
 
 def entry_rows(grp: int, rec: np.ndarray, buckets: int, offset: int = 0) -> pa.RecordBatch:
@@ -79,7 +78,7 @@ def entry_rows(grp: int, rec: np.ndarray, buckets: int, offset: int = 0) -> pa.R
     found, at = np.unique(bucket_of(rec["a"], buckets), return_index=True)
     ends = [*at[1:], len(rec)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(found), grp, np.int32)), pa.array(found.astype(np.int32) + offset), pa.array([rec[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())],
+        [pa.array(np.full(len(found), grp, np.int64)), pa.array(found.astype(np.int32) + offset), pa.array([rec[x:y].tobytes() for x, y in zip(at, ends)], pa.binary())],
         ["grp", "bucket", "blob"],
     )
 
@@ -94,33 +93,36 @@ def bucket_of(a: np.ndarray, buckets: int) -> np.ndarray:
     return ((a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def distinct_sorted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (a, b) in order of a then b, and how many there were of each."""
-    if not len(a):
-        return a, b, np.zeros(0, np.int64)
+def sorted_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a, then b (stable), and where in it each distinct pair begins."""
     order = np.argsort(a, kind="stable")
     sa, sb = a[order], b[order]
     if np.any((sa[1:] == sa[:-1]) & (sb[1:] != sb[:-1])):
         order = np.lexsort((b, a))
         sa, sb = a[order], b[order]
-    first = np.flatnonzero(np.concatenate(([True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1]))))
-    return sa[first], sb[first], np.diff(np.append(first, len(sa)))
+    new = np.ones(len(a), bool)
+    new[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
+    return order, np.flatnonzero(new)
+
+
+def distinct_sorted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b) in order of a then b, and how many there were of each."""
+    order, first = sorted_runs(a, b)
+    return a[order[first]], b[order[first]], np.diff(np.append(first, len(a)))
 
 
 def answer_entries(entries: DataFrame, dtype: np.dtype, hits: Callable, step: int = 0) -> DataFrame:
     """Rows (grp, bucket, blob): one bit for each record that the group sent to the bucket, in the order sent.
 
     ``hits(rec, owner)`` gets a bucket's records in order of a (then b where a repeats with
-    different b, then group) and returns masks of those to answer with 1; the k-th mask's rows have ``bucket + k * step``.
+    different b, then group; groups as numbers from 0) and returns masks of those to answer with 1; the k-th mask's rows have ``bucket + k * step``.
     """
 
     def answer(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("grp").to_numpy(), kind="stable")
-        grps = table.column("grp").to_numpy()[order]
-        blobs = table.column("blob")
-        recs = [np.frombuffer(blobs[int(i)].as_buffer(), dtype) for i in order]
+        grps, blobs = table.column("grp").to_numpy(), table.column("blob")
+        recs = [np.frombuffer(blobs[i].as_buffer(), dtype) for i in range(len(grps))]
         sizes = np.array([len(r) for r in recs])
-        rec, owner = np.concatenate(recs), np.repeat(grps, sizes)
+        rec, owner = np.concatenate(recs), np.repeat(np.arange(len(grps)), sizes)
         at = np.argsort(rec["a"], kind="stable")
         a, b = rec["a"][at], rec["b"][at]
         if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
@@ -135,31 +137,30 @@ def answer_entries(entries: DataFrame, dtype: np.dtype, hits: Callable, step: in
                     to.append(g)
                     where.append(bucket + k * step)
                     bits.append(np.packbits(x).tobytes())
-        return pa.table({"grp": pa.array(to, pa.int32()), "bucket": pa.array(where, pa.int32()), "blob": pa.array(bits, pa.binary())})
+        return pa.table({"grp": pa.array(to, pa.int64()), "bucket": pa.array(where, pa.int32()), "blob": pa.array(bits, pa.binary())})
 
     return entries.groupBy("bucket").applyInArrow(answer, ENTRIES)
 
 
-def in_lower_group(rec: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray]:
-    """Records that a group before the record's own holds too."""
-    same = (rec["a"][1:] == rec["a"][:-1]) & (rec["b"][1:] == rec["b"][:-1])
-    return (np.concatenate(([False], same)),)
-
-
 def in_other_group(rec: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray]:
     """Records that any other group holds too."""
     same = (rec["a"][1:] == rec["a"][:-1]) & (rec["b"][1:] == rec["b"][:-1])
     return (np.concatenate(([False], same)) | np.concatenate((same, [False])),)
 
 
+def shares(table: pa.Table, a: np.ndarray, buckets: int, offset: int) -> Iterator[tuple[int, int, pa.Scalar]]:
+    """Of sorted ``a`` the range that each answering bucket stands for, and the answer; work grows with the answers, not with the buckets."""
+    mine = bucket_of(a, buckets)
+    for k, v in zip(table.column("bucket").to_pylist(), table.column("blob")):
+        if offset <= k < offset + buckets:
+            yield int(np.searchsorted(mine, k - offset)), int(np.searchsorted(mine, k - offset, "right")), v
+
+
 def answered(table: pa.Table, a: np.ndarray, buckets: int, offset: int = 0) -> np.ndarray:
     """The answers to the records with sorted ``a`` that a group had sent."""
     out = np.zeros(len(a), bool)
-    cuts = np.searchsorted(bucket_of(a, buckets), np.arange(buckets + 1))
-    for k, v in zip(table.column("bucket").to_pylist(), table.column("blob")):
-        if offset <= k < offset + buckets:
-            x, y = cuts[k - offset], cuts[k - offset + 1]
-            out[x:y] = np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=int(y - x))
+    for x, y, v in shares(table, a, buckets, offset):
+        out[x:y] = np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=y - x)
     return out
 
 
@@ -180,21 +181,21 @@ def is_in(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.nd
     return out
 
 
-def by_group(packed: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn(grp, table)`` of each group; it returns a pyarrow Table or RecordBatch."""
+def by_group(groups: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``fn(grp, blob)`` of each group, without a shuffle; it yields record batches."""
 
-    def run(key, table):
-        out = fn(key[0].as_py(), table)
-        return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from fn(grp, blob)
 
-    return packed.groupBy("grp").applyInArrow(run, schema)
+    return groups.mapInArrow(run, schema)
 
 
-def by_group_with(packed: DataFrame, answers: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn(grp, table, answers)`` of each group that has documents."""
+def by_group_with(groups: DataFrame, answers: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``fn(grp, blob, answers)`` of each group; it yields record batches."""
 
     def run(key, left, right):
-        out = fn(key[0].as_py(), left, right)
-        return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
+        return pa.Table.from_batches(list(fn(key[0].as_py(), left.column("blob")[0], right)))
 
-    return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
+    return groups.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)

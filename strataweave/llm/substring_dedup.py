@@ -4,8 +4,8 @@ Pass 1 hashes every window of ``window`` words to one cell in each of ``depth``
 rows. Tasks send their cell hits, sorted and gap-coded, to the row's shards; shards add
 them up and keep one bit a cell: hit twice or more. The estimate (the least of the rows)
 never falls below the true count, so no repeated window is lost. Pass 2 groups exactly the
-windows whose bits are all set: document groups exchange 96-bit hashes
-(see ``packed``), each group learns which of its windows start in a lower group, and
+windows whose bits are all set: document groups exchange 96-bit hashes with the least doc_id that
+holds each (see ``packed``), each group learns which of its windows start in a smaller doc_id elsewhere, and
 settles the rest among its own documents.
 
 The sketch has about two cells a window up to ``max_bits`` (2**28 cells a row: 32 MB a
@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed as pk
-from .bytesops import SpanHash, flatten, ranges, row_slices, word_spans
+from .bytesops import SpanHash, flatten, ranges, word_spans
 from .scratch import stored
 
 U64 = np.uint64
 FLUSH = 2_000_000
-SLICE = 1 << 20
 
 
 def window_hashes(data: np.ndarray, offs: np.ndarray, window: int, second: bool = True):
@@ -71,7 +70,7 @@ class Sketch:
         return ok
 
 
-def build_sketch(docs: DataFrame, total_bytes: int, window: int, depth: int, max_bits: int) -> Sketch:
+def build_sketch(groups: DataFrame, total_bytes: int, window: int, depth: int, max_bits: int) -> Sketch:
     bits = int(min(max_bits, max(16, round(np.log2(max(1, total_bytes / 3))))))
     shards = 1 << max(0, bits - 22)
     width = (1 << bits) // shards
@@ -93,9 +92,8 @@ def build_sketch(docs: DataFrame, total_bytes: int, window: int, depth: int, max
             return pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["row", "shard", "blob"])
 
         for batch in batches:
-            col = batch.column(0)
-            for x, y in row_slices(col, SLICE):
-                *_, a, b = window_hashes(*flatten(col.slice(x, y - x)), window, depth > 1)
+            for blob in batch.column(0):
+                *_, a, b = window_hashes(*flatten(pk.unpack(blob)[1]), window, depth > 1)
                 for r, h in enumerate((a, b)[:depth]):
                     held[r].append((h >> U64(64 - bits)).astype(np.uint32))
                 size += len(a)
@@ -121,7 +119,7 @@ def build_sketch(docs: DataFrame, total_bytes: int, window: int, depth: int, max
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([s], pa.int32()), pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())], ["row", "shard", "blob"])
 
     schema = "row int, shard int, blob binary"
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(hits, schema)
+    found = groups.select("blob").mapInArrow(hits, schema)
     merged = found.repartition(depth * shards, "row", "shard").mapInArrow(merge, schema)
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(depth)]
     step = width // 8
@@ -130,6 +128,19 @@ def build_sketch(docs: DataFrame, total_bytes: int, window: int, depth: int, max
     return Sketch(rows, bits)
 
 
+#: A window's hash and the least doc_id that holds it (from the least of all on, or as it is; null: the largest value).
+HELD = np.dtype([*pk.ENTRY.descr, ("id", "<u4")])
+HELD_FAR = np.dtype([*pk.ENTRY.descr, ("id", "<i8")])
+
+
+def in_smaller_id(rec: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray]:
+    """Records of windows that another group holds with a smaller doc_id."""
+    new = np.ones(len(rec), bool)
+    new[1:] = (rec["a"][1:] != rec["a"][:-1]) | (rec["b"][1:] != rec["b"][:-1])
+    least = np.minimum.reduceat(rec["id"], np.flatnonzero(new))
+    return (rec["id"] > least[np.cumsum(new) - 1],)
+
+
 def join_kept(data, starts, ends, first, kept) -> pa.Array:
     """Per text its kept words joined by one space."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[kept]
@@ -147,44 +158,46 @@ def join_kept(data, starts, ends, first, kept) -> pa.Array:
 def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, max_bits: int = 28, group_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each text without the words of windows that start in a smaller doc_id too."""
     spark = docs.sparkSession
-    bounds, total = pk.group_bounds(docs, group_bytes)
-    sketch = spark.sparkContext.broadcast(build_sketch(docs, total, window, depth, max_bits))
-    packed = pk.pack(docs, bounds)
-    buckets = max(1, min(4096, total // (4 << 20)))
-
-    def entries(grp, table):
-        _, text, _ = pk.unpack(table)
-        *_, a, b = window_hashes(*flatten(text), window)
-        ok = sketch.value.repeated(a, b)
-        a, b, _ = pk.distinct_sorted(a[ok], b[ok].astype(np.uint32))
-        return pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets)
-
-    answers = stored(pk.answer_entries(pk.by_group(packed, entries, pk.ENTRIES), pk.ENTRY, pk.in_lower_group), "windows")
-
-    def settle(grp, table, back):
-        ids, text, null = pk.unpack(table)
-        data, offs = flatten(text)
+    packed, size = pk.stored_groups(docs, group_bytes)
+    sketch = spark.sparkContext.broadcast(build_sketch(packed, size.bytes, window, depth, max_bits))
+    buckets = max(1, size.bytes // (4 << 20))
+    near = size.high - size.low < 2**32 - 1
+    record, low = (HELD, size.low) if near else (HELD_FAR, 0)
+
+    def repeated(blob):
+        """The documents by doc_id, their words, and of the windows that the sketch calls repeated: first word, hashes, document."""
+        ids, text, null = pk.unpack(blob)
+        order = np.argsort(ids, kind="stable")
+        data, offs = flatten(text.take(pa.array(order)))
         starts, ends, first, at, a, b = window_hashes(data, offs, window)
         pick = np.flatnonzero(sketch.value.repeated(a, b))
-        a, b = a[pick], b[pick].astype(np.uint32)
-        ua, ub, _ = pk.distinct_sorted(a, b)
-        hit = pk.answered(back, ua, buckets)
-        gone = pk.is_in(a, b, ua[hit], ub[hit])
-        owner = np.repeat(np.arange(len(ids)), np.diff(first))
-        doc = ids[owner[at[pick]]] if len(pick) else np.zeros(0, np.int64)
-        order = np.lexsort((doc, b, a))
-        if len(order):
-            sa, sb = a[order], b[order]
-            new = np.concatenate(([True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])))
-            least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone[order] |= doc[order] > least
+        at = at[pick]
+        return ids[order], null[order], (data, starts, ends, first), at, a[pick], b[pick].astype(np.uint32), np.searchsorted(first, at, "right") - 1
+
+    def entries(grp, blob):
+        ids, null, _, _, a, b, doc = repeated(blob)
+        order, head = pk.sorted_runs(a, b)
+        rec = pk.records(record, a[order[head]], b[order[head]])
+        doc = doc[order[head]]  # the least: documents come by doc_id
+        rec["id"] = np.where(null[doc], np.iinfo(record["id"]).max, ids[doc] - low)
+        yield pk.entry_rows(grp, rec, buckets)
+
+    answers = stored(pk.answer_entries(pk.by_group(packed, entries, pk.ENTRIES), record, in_smaller_id), "windows")
+
+    def settle(grp, blob, back):
+        ids, null, (data, starts, ends, first), at, a, b, doc = repeated(blob)
+        order, head = pk.sorted_runs(a, b)
+        run = np.cumsum(np.bincount(head, minlength=len(a))) - 1
+        elsewhere = pk.answered(back, a[order[head]], buckets)
+        gone = np.zeros(len(a), bool)
+        gone[order] = elsewhere[run] | (ids[doc[order]] > ids[doc[order[head]]][run])
         cover = np.zeros(len(starts) + 1, np.int64)
-        begin = at[pick][gone]
+        begin = at[gone]
         np.add.at(cover, begin, 1)
         np.add.at(cover, begin + window, -1)
         removed = np.cumsum(cover)[:-1] > 0
         counts = np.diff(np.concatenate(([0], np.cumsum(removed)))[first])
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [pa.array(ids, mask=null), pa.array(np.diff(first).astype(np.int64)), pa.array(counts.astype(np.int64)), join_kept(data, starts, ends, first, ~removed)],
             ["doc_id", "n_words", "n_removed", "kept_text"],
         )

@@ -16,7 +16,7 @@ that all strings of the run share (core), and of the span that covers them all (
 
 Sorting whole texts' suffixes the same way would need more disk than the texts' budget (see README); the samples,
 one in a hundred positions, stand for them without losing any match. Names are 96-bit hashes or longer.
-Spark's sort brings a bucket's tuples together, spilling to disk where they do not fit.
+Spark's shuffle and sort bring a bucket's tuples together and spill; inside a bucket they are sorted in memory.
 
 Defined results: null text is empty; shorter texts than ``length`` lose nothing; rows with equal
 doc_ids are separate texts; matches never cross texts.
@@ -105,7 +105,7 @@ def _mixed(hot_groups: int):
         first = np.flatnonzero(new)
         mixed = np.zeros(len(first), bool)
         mixed[run[b != b[first][run]]] = True
-        groups = np.unique(run.astype(np.int64) << 32 | owner.astype(np.int64)) >> 32
+        groups = np.unique(run.astype(np.int64) << 32 | owner) >> 32
         hot = mixed & (np.bincount(groups, minlength=len(first)) > hot_groups)
         return mixed[run], hot[run]
 
@@ -166,7 +166,7 @@ def tuple_rows(grp: int, data: np.ndarray, ends: np.ndarray, runs: Runs, pick: n
     for a, b in zip(at, [*at[1:], len(pick)]):
         lo, n = runs.lo[pick[a:b]], head["most"][a:b].astype(np.int64) + head["size"][a:b]
         blobs.append(np.uint32(b - a).tobytes() + head[a:b].tobytes() + data[ranges(lo, n)].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), grp, np.int32)), pa.array(found.astype(np.int32) + offset), pa.array(blobs, pa.binary())], ["grp", "bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), grp, np.int64)), pa.array(found.astype(np.int32) + offset), pa.array(blobs, pa.binary())], ["grp", "bucket", "blob"])
 
 
 def answer_tuples(tuples: DataFrame, length: int) -> DataFrame:
@@ -203,28 +203,25 @@ def answer_tuples(tuples: DataFrame, length: int) -> DataFrame:
 
 def tuple_hits(back: pa.Table, runs: Runs, pick: np.ndarray, buckets: int, offset: int) -> np.ndarray:
     """The answers to the picked runs, one for each of their starts."""
-    span = (runs.hi - runs.lo)[pick] + 1
-    out = np.zeros(int(span.sum()), bool)
-    ends = np.concatenate(([0], np.cumsum(span)))[np.searchsorted(pk.bucket_of(runs.core[pick], buckets), np.arange(buckets + 1))]
-    for k, v in zip(back.column("bucket").to_pylist(), back.column("blob")):
-        if offset <= k < offset + buckets:
-            x, y = ends[k - offset], ends[k - offset + 1]
-            out[x:y] = np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=int(y - x))
+    ends = np.concatenate(([0], np.cumsum((runs.hi - runs.lo)[pick] + 1)))
+    out = np.zeros(int(ends[-1]), bool)
+    for i, j, v in pk.shares(back, runs.core[pick], buckets, offset):
+        x, y = ends[i], ends[j]
+        out[x:y] = np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=int(y - x))
     return out
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 20, hot_groups: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, starts and ends of the removed byte runs, kept (the bytes left)."""
-    bounds, total = pk.group_bounds(docs, group_bytes)
-    packed = pk.pack(docs, bounds)
-    buckets = max(1, min(4096, total // (8 << 20)))
+    packed, size = pk.stored_groups(docs, group_bytes)
+    buckets = max(1, size.bytes // (8 << 20))
 
-    def names(grp, table):
-        _, text, _ = pk.unpack(table)
+    def names(grp, blob):
+        _, text, _ = pk.unpack(blob)
         runs = Runs(*flatten(text, ""), length)
         a, b, _ = pk.distinct_sorted(runs.cover, runs.cover2.astype(np.uint32))
         cores = pk.entry_rows(grp, pk.records(PAIR, *_cores(runs)), buckets, buckets)
-        return pa.Table.from_batches([pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets), cores])
+        yield from (pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets), cores)
 
     named = stored(pk.by_group(packed, names, pk.ENTRIES), "names")
     covers = pk.answer_entries(named.where(F.col("bucket") < buckets), pk.ENTRY, pk.in_other_group)
@@ -247,20 +244,20 @@ def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 2
         cold = pick[~hot[pick]]
         return data, offs, runs, twice, cold[np.argsort(runs.core[cold], kind="stable")], pick[hot[pick]]
 
-    def strings(grp, table, back):
-        _, text, _ = pk.unpack(table)
+    def strings(grp, blob, back):
+        _, text, _ = pk.unpack(blob)
         data, offs, runs, _, cold, hot = decide(text, back)
         _, a, b = runs.strings(hot)
         a, b, _ = pk.distinct_sorted(a, b)
         ends = offs[np.searchsorted(offs, runs.x[cold], "right")]
-        return pa.Table.from_batches([pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets, 2 * buckets), tuple_rows(grp, data, ends, runs, cold, buckets, 4 * buckets)])
+        yield from (pk.entry_rows(grp, pk.records(pk.ENTRY, a, b), buckets, 2 * buckets), tuple_rows(grp, data, ends, runs, cold, buckets, 4 * buckets))
 
     sent = stored(pk.by_group_with(packed, first, strings, pk.ENTRIES), "tuples")
     named_back = pk.answer_entries(sent.where(F.col("bucket") < 4 * buckets), pk.ENTRY, pk.in_other_group)
     second = stored(named_back.unionByName(answer_tuples(sent.where(F.col("bucket") >= 4 * buckets), length)), "strings")
 
-    def settle(grp, table, back):
-        ids, text, null = pk.unpack(table)
+    def settle(grp, blob, back):
+        ids, text, null = pk.unpack(blob)
         data, offs, runs, twice, cold, hot = decide(text, back)
         s, a, b = runs.strings(hot)
         ua, ub, n = pk.distinct_sorted(a, b)
@@ -288,7 +285,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 2
         koffs = offs - total
         lists = lambda v: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((v - base).astype(np.int64)))
         kept_col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(koffs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kept))])
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [pa.array(ids, mask=null), pa.array(np.diff(offs)), pa.array(removed.astype(np.int64)), pa.array(np.diff(at).astype(np.int64)), lists(begins), lists(ends), kept_col.cast(pa.binary())],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept"],
         )

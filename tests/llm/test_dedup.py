@@ -17,7 +17,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 @pytest.fixture(scope="module")
 def docs(spark, words):
     base, passage = words(1, 300), words(2, 120)
-    rows = [(1, base), (2, base), (3, words(3, 50) + " " + passage), (4, passage + "\n" + words(4, 40)), (5, words(5, 200)), (6, None), (7, ""), (8, "éö ß " * 200), (9, "a" * 5000), (10, words(2, 80) + " x " + words(2, 80))]
+    rows = [(1, base), (2, base), (3, words(3, 50) + " " + passage), (4, passage + "\n" + words(4, 40)), (5, words(5, 200)), (6, None), (7, ""), (8, "éö ß " * 200), (9, "a" * 5000), (11, words(8, 9000)), (12, "x " + words(8, 9000)), (10, words(2, 80) + " x " + words(2, 80))]
     rows += [(20 + i, words(2, 30) + f" tail{i} " + words(30 + i, 20)) for i in range(40)] + [(None, base), (5, words(5, 200)), (99, words(9, 12)), (100, words(9, 13)), (101, words(9, 13))]
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows
 
@@ -31,7 +31,23 @@ def test_gap_code():
 
 @pytest.mark.parametrize("max_bits, group_bytes", [(28, 1 << 20), (4, 700)])
 def test_substrings(docs, max_bits, group_bytes):
-    df, rows = docs
+    check_substrings(*docs, max_bits=max_bits, group_bytes=group_bytes)
+
+
+def same_ids(rows, kind):
+    """The rows with one doc_id for all, two far apart, or none."""
+    return [({"one": 7, "far": (-(1 << 61), 1 << 61)[i % 2], "none": None}[kind], t) for i, (_, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("kind", ["one", "far", "none"])
+def test_repeated_ids(spark, docs, kind):
+    rows = same_ids(docs[1], kind)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_substrings(df, rows, group_bytes=900)
+    check_suffixes(df, rows, group_bytes=900, hot_groups=2)
+
+
+def check_substrings(df, rows, **options):
     big = 1 << 62
     split = [(big if d is None else d, WORD.findall(t or "")) for d, t in rows]
     first = {}
@@ -46,13 +62,16 @@ def test_substrings(docs, max_bits, group_bytes):
             if first[tuple(w[j : j + 13])] < d:
                 gone[j : j + 13] = [True] * 13
         want[real, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)] += 1
-    got = Counter(tuple(r) for r in dedup_substrings(df, max_bits=max_bits, group_bytes=group_bytes).collect())
+    got = Counter(tuple(r) for r in dedup_substrings(df, **options).collect())
     assert got == want
 
 
 @pytest.mark.parametrize("group_bytes, hot_groups", [(1 << 20, 64), (900, 64), (900, 0), (900, 2)])
 def test_suffixes(docs, group_bytes, hot_groups):
-    df, rows = docs
+    check_suffixes(*docs, group_bytes=group_bytes, hot_groups=hot_groups)
+
+
+def check_suffixes(df, rows, **options):
     raw = [(d, (t or "").encode()) for d, t in rows]
     count = Counter(b[i : i + 400] for _, b in raw for i in range(len(b) - 399))
     want = Counter()
@@ -63,7 +82,7 @@ def test_suffixes(docs, group_bytes, hot_groups):
                 gone[i : i + 400] = b"\1" * 400
         runs = re.findall(b"\1+", bytes(gone))
         want[d, len(b), sum(gone), len(runs), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
-    out = repeated_bytes(df, group_bytes=group_bytes, hot_groups=hot_groups)
+    out = repeated_bytes(df, **options)
     got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert Counter(map(tuple, got)) == want
     assert all(len(r.starts) == r.n_spans and sum(r.ends) - sum(r.starts) == r.n_removed for r in out.collect())
