@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import path_score
+from strataweave.sources.scratch import stored
 
 
 def neighbours(edges: DataFrame, direction: str) -> DataFrame:
@@ -19,11 +20,11 @@ def neighbours(edges: DataFrame, direction: str) -> DataFrame:
 
 def reach(spark: SparkSession, edges: DataFrame, target: str, direction: str, max_depth: int) -> DataFrame:
     """id and least depth of every node within max_depth of target, target included: one join a level, joined visited nodes left out."""
-    pairs = neighbours(edges, direction).persist()
+    pairs = stored(neighbours(edges, direction), "pairs")
     seen = level = spark.createDataFrame([(target, 0)], "id string, depth int")
     for depth in range(1, max_depth + 1):
         step = level.select(F.col("id").alias("src")).join(pairs, "src").select(F.col("dst").alias("id")).distinct()
-        level = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).persist()  # else each level repeats all before it
+        level = stored(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "level")  # else each level repeats all before it
         seen = seen.unionByName(level)
     return seen
 
@@ -39,26 +40,31 @@ def impact_edges(edges: DataFrame, nodes: DataFrame, direction: str, max_depth:
 def simple_paths(edges: DataFrame, source: str, target: str, max_hops: int, top_k: int) -> DataFrame:
     """The best paths without repeated nodes of 1 to max_hops edges: hops, path, avg confidence, least weight, score.
 
-    Parallel edges of a pair count as one: the first by relation type. Walks stop at the target. Paths fan out
-    by at most max_hops joins; nodes that cannot reach the target in the hops left are cut first.
+    Parallel edges of a pair count as one: the first by relation type. Walks stop at the target. Nodes that cannot
+    reach the target in the hops left are cut, and so is a walk that even the most confident edges would
+    not lift to the score of the top_k-th path found so far; both lose none of the best. Ties: fewer hops, then the path's text.
     """
     pair = edges.groupBy("subject_id", "object_id").agg(F.min_by(F.struct("edge_weight", "confidence"), "relation_type").alias("e"))
-    step = pair.select(F.col("subject_id").alias("at"), F.col("object_id").alias("next"), F.col("e.edge_weight").alias("w"), F.coalesce("e.confidence", F.lit(0.0)).alias("c")).persist()
+    step = stored(pair.select(F.col("subject_id").alias("at"), F.col("object_id").alias("next"), F.col("e.edge_weight").alias("w"), F.coalesce("e.confidence", F.lit(0.0)).alias("c")), "steps")
+    most = step.agg(F.max("c")).first()[0] or 0.0
     left = [step.where(F.col("next") == target).select("at").distinct()]
     for _ in range(max_hops - 2):
-        left.append(left[-1].union(step.join(left[-1].withColumnRenamed("at", "next"), "next", "left_semi").select("at")).distinct().persist())
+        left.append(stored(left[-1].union(step.join(left[-1].withColumnRenamed("at", "next"), "next", "left_semi").select("at")).distinct(), "near"))
+    score = lambda h: path_score(F.col("sum_c") / h, F.col("least_w"), F.lit(h))
     live = step.where(F.col("at") == source).select(F.array("at", "next").alias("path"), F.col("next").alias("at"), F.col("c").alias("sum_c"), F.col("w").alias("least_w"))
-    done = []
+    best = None
     for hops in range(1, max_hops + 1):
-        done.append(live.where(F.col("at") == target).withColumn("hops", F.lit(hops)))
+        done = live.where(F.col("at") == target).select(F.lit(hops).alias("hops"), F.concat_ws(">", "path").alias("path"), (F.col("sum_c") / hops).alias("avg_confidence"), "least_w", score(hops).alias("score"))
+        best = done if best is None else best.unionByName(done)
+        best = stored(best.orderBy(F.desc(F.round("score", 9)), "hops", "path").limit(top_k), "paths")
         if hops == max_hops:
-            break
-        live = live.where(F.col("at") != target).join(left[max_hops - hops - 1], "at", "left_semi")
+            return best.orderBy(F.desc(F.round("score", 9)), "hops", "path")
+        bar = best.agg(F.when(F.count(F.lit(1)) >= top_k, F.min("score")).otherwise(-1.0)).first()[0] - 1e-8  # one number: the score to beat
+        ahead = F.greatest(*[path_score((F.col("sum_c") + more * F.lit(most)) / (hops + more), F.col("least_w"), F.lit(hops + more)) for more in range(1, max_hops - hops + 1)], F.lit(-2.0))
+        live = live.where(F.col("at") != target).where(ahead >= bar).join(left[max_hops - hops - 1], "at", "left_semi")
         live = live.join(step, "at").where(~F.array_contains("path", F.col("next")))
-        live = live.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"), (F.col("sum_c") + F.col("c")).alias("sum_c"), F.least("least_w", "w").alias("least_w")).persist()
-    found = reduce(DataFrame.unionByName, done).withColumn("avg_confidence", F.col("sum_c") / F.col("hops"))
-    found = found.select("hops", F.concat_ws(">", "path").alias("path"), "avg_confidence", "least_w", path_score(F.col("avg_confidence"), F.col("least_w"), F.col("hops")).alias("score"))
-    return found.orderBy(F.desc(F.round("score", 9)), "hops", "path").limit(top_k)
+        live = live.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"), (F.col("sum_c") + F.col("c")).alias("sum_c"), F.least("least_w", "w").alias("least_w"))
+        live = stored(live, "walks")
 
 
 def usage(rollup: DataFrame, relations: DataFrame, object_id: str) -> DataFrame:

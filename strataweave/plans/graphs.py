@@ -8,6 +8,7 @@ from strataweave.functions.scalars import cursor, r6
 from strataweave.operators import graph, rollup
 from strataweave.plans.rollups import s2s_of
 from strataweave.sources.graph_tables import GraphTables, with_tables
+from strataweave.sources.scratch import stored
 
 ROOT = "S0"
 
@@ -24,7 +25,7 @@ def _impact(direction: str, depth: int = 2):
 
 
 def impact_edges(spark, sf_dir):
-    edges = s2s_of(GraphTables(spark, sf_dir))
+    edges = stored(s2s_of(GraphTables(spark, sf_dir)), "edges")
     nodes = graph.reach(spark, edges, ROOT, "DOWNSTREAM", 2)
     return graph.impact_edges(edges, nodes, "DOWNSTREAM", 2).select("relation_type", "subject_id", "object_id", "edge_weight")
 

@@ -214,7 +214,7 @@ ENTRIES = {
     "route_match": (route_match, f"""WITH {URLS}, i AS (SELECT page_id, path, regexp_extract(path, '^/([a-z]+)/', 1) AS l FROM u), x AS (SELECT l, min(path) AS p FROM i WHERE regexp_full_match(path, '/[a-z]+/[0-9]+') GROUP BY 1)
         SELECT page_id AS intent_id, CASE WHEN path = p THEN 'x-' ELSE 'p-' END || i.l AS rule_id, CASE WHEN path = p THEN 202 ELSE 2 END::BIGINT AS spec, '/internal' || rtrim(substr(path, len(i.l) + 2), '/') AS internal_path FROM i LEFT JOIN x ON i.l = x.l WHERE i.l <> ''"""),
     "proof_db": (proof_db, """SELECT p_partkey AS intent_id, CASE WHEN n IS NULL THEN 'DB_TABLE_UNRESOLVED' WHEN n > 1 THEN 'TABLE_MATCH_AMBIGUOUS' ELSE 'CLOSED_ATOMIC' END AS status, CASE WHEN n = 1 THEN t END AS target_id
-        FROM part LEFT JOIN (SELECT p_name AS k, count(*) AS n, min('T' || p_partkey) AS t FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 = 0) GROUP BY 1) ON k = p_name"""),
+        FROM part LEFT JOIN (SELECT p_name AS k, count(*) AS n, min('T' || p_partkey) AS t FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1) ON k = p_name"""),
     "proof_message": (proof_message, """WITH t AS (SELECT DISTINCT 'TP' || event_type || ':' || hour(ts) AS t FROM events) SELECT event_id AS intent_id, CASE WHEN t IS NULL THEN 'MESSAGE_TARGET_UNRESOLVED' ELSE 'CLOSED_ATOMIC' END AS status, t AS target_id FROM events LEFT JOIN t ON t = 'TP' || event_type || ':' || (hour(ts) + event_id % 3)"""),
     "proof_confidence": (proof_confidence, with_tables("""SELECT l_orderkey, rn, round(least(greatest(((1 - l_discount) * 0.45::DOUBLE + l_tax * 10 * 0.25::DOUBLE + least(0.2::DOUBLE, 0.05::DOUBLE * l_linenumber) + CASE WHEN l_returnflag = 'R' THEN 0.2::DOUBLE ELSE 0.12::DOUBLE END - CASE WHEN l_quantity < 5 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) * CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END, 0), 1), 6) AS confidence FROM chain""")),
     "impacted_intents": (impacted_intents, "SELECT DISTINCT l_orderkey AS intent_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"),

@@ -36,8 +36,7 @@ def feedback_stats(spark, sf_dir):
 
 def feedback_apply(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    s50 = g.steps(50)
-    rows = s50.select(F.concat(F.lit("C"), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("rn").cast("string")).alias("id"), F.concat_ws(":", F.lit("call"), "l_linestatus", "l_returnflag").alias("k1"), F.concat_ws(":", F.lit("call"), "l_linestatus").alias("k2"), (1 - F.col("l_discount")).alias("confidence"))
+    rows = g.steps(waiting=True).select(F.concat(F.lit("C"), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("rn").cast("string")).alias("id"), F.concat_ws(":", F.lit("call"), "l_linestatus", "l_returnflag").alias("k1"), F.concat_ws(":", F.lit("call"), "l_linestatus").alias("k2"), (1 - F.col("l_discount")).alias("confidence"))
     return confidence.apply_feedback(rows, feedback_stats(spark, sf_dir), "k1", "k2").select("id", r6(F.col("confidence")).alias("confidence"), "fed_confidence")
 
 
@@ -56,12 +55,12 @@ def approve_candidates(spark, sf_dir):
 
 
 def candidate_upsert(spark, sf_dir):
-    """Candidates of one residue updated by those of another."""
+    """Candidates of open lines updated by those of closed ones."""
     g = GraphTables(spark, sf_dir)
     key = ["id", "relation_type", "subject_id", "object_id", "confidence"]
-    new = g.steps(60).select(F.concat(F.lit("C"), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("rn").cast("string")).alias("id"), F.lit("call").alias("relation_type"), F.concat(F.lit("S"), F.col("a_supp").cast("string")).alias("subject_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("object_id"), (1 - F.col("l_discount")).alias("confidence"))
+    old, new = g.candidates().where("language = 'O'").select(*key), g.candidates().where("language <> 'O'").select(*key)
     done = g.relations().where("relation_type = 'depend_on'").withColumn("relation_type", F.lit("call"))
-    out = review.upsert_candidates(g.candidates().select(*key), new, done)
+    out = review.upsert_candidates(old, new, done)
     return out.withColumn("confidence", r6(F.col("confidence")))
 
 
@@ -140,7 +139,7 @@ def sharing_model(spark, sf_dir):
 def stale_config(spark, sf_dir):
     """Configured accesses to databases without an access in code by the same service to one of their tables."""
     g = GraphTables(spark, sf_dir)
-    c = g.chain(50).where("l_returnflag in ('R', 'A')").join(g.source("part"), F.col("l_partkey") == F.col("p_partkey"))
+    c = g.chain(waiting=True).where("l_returnflag in ('R', 'A')").join(g.source("part"), F.col("l_partkey") == F.col("p_partkey"))
     c = c.select(F.concat_ws(":", "l_orderkey", "rn").alias("id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject_id"), F.concat(F.lit("DB"), F.col("p_brand")).alias("object_id"), (1 - F.col("l_tax")).alias("confidence"))
     tables = g.objects().where("object_type = 'db_table'").select(F.col("id").alias("object_id"), "parent_id")
     support = g.relations().where("relation_type in ('read', 'write')").join(tables, "object_id").select("subject_id", F.col("parent_id").alias("object_id"))
@@ -176,7 +175,7 @@ ENTRIES = {
     "cross_validation": (cross_validation, with_tables("SELECT * FROM valid", CAND, VALID)),
     "validation_counts": (validation_counts, with_tables("SELECT sources, contradiction, count(*) AS candidates, count(*) FILTER (WHERE validated) AS validated, round(avg(adjusted - confidence), 6) AS mean_change FROM valid GROUP BY ALL", CAND, VALID)),
     "stale_config": (stale_config, with_tables("""SELECT l_orderkey || ':' || rn AS id, 'S' || l_suppkey AS subject_id, 'DB' || p_brand AS object_id, CASE WHEN k THEN '' ELSE 'STALE_CONFIG' END AS contradiction, round(CASE WHEN k THEN 1 - l_tax ELSE least(greatest(1 - l_tax - 0.15, 0.1), 0.99) END, 6) AS adjusted FROM (
-        SELECT *, EXISTS (SELECT 1 FROM relations r JOIN objects o ON o.id = r.object_id WHERE r.relation_type IN ('read', 'write') AND r.subject_id = 'S' || l_suppkey AND o.parent_id = 'DB' || p_brand) AS k FROM chain50 JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A'))""")),
+        SELECT *, EXISTS (SELECT 1 FROM relations r JOIN objects o ON o.id = r.object_id WHERE r.relation_type IN ('read', 'write') AND r.subject_id = 'S' || l_suppkey AND o.parent_id = 'DB' || p_brand) AS k FROM waiting JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A'))""")),
     "dead_topics": (dead_topics, with_tables("""SELECT id, CASE WHEN k THEN '' ELSE 'DEAD_TOPIC' END AS contradiction, round(CASE WHEN k THEN confidence ELSE least(greatest(confidence - 0.15, 0.1), 0.99) END, 6)::DOUBLE AS adjusted FROM (
         SELECT *, bool_or(n % 7 <> 0) OVER (PARTITION BY relation_type, subject_id, object_id) AS k FROM (SELECT *, substr(id, 2)::BIGINT AS n FROM relations WHERE relation_type IN ('produce', 'consume'))) WHERE n % 7 = 0""")),
     "orphan_keys": (orphan_keys, with_tables("""SELECT p_partkey, ref, CASE WHEN k THEN '' ELSE 'ORPHAN_FK' END AS contradiction, CASE WHEN k THEN 0.5 ELSE 0.35 END::DOUBLE AS adjusted FROM (
@@ -184,14 +183,12 @@ ENTRIES = {
     "feedback_stats": (feedback_stats, with_tables("SELECT feedback_key, approved, rejected, total, rate, adjustment FROM fb", FEEDBACK)),
     "feedback_apply": (feedback_apply, with_tables("""SELECT 'C' || l_orderkey || ':' || rn AS id, round(1 - l_discount, 6) AS confidence,
         floor(least(greatest(1 - l_discount + CASE WHEN a.total >= 10 THEN a.adjustment WHEN b.total >= 10 THEN b.adjustment ELSE coalesce(a.adjustment, b.adjustment, 0) END, 0.1), 0.99) * 10000 + 0.5) / 10000 AS fed_confidence
-        FROM steps50 LEFT JOIN fb a ON a.feedback_key = 'call:' || l_linestatus || ':' || l_returnflag LEFT JOIN fb b ON b.feedback_key = 'call:' || l_linestatus""", FEEDBACK)),
+        FROM waiting_steps LEFT JOIN fb a ON a.feedback_key = 'call:' || l_linestatus || ':' || l_returnflag LEFT JOIN fb b ON b.feedback_key = 'call:' || l_linestatus""", FEEDBACK)),
     "approve_candidates": (approve_candidates, with_tables("""SELECT relation_type, subject_id, object_id, min(id) AS id, round(arg_min(confidence, id), 6) AS confidence FROM candidates c WHERE confidence >= 0.95
         AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.relation_type = c.relation_type AND r.subject_id = c.subject_id AND r.object_id = c.object_id) GROUP BY ALL""")),
     "candidate_upsert": (candidate_upsert, with_tables("""SELECT relation_type, subject_id, object_id, arg_min(id, (-confidence, age, id)) AS id, round(max(confidence), 6) AS confidence, arg_min(age, (-confidence, age, id)) = 1 AS is_new FROM (
-        SELECT id, relation_type, subject_id, object_id, confidence, 0 AS age FROM candidates UNION ALL
-        SELECT 'C' || l_orderkey || ':' || rn, 'call', 'S' || a_supp, 'S' || l_suppkey, 1 - l_discount, 1 FROM steps60 WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.relation_type = 'depend_on' AND r.subject_id = 'S' || a_supp AND r.object_id = 'S' || l_suppkey)) GROUP BY ALL""",
-        "c60 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount) AS rn FROM lineitem WHERE l_orderkey % 100 = 60)",
-        "steps60 AS (SELECT b.*, a.l_suppkey AS a_supp FROM c60 a JOIN c60 b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 1)")),
+        SELECT id, relation_type, subject_id, object_id, confidence, 0 AS age FROM candidates WHERE l_linestatus = 'O' UNION ALL
+        SELECT id, relation_type, subject_id, object_id, confidence, 1 FROM candidates c WHERE l_linestatus <> 'O' AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.relation_type = 'depend_on' AND r.subject_id = c.subject_id AND r.object_id = c.object_id)) GROUP BY ALL""")),
     "promote_evidence": (promote_evidence, with_tables("SELECT DISTINCT relation_id, evidence_type FROM evidences e WHERE evidence_type <> 'CONFIG' AND EXISTS (SELECT 1 FROM relations r WHERE r.id = relation_id AND status = 'APPROVED')")),
     "merge_tables": (merge_tables, with_tables("""SELECT relation_type, subject_id, s AS object_id, round(max(confidence), 6) AS confidence, count(*) AS merged FROM relations r JOIN (
         SELECT 'T' || p_partkey AS id, 'T' || min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS s FROM part) p ON r.object_id = p.id WHERE relation_type IN ('read', 'write') GROUP BY ALL""")),

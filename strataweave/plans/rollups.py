@@ -68,8 +68,8 @@ def rollup_provenance(spark, sf_dir):
 
 
 def _events(g: GraphTables):
-    """Change events from the order lines of another residue: deleted where returned, else created."""
-    s = g.steps(10).where("l_linenumber <= 2")
+    """Change events from lines that wait, early ones of an order: deleted where returned, else created."""
+    s = g.steps(waiting=True).where("l_linenumber <= 2")
     return s.select(
         (F.col("l_orderkey") * 100 + F.col("rn")).alias("event_id"), F.when(F.col("l_returnflag") == "R", "RELATION_DELETED").otherwise("RELATION_CREATED").alias("kind"), F.lit("call").alias("relation_type"),
         F.concat(F.lit("S"), F.col("a_supp").cast("string")).alias("subject_id"), F.concat(F.lit("E"), F.col("l_suppkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("object_id"), (1 - F.col("l_discount")).alias("confidence"),
@@ -96,9 +96,8 @@ def affected_scope(spark, sf_dir):
     return rollup.affected_services(_events(g), g.relations(), called(g))
 
 
-EVENTS = """chain10 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount) AS rn FROM lineitem WHERE l_orderkey % 100 = 10),
-ev AS (SELECT b.l_orderkey * 100 + b.rn AS event_id, CASE WHEN b.l_returnflag = 'R' THEN 'D' ELSE 'C' END AS kind, 'S' || a.l_suppkey AS subject_id, 'E' || b.l_suppkey || ':' || b.l_linenumber AS object_id, 1 - b.l_discount AS confidence
-  FROM chain10 a JOIN chain10 b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 1 WHERE b.l_linenumber <= 2),
+EVENTS = """ev AS (SELECT l_orderkey * 100 + rn AS event_id, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'C' END AS kind, 'S' || a_supp AS subject_id, 'E' || l_suppkey || ':' || l_linenumber AS object_id, 1 - l_discount AS confidence
+  FROM waiting_steps WHERE l_linenumber <= 2),
 last AS (SELECT subject_id, object_id, arg_max(kind, event_id) AS kind, arg_max(confidence, event_id) AS confidence FROM ev GROUP BY ALL),
 after AS (SELECT relation_type, subject_id, object_id, confidence FROM relations r WHERE status = 'APPROVED' AND relation_type IN ('call', 'depend_on')
     AND NOT (relation_type = 'call' AND EXISTS (SELECT 1 FROM last l WHERE l.subject_id = r.subject_id AND l.object_id = r.object_id))

@@ -23,29 +23,36 @@ def _id(prefix: str, *cols: str):
     return F.concat(*parts)
 
 
+#: Lines that wait for review: their calls are candidates and change events, not relations.
+WAITING = "l_quantity >= 48"
+
+
 class GraphTables:
-    """Derived tables over one data folder. ``modulus`` and ``rest`` pick the orders that make up the call chains."""
+    """Derived tables over one data folder, each from whole tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, modulus: int = 100):
-        self.spark, self.sf_dir, self.modulus = spark, sf_dir, modulus
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
     def source(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
-    def chain(self, rest: int = 0) -> DataFrame:
-        lines = self.source("lineitem").where(F.col("l_orderkey") % self.modulus == rest)
-        return lines.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
-
-    def steps(self, rest: int = 0) -> DataFrame:
-        """Consecutive lines of an order, by one window: the columns of the later line and the earlier one's supplier and flag."""
-        lines = self.source("lineitem").where(F.col("l_orderkey") % self.modulus == rest)
+    def lines(self) -> DataFrame:
+        """All order lines with their place in the order and the supplier and flag of the line before, by one window."""
         w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-        out = lines.withColumn("rn", F.row_number().over(w)).withColumn("a_supp", F.lag("l_suppkey").over(w)).withColumn("a_flag", F.lag("l_returnflag").over(w))
-        return out.where("rn > 1")
+        out = self.source("lineitem").withColumn("rn", F.row_number().over(w))
+        return out.withColumn("a_supp", F.lag("l_suppkey").over(w)).withColumn("a_flag", F.lag("l_returnflag").over(w))
+
+    def chain(self, waiting: bool = False) -> DataFrame:
+        """Lines that make relations, or those that wait."""
+        return self.lines().where(WAITING if waiting else f"not ({WAITING})")
+
+    def steps(self, waiting: bool = False) -> DataFrame:
+        """The same lines, but the first of each order: each follows another line."""
+        return self.chain(waiting).where("rn > 1")
 
     def objects(self) -> DataFrame:
         """id, object_type, granularity, name, display_name, parent_id, path."""
-        chain = self.chain()
+        lines = self.source("lineitem")
         none = F.lit(None).cast("string")
 
         def rows(df, kind, grain, id_, name, parent=none, display=None):
@@ -53,13 +60,13 @@ class GraphTables:
             out = df.select(id_.alias("id"), F.lit(kind).alias("object_type"), F.lit(grain).alias("granularity"), name.alias("name"), (display if display is not None else name).alias("display_name"), parent.alias("p"))
             return out.withColumn("path", path).withColumnRenamed("p", "parent_id").distinct()
 
-        parts = self.source("part").join(chain.select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey", "left_semi")
+        parts = self.source("part").join(lines.select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey", "left_semi")
         events = self.source("events").withColumn("h", F.hour("ts"))
         region, supplier = self.source("region"), self.source("supplier")
         out = rows(region, "domain", "COMPOUND", _id("D", "r_regionkey"), F.col("r_name"))
         for df in (
             rows(supplier, "service", "COMPOUND", _id("S", "s_suppkey"), F.col("s_name")),
-            rows(chain, "api_endpoint", "ATOMIC", _id("E", "l_suppkey", "l_linenumber"), _id("E", "l_suppkey", "l_linenumber"), _id("S", "l_suppkey")),
+            rows(lines, "api_endpoint", "ATOMIC", _id("E", "l_suppkey", "l_linenumber"), _id("E", "l_suppkey", "l_linenumber"), _id("S", "l_suppkey")),
             rows(parts, "database", "COMPOUND", _id("DB", "p_brand"), F.col("p_brand")),
             rows(parts, "db_table", "ATOMIC", _id("T", "p_partkey"), F.col("p_name"), _id("DB", "p_brand")),
             rows(events, "message_broker", "COMPOUND", _id("BR", "event_type"), F.col("event_type")),
@@ -68,30 +75,23 @@ class GraphTables:
             out = out.unionByName(df)
         return out
 
-    def calls(self, rest: int = 0) -> DataFrame:
-        s = self.steps(rest)
-        return s.select(
-            _id("C", "l_orderkey", "rn").alias("id"), F.lit("call").alias("relation_type"), _id("S", "a_supp").alias("subject_id"), _id("E", "l_suppkey", "l_linenumber").alias("object_id"),
-            (1 - F.col("l_discount")).alias("confidence"), F.when(F.col("l_quantity") <= 2, "REJECTED").otherwise("APPROVED").alias("status"),
-        )
-
     def relations(self) -> DataFrame:
-        """id, relation_type, subject_id, object_id, confidence, status."""
+        """id, relation_type, subject_id, object_id, confidence, status. A line makes up to three relations, in one pass over the lines."""
         approved = F.lit("APPROVED").alias("status")
-        depends = self.steps().where("a_flag = 'R'").select(
-            _id("D", "l_orderkey", "rn").alias("id"), F.lit("depend_on").alias("relation_type"), _id("S", "a_supp").alias("subject_id"), _id("S", "l_suppkey").alias("object_id"),
-            (1 - F.col("l_discount")).alias("confidence"), approved,
-        )
-        access = self.chain().where("l_returnflag in ('R', 'A')").select(
-            _id("A", "l_orderkey", "rn").alias("id"), F.when(F.col("l_returnflag") == "R", "read").otherwise("write").alias("relation_type"),
-            _id("S", "l_suppkey").alias("subject_id"), _id("T", "l_partkey").alias("object_id"), (1 - F.col("l_tax")).alias("confidence"), approved,
-        )
+        sure = lambda c: (1 - F.col(c)).alias("confidence")
+        made = lambda prefix, kind, subject, target, c, status=approved: F.struct(_id(prefix, "l_orderkey", "rn").alias("id"), kind.alias("relation_type"), subject.alias("subject_id"), target.alias("object_id"), sure(c), status)
+        step = F.col("rn") > 1
+        call = made("C", F.lit("call"), _id("S", "a_supp"), _id("E", "l_suppkey", "l_linenumber"), "l_discount", F.when(F.col("l_quantity") <= 2, "REJECTED").otherwise("APPROVED").alias("status"))
+        depend = made("D", F.lit("depend_on"), _id("S", "a_supp"), _id("S", "l_suppkey"), "l_discount")
+        access = made("A", F.when(F.col("l_returnflag") == "R", "read").otherwise("write"), _id("S", "l_suppkey"), _id("T", "l_partkey"), "l_tax")
+        kinds = F.array(F.when(step, call), F.when(step & (F.col("a_flag") == "R"), depend), F.when(F.col("l_returnflag").isin("R", "A"), access))
+        traced = self.chain().select(F.explode(F.array_compact(kinds)).alias("r")).select("r.*")
         events = self.source("events").withColumn("h", F.hour("ts")).join(self.source("supplier").select(F.col("s_suppkey").alias("user_id")), "user_id", "left_semi")
         messages = events.select(
             _id("M", "event_id").alias("id"), F.when(F.col("event_type").isin("purchase", "signup"), "produce").otherwise("consume").alias("relation_type"),
             _id("S", "user_id").alias("subject_id"), _id("TP", "event_type", "h").alias("object_id"), (F.lit(0.5) + (F.col("event_id") % 5) / 10).alias("confidence"), approved,
         )
-        return self.calls().unionByName(depends).unionByName(access).unionByName(messages)
+        return traced.unionByName(messages)
 
     def affinities(self) -> DataFrame:
         """object_id, domain_id, affinity: a service belongs to its region and, less, to the next two."""
@@ -110,8 +110,8 @@ class GraphTables:
         return out.select(F.concat_ws("-", F.lit("EV"), "relation_id", "evidence_type").alias("id"), "relation_id", "evidence_type")
 
     def candidates(self) -> DataFrame:
-        """Calls of other orders that wait for review; evidence_types as an array."""
-        s = self.steps(self.modulus // 2)
+        """Calls that wait for review; evidence_types as an array."""
+        s = self.steps(waiting=True)
         kinds = F.array_compact(F.array(F.when(F.col("l_linestatus") == "O", "FILE").otherwise("CONFIG"), F.when(F.col("l_returnflag") == "N", "SCHEMA")))
         return s.select(
             _id("C", "l_orderkey", "rn").alias("id"), F.lit("call").alias("relation_type"), _id("S", "a_supp").alias("subject_id"), _id("S", "l_suppkey").alias("object_id"),
@@ -121,15 +121,17 @@ class GraphTables:
 
 #: The same tables for DuckDB, as common table expressions.
 SQL = """
-chain AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount) AS rn FROM lineitem WHERE l_orderkey % 100 = 0),
-steps AS (SELECT b.*, a.l_suppkey AS a_supp, a.l_returnflag AS a_flag FROM chain a JOIN chain b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 1),
-chain50 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount) AS rn FROM lineitem WHERE l_orderkey % 100 = 50),
-steps50 AS (SELECT b.*, a.l_suppkey AS a_supp FROM chain50 a JOIN chain50 b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 1),
-parts AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM chain)),
+lines AS (SELECT *, row_number() OVER w AS rn, lag(l_suppkey) OVER w AS a_supp, lag(l_returnflag) OVER w AS a_flag FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount)),
+chain AS (SELECT * FROM lines WHERE l_quantity < 48),
+steps AS (SELECT * FROM chain WHERE rn > 1),
+waiting AS (SELECT * FROM lines WHERE l_quantity >= 48),
+waiting_steps AS (SELECT * FROM waiting WHERE rn > 1),
+parts AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
 objects AS (
   SELECT 'D' || r_regionkey AS id, 'domain' AS object_type, 'COMPOUND' AS granularity, r_name AS name, NULL AS parent_id, '/D' || r_regionkey AS path FROM region
   UNION SELECT 'S' || s_suppkey, 'service', 'COMPOUND', s_name, NULL, '/S' || s_suppkey FROM supplier
-  UNION SELECT 'E' || l_suppkey || ':' || l_linenumber, 'api_endpoint', 'ATOMIC', 'E' || l_suppkey || ':' || l_linenumber, 'S' || l_suppkey, '/S' || l_suppkey || '/E' || l_suppkey || ':' || l_linenumber FROM chain
+  UNION SELECT 'E' || l_suppkey || ':' || l_linenumber, 'api_endpoint', 'ATOMIC', 'E' || l_suppkey || ':' || l_linenumber, 'S' || l_suppkey, '/S' || l_suppkey || '/E' || l_suppkey || ':' || l_linenumber FROM lineitem
   UNION SELECT 'DB' || p_brand, 'database', 'COMPOUND', p_brand, NULL, '/DB' || p_brand FROM parts
   UNION SELECT 'T' || p_partkey, 'db_table', 'ATOMIC', p_name, 'DB' || p_brand, '/DB' || p_brand || '/T' || p_partkey FROM parts
   UNION SELECT 'BR' || event_type, 'message_broker', 'COMPOUND', event_type, NULL, '/BR' || event_type FROM events
@@ -149,7 +151,7 @@ evidences AS (
   (SELECT l_orderkey, rn, CASE WHEN l_linestatus = 'O' THEN 'FILE' ELSE 'CONFIG' END AS t FROM steps UNION ALL SELECT l_orderkey, rn, 'SCHEMA' FROM steps WHERE l_returnflag = 'N')),
 candidates AS (
   SELECT 'C' || l_orderkey || ':' || rn AS id, 'call' AS relation_type, 'S' || a_supp AS subject_id, 'S' || l_suppkey AS object_id, 1 - l_discount AS confidence,
-    l_linestatus, l_returnflag, l_tax AS tax FROM steps50),
+    l_linestatus, l_returnflag, l_tax AS tax FROM waiting_steps),
 s2s AS (
   SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, avg(confidence) AS confidence FROM (
     SELECT r.relation_type, r.subject_id, r.confidence, CASE WHEN r.relation_type = 'depend_on' OR o.granularity = 'COMPOUND' THEN r.object_id ELSE o.parent_id END AS target
