@@ -77,20 +77,43 @@ def provenance(lifted: DataFrame) -> DataFrame:
     return lifted.select(*EDGE, F.col("id").alias("base_relation_id")).distinct()
 
 
-def affected_services(events: DataFrame, relations: DataFrame, objects: DataFrame) -> DataFrame:
-    """Services whose call edges the change events touch: subjects of changed relations, services behind changed endpoints and their callers."""
-    direct = events.where(F.col("subject_id").isNotNull()).select(F.col("subject_id").alias("service_id"))
-    parents = events.join(objects.select(F.col("id").alias("object_id"), F.col("parent_id").alias("service_id")), "object_id").select("service_id")
-    moved = events.where("kind = 'OBJECT_PARENT_CHANGED'").select("object_id")
-    callers = relations.where("relation_type = 'call'").join(moved, "object_id", "left_semi").select(F.col("subject_id").alias("service_id"))
-    return direct.union(parents).union(callers).where("service_id is not null").distinct()
-
-
-def incremental(old: DataFrame, relations: DataFrame, objects: DataFrame, affected: DataFrame) -> DataFrame:
-    """Edges with an affected service at either end are rebuilt from base relations; the others are kept as they are."""
-    at = lambda c: affected.select(F.col("service_id").alias(c))
-    kept = old.join(at("subject_id"), "subject_id", "left_anti").join(at("object_id"), "object_id", "left_anti").select(*EDGE, "edge_weight", "confidence")
-    lifted = service_calls(relations, objects)
-    mark = affected.select(F.col("service_id"), F.lit(True).alias("hit"))
-    touched = lifted.join(mark.withColumnRenamed("service_id", "subject_id").withColumnRenamed("hit", "h1"), "subject_id", "left").join(mark.withColumnRenamed("service_id", "object_id").withColumnRenamed("hit", "h2"), "object_id", "left")
-    return kept.unionByName(edges(touched.where("h1 or h2").drop("h1", "h2")))
+#: The level of edges that each relation type makes.
+LEVELS = {"call": "SERVICE_TO_SERVICE", "expose": "SERVICE_TO_SERVICE", "depend_on": "SERVICE_TO_SERVICE", "read": "SERVICE_TO_DATABASE", "write": "SERVICE_TO_DATABASE", "produce": "SERVICE_TO_BROKER", "consume": "SERVICE_TO_BROKER"}
+
+
+def affected_scope(events: DataFrame, relations: DataFrame) -> DataFrame:
+    """(level, service_id) that change events touch: services whose outgoing edges of that level are to be built again.
+
+    events: kind, relation_type, subject_id, object_id. A created or deleted relation touches its subject; EXPOSE_CHANGED its subject
+    and the endpoint's callers; OBJECT_PARENT_CHANGED all that refer to the object; DOMAIN_AFFINITY_CHANGED the level of domains
+    (service_id null). Any change between services touches the level of domains too.
+    """
+    level = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
+    made = events.where("kind in ('RELATION_CREATED', 'RELATION_DELETED')").select(level[F.col("relation_type")].alias("level"), F.col("subject_id").alias("service_id"))
+    exposed = events.where("kind = 'EXPOSE_CHANGED'")
+    moved = events.where("kind = 'OBJECT_PARENT_CHANGED'")
+    users = relations.where("status = 'APPROVED'").join(moved.select("object_id").distinct(), "object_id", "left_semi")
+    callers = relations.where("status = 'APPROVED' and relation_type = 'call'").join(exposed.select("object_id").distinct(), "object_id", "left_semi")
+    found = made.unionByName(exposed.select(F.lit("SERVICE_TO_SERVICE").alias("level"), F.col("subject_id").alias("service_id")))
+    found = found.unionByName(users.unionByName(callers).select(level[F.col("relation_type")].alias("level"), F.col("subject_id").alias("service_id")))
+    found = found.where("level is not null and service_id is not null").distinct()
+    domains = found.where("level = 'SERVICE_TO_SERVICE'").select(F.lit(1)).limit(1).union(events.where("kind = 'DOMAIN_AFFINITY_CHANGED'").select(F.lit(1)).limit(1)).distinct()
+    return found.unionByName(domains.select(F.lit("DOMAIN_TO_DOMAIN").alias("level"), F.lit(None).cast("string").alias("service_id")))
+
+
+def services_at(scope: DataFrame, level: str) -> DataFrame:
+    """subject_id of the services that a scope names at a level."""
+    return scope.where(F.col("level") == level).select(F.col("service_id").alias("subject_id"))
+
+
+def incremental(old: DataFrame, relations: DataFrame, subjects: DataFrame, build) -> DataFrame:
+    """Edges of the subjects are built again from their own base relations alone; the others are kept. ``build(relations)`` makes edges."""
+    kept = old.join(subjects, "subject_id", "left_anti").select(*EDGE, "edge_weight", "confidence")
+    return kept.unionByName(build(relations.join(subjects, "subject_id", "left_semi")))
+
+
+def incremental_stats(stats: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """Degrees after edges were removed and added: only the ends of those edges change; objects without an edge go."""
+    signed = graph_stats(added).unionByName(graph_stats(removed).select("object_id", (-F.col("out_degree")).alias("out_degree"), (-F.col("in_degree")).alias("in_degree")))
+    sums = stats.unionByName(signed).groupBy("object_id").agg(F.sum("out_degree").alias("out_degree"), F.sum("in_degree").alias("in_degree"))
+    return sums.where("out_degree > 0 or in_degree > 0")

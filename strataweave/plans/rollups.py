@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strataweave.functions.scalars import r6
 from strataweave.operators import graph, rollup
 from strataweave.sources.graph_tables import GraphTables, with_tables
-from strataweave.sources.scratch import fresh_path
+from strataweave.sources.scratch import fresh_path, stored
 from strataweave.streaming import changes
 
 LIFT = """lifted AS (SELECT relation_type, subject_id, object_id, id, confidence FROM (
@@ -76,24 +76,58 @@ def _events(g: GraphTables):
     )
 
 
-def _after(g: GraphTables, events):
-    key = ["relation_type", "subject_id", "object_id"]
-    last = events.groupBy(*key).agg(F.max_by(F.struct("event_id", "kind", "confidence"), "event_id").alias("e"))
-    made = last.where("e.kind = 'RELATION_CREATED'").select(F.concat(F.lit("N"), F.col("e.event_id").cast("string")).alias("id"), *key, F.col("e.confidence").alias("confidence"), F.lit("APPROVED").alias("status"))
-    return g.relations().join(last.select(*key), key, "left_anti").select("id", *key, "confidence", "status").unionByName(made)
+def _mixed_events(g: GraphTables):
+    """Events of all kinds, by a waiting line's place in its order."""
+    s, n = g.steps(waiting=True), F.col("l_linenumber")
+    kind = F.when(n == 3, "EXPOSE_CHANGED").when(n == 4, "OBJECT_PARENT_CHANGED").when(n == 5, "DOMAIN_AFFINITY_CHANGED").when(F.col("l_returnflag") == "R", "RELATION_DELETED").otherwise("RELATION_CREATED")
+    on_table = n.isin(4, 6)
+    target = F.when(on_table, F.concat(F.lit("T"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("E"), F.col("l_suppkey").cast("string"), F.lit(":"), n.cast("string")))
+    return s.select(kind.alias("kind"), F.when(on_table, "read").otherwise("call").alias("relation_type"), F.concat(F.lit("S"), F.col("a_supp").cast("string")).alias("subject_id"), target.alias("object_id"))
+
+
+def _access_events(g: GraphTables):
+    """Changed accesses of waiting lines."""
+    s = g.chain(waiting=True).where("l_returnflag in ('R', 'A')")
+    return s.select(
+        (F.col("l_orderkey") * 100 + F.col("rn")).alias("event_id"), F.when(F.col("l_linestatus") == "F", "RELATION_DELETED").otherwise("RELATION_CREATED").alias("kind"), F.when(F.col("l_returnflag") == "R", "read").otherwise("write").alias("relation_type"),
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject_id"), F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("object_id"), (1 - F.col("l_tax")).alias("confidence"),
+    )
+
+
+def _incremental(g: GraphTables, events, level: str, build):
+    old = stored(g.relations(), "relations")
+    new = changes.applied(old, changes.last_events(events))
+    subjects = stored(rollup.services_at(rollup.affected_scope(events, new), level), "touched")
+    before = build(old)
+    return before, subjects, rollup.incremental(before, new, subjects, build)
 
 
 def incremental_s2s(spark, sf_dir):
     """Old edges plus a batch of events, by rebuilding only what the events touch; the SQL recomputes everything."""
     g = GraphTables(spark, sf_dir)
-    events, objects = _events(g), called(g)
-    new = _after(g, events)
-    return edge_columns(rollup.incremental(rollup.service_to_service(g.relations(), objects), new, objects, rollup.affected_services(events, new, objects)))
+    return edge_columns(_incremental(g, _events(g), "SERVICE_TO_SERVICE", lambda r: rollup.service_to_service(r, called(g)))[2])
+
+
+def incremental_s2db(spark, sf_dir):
+    g = GraphTables(spark, sf_dir)
+    return edge_columns(_incremental(g, _access_events(g), "SERVICE_TO_DATABASE", lambda r: rollup.service_to_database(r, of_types(g, "db_table")))[2])
+
+
+def incremental_stats(spark, sf_dir):
+    """Degrees after the events of incremental_s2s, from the degrees before and the edges of the touched services."""
+    g = GraphTables(spark, sf_dir)
+    build = lambda r: rollup.service_to_service(r, called(g))
+    events, old = _events(g), stored(g.relations(), "relations")
+    new = changes.applied(old, changes.last_events(events))
+    subjects = stored(rollup.services_at(rollup.affected_scope(events, new), "SERVICE_TO_SERVICE"), "touched")
+    before = stored(build(old), "edges")
+    added = build(new.join(subjects, "subject_id", "left_semi"))
+    return rollup.incremental_stats(rollup.graph_stats(before), before.join(subjects, "subject_id", "left_semi"), added)
 
 
 def affected_scope(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    return rollup.affected_services(_events(g), g.relations(), called(g))
+    return rollup.affected_scope(_mixed_events(g), g.relations())
 
 
 EVENTS = """ev AS (SELECT l_orderkey * 100 + rn AS event_id, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'C' END AS kind, 'S' || a_supp AS subject_id, 'E' || l_suppkey || ':' || l_linenumber AS object_id, 1 - l_discount AS confidence
@@ -105,11 +139,12 @@ after AS (SELECT relation_type, subject_id, object_id, confidence FROM relations
 
 
 def stream_s2s(spark, sf_dir):
-    """The same change events, as a stream of files: each micro-batch makes the next version of the rollup."""
+    """The same change events, as a stream of files: each micro-batch rebuilds the edges of the services it touches."""
     g = GraphTables(spark, sf_dir)
     base = fresh_path(spark, "stream")
     _events(g).repartitionByRange(3, "event_id").write.parquet(f"{base}/events")
-    keeper = changes.RollupMaintainer(spark, called(g), g.relations().select("id", "relation_type", "subject_id", "object_id", "confidence", "status"), f"{base}/state")
+    scope = lambda events, relations: rollup.services_at(rollup.affected_scope(events, relations), "SERVICE_TO_SERVICE")
+    keeper = changes.RollupMaintainer(spark, stored(g.relations(), "relations"), scope, lambda r: rollup.service_to_service(r, called(g)), f"{base}/state")
     source = spark.readStream.schema(changes.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
     keeper.start(source, f"{base}/checkpoint").awaitTermination()
     return edge_columns(keeper.edges())
@@ -155,7 +190,18 @@ ENTRIES = {
     "stream_s2s": (stream_s2s, with_tables("""SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, round(avg(confidence), 6) AS confidence FROM (
         SELECT a.*, CASE WHEN relation_type = 'depend_on' OR granularity = 'COMPOUND' THEN object_id ELSE parent_id END AS target FROM after a JOIN objects o ON a.object_id = o.id) WHERE target <> subject_id GROUP BY ALL""", EVENTS)),
     "generation_log": (generation_log, "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS changes FROM orders GROUP BY 1) SELECT month, changes, CASE WHEN month = (SELECT max(month) FROM m) THEN 'ACTIVE' ELSE 'ARCHIVED' END AS status FROM m"),
-    "affected_scope": (affected_scope, with_tables("SELECT subject_id AS service_id FROM ev UNION SELECT parent_id FROM ev JOIN objects o ON ev.object_id = o.id WHERE parent_id IS NOT NULL", EVENTS)),
+    "incremental_s2db": (incremental_s2db, with_tables("""SELECT relation_type, subject_id, parent_id AS object_id, count(*) AS edge_weight, round(avg(confidence), 6) AS confidence FROM (
+        SELECT relation_type, subject_id, object_id, confidence FROM relations r WHERE relation_type IN ('read', 'write') AND NOT EXISTS (SELECT 1 FROM last l WHERE l.relation_type = r.relation_type AND l.subject_id = r.subject_id AND l.object_id = r.object_id)
+        UNION ALL SELECT relation_type, subject_id, object_id, confidence FROM last WHERE status = 'O') a JOIN objects o ON a.object_id = o.id GROUP BY ALL""",
+        """last AS (SELECT relation_type, subject_id, object_id, arg_max(confidence, e) AS confidence, arg_max(l_linestatus, e) AS status FROM (SELECT l_orderkey * 100 + rn AS e, l_linestatus, CASE WHEN l_returnflag = 'R' THEN 'read' ELSE 'write' END AS relation_type,
+          'S' || l_suppkey AS subject_id, 'T' || l_partkey AS object_id, 1 - l_tax AS confidence FROM waiting WHERE l_returnflag IN ('R', 'A')) GROUP BY ALL)""")),
+    "incremental_stats": (incremental_stats, with_tables("""SELECT object_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT subject_id AS object_id, 1 AS o, 0 AS i FROM edge UNION ALL SELECT target, 0, 1 FROM edge) GROUP BY 1""", EVENTS,
+        """edge AS (SELECT DISTINCT relation_type, subject_id, target FROM (SELECT a.*, CASE WHEN relation_type = 'depend_on' OR granularity = 'COMPOUND' THEN object_id ELSE parent_id END AS target FROM after a JOIN objects o ON a.object_id = o.id) WHERE target <> subject_id)""")),
+    "affected_scope": (affected_scope, with_tables("""SELECT level, service_id FROM scope UNION SELECT 'DOMAIN_TO_DOMAIN', NULL WHERE EXISTS (SELECT 1 FROM scope WHERE level = 'SERVICE_TO_SERVICE') OR EXISTS (SELECT 1 FROM waiting_steps WHERE l_linenumber = 5)""",
+        """lv(t, level) AS (VALUES ('call', 'SERVICE_TO_SERVICE'), ('depend_on', 'SERVICE_TO_SERVICE'), ('read', 'SERVICE_TO_DATABASE'), ('write', 'SERVICE_TO_DATABASE'), ('produce', 'SERVICE_TO_BROKER'), ('consume', 'SERVICE_TO_BROKER'))""",
+        """scope AS (SELECT CASE WHEN l_linenumber = 6 THEN 'SERVICE_TO_DATABASE' ELSE 'SERVICE_TO_SERVICE' END AS level, 'S' || a_supp AS service_id FROM waiting_steps WHERE l_linenumber NOT IN (4, 5)
+          UNION SELECT level, subject_id FROM relations JOIN lv ON t = relation_type WHERE status = 'APPROVED' AND object_id IN (SELECT 'T' || l_partkey FROM waiting_steps WHERE l_linenumber = 4)
+          UNION SELECT 'SERVICE_TO_SERVICE', subject_id FROM relations WHERE status = 'APPROVED' AND relation_type = 'call' AND object_id IN (SELECT 'E' || l_suppkey || ':' || l_linenumber FROM waiting_steps WHERE l_linenumber = 3))""")),
     "rollup_rebuild_levels": (rollup_rebuild_levels, with_tables("""SELECT 'SERVICE_TO_SERVICE' AS rollup_level, relation_type, count(*) AS edges, CAST(sum(edge_weight) AS BIGINT) AS total_weight FROM s2s GROUP BY 2
         UNION ALL SELECT CASE WHEN relation_type IN ('read', 'write') THEN 'SERVICE_TO_DATABASE' ELSE 'SERVICE_TO_BROKER' END, relation_type, count(*), CAST(sum(n) AS BIGINT) FROM (
           SELECT relation_type, subject_id, parent_id, count(*) AS n FROM relations r JOIN objects o ON r.object_id = o.id WHERE relation_type IN ('read', 'write', 'produce', 'consume') GROUP BY ALL) GROUP BY 1, 2""")),

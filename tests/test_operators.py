@@ -56,13 +56,51 @@ def test_impact(spark):
     assert {r.id for r in graph.reach(spark, e, "zz", "UPSTREAM", 3).collect()} == {"zz"}
 
 
+EVENT = "event_id long, kind string, relation_type string, subject_id string, object_id string, confidence double"
+
+
 def test_incremental_equals_full(spark, shop):
     objects, relations = shop
-    old = rollup.service_to_service(relations, objects)
-    new = relations.where("id <> '2'")
-    events = spark.createDataFrame([(1, "RELATION_DELETED", "call", "svc-a", "ep-b2", 0.8)], "event_id long, kind string, relation_type string, subject_id string, object_id string, confidence double")
-    got = rollup.incremental(old, new, objects, rollup.affected_services(events, new, objects))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rollup.service_to_service(new, objects).collect()))
+    build = lambda r: rollup.service_to_service(r, objects)
+    old, new = build(relations), relations.where("id <> '2'")
+    events = spark.createDataFrame([(1, "RELATION_DELETED", "call", "svc-a", "ep-b2", 0.8)], EVENT)
+    subjects = rollup.services_at(rollup.affected_scope(events, new), "SERVICE_TO_SERVICE")
+    assert [r.subject_id for r in subjects.collect()] == ["svc-a"]
+    got = rollup.incremental(old, new, subjects, build)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, build(new).collect()))
+    stats = rollup.incremental_stats(rollup.graph_stats(old), old.join(subjects, "subject_id", "left_semi"), got.join(subjects, "subject_id", "left_semi"))
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, rollup.graph_stats(build(new)).collect()))
+
+
+def test_scope_of_each_kind(spark, shop):
+    _, relations = shop
+    rows = [("EXPOSE_CHANGED", "expose", "svc-b", "ep-b1"), ("OBJECT_PARENT_CHANGED", None, None, "tbl-x"), ("RELATION_CREATED", "produce", "svc-z", "topic-p")]
+    scope = lambda r: {(x.level, x.service_id) for x in rollup.affected_scope(spark.createDataFrame(r, "kind string, relation_type string, subject_id string, object_id string"), relations).collect()}
+    calls = {("SERVICE_TO_SERVICE", "svc-b"), ("SERVICE_TO_SERVICE", "svc-a"), ("DOMAIN_TO_DOMAIN", None)}
+    assert scope(rows[:1]) == calls
+    assert scope(rows[1:2]) == {("SERVICE_TO_DATABASE", "svc-a"), ("SERVICE_TO_DATABASE", "svc-b")}
+    assert scope(rows[2:]) == {("SERVICE_TO_BROKER", "svc-z")}
+    assert scope([("DOMAIN_AFFINITY_CHANGED", None, None, None)]) == {("DOMAIN_TO_DOMAIN", None)}
+    assert scope(rows) == calls | scope(rows[1:2]) | scope(rows[2:])
+
+
+def test_rollup_goes_on_after_a_restart(spark, shop, tmp_path):
+    from strataweave.streaming import changes
+
+    objects, relations = shop
+    scope = lambda e, r: rollup.services_at(rollup.affected_scope(e, r), "SERVICE_TO_SERVICE")
+    build = lambda r: rollup.service_to_service(r, objects)
+    keeper = lambda: changes.RollupMaintainer(spark, relations, scope, build, f"file://{tmp_path}/state")
+    batches = [[(1, "RELATION_DELETED", "call", "svc-a", "ep-b2", 0.8), (4, "RELATION_CREATED", "call", "svc-a", "ep-b1", 0.5)], [(3, "RELATION_DELETED", "call", "svc-a", "ep-b1", 0.0), (2, "RELATION_CREATED", "depend_on", "svc-b", "svc-a", 0.4)]]
+    frames = [spark.createDataFrame(b, EVENT) for b in batches]
+    want = sorted(map(tuple, build(changes.applied(relations, changes.last_events(frames[0].union(frames[1])))).collect()))
+    first = keeper()
+    first.apply(frames[0], 0)
+    again = keeper()  # a restart: the folder is there, the last batch is played once more
+    again.apply(frames[0], 0)
+    again.apply(frames[1], 1)
+    again.apply(frames[1], 1)
+    assert sorted(map(tuple, again.edges().collect())) == want == [("call", "svc-a", "svc-b", 1, 0.5), ("depend_on", "svc-b", "svc-a", 1, 0.4)]
 
 
 @pytest.mark.parametrize("call, endpoint, want", [("/orders/12", "/orders/{id}", 0.95), ("/orders/abc", "/orders/{id}", 0.75), ("/a/b", "/a/b", 1.0), ("/", "/", 1.0), ("/a/b/c", "/a/*", 0.55), ("/a", "/a/b/c/d", 0.0)])
