@@ -24,13 +24,15 @@ from .scratch import stored
 NULL_ID = np.iinfo(np.int64).max
 
 
-def stored_groups(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, Row]:
-    """A stored table (grp, blob) of all documents, and bytes of all texts, least and largest doc_id. A blob is a zstd-compressed Arrow stream of doc_id and text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("low"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("high")).first()
-    wide = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < wide:  # a small input in few files
-        docs = docs.repartition(wide)
+def stored_groups(docs: DataFrame, group_bytes: int, spread: bool = True) -> tuple[DataFrame, Row]:
+    """A stored table (grp, blob) of all rows, and their number, bytes of text, least and largest doc_id (0 where there is none).
+
+    A blob is a zstd-compressed Arrow stream of the columns of docs (text is one of them). With ``spread`` an input of few partitions is dealt out first.
+    """
+    if spread and docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism:
+        docs = docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    at = docs.columns.index("text")
+    id_at = docs.columns.index("doc_id") if "doc_id" in docs.columns else None
 
     def one(parts: list[pa.RecordBatch]) -> bytes:
         sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression="zstd")
@@ -44,12 +46,15 @@ def stored_groups(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, Row]:
         held, size = [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([one(held)], pa.binary())], ["grp", "blob"])
+            bounds = [pc.min_max(p.column(id_at)).as_py() for p in held] if id_at is not None else []
+            low, high = [x for b in bounds for x in (b["min"],) if x is not None], [x for b in bounds for x in (b["max"],) if x is not None]
+            values = (grp, one(held), sum(p.num_rows for p in held), size, min(low, default=None), max(high, default=None))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["grp", "blob", "rows", "bytes", "low", "high"])
 
         for batch in batches:
-            for x, y in row_slices(batch.column(1), group_bytes):
+            for x, y in row_slices(batch.column(at), group_bytes):
                 part = batch.slice(x, y - x)
-                more = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+                more = pc.sum(pc.binary_length(part.column(at))).as_py() or 0
                 if held and size + more > group_bytes:
                     yield flush()
                     grp, held, size = grp + 1, [], 0
@@ -58,12 +63,24 @@ def stored_groups(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, Row]:
         if held:
             yield flush()
 
-    return stored(docs.mapInArrow(run, "grp long, blob binary"), "groups"), size
+    groups = stored(docs.mapInArrow(run, "grp long, blob binary, rows long, bytes long, low long, high long"), "groups")
+    total = lambda f, c: F.coalesce(f(c), F.lit(0)).alias(c)
+    return groups.select("grp", "blob"), groups.agg(total(F.sum, "rows"), total(F.sum, "bytes"), total(F.min, "low"), total(F.max, "high")).first()
+
+
+def table_of(blob: pa.Scalar) -> pa.Table:
+    """The rows of a group, in the order stored."""
+    return pa.Table.from_batches(list(pa.ipc.open_stream(blob.as_buffer())))
+
+
+def packed_docs(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, Row]:
+    """doc_id and text in stored groups."""
+    return stored_groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), group_bytes)
 
 
 def unpack(blob: pa.Scalar) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """doc_ids (null: the largest long), texts and null flags of a group, in the order stored."""
-    t = pa.Table.from_batches(list(pa.ipc.open_stream(blob.as_buffer())))
+    t = table_of(blob)
     ids = t.column("doc_id").combine_chunks()
     null = ids.is_null().to_numpy(zero_copy_only=False)
     return ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False), t.column("text").cast(pa.large_string()).combine_chunks(), null

@@ -158,7 +158,7 @@ def join_kept(data, starts, ends, first, kept) -> pa.Array:
 def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, max_bits: int = 28, group_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each text without the words of windows that start in a smaller doc_id too."""
     spark = docs.sparkSession
-    packed, size = pk.stored_groups(docs, group_bytes)
+    packed, size = pk.packed_docs(docs, group_bytes)
     sketch = spark.sparkContext.broadcast(build_sketch(packed, size.bytes, window, depth, max_bits))
     buckets = max(1, size.bytes // (4 << 20))
     near = size.high - size.low < 2**32 - 1

@@ -213,7 +213,7 @@ def tuple_hits(back: pa.Table, runs: Runs, pick: np.ndarray, buckets: int, offse
 
 def repeated_bytes(docs: DataFrame, length: int = 400, group_bytes: int = 1 << 20, hot_groups: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, starts and ends of the removed byte runs, kept (the bytes left)."""
-    packed, size = pk.stored_groups(docs, group_bytes)
+    packed, size = pk.packed_docs(docs, group_bytes)
     buckets = max(1, size.bytes // (8 << 20))
 
     def names(grp, blob):

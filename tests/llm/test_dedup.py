@@ -1,13 +1,17 @@
 """Substring, suffix and near-duplicate removal against brute force."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataweave.llm.minhash_dedup import near_duplicates, one_of_each, with_class
+from strataweave.llm.minhash_dedup import STEPS, Icws, near_duplicates, one_of_each, weight_table, with_class
 from strataweave.llm.substring_dedup import dedup_substrings, gaps_decode, gaps_encode
 from strataweave.llm.suffix_dedup import repeated_bytes
 
@@ -114,3 +118,50 @@ def test_near_duplicates(spark, words):
     left = one_of_each(df, block=16)
     assert left.columns == df.columns
     assert sorted(r.doc_id for r in left.collect()) == [1, 5, 6, 7, 8, 10, 12]
+
+
+def plain_classes(texts, threshold=0.8):
+    """Classes over all pairs by exact weighted Jaccard similarity, with document frequencies over distinct texts."""
+    bags = {t: Counter(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in set(texts)}
+    df = Counter(s for bag in bags.values() for s in bag)
+    table = weight_table(len(bags))
+    w = {s: table[min(255, round(STEPS * math.log2(n)))] for s, n in df.items()}
+    weight = lambda bag: sum(w[s] * n for s, n in bag.items())
+    name = {t: t for t in bags}
+    links = 0
+    for x, y in itertools.combinations(sorted(bags), 2):
+        if bags[x].keys() & bags[y].keys() and weight(bags[x] & bags[y]) >= threshold * weight(bags[x] | bags[y]):
+            links += 1
+            old, new = name[x], name[y]
+            name = {t: new if k == old else k for t, k in name.items()}
+    return name, links
+
+
+@pytest.mark.parametrize("block, max_bits", [(256, 28), (8, 4)])
+def test_classes_equal_all_pairs(spark, words, block, max_bits):
+    rng = random.Random(5)
+    base = [words(200 + i, 150) for i in range(12)]
+    texts = base + [variant(t, *rng.sample(range(150), k)) for t in base for k in (0, 1, 1, 2, 2, 3, 4, 6, 8)] + [words(300 + i, 120) for i in range(30)] + [base[0] + " " + words(400 + i, 40) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    # With 40 bands of one sample no pair of the threshold can reasonably be missed, so the classes must be those of all pairs.
+    got = {r.doc_id: r.class_id for r in with_class(docs, block=block, max_bits=max_bits, bands=40, rows=1, group_bytes=4000).collect()}
+    name, links = plain_classes(texts)
+    least = {}
+    for i, t in enumerate(texts):
+        least.setdefault(name[t], i)
+    assert links > 60 and got == {i: least[name[t]] for i, t in enumerate(texts)}
+
+
+def test_samples_meet_as_often_as_texts_are_alike():
+    """The share of equal samples is the weighted Jaccard similarity, for several similarities."""
+    rng = np.random.default_rng(3)
+    icws = Icws(4000)
+    for common in (30, 60, 90):
+        h = rng.integers(0, 1 << 63, 200 - common, dtype=np.uint64)
+        w = rng.uniform(0.5, 6, len(h))
+        a, b = np.arange(100), np.r_[np.arange(common), np.arange(100, len(h))]
+        wb = w.copy()
+        wb[:common] *= rng.uniform(0.5, 1.5, common)
+        sig = icws.signatures(np.concatenate([h[a], h[b]]), np.log(np.concatenate([w[a], wb[b]])), np.array([0, len(a)]))
+        want = np.minimum(w[:common], wb[:common]).sum() / (np.maximum(w[:common], wb[:common]).sum() + w[common:100].sum() + wb[100:].sum())
+        assert abs((sig[0] == sig[1]).mean() - want) < 0.03
