@@ -1,8 +1,8 @@
 """Personal data: plain identifiers, and disguised ones found through offset-preserving transducers.
 
 The base patterns run on the text itself. A text that shows signs of disguise also passes
-through a transducer that rewrites homoglyphs, full-width and other digits, invisible characters, spelled digits
-and at/dot disguises, and keeps for every character it puts out the source span
+through a transducer that rewrites homoglyphs, full-width and other digits, other blanks, invisible characters, spelled digits,
+letters that stand for digits in a number, and at/dot disguises, and keeps for every character it puts out the source span
 it stands for. The same patterns then run on the rewritten text, and their spans are mapped back;
 those that do not overlap a base span of their kind are added.
 
@@ -33,7 +33,11 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("АВЕКМНОРСТХУІЈЅаеорсухіјѕԁɡһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABEKMHOPCTXYIJSaeopcyxijsdghqwABEZHIKMNOPTYXoav"))
-HOMOGLYPHS |= {"＠": "@", "﹫": "@", "․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
+HOMOGLYPHS |= {"＠": "@", "﹫": "@", "․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-"}
+#: No-break, en to hair, narrow no-break, mathematical and ideographic blanks.
+HOMOGLYPHS |= dict.fromkeys("\u00a0\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " ")
+#: Letters that stand for digits inside a number.
+DIGIT_LOOKS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 INVISIBLE = frozenset("​‌‍⁠﻿­")
 #: Digit names.
 DIGIT_NAMES = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "nought": "0"}
@@ -43,6 +47,8 @@ DIGITS_RUN = re.compile(rf"\b{_NAME}(?:(?:[ ,-]{{1,2}}){_NAME})+\b", re.I)
 NAME = re.compile(_NAME, re.I)
 BEFORE_DOT = re.compile(rf"\b{_NAME}(?=\.[0-9])", re.I)
 AFTER_DOT = re.compile(rf"(?<=[0-9]\.){_NAME}\b", re.I)
+LOOKS = re.compile(r"(?<![A-Za-z0-9])(?:[0-9]+[OoIl]|[OoIl]+[0-9])[0-9OoIl]*+(?![A-Za-z])")
+LOOK = re.compile(r"[OoIl]")
 PLUS = re.compile(rf"\bplus\s(?=[0-9]|{_NAME}\b)", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 AT = re.compile(rf"\s?{OPEN}\s?(?:at|@)\s?{CLOSE}\s?|\s(?:at|@)\s(?=[A-Za-z0-9-]+(?:\s(?:dot|\.)\s|\s?{OPEN}\s?(?:dot|\.)))", re.I)
@@ -146,6 +152,7 @@ def normalised(text: str) -> Tape:
             edits.append((start, m.end(), DIGIT_NAMES[m.group().lower()]))
             last = m.end()
     tape.rewrite(edits)
+    tape.rewrite([(*m.span(), DIGIT_LOOKS[m.group()]) for run in LOOKS.finditer(tape.text) for m in LOOK.finditer(tape.text, *run.span())])
     tape.rewrite([(*m.span(), "+") for m in PLUS.finditer(tape.text)])
     tape.rewrite([(*m.span(), ".") for m in DOT.finditer(tape.text)])
     for single in (BEFORE_DOT, AFTER_DOT, AFTER_DOT, AFTER_DOT):
@@ -161,6 +168,8 @@ def disguised(text: str) -> bool:
     """
     if not text.isascii() and any(c in FOLDED or _char(c) is not None for c in set(text) if c > "\x7f"):
         return True
+    if LOOKS.search(text):
+        return True
     low = text.lower()
     if "dot" in low or BLANK_DOT.search(text) or any(c in text for c in "[({<") and BRACKETED.search(text):
         return True
