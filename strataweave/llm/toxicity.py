@@ -9,7 +9,7 @@ model explains it much better. The restored text is scored by a logistic model o
 Labels are learnt from at most about ``max_train_docs`` distinct texts, drawn by a hash of doc_id from
 rows that may be learnt from; words that tell the classes apart are found by counts over that sample.
 
-Defined results: null and empty texts get the score of a text without telling words; without any label to
+Defined results: a text that several rows label is toxic if one of them says so; null and empty texts get the score of a text without telling words; without any label to
 learn, scores are 0.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import SpanHash, flatten, row_slices
 from .language_id import FOLD, held_out
+from .scratch import stored
 
 SLICE = 1 << 20
 SYMBOLS = 28  # word border, a to z, any other letter
@@ -245,7 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, channel, max_train_docs: int = 20_
     n = marks.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < min(1.0, max_train_docs / max(1, n)) * 1_000_000
     sample = F.broadcast(marks.where(drawn))  # about max_train_docs rows at most
-    train_rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "doc_id").select("text", "toxic").dropDuplicates(["text"])
+    train_rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "doc_id")
+    # One row a text, toxic if any of its labels is; stored, as three passes learn from it.
+    train_rows = stored(train_rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, channel, max_train_docs: int = 20_
                 at = np.searchsorted(owner, np.arange(len(col) + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(x, y - x), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(word))], ["toxic", "words"])
 
-    rows = train_rows.mapInArrow(features, "toxic int, words array<long>").collect()
+    rows = sorted(train_rows.mapInArrow(features, "toxic int, words array<long>").collect())  # in one order, so sums round alike
     w, b = fit([np.array(r.words, np.int64) for r in rows], np.array([r.toxic for r in rows], float), len(hashes))
     return Scorer(hashes, w, b)
 
