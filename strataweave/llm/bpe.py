@@ -9,7 +9,8 @@ apart and joined pairwise, as a tree: a window of tokens around the join is enco
 wide each time, until its first and last tokens are those that both sides had. A BPE sequence is right if each two
 neighbours are, so the join is then exact.
 
-Defined results: null text encodes as the empty text. Special tokens' strings in a text become their ids.
+Defined results: null and empty texts encode as no tokens. Rows are encoded each for itself, so repeated rows and equal or null
+ids give as many rows. An empty table gives an empty one. Special tokens' strings in a text become their ids.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAFE_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
@@ -194,7 +197,8 @@ def bpe_encode(docs: DataFrame, path: str, long_bytes: int = 1 << 15, leaf_chars
         return pa.table({"uid": pa.array([key[0].as_py()], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()), "ids": pa.array([packed_ids(ids)], pa.binary())})
 
     short = docs.where(~is_long).mapInArrow(whole, schema)
-    long_docs = docs.where(is_long).withColumn("_uid", F.monotonically_increasing_id())
+    # Numbered once and stored: both the pieces and the join back read the same numbers.
+    long_docs = stored(docs.where(is_long).withColumn("_uid", F.monotonically_increasing_id()), "long-texts")
     pieces = long_docs.select(F.col("_uid").alias("uid"), "text").mapInArrow(cut, "uid long, seq int, run int, piece binary")
     encoded = pieces.repartition("uid", "seq").mapInArrow(encode, "uid long, seq int, run int, ids binary")
     joined = encoded.groupBy("uid").applyInArrow(put_together, "uid long, n_tokens long, ids binary")
