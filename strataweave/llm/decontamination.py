@@ -104,15 +104,16 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(window: int = 13, least_equal: int = 11, masks: tuple[str, ...] = MASKS) -> str:
-    """The same by word lists and string seeds."""
+    """The same by word lists and string seeds, with every mask; those beside ``masks`` find diagonals but do not count as seed_hits."""
+    counted, masks = len(masks), masks + CONTIGUOUS + OF_SEVEN
     words = """list_filter(string_split_regex(translate(lower(coalesce(text, '')), '.,;:!?"''()', ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"""
     seed = lambda col: "CASE m " + " ".join(f"WHEN {k} THEN concat_ws(' ', {', '.join(f'{col}[p + {i + 1}]' for i, c in enumerate(x) if c == '1')})" for k, x in enumerate(masks)) + " END"
     fits = lambda col: "CASE m " + " ".join(f"WHEN {k} THEN len({col}) >= p + {len(x)}" for k, x in enumerate(masks)) + " END"
     every = lambda t, key, col: f"(SELECT {key}, {col}, p, m, {seed(col)} AS s FROM (SELECT *, unnest(range(0, len({col}))) AS p FROM {t}) CROSS JOIN (SELECT unnest(range(0, {len(masks)})) AS m) WHERE {fits(col)})"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS dw FROM documents), b AS (SELECT item_id, {words} AS iw FROM benchmark),
-h AS (SELECT doc_id, item_id, dw, iw, x.p - y.p AS first_word FROM {every('d', 'doc_id', 'dw')} x JOIN {every('b', 'item_id', 'iw')} y ON x.s = y.s AND x.m = y.m),
-g AS (SELECT doc_id, item_id, first_word, any_value(dw) AS dw, any_value(iw) AS iw, count(*) AS n FROM h GROUP BY 1, 2, 3),
+h AS (SELECT doc_id, item_id, dw, iw, x.m AS m, x.p - y.p AS first_word FROM {every('d', 'doc_id', 'dw')} x JOIN {every('b', 'item_id', 'iw')} y ON x.s = y.s AND x.m = y.m),
+g AS (SELECT doc_id, item_id, first_word, any_value(dw) AS dw, any_value(iw) AS iw, count(*) FILTER (WHERE m < {counted}) AS n FROM h GROUP BY 1, 2, 3),
 e AS (SELECT doc_id, item_id, first_word, n, len(iw) AS size,
         [CASE WHEN dw[first_word + k + 1] = iw[k + 1] THEN 1 ELSE 0 END FOR k IN range(greatest(0, -first_word), least(len(iw), len(dw) - first_word))] AS eq FROM g),
 w AS (SELECT *, list_max([list_sum(eq[k + 1 : k + {window}]) FOR k IN range(0, greatest(0, len(eq) - {window}) + 1)]) AS equal_words FROM e)

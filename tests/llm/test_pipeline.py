@@ -11,7 +11,6 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from strataweave.llm import pii, quality_rules
-from strataweave.llm.decontamination import MASKS
 
 
 def near(text, at):
@@ -62,8 +61,7 @@ def plain_pipeline(rows, bench):
             b = item.split()
             for d in range(-len(b), len(w)):
                 eq = [0 <= i + d < len(w) and w[i + d] == x for i, x in enumerate(b)]
-                seed = any(all(eq[p + k] for k, c in enumerate(m) if c == "1") for m in MASKS for p in range(len(b) - len(m) + 1))
-                if seed and max(sum(eq[k : k + 13]) for k in range(len(eq) - 12)) >= 11:
+                if max(sum(eq[k : k + 13]) for k in range(len(eq) - 12)) >= 11:
                     return True
         return False
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import functools
 import itertools
 import random
 import re
@@ -111,13 +112,17 @@ def test_disguised_spans(text, kind, found):
         ("call plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958"),
         ("192.168.one.1", "ip", "192.168.one.1"),
         ("+1 555 one two 4 5678", "phone", "+1 555 one two 4 5678"),
+        ("ip one.2.3.4 here", "ip", "one.2.3.4"),
+        ("card 4111\u00a01111\u20091111\u202f1111", "card", "4111\u00a01111\u20091111\u202f1111"),
+        ("call +44 2O 7946 O958 now", "phone", "+44 2O 7946 O958"),
+        ("card 4l11 1111 1l11 1111", "card", "4l11 1111 1l11 1111"),
     ],
 )
 def test_disguises_are_looked_for_on_their_own(text, kind, found):
     assert [(k, text[a:b]) for k, a, b, base in pii.spans(text) if not base] == [(kind, found)]
 
 
-PIECES = ["at", "@", "dot", ".", "plus", "one", "OH", "nought", "six", "7", "44", "a", "x.", "é", "о", "１", "\xad", "\xa0", "(", "]", " ", " ", ", ", "-", "\t"]
+PIECES = ["at", "@", "dot", ".", "plus", "one", "OH", "nought", "six", "7", "44", "a", "x.", "é", "о", "１", "\xad", "\xa0", "(", "]", "O", "l", " ", " ", ", ", "-", "\t"]
 
 
 @settings(max_examples=3000, deadline=None)
@@ -216,6 +221,51 @@ def test_restoring(spark):
         assert channel.restore(seen) == want
 
 
+def readings(token, spaced):
+    """Every path through the lattice, with its cost."""
+    for path in itertools.product(*toxicity.Channel.lattice(token, spaced)):
+        yield "".join(x for x, _ in path), sum(c for _, c in path)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text("a1!b@l0", min_size=1, max_size=7), st.lists(st.sampled_from("ab1l0"), min_size=3, max_size=4).map(" ".join)), st.booleans())
+def test_the_likeliest_of_all_readings_is_found(token, spaced):
+    spaced = spaced and " " in token
+    channel = toxicity_channel()
+
+    def cost(reading):
+        log, x, y = 0.0, 0, 0
+        for c in reading + " ":
+            z = channel.code(c)
+            log, x, y = log + channel.log[x][y][z], y, z
+        return log
+
+    best = max(cost(r) + c for r, c in readings(token, spaced))
+    got = channel._decode(token, spaced)
+    signs = sum(max(c for _, c in step) for step in channel.lattice(token, spaced))
+    if got is None:  # a uniform model explains every best reading much better
+        assert any(cost(r) + c >= best - 1e-9 and best - signs < (len(r) + 1) * (-np.log(toxicity.SYMBOLS) - toxicity.SLACK) for r, c in readings(token, spaced))
+    else:
+        assert any(r == got and cost(r) + c >= best - 1e-9 for r, c in readings(token, spaced))
+
+
+@functools.cache
+def toxicity_channel():
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    c = np.concatenate(([0, 0], toxicity._CODE[np.frombuffer(b"all bail lab oil boil alibi " * 50, np.uint8)]))
+    np.add.at(counts, (c[:-2] * toxicity.SYMBOLS + c[1:-1]) * toxicity.SYMBOLS + c[2:], 1)
+    return toxicity.Channel(counts)
+
+
+def test_clashing_labels_give_one_model(spark):
+    rows = [(i, f"you {'clown' if i % 3 else 'friend'} {i % 40}", i % 3 > 0) for i in range(400)] + [(1000 + i, f"you {'clown' if i % 3 else 'friend'} {i % 40}", i % 2 == 0) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, _, t in rows], "doc_id long, toxic int")
+    channel = spark.sparkContext.broadcast(toxicity_channel())
+    models = [toxicity.train(docs.repartition(n), labels.repartition(n), channel) for n in (1, 3, 7)]
+    assert all(np.array_equal(m.hashes, models[0].hashes) and np.allclose(m.weights, models[0].weights) for m in models)
+
+
 def test_toxicity_learns(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     channel = spark.sparkContext.broadcast(toxicity.Channel(toxicity.letter_trigrams(docs)))
