@@ -29,10 +29,14 @@ def support_boost(n: Column, boost: float = 0.3) -> Column:
     return F.when(n > 1, 1 - F.pow(F.lit(1 - boost), n - 1)).otherwise(0.0)
 
 
+#: Words that end a class name and say nothing of its subject.
+NAME_SUFFIXES = ("service", "controller", "entity", "repository", "repo", "dao", "dto", "handler", "manager", "provider", "component", "module", "mapper")
+
+
 def name_tokens(name: Column) -> Column:
-    """Lower-case tokens of a camelCase, kebab, snake, dotted or spaced name, of two letters or more."""
+    """Lower-case tokens of a camelCase, kebab, snake, dotted or spaced name, of two letters or more, without NAME_SUFFIXES."""
     parted = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.array_distinct(F.filter(F.split(F.lower(parted), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
+    return F.array_distinct(F.filter(F.split(F.lower(parted), "[^a-z0-9]+"), lambda t: (F.length(t) >= 2) & ~t.isin(*NAME_SUFFIXES)))
 
 
 def slug(name: Column) -> Column:

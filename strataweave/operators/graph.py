@@ -100,3 +100,8 @@ def evidence_chain(edges: DataFrame, provenance: DataFrame, evidences: DataFrame
     rows = edges.join(seen.select(*key, "evidence_id", "evidence_type").distinct(), key, "left")
     score = F.col("confidence") * F.col("edge_weight") / (hop + 1)
     return rows.select(*key, "edge_weight", "confidence", F.coalesce("evidence_type", F.lit("rollup")).alias("evidence_type"), F.coalesce("evidence_id", F.lit("")).alias("evidence_id"), score.alias("score"))
+
+
+def top_evidence(chain: DataFrame, most: int = 10) -> DataFrame:
+    """The best items of an evidence chain: by score, edge weight and confidence, then the nearer hop and the evidence's id."""
+    return chain.orderBy(F.desc(F.round("score", 9)), F.desc("edge_weight"), F.desc("confidence"), "hop", "evidence_id", "subject_id", "object_id", "relation_type").limit(most)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import clamp, path_compatibility, segments
+from strataweave.sources.scratch import stored
 
 
 def specificity(mode: Column, path: Column) -> Column:
@@ -13,16 +14,28 @@ def specificity(mode: Column, path: Column) -> Column:
     return F.when(mode == "exact", 200).when(mode == "regex", 100).otherwise(0) + F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
 
 
-def route_matches(intents: DataFrame, rules: DataFrame) -> DataFrame:
-    """The best rule of each intent (intent_id, path): by priority, specificity, id. Prefix rules meet paths by an equi-join on their first segment."""
-    first = lambda c: F.element_at(F.filter(F.split(c, "/"), lambda s: s != ""), 1)
+def route_matches(intents: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The best rule of each intent (intent_id, path): by priority, specificity, id; ``tied``: another rule has the same priority and specificity.
+
+    Exact and prefix rules meet paths by an equi-join on their first segment. Rules without a fixed first segment ('/**', a
+    wildcard, a regular expression) can take any path, so they meet all paths, as one list: gateways hold few of them.
+    """
+    first = lambda c: F.get(F.filter(F.split(c, "/"), lambda s: s != ""), F.lit(0))
+    names = [c for c in rules.columns if c != "seg"]
     i = intents.withColumn("seg", first("path"))
-    r = rules.withColumn("seg", first("match_path"))
-    stem = F.regexp_replace("match_path", r"/\*+$", "")
-    fits = F.when(F.col("mode") == "exact", F.col("path") == F.col("match_path")).otherwise((F.col("path") == stem) | F.col("path").startswith(F.concat(stem, F.lit("/"))))
-    rows = i.join(r, "seg").where(fits).withColumn("spec", specificity(F.col("mode"), F.col("match_path")))
-    w = Window.partitionBy("intent_id").orderBy(F.desc("priority"), F.desc("spec"), "rule_id")
-    return rows.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place", "seg")
+    regex, stem = F.col("mode") == "regex", F.regexp_replace(F.regexp_replace("match_path", r"[*].*$", ""), r"(.)/$", "$1")
+    open_ = regex | first(stem).isNull()
+    exact = (F.col("mode") == "exact") & ~F.col("match_path").contains("*")
+    fits = F.when(regex, F.rlike(F.col("path"), F.col("match_path"))).when(stem.isin("", "/"), True).when(exact, F.col("path") == F.col("match_path")).otherwise((F.col("path") == stem) | F.col("path").startswith(F.concat(stem, F.lit("/"))))
+    near = i.join(rules.where(~open_).withColumn("seg", first(stem)), "seg").where(fits)
+    anywhere = rules.where(open_).agg(F.collect_list(F.struct(*names)).alias("rules"))  # one row
+    far = i.join(F.broadcast(anywhere)).withColumn("rule", F.explode("rules")).select("intent_id", *keep, "path", "rule.*").where(fits)
+    rows = near.select("intent_id", *keep, "path", *names).unionByName(far).withColumn("spec", specificity(F.col("mode"), F.col("match_path")))
+    # Rules of an intent are few: its bests are gathered as one array, least id first.
+    top = rows.groupBy("intent_id").agg(F.max(F.struct("priority", "spec")).alias("top"), F.array_sort(F.collect_list(F.struct("priority", "spec", "rule_id"))).alias("all"))
+    same = F.filter("all", lambda r: (r["priority"] == F.col("top.priority")) & (r["spec"] == F.col("top.spec")))
+    chosen = top.select("intent_id", same[0]["rule_id"].alias("rule_id"), (F.size(same) > 1).alias("tied"))
+    return rows.join(chosen, ["intent_id", "rule_id"]).select("intent_id", *keep, "path", *names, "spec", "tied")
 
 
 def transformed(path: Column, strip: Column, prepend: Column) -> Column:
@@ -34,7 +47,9 @@ def transformed(path: Column, strip: Column, prepend: Column) -> Column:
 
 def endpoint_choice(intents: DataFrame, endpoints: DataFrame, least: float = 0.75) -> DataFrame:
     """intent_id, status, endpoint_id, score: the endpoints of the intent's provider that fit its path; none or several leave it open."""
-    rows = intents.join(endpoints, "provider_id", "left").withColumn("score", path_compatibility(segments(F.col("path")), segments(F.col("endpoint_path"))))
+    # A score of .75 needs paths of the same number of segments, or one more or less; only such pairs meet.
+    e = endpoints.withColumn("size", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.size(segments(F.col("endpoint_path"))))))
+    rows = intents.withColumn("size", F.size(segments(F.col("path")))).join(e, ["provider_id", "size"], "left").withColumn("score", path_compatibility(segments(F.col("path")), segments(F.col("endpoint_path"))))
     rows = rows.withColumn("ok", F.coalesce(F.col("score") >= least, F.lit(False)) & ((F.col("method") == F.col("endpoint_method")) | (F.col("endpoint_method") == "ANY")))
     best = rows.groupBy("intent_id").agg(F.max(F.when(F.col("ok"), F.col("score"))).alias("best"))
     rows = rows.join(best, "intent_id")
@@ -63,14 +78,40 @@ def impacted(dependencies: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def route_chain(intents: DataFrame, rules: DataFrame, rounds: int = 5) -> DataFrame:
-    """intent_id, path, hops after rules (with strip and prepend) were applied up to ``rounds`` times; a path that no rule takes is done."""
+    """intent_id, path, hops, status after rules (with strip and prepend) were applied up to ``rounds`` times.
+
+    A path that no rule takes is done ('' as status); rules that tie leave it open where it stands ('ROUTE_RULE_CONFLICT').
+    """
     live, done = intents.select("intent_id", "path").withColumn("hops", F.lit(0)), None
     for _ in range(rounds):
-        taken = route_matches(live, rules).persist()  # used for what moves on and for what is done
-        rest = live.join(taken.select("intent_id"), "intent_id", "left_anti")
+        live = stored(live, "paths")
+        taken = stored(route_matches(live, rules, ("hops",)), "routes")  # used for what moves on and for what is done
+        rest = live.join(taken.where("not tied").select("intent_id"), "intent_id", "left_anti").join(taken.where("tied").select("intent_id", "tied"), "intent_id", "left")
+        rest = rest.select("intent_id", "path", "hops", F.when(F.col("tied"), "ROUTE_RULE_CONFLICT").otherwise("").alias("status"))
         done = rest if done is None else done.unionByName(rest)
-        live = taken.select("intent_id", transformed(F.col("path"), F.col("strip"), F.col("prepend")).alias("path"), (F.col("hops") + 1).alias("hops"))
-    return done.unionByName(live)
+        live = taken.where("not tied").select("intent_id", transformed(F.col("path"), F.col("strip"), F.col("prepend")).alias("path"), (F.col("hops") + 1).alias("hops"))
+    return done.unionByName(live.withColumn("status", F.lit("")))
+
+
+#: What each resolved slot of an intent weighs.
+SLOTS = {
+    "http": {"method": 0.2, "external_path": 0.2, "internal_path": 0.2, "provider_id": 0.2, "target_id": 0.2},
+    "db": {"action": 0.25, "table_hint": 0.25, "schema_hint": 0.1, "datasource": 0.15, "target_id": 0.25},
+    "message": {"channel": 0.3, "broker": 0.25, "object_type": 0.15, "target_id": 0.3},
+}
+
+
+def slot_completeness(kind: str) -> Column:
+    """The weights of an intent's resolved slots, summed; slots are columns of the names in SLOTS, null or empty where open."""
+    filled = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", w).otherwise(0.0) for c, w in SLOTS[kind].items()]
+    return clamp(sum(filled, F.lit(0.0)), 0.0, 1.0)
+
+
+def correlation_groups(frontiers: DataFrame) -> DataFrame:
+    """Open frontiers (frontier_id, owner, hosts, config_keys as arrays) that share owner, hosts and keys, lower-case and sorted: size and least id of groups of two or more."""
+    clean = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(F.trim(x))), lambda x: x != ""))), ",")
+    rows = frontiers.select("frontier_id", "owner", clean("hosts").alias("host_key"), clean("config_keys").alias("config_key"))
+    return rows.groupBy("owner", "host_key", "config_key").agg(F.count(F.lit(1)).alias("size"), F.min("frontier_id").alias("first_id")).where("size > 1")
 
 
 def clear_winner(scores: DataFrame, key: str, least: float = 0.9, lead: float = 0.2) -> DataFrame:

@@ -76,14 +76,45 @@ def owners(paths: DataFrame, services: DataFrame) -> DataFrame:
 NO_KEYS = ("id", "uuid_id", "session_id", "trace_id")
 
 
+#: How sure a foreign key is: declared, on a unique column, in a composite index, by name alone.
+KEY_TIERS = (("declared", 0.95), ("unique", 0.85), ("index", 0.7), ("name", 0.5))
+
+
 def key_candidates(columns: DataFrame) -> DataFrame:
-    """Foreign keys guessed from column names (table_name, column_name): base + 's' if such a table exists, else base."""
+    """Foreign keys of columns (table_name, column_name, declared_ref, is_unique, in_index): table_name, column_name, ref_table, confidence.
+
+    A declared reference counts as it is. Otherwise the name tells it: base + 's' if such a table exists, else base; columns that are
+    unique or in an index are surer than those with the name alone. The surest stays.
+    """
     base = F.regexp_extract("column_name", "^(.+)_(id|no)$", 1)
-    rows = columns.withColumn("base", base).where((F.col("base") != "") & ~F.col("column_name").isin(*NO_KEYS))
+    known = columns.withColumn("base", base)
+    sure = dict(KEY_TIERS)
+    declared = known.where("declared_ref is not null").select("table_name", "column_name", F.col("declared_ref").alias("ref_table"), F.lit(sure["declared"]).alias("confidence"))
+    rows = known.where((F.col("base") != "") & ~F.col("column_name").isin(*NO_KEYS))
     tables = columns.select(F.col("table_name").alias("ref")).distinct()
-    guess = rows.select("table_name", "column_name", F.explode(F.array(F.struct(F.lit(1).alias("place"), F.concat("base", F.lit("s")).alias("ref")), F.struct(F.lit(2).alias("place"), F.col("base").alias("ref")))).alias("g"))
-    found = guess.select("table_name", "column_name", "g.place", "g.ref").join(tables, "ref")
-    return found.groupBy("table_name", "column_name").agg(F.min_by("ref", "place").alias("ref_table")).withColumn("confidence", F.lit(0.5))
+    tier = F.when(F.col("is_unique"), sure["unique"]).when(F.col("in_index"), sure["index"]).otherwise(sure["name"])
+    guess = rows.select("table_name", "column_name", tier.alias("confidence"), F.explode(F.array(F.struct(F.lit(1).alias("place"), F.concat("base", F.lit("s")).alias("ref")), F.struct(F.lit(2).alias("place"), F.col("base").alias("ref")))).alias("g"))
+    named = guess.select("table_name", "column_name", "confidence", "g.place", "g.ref").join(tables, "ref").groupBy("table_name", "column_name").agg(F.min_by("ref", "place").alias("ref_table"), F.max("confidence").alias("confidence"))
+    best = F.max_by(F.struct("ref_table", "confidence"), "confidence")
+    return declared.unionByName(named).groupBy("table_name", "column_name").agg(best.alias("b")).select("table_name", "column_name", "b.ref_table", "b.confidence")
+
+
+def module_scores(files: DataFrame) -> DataFrame:
+    """module, score, class of modules by their files (module, path inside it, text), best first.
+
+    Configuration of an application +3, a main source set +2, a main folder +1, an executable build plugin +3, a
+    library's name -3, neither entry point nor plugin -3; from 3 on a service, up to -1 a library.
+    """
+    any_ = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    path, text = F.col("path"), F.col("text")
+    build = path.isin("build.gradle", "build.gradle.kts", "pom.xml")
+    sums = files.groupBy("module").agg(
+        any_(path.rlike(r"^src/main/resources/(application\.(yml|yaml|json|properties)|bootstrap\.properties)$")).alias("config"), any_(path.rlike("^src/main/(java|kotlin|ts|python)(/|$)")).alias("code"), any_(path.rlike("^src/main(/|$)")).alias("main"),
+        any_(build & text.rlike(r"(?i)(spring-boot|application|org\.springframework\.boot|io\.quarkus|shadowJar)")).alias("plugin"), any_(path.rlike(r"Application\.(java|kt)$|main\.(ts|js|py)$")).alias("entry"),
+    )
+    score = 3 * F.col("config") + 2 * F.col("code") + F.col("main") + 3 * F.col("plugin") - 3 * F.col("module").rlike("(?i)(common|domain|shared|lib|library)").cast("int") - 3 * ((F.col("entry") == 0) & (F.col("plugin") == 0)).cast("int")
+    kind = F.when(F.col("score") >= 3, "service_candidate").when(F.col("score") <= -1, "library_candidate").otherwise("inherited")
+    return sums.select("module", score.alias("score")).withColumn("class", kind).orderBy(F.desc("score"), "module")
 
 
 def with_rules(signals: DataFrame, rules: list[tuple]) -> DataFrame:

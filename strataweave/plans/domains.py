@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.scalars import name_tokens, r6
+from strataweave.functions.scalars import NAME_SUFFIXES, name_tokens, r6
 from strataweave.operators import domain
 from strataweave.plans.rollups import s2s_of
 from strataweave.sources.graph_tables import GraphTables, with_tables
 
+SUFFIXES = ", ".join(f"'{x}'" for x in NAME_SUFFIXES)
 PRIMARY = "prime AS (SELECT object_id, arg_min(domain_id, (-affinity, domain_id)) AS domain_id, max(affinity) AS affinity FROM affinities GROUP BY 1)"
 
 
@@ -44,10 +46,9 @@ def domain_summary(spark, sf_dir):
 
 
 def domain_top_members(spark, sf_dir):
-    """The five members of highest affinity of each domain, by partial top lists instead of a window over all members."""
-    a = GraphTables(spark, sf_dir).affinities()
-    tops = a.groupBy("domain_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("affinity")).alias("m"), "object_id"))), 1, 5).alias("t"))
-    return tops.select("domain_id", F.posexplode("t").alias("p", "x")).select("domain_id", (F.col("p") + 1).cast("long").alias("place"), "x.object_id", (-F.col("x.m")).alias("affinity"))
+    """The five members of highest affinity of each domain: a ranked window whose limit Spark applies before the shuffle too."""
+    rank = F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("affinity"), "object_id"))
+    return GraphTables(spark, sf_dir).affinities().withColumn("place", rank).where("place <= 5").select("domain_id", F.col("place").cast("long").alias("place"), "object_id", "affinity")
 
 
 def implementing_services(spark, sf_dir):
@@ -81,11 +82,21 @@ def name_jaccard(spark, sf_dir):
 
 
 def fuzzy_domain(spark, sf_dir):
-    """For each nation or region name the best other name, by fuzzy score; candidates meet on their first letter."""
+    """For each nation or region name the best other name, by fuzzy score."""
     g = GraphTables(spark, sf_dir)
-    names = g.source("nation").select(F.lower("n_name").alias("name")).union(g.source("region").select(F.lower("r_name"))).distinct().withColumn("k", F.substring("name", 1, 1))
-    rows = names.withColumnRenamed("name", "word").join(names, "k").where("word <> name").withColumn("score", domain.fuzzy_score(F.col("word"), F.col("name")))
-    return rows.where("score > 0").groupBy("word").agg(F.max_by(F.struct("name", "score"), F.struct("score", F.col("name"))).alias("b")).select("word", "b.name", F.col("b.score").cast("long").alias("score"))
+    names = g.source("nation").select(F.lower("n_name").alias("name")).union(g.source("region").select(F.lower("r_name"))).distinct()
+    rows = domain.fuzzy_pairs(names, names).withColumn("score", domain.fuzzy_score(F.col("word"), F.col("name")))
+    return rows.where("word <> name and score > 0").groupBy("word").agg(F.max_by(F.struct("name", "score"), F.struct("score", F.col("name"))).alias("b")).select("word", "b.name", F.col("b.score").cast("long").alias("score"))
+
+
+def table_domains(spark, sf_dir):
+    """Customer names, read as table names, by the domain that their prefix names; domains are the market segments and order words."""
+    g = GraphTables(spark, sf_dir)
+    c = g.source("customer")
+    tables = c.select("c_custkey", F.concat(F.lower("c_mktsegment"), F.lit("_"), "c_custkey").alias("table_name"))
+    domains = c.select(F.col("c_mktsegment").alias("name")).distinct().where("name <> 'BUILDING'").withColumn("domain_id", F.concat(F.lit("d-"), F.lower("name"))).union(spark.range(1).select(F.lit("build").alias("name"), F.lit("d-build").alias("domain_id")))
+    found = domain.table_domains(tables, domains)
+    return found.groupBy("domain_id").agg(F.count(F.lit(1)).alias("tables")).select("domain_id", "tables", (F.col("tables") / F.max("tables").over(Window.partitionBy(F.lit(1)))).alias("score")).withColumn("score", r6(F.col("score")))
 
 
 def collaborators(spark, sf_dir):
@@ -108,14 +119,16 @@ ENTRIES = {
         JOIN (SELECT parent_id, count(*) AS total FROM objects WHERE object_type = 'api_endpoint' GROUP BY 1) USING (parent_id)""", PRIMARY)),
     "cohesion": (cohesion, with_tables("""SELECT p.domain_id, member, count(*) FILTER (WHERE p.domain_id = q.domain_id) AS inner_relations, count(*) AS all_relations, round(count(*) FILTER (WHERE p.domain_id = q.domain_id) / count(*), 6) AS cohesion FROM
         (SELECT subject_id AS member, object_id AS other FROM s2s UNION ALL SELECT object_id, subject_id FROM s2s WHERE subject_id <> object_id) JOIN prime p ON p.object_id = member LEFT JOIN prime q ON q.object_id = other GROUP BY ALL""", PRIMARY)),
-    "structural_clusters": (structural_clusters, """WITH t AS (SELECT 'T' || p_partkey AS object_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: len(x) >= 2)) AS tokens FROM part),
+    "structural_clusters": (structural_clusters, f"""WITH t AS (SELECT 'T' || p_partkey AS object_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN ({SUFFIXES}))) AS tokens FROM part),
         s AS (SELECT object_id, unnest(tokens) AS slug, 0.55 / len(tokens) AS score FROM t), k AS (SELECT * FROM s WHERE score >= 0.2)
         SELECT slug, object_id, floor(score * 1000 + 0.5) / 1000 AS score, members FROM k JOIN (SELECT slug, count(*) AS members FROM k GROUP BY 1 HAVING count(*) >= 2) USING (slug)"""),
-    "name_jaccard": (name_jaccard, """WITH t AS (SELECT a, list_distinct(list_filter(string_split_regex(lower(a), '[^a-z0-9]+'), lambda x: len(x) >= 2)) AS t FROM (SELECT DISTINCT p_name AS a FROM part))
+    "name_jaccard": (name_jaccard, f"""WITH t AS (SELECT a, list_distinct(list_filter(string_split_regex(lower(a), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN ({SUFFIXES}))) AS t FROM (SELECT DISTINCT p_name AS a FROM part))
         SELECT x.a, y.a AS b, round(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6) AS jaccard FROM t x JOIN t y ON x.a < y.a WHERE len(list_intersect(x.t, y.t)) > 0"""),
     "fuzzy_domain": (fuzzy_domain, """WITH n AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(r_name) FROM region),
-        s AS (SELECT w.name AS word, n.name, CASE WHEN starts_with(n.name, w.name) THEN 85 WHEN contains(n.name, w.name) THEN 70 WHEN levenshtein(w.name, n.name) <= 2 THEN 60 ELSE 0 END AS score FROM n w JOIN n ON w.name[1] = n.name[1] AND w.name <> n.name)
+        s AS (SELECT w.name AS word, n.name, CASE WHEN starts_with(n.name, w.name) THEN 85 WHEN contains(n.name, w.name) THEN 70 WHEN levenshtein(w.name, n.name) <= 2 THEN 60 ELSE 0 END AS score FROM n w JOIN n ON w.name <> n.name)
         SELECT word, arg_max(name, (score, name)) AS name, CAST(max(score) AS BIGINT) AS score FROM s WHERE score > 0 GROUP BY 1"""),
+    "table_domains": (table_domains, """WITH t AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'd-build' ELSE 'd-' || lower(c_mktsegment) END AS domain_id, count(*) AS tables FROM customer GROUP BY 1)
+        SELECT domain_id, tables, round(tables / max(tables) OVER (), 6) AS score FROM t"""),
     "collaborators": (collaborators, with_tables("""SELECT domain_id, direction, relation_type, count(*) AS n FROM (
         SELECT x.domain_id, 'OUT' AS direction, relation_type FROM s2s JOIN prime x ON x.object_id = subject_id JOIN prime y ON y.object_id = s2s.object_id WHERE x.domain_id <> y.domain_id
         UNION ALL SELECT y.domain_id, 'IN', relation_type FROM s2s JOIN prime x ON x.object_id = subject_id JOIN prime y ON y.object_id = s2s.object_id WHERE x.domain_id <> y.domain_id) GROUP BY ALL""", PRIMARY)),

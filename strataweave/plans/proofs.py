@@ -40,9 +40,11 @@ def sql_tables(spark, sf_dir):
 
 
 def key_candidates(spark, sf_dir):
-    """Foreign keys guessed among columns that customers' segments and nations make up."""
+    """Foreign keys among columns that customers' segments and nations make up: declared, unique, in an index, or by name alone."""
     c = GraphTables(spark, sf_dir).source("customer")
-    cols = c.select(F.concat(F.lower("c_mktsegment"), F.lit("s")).alias("table_name"), F.concat(F.lower(F.element_at(F.array(*[F.lit(x) for x in ("BUILDING", "MACHINERY", "HOUSEHOLD", "ORDER", "FURNITURE")]), (F.col("c_nationkey") % 5 + 1).cast("int"))), F.lit("_id")).alias("column_name")).distinct()
+    column = F.concat(F.lower(F.element_at(F.array(*[F.lit(x) for x in ("BUILDING", "MACHINERY", "HOUSEHOLD", "ORDER", "FURNITURE")]), (F.col("c_nationkey") % 5 + 1).cast("int"))), F.lit("_id"))
+    cols = c.groupBy(F.concat(F.lower("c_mktsegment"), F.lit("s")).alias("table_name"), column.alias("column_name")).agg(
+        F.min(F.when((F.col("c_nationkey") % 5 == 1) & (F.col("c_mktsegment") == "BUILDING"), "machinerys")).alias("declared_ref"), F.max(F.col("c_nationkey") % 5 == 2).alias("is_unique"), F.max(F.col("c_mktsegment") == "MACHINERY").alias("in_index"))
     return signals.key_candidates(cols)
 
 
@@ -85,13 +87,16 @@ def proof_http(spark, sf_dir):
 
 
 def route_match(spark, sf_dir):
-    """The gateway rule that takes each page's path: by language, exact for the first page of each."""
+    """The gateway rule that takes each page's path: exact for the first page of a language, else by language, by a pattern of long numbers, or the rule for all; ties are marked."""
     g = GraphTables(spark, sf_dir)
     langs = _intents(g).select(F.regexp_extract("path", "^/([a-z]+)/", 1).alias("l")).where("l <> ''").distinct()
-    prefix = langs.select(F.concat(F.lit("p-"), F.col("l")).alias("rule_id"), F.lit("prefix").alias("mode"), F.concat(F.lit("/"), F.col("l"), F.lit("/**")).alias("match_path"), F.lit(1).alias("priority"))
-    exact = _intents(g).where("path rlike '^/[a-z]+/[0-9]+$'").groupBy(F.regexp_extract("path", "^/([a-z]+)/", 1).alias("l")).agg(F.min("path").alias("match_path")).select(F.concat(F.lit("x-"), F.col("l")).alias("rule_id"), F.lit("exact").alias("mode"), "match_path", F.lit(1).alias("priority"))
-    out = proof.route_matches(_intents(g).select("intent_id", "path"), prefix.unionByName(exact))
-    return out.select("intent_id", "rule_id", F.col("spec").cast("long").alias("spec"), proof.transformed(F.col("path"), F.lit(1), F.lit("/internal")).alias("internal_path"))
+    rule = lambda i, mode, path, priority: (i.alias("rule_id"), F.lit(mode).alias("mode"), path.alias("match_path"), F.lit(priority).alias("priority"))
+    prefix = langs.select(*rule(F.concat(F.lit("p-"), F.col("l")), "prefix", F.concat(F.lit("/"), F.col("l"), F.lit("/**")), 1))
+    again = langs.where("l > 'f'").select(*rule(F.concat(F.lit("q-"), F.col("l")), "prefix", F.concat(F.lit("/"), F.col("l"), F.lit("/*")), 1))
+    exact = _intents(g).where("path rlike '^/[a-z]+/[0-9]+$'").groupBy(F.regexp_extract("path", "^/([a-z]+)/", 1).alias("l")).agg(F.min("path").alias("match_path")).select(*rule(F.concat(F.lit("x-"), F.col("l")), "exact", F.col("match_path"), 1))
+    others = spark.range(1).select(*rule(F.lit("r"), "regex", F.lit("/[0-9]*7$"), 1)).unionByName(spark.range(1).select(*rule(F.lit("z"), "prefix", F.lit("/**"), 0)))
+    out = proof.route_matches(_intents(g).select("intent_id", "path"), prefix.unionByName(again).unionByName(exact).unionByName(others))
+    return out.select("intent_id", "rule_id", F.col("spec").cast("long").alias("spec"), "tied", proof.transformed(F.col("path"), F.lit(1), F.lit("/internal")).alias("internal_path"))
 
 
 def proof_db(spark, sf_dir):
@@ -137,7 +142,7 @@ def route_chain(spark, sf_dir):
     langs = _intents(g).select(F.regexp_extract("path", "^/([a-z]+)(/|$)", 1).alias("l")).where("l <> ''").distinct()
     first = langs.select(F.concat(F.lit("a-"), F.col("l")).alias("rule_id"), F.lit("prefix").alias("mode"), F.concat(F.lit("/"), F.col("l"), F.lit("/**")).alias("match_path"), F.lit(1).alias("priority"), F.lit(1).alias("strip"), F.lit("/V1").alias("prepend"))
     second = spark.range(1).select(F.lit("b").alias("rule_id"), F.lit("prefix").alias("mode"), F.lit("/V1/**").alias("match_path"), F.lit(1).alias("priority"), F.lit(1).alias("strip"), F.lit("/INTERNAL").alias("prepend"))
-    return proof.route_chain(_intents(g), first.unionByName(second)).select("intent_id", "path", F.col("hops").cast("long").alias("hops"))
+    return proof.route_chain(_intents(g), first.unionByName(second)).select("intent_id", "path", F.col("hops").cast("long").alias("hops"), "status")
 
 
 def provider_choice(spark, sf_dir):
@@ -173,11 +178,12 @@ def language_metrics(spark, sf_dir):
 
 
 def module_boundaries(spark, sf_dir):
-    """Hosts scored as modules: many pages, several languages, numbered paths; best first, in three classes."""
-    p = GraphTables(spark, sf_dir).source("pages").select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    m = p.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct(F.regexp_extract("path", "^/([a-z]+)", 1)).alias("langs"), F.count_if(F.col("path").rlike("/[0-9]+")).alias("numbered"))
-    score = 0.4 * (F.col("pages") >= 5).cast("int") + 0.3 * (F.col("langs") >= 2).cast("int") + 0.3 * (F.col("numbered") * 2 >= F.col("pages")).cast("int")
-    return m.select("host", r6(score).alias("score")).withColumn("class", F.when(F.col("score") >= 0.7, "SERVICE").when(F.col("score") >= 0.4, "LIBRARY").otherwise("OTHER"))
+    """Hosts scored as modules; each page stands for a file of its host."""
+    p = GraphTables(spark, sf_dir).source("pages")
+    names = ("src/main/resources/application.yml", "src/main/java/A.java", "build.gradle", "README", "src/main/ts/main.ts", "docs/x", "pom.xml", "src/main/resources/x.txt")
+    path = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("page_id") % 8 + 1).cast("int"))
+    files = p.select(url_host(F.col("url")).alias("module"), path.alias("path"), F.col("html").alias("text"))
+    return signals.module_scores(files).select(F.col("module").alias("host"), F.col("score").cast("long").alias("score"), "class")
 
 
 URLS = "u AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host, CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) END AS path FROM pages)"
@@ -203,7 +209,8 @@ ENTRIES = {
     "config_entries": (config_entries, """WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.-]*\\s*=\\s*"[^"]+"')) AS x FROM documents) SELECT doc_id, regexp_extract(x, '^([A-Za-z0-9_.-]+)', 1) AS name, regexp_extract(x, '"([^"]+)"', 1) AS value FROM e"""),
     "sql_tables": (sql_tables, "SELECT regexp_replace(p_name, '[^a-z]+', '_', 'g') AS table_name, 'read' AS access, count(*) AS statements FROM part GROUP BY 1 UNION ALL SELECT regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), 'write', count(*) FROM part GROUP BY 1"),
     "key_candidates": (key_candidates, """WITH c AS (SELECT DISTINCT lower(c_mktsegment) || 's' AS t, ['building', 'machinery', 'household', 'order', 'furniture'][c_nationkey % 5 + 1] AS b FROM customer)
-        SELECT t AS table_name, b || '_id' AS column_name, b || 's' AS ref_table, 0.5::DOUBLE AS confidence FROM c WHERE b || 's' IN (SELECT t FROM c)"""),
+        SELECT t AS table_name, b || '_id' AS column_name, b || 's' AS ref_table, CASE WHEN t = 'buildings' AND b = 'machinery' THEN 0.95 WHEN b = 'household' THEN 0.85 WHEN t = 'machinerys' THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence
+        FROM c WHERE b || 's' IN (SELECT t FROM c) OR (t = 'buildings' AND b = 'machinery')"""),
     "owner_by_path": (owner_by_path, f"WITH {URLS}, p AS (SELECT DISTINCT path FROM u), s AS (SELECT path, unnest(string_split(lower(path), '/')) AS seg, generate_subscripts(string_split(lower(path), '/'), 1) AS pos FROM p) SELECT path, 'L' || arg_max(seg, pos) AS service_id FROM s WHERE seg IN (SELECT lang FROM documents) GROUP BY 1"),
     "hash_incremental": (hash_incremental, "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id % 2 <> 0 OR doc_id % 6 = 0"),
     "path_compat": (path_compat, f"WITH {URLS}, {ENDPOINTS}, {SCORE} SELECT host AS provider_id, path, endpoint_path, round(score, 6)::DOUBLE AS score FROM sc"),
@@ -211,15 +218,17 @@ ENTRIES = {
           FROM u LEFT JOIN ep ON u.host = ep.host LEFT JOIN sc ON sc.host = u.host AND sc.path = u.path AND sc.endpoint_path = ep.endpoint_path),
         b AS (SELECT page_id, max(score) FILTER (WHERE ok) AS best FROM r GROUP BY 1), t AS (SELECT page_id, best, count(*) FILTER (WHERE ok AND score = best) AS n, min(e) FILTER (WHERE ok AND score = best) AS e FROM r JOIN b USING (page_id) GROUP BY ALL)
         SELECT page_id AS intent_id, CASE WHEN n = 0 THEN 'PROVIDER_ENDPOINT_NOT_FOUND' WHEN n > 1 THEN 'ENDPOINT_MATCH_AMBIGUOUS' ELSE 'CLOSED_ATOMIC' END AS status, CASE WHEN n = 1 THEN e END AS endpoint_id, round(best, 6)::DOUBLE AS score FROM t"""),
-    "route_match": (route_match, f"""WITH {URLS}, i AS (SELECT page_id, path, regexp_extract(path, '^/([a-z]+)/', 1) AS l FROM u), x AS (SELECT l, min(path) AS p FROM i WHERE regexp_full_match(path, '/[a-z]+/[0-9]+') GROUP BY 1)
-        SELECT page_id AS intent_id, CASE WHEN path = p THEN 'x-' ELSE 'p-' END || i.l AS rule_id, CASE WHEN path = p THEN 202 ELSE 2 END::BIGINT AS spec, '/internal' || rtrim(substr(path, len(i.l) + 2), '/') AS internal_path FROM i LEFT JOIN x ON i.l = x.l WHERE i.l <> ''"""),
+    "route_match": (route_match, f"""WITH {URLS}, i AS (SELECT page_id, path, regexp_extract(path, '^/([a-z]+)/', 1) AS l FROM u), x AS (SELECT l, min(path) AS p FROM i WHERE regexp_full_match(path, '/[a-z]+/[0-9]+') GROUP BY 1),
+        m AS (SELECT page_id, path, CASE WHEN path = p THEN 'x-' || i.l WHEN regexp_matches(path, '/[0-9]*7$') THEN 'r' WHEN i.l <> '' THEN 'p-' || i.l ELSE 'z' END AS rule_id, i.l FROM i LEFT JOIN x ON i.l = x.l AND i.l <> '')
+        SELECT page_id AS intent_id, rule_id, CASE rule_id[1] WHEN 'x' THEN 202 WHEN 'r' THEN 101 WHEN 'p' THEN 2 ELSE 1 END::BIGINT AS spec, rule_id[1] = 'p' AND l > 'f' AS tied,
+          '/internal' || CASE WHEN regexp_matches(path, '^/[^/]+/.*[^/]') THEN rtrim(regexp_replace(path, '^/[^/]+', ''), '/') ELSE '' END AS internal_path FROM m"""),
     "proof_db": (proof_db, """SELECT p_partkey AS intent_id, CASE WHEN n IS NULL THEN 'DB_TABLE_UNRESOLVED' WHEN n > 1 THEN 'TABLE_MATCH_AMBIGUOUS' ELSE 'CLOSED_ATOMIC' END AS status, CASE WHEN n = 1 THEN t END AS target_id
         FROM part LEFT JOIN (SELECT p_name AS k, count(*) AS n, min('T' || p_partkey) AS t FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1) ON k = p_name"""),
     "proof_message": (proof_message, """WITH t AS (SELECT DISTINCT 'TP' || event_type || ':' || hour(ts) AS t FROM events) SELECT event_id AS intent_id, CASE WHEN t IS NULL THEN 'MESSAGE_TARGET_UNRESOLVED' ELSE 'CLOSED_ATOMIC' END AS status, t AS target_id FROM events LEFT JOIN t ON t = 'TP' || event_type || ':' || (hour(ts) + event_id % 3)"""),
     "proof_confidence": (proof_confidence, with_tables("""SELECT l_orderkey, rn, round(least(greatest(((1 - l_discount) * 0.45::DOUBLE + l_tax * 10 * 0.25::DOUBLE + least(0.2::DOUBLE, 0.05::DOUBLE * l_linenumber) + CASE WHEN l_returnflag = 'R' THEN 0.2::DOUBLE ELSE 0.12::DOUBLE END - CASE WHEN l_quantity < 5 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) * CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END, 0), 1), 6) AS confidence FROM chain""")),
     "impacted_intents": (impacted_intents, "SELECT DISTINCT l_orderkey AS intent_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"),
     "route_chain": (route_chain, f"""WITH {URLS}, i AS (SELECT page_id, path, regexp_extract(path, '^/([a-z]+)(/|$)', 1) AS l FROM u)
-        SELECT page_id AS intent_id, CASE WHEN l = '' THEN path ELSE '/INTERNAL' || rtrim(substr(path, len(l) + 2), '/') END AS path, CASE WHEN l = '' THEN 0 ELSE 2 END::BIGINT AS hops FROM i"""),
+        SELECT page_id AS intent_id, CASE WHEN l = '' THEN path ELSE '/INTERNAL' || rtrim(substr(path, len(l) + 2), '/') END AS path, CASE WHEN l = '' THEN 0 ELSE 2 END::BIGINT AS hops, '' AS status FROM i"""),
     "provider_choice": (provider_choice, """WITH p AS (SELECT regexp_extract(url, '://[^/]*\\.([a-z]+)(/|$)', 1) AS c, regexp_extract(url, '://[^/]+/([a-z]+)', 1) AS segment FROM pages),
         n AS (SELECT segment, c, count(*) / sum(count(*)) OVER (PARTITION BY segment) AS score FROM p GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS second FROM n WINDOW w AS (PARTITION BY segment ORDER BY score DESC, c))
@@ -231,7 +240,9 @@ ENTRIES = {
     "unambiguous_endpoints": (unambiguous_endpoints, f"WITH {URLS} SELECT host AS provider_id, path, min(page_id) AS intent_id FROM u GROUP BY 1, 2 HAVING count(DISTINCT page_id) = 1"),
     "language_metrics": (language_metrics, """WITH l AS (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), s AS (SELECT doc_id, lang, len(x) AS lines, len(list_filter(x, lambda c: regexp_matches(c, '@(Get|Post|Put|Delete|Patch|Request)Mapping|RestTemplate|WebClient|FeignClient|axios\\.|fetch\\(|requests\\.|kafkaTemplate\\.send|\\.send\\(\\s*new\\s+ProducerRecord|@KafkaListener|https?://[^\\s"\'\'<>]+|[A-Za-z_][A-Za-z0-9_.-]*\\s*[=:]\\s*"[^"]+"'))) AS n FROM l)
         SELECT lang, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(n) AS BIGINT) AS signals, round(count(*) FILTER (WHERE n = 0) / count(*), 3) AS fallback_rate FROM s GROUP BY 1"""),
-    "module_boundaries": (module_boundaries, f"""WITH {URLS}, m AS (SELECT host, count(*) AS pages, count(DISTINCT regexp_extract(path, '^/([a-z]+)', 1)) AS langs, count(*) FILTER (WHERE regexp_matches(path, '/[0-9]+')) AS numbered FROM u GROUP BY 1),
-        s AS (SELECT host, round(0.4::DOUBLE * (pages >= 5)::INT + 0.3::DOUBLE * (langs >= 2)::INT + 0.3::DOUBLE * (numbered * 2 >= pages)::INT, 6) AS score FROM m) SELECT host, score, CASE WHEN score >= 0.7 THEN 'SERVICE' WHEN score >= 0.4 THEN 'LIBRARY' ELSE 'OTHER' END AS class FROM s"""),
+    "module_boundaries": (module_boundaries, f"""WITH {URLS}, f AS (SELECT host, u.page_id % 8 AS k, regexp_matches(coalesce(html, ''), '(?i)(spring-boot|application|org\\.springframework\\.boot|io\\.quarkus|shadowJar)') AS runs FROM u JOIN pages USING (page_id)),
+        m AS (SELECT host, bool_or(k = 0) AS config, bool_or(k IN (1, 4)) AS code, bool_or(k IN (0, 1, 4, 7)) AS main, bool_or(k IN (2, 6) AND runs) AS plugin, bool_or(k = 4) AS entry FROM f GROUP BY 1),
+        s AS (SELECT host, (3 * config::INT + 2 * code::INT + main::INT + 3 * plugin::INT - 3 * regexp_matches(host, '(?i)(common|domain|shared|lib|library)')::INT - 3 * (NOT entry AND NOT plugin)::INT)::BIGINT AS score FROM m)
+        SELECT host, score, CASE WHEN score >= 3 THEN 'service_candidate' WHEN score <= -1 THEN 'library_candidate' ELSE 'inherited' END AS class FROM s"""),
     "intent_classes": (intent_classes, "SELECT role, CASE WHEN regexp_matches(t, '\\b(path|route|from)\\b') THEN 'PATH_DISCOVERY' WHEN regexp_matches(t, '\\b(impact|affect|of)\\b') THEN 'IMPACT_ANALYSIS' WHEN regexp_matches(t, '\\b(use|uses|for)\\b') THEN 'USAGE_DISCOVERY' ELSE 'DOMAIN_SUMMARY' END AS query_type, count(*) AS turns FROM (SELECT role, lower(text) AS t FROM conversations) GROUP BY ALL"),
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.scalars import name_tokens, r6
-from strataweave.operators import intake
-from strataweave.plans.proofs import proof_db, proof_http, proof_message
+from strataweave.functions.scalars import NAME_SUFFIXES, name_tokens, r6, url_host, url_path
+from strataweave.operators import intake, proof
+from strataweave.plans.proofs import ENTRIES as PROOFS
+from strataweave.plans.proofs import URLS, proof_db, proof_http, proof_message
 from strataweave.sources.graph_tables import GraphTables, with_tables
 from strataweave.sources.scratch import fresh_path
 
@@ -21,10 +22,17 @@ def frontier_list(spark, sf_dir):
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(latest, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_totalprice", "c_name", "n_name", "last_line")
 
 
+def _open_frontiers(g: GraphTables):
+    """Pages as open frontiers: the language of the address owns them, hosts and keys are hints, some written differently."""
+    p = g.source("pages")
+    host, n = url_host(F.col("url")), F.col("page_id")
+    hosts = F.array(F.when(n % 2 == 0, F.upper(host)).otherwise(F.concat(F.lit(" "), host)), F.lit(""))
+    keys = F.when(n % 3 == 0, F.array(F.lit("B.url"), F.lit("a.url"))).otherwise(F.array(F.lit("a.url"), F.lit("b.url"), F.lit("A.URL")))
+    return p.select(n.alias("frontier_id"), F.regexp_extract("url", r"://[^/]+/([a-z]+)", 1).alias("owner"), hosts.alias("hosts"), keys.alias("config_keys"))
+
+
 def correlation_groups(spark, sf_dir):
-    """Customers that share nation and segment, in groups of two or more."""
-    c = GraphTables(spark, sf_dir).source("customer")
-    return c.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("size"), F.min("c_custkey").alias("first_id"), F.max("c_custkey").alias("last_id")).where("size > 1")
+    return proof.correlation_groups(_open_frontiers(GraphTables(spark, sf_dir)))
 
 
 def scope_closure(spark, sf_dir):
@@ -93,10 +101,11 @@ def meta_merge(spark, sf_dir):
 
 
 def slot_completeness(spark, sf_dir):
-    """How complete page intents are: method, path, host and query each fill a slot."""
+    """Slots of page intents: method by number, path and host from the address, the inner path where the address has a number, the target where it has none."""
     p = GraphTables(spark, sf_dir).source("pages")
-    slots = 0.35 * (F.col("url").rlike("^https?://[^/]+/[a-z]+/")).cast("int") + 0.45 * F.col("url").rlike("/[0-9]+").cast("int") + 0.2 * F.col("url").contains("?").cast("int")
-    return p.select("page_id", r6(slots).alias("completeness"))
+    path, n = url_path(F.col("url")), F.col("page_id")
+    slots = p.select("page_id", F.when(n % 3 > 0, "GET").alias("method"), path.alias("external_path"), F.when(path.rlike("/[0-9]+"), path).alias("internal_path"), url_host(F.col("url")).alias("provider_id"), F.when(~path.rlike("/[0-9]+"), n).alias("target_id"))
+    return slots.select("page_id", r6(proof.slot_completeness("http")).alias("completeness"))
 
 
 def payload_validation(spark, sf_dir):
@@ -138,17 +147,18 @@ def property_entries(spark, sf_dir):
 ENTRIES = {
     "frontier_list": (frontier_list, """SELECT o_orderkey, o_totalprice, c_name, n_name, last_line FROM (SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100) LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
         LEFT JOIN (SELECT l_orderkey, arg_max(l_linenumber, (l_shipdate, l_linenumber)) AS last_line FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""),
-    "correlation_groups": (correlation_groups, "SELECT c_nationkey, c_mktsegment, count(*) AS size, min(c_custkey) AS first_id, max(c_custkey) AS last_id FROM customer GROUP BY 1, 2 HAVING count(*) > 1"),
+    "correlation_groups": (correlation_groups, f"""WITH {URLS}, f AS (SELECT u.page_id, regexp_extract(url, '://[^/]+/([a-z]+)', 1) AS owner, lower(trim(host)) AS host_key, 'a.url,b.url' AS config_key FROM u JOIN pages USING (page_id))
+        SELECT owner, host_key, config_key, count(*) AS size, min(page_id) AS first_id FROM f GROUP BY ALL HAVING count(*) > 1"""),
     "scope_closure": (scope_closure, with_tables("SELECT id FROM ch UNION SELECT id FROM objects WHERE parent_id IN (SELECT id FROM ch) UNION SELECT r.object_id FROM relations r JOIN objects o ON o.id = r.object_id WHERE r.subject_id IN (SELECT id FROM ch) AND object_type <> 'service'", "ch AS (SELECT 'S' || s_suppkey AS id FROM supplier WHERE s_suppkey % 2 = 0)")),
     "object_search": (object_search, with_tables("SELECT id, name, CASE WHEN lower(name) = 'brand#1' THEN 1 ELSE 2 END::BIGINT AS place FROM objects WHERE name ILIKE '%brand#1%'")),
-    "alias_match": (alias_match, """WITH h AS (SELECT p_partkey, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: len(x) >= 2))) AS token FROM part),
-        a AS (SELECT alias, unnest(list_distinct(list_filter(string_split_regex(lower(alias), '[^a-z0-9]+'), lambda x: len(x) >= 2))) AS token FROM (SELECT p_type AS alias FROM part UNION SELECT c_mktsegment FROM customer)) SELECT alias, count(DISTINCT p_partkey) AS parts FROM h JOIN a USING (token) GROUP BY 1"""),
-    "proof_run_summary": (proof_run_summary, None),
+    "alias_match": (alias_match, f"""WITH h AS (SELECT p_partkey, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN ({', '.join(repr(x) for x in NAME_SUFFIXES)})))) AS token FROM part),
+        a AS (SELECT alias, unnest(list_distinct(list_filter(string_split_regex(lower(alias), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN ({', '.join(repr(x) for x in NAME_SUFFIXES)})))) AS token FROM (SELECT p_type AS alias FROM part UNION SELECT c_mktsegment FROM customer)) SELECT alias, count(DISTINCT p_partkey) AS parts FROM h JOIN a USING (token) GROUP BY 1"""),
+    "proof_run_summary": (proof_run_summary, " UNION ALL ".join(f"SELECT '{kind}' AS kind, status, count(*) AS n FROM ({PROOFS[name][1]}) GROUP BY status" for kind, name in (("http", "proof_http"), ("db", "proof_db"), ("message", "proof_message")))),
     "export_json": (export_json, with_tables("SELECT to_json({'id': id, 'relation_type': relation_type, 'subject_id': subject_id, 'object_id': object_id})::VARCHAR AS line FROM relations WHERE status = 'APPROVED'")),
     "snapshot": (snapshot, with_tables("SELECT object_type, granularity, count(*) AS n FROM objects GROUP BY ALL")),
     "export_csv": (export_csv, "SELECT s_suppkey, 'a \"b\", ' || s_name AS label, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"),
     "meta_merge": (meta_merge, "SELECT user_id, coalesce(json_extract_string(arg_max(props, (ts, event_id)), '$.k'), json_extract_string(arg_min(props, (ts, event_id)), '$.k')) AS k, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1"),
-    "slot_completeness": (slot_completeness, "SELECT page_id, round(0.35::DOUBLE * regexp_matches(url, '^https?://[^/]+/[a-z]+/')::INT + 0.45::DOUBLE * regexp_matches(url, '/[0-9]+')::INT + 0.2::DOUBLE * contains(url, '?')::INT, 6) AS completeness FROM pages"),
+    "slot_completeness": (slot_completeness, f"""WITH {URLS} SELECT page_id, round(CASE WHEN page_id % 3 > 0 THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE + 0.2::DOUBLE + CASE WHEN host <> '' THEN 0.2::DOUBLE ELSE 0 END, 6) AS completeness FROM u"""),
     "payload_validation": (payload_validation, """SELECT o_orderkey, concat_ws(',', CASE WHEN contains(o_orderpriority, 'NOT SPECIFIED') THEN 'PRIORITY' END, CASE WHEN n IS NULL THEN 'NO_LINE' END, CASE WHEN n > 6 THEN 'MANY_LINES' END, CASE WHEN q >= 50 THEN 'QUANTITY' END) AS broken
         FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_quantity) AS q FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE broken <> ''"""),
     "tab_counts": (tab_counts, with_tables("SELECT CASE WHEN granularity = 'ATOMIC' THEN 'atomic' ELSE object_type END AS tab, count(*) AS n FROM objects GROUP BY 1")),

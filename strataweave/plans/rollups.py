@@ -175,7 +175,18 @@ def evidence_chain(spark, sf_dir):
     return graph.evidence_chain(rollup.edges(lifted), rollup.provenance(lifted), g.evidences()).withColumn("confidence", r6(F.col("confidence"))).withColumn("score", r6(F.col("score")))
 
 
+def evidence_top(spark, sf_dir):
+    """The ten best items of evidence for the calls and dependencies of all services."""
+    g = GraphTables(spark, sf_dir)
+    lifted = rollup.service_calls(g.relations(), called(g))
+    items = graph.evidence_chain(rollup.edges(lifted), rollup.provenance(lifted), g.evidences()).withColumn("hop", F.lit(0))
+    return graph.top_evidence(items).select("relation_type", "subject_id", "object_id", "edge_weight", "evidence_type", "evidence_id", r6(F.col("score")).alias("score"))
+
+
 ENTRIES = {
+    "evidence_top": (evidence_top, with_tables("""SELECT s.relation_type, s.subject_id, s.object_id, s.edge_weight, coalesce(evidence_type, 'rollup') AS evidence_type, coalesce(e.id, '') AS evidence_id, round(s.confidence * s.edge_weight, 6) AS score
+        FROM s2s s LEFT JOIN (SELECT DISTINCT l.relation_type, l.subject_id, l.object_id, e.id, e.evidence_type FROM lifted l JOIN evidences e ON e.relation_id = l.id) e
+        ON s.relation_type = e.relation_type AND s.subject_id = e.subject_id AND s.object_id = e.object_id ORDER BY round(s.confidence * s.edge_weight, 9) DESC, s.edge_weight DESC, s.confidence DESC, 6, 2, 3, 1 LIMIT 10""", LIFT)),
     "rollup_s2s": (rollup_s2s, with_tables("SELECT relation_type, subject_id, object_id, edge_weight, round(confidence, 6) AS confidence FROM s2s")),
     "rollup_s2db": (rollup_s2db, with_tables(PARENT.format("'read', 'write'"))),
     "rollup_s2broker": (rollup_s2broker, with_tables(PARENT.format("'produce', 'consume'"))),

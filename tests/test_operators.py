@@ -138,6 +138,37 @@ def test_signals_and_routes(spark):
     assert [(r.intent_id, r.rule_id, r.out) for r in got.collect()] == [(1, "r2", "/internal/orders/123")]
 
 
+def test_rules_for_any_path_and_ties(spark):
+    intents = spark.createDataFrame([(1, "/a/b/7"), (2, "/c"), (3, "/c/d"), (4, "/x/1")], "intent_id long, path string")
+    rules = spark.createDataFrame([("all", "prefix", "/**", 0), ("re", "regex", "/[0-9]$", 1), ("c1", "prefix", "/c/**", 1), ("c2", "prefix", "/c/*", 1), ("one", "exact", "/c", 2)], "rule_id string, mode string, match_path string, priority int")
+    got = {r.intent_id: (r.rule_id, r.tied) for r in proof.route_matches(intents, rules).collect()}
+    assert got == {1: ("re", False), 2: ("one", False), 3: ("c1", True), 4: ("re", False)}
+    only = {r.intent_id: r.rule_id for r in proof.route_matches(intents, rules.where("rule_id = 'all'")).collect()}
+    assert only == {k: "all" for k in (1, 2, 3, 4)}
+    steps = rules.withColumn("strip", F.lit(1)).withColumn("prepend", F.lit("/end"))
+    chain = {r.intent_id: (r.path, r.hops, r.status) for r in proof.route_chain(intents, steps.where("rule_id in ('c1', 'c2', 'one')")).collect()}
+    assert chain == {1: ("/a/b/7", 0, ""), 2: ("/end", 1, ""), 3: ("/c/d", 0, "ROUTE_RULE_CONFLICT"), 4: ("/x/1", 0, "")}
+
+
+def test_fuzzy_names_and_prefixes(spark):
+    names = spark.createDataFrame([(x,) for x in ("order", "orders", "border", "odrer", "payment", "pay", "o")], "name string")
+    got = {tuple(r) for r in domain.fuzzy_pairs(names, names).collect()}
+    every = [r.name for r in names.collect()]
+    rows = spark.createDataFrame([(a, b) for a in every for b in every], "word string, name string")
+    want = {(r.word, r.name) for r in rows.where(domain.fuzzy_score(F.col("word"), F.col("name")) > 0).collect()}
+    assert want <= got
+    tables = spark.createDataFrame([("ORDER_item",), ("pay_log",), ("zzz",), ("_x",)], "table_name string")
+    domains = spark.createDataFrame([("Order", "d1"), ("payment", "d2"), ("Orders", "d0")], "name string, domain_id string")
+    assert {(r.table_name, r.domain_id) for r in domain.table_domains(tables, domains).collect()} == {("ORDER_item", "d1"), ("pay_log", "d2")}
+
+
+def test_key_tiers_and_modules(spark):
+    columns = spark.createDataFrame([("orders", "user_id", None, False, False), ("orders", "shop_no", None, True, True), ("users", "id", None, False, False), ("shop", "owner_id", "people", False, True), ("shop", "user_id", None, False, True)], "table_name string, column_name string, declared_ref string, is_unique boolean, in_index boolean")
+    assert {tuple(r) for r in signals.key_candidates(columns).collect()} == {("orders", "user_id", "users", 0.5), ("orders", "shop_no", "shop", 0.85), ("shop", "owner_id", "people", 0.95), ("shop", "user_id", "users", 0.7)}
+    files = spark.createDataFrame([("gw", "src/main/resources/application.yml", ""), ("gw", "build.gradle", "id 'org.springframework.boot'"), ("shop-common", "src/main/java/A.java", ""), ("tool", "src/main/ts/main.ts", None)], "module string, path string, text string")
+    assert [(r.module, r.score, r["class"]) for r in signals.module_scores(files).collect()] == [("gw", 7, "service_candidate"), ("tool", 3, "service_candidate"), ("shop-common", -3, "library_candidate")]
+
+
 def test_configuration_files(spark, tmp_path):
     from strataweave.operators import intake
 
