@@ -12,26 +12,53 @@ def text_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def indented(files: DataFrame) -> DataFrame:
-    """path, line, depth, name, value of the 'name: value' lines of YAML-like text; list items keep their dash out of the name."""
-    rows = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw")).where(~F.col("raw").rlike(r"^\s*(#|$)"))
-    pattern = r"^(\s*)(?:- )?([A-Za-z0-9_.\-/]+)\s*:\s*(.*?)\s*$"
-    depth = F.length(F.regexp_extract("raw", r"^(\s*(?:- )?)", 1))
-    return rows.where(F.col("raw").rlike(pattern)).select("path", "line", depth.alias("depth"), F.regexp_extract("raw", pattern, 2).alias("name"), F.regexp_replace(F.regexp_extract("raw", pattern, 3), "^[\"']|[\"']$", "").alias("value"))
+#: A 'name: value' line of YAML-like text; a list item's dash is part of its indent.
+YAML_LINE = r"^(\s*(?:- )?)([A-Za-z0-9_.\-/]+)\s*:\s*(.*?)\s*$"
 
 
 def flattened(files: DataFrame) -> DataFrame:
-    """path, key, value: dotted keys of YAML-like files. A line's parents are the nearest lines before it of each smaller depth."""
-    rows = indented(files)
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("depth", "name")).over(w)
-    # Walk back from the line: take a name whenever its depth is under the least taken so far.
-    walk = F.aggregate(
-        F.reverse("before"),
-        F.struct(F.col("depth").cast("int").alias("least"), F.array(F.col("name")).alias("names")),
-        lambda acc, x: F.when(x["depth"] < acc["least"], F.struct(x["depth"].cast("int").alias("least"), F.concat(F.array(x["name"]), acc["names"]).alias("names"))).otherwise(acc),
-    )
-    return rows.withColumn("before", before).where("value <> ''").select("path", F.array_join(walk["names"], ".").alias("key"), "value")
+    """path, key, value: dotted keys of YAML-like files. One pass over a file's lines with the list of open parents: those before it of each smaller depth."""
+    lines = F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(YAML_LINE) & ~x.rlike(r"^\s*#"))
+    part = lambda x, n: F.regexp_extract(x, YAML_LINE, n)
+    rows = F.transform(lines, lambda x: F.struct(F.length(part(x, 1)).alias("depth"), part(x, 2).alias("name"), F.regexp_replace(part(x, 3), "^[\"']|[\"']$", "").alias("value")))
+    start = F.struct(F.array().cast("array<struct<depth:int,name:string>>").alias("open"), F.array().cast("array<struct<key:string,value:string>>").alias("found"))
+
+    def step(state, x):
+        opened = F.concat(F.filter(state["open"], lambda o: o["depth"] < x["depth"]), F.array(F.struct(x["depth"].alias("depth"), x["name"].alias("name"))))
+        entry = F.struct(F.array_join(F.transform(opened, lambda o: o["name"]), ".").alias("key"), x["value"].alias("value"))
+        return F.struct(opened.alias("open"), F.when(x["value"] == "", state["found"]).otherwise(F.concat(state["found"], F.array(entry))).alias("found"))
+
+    return files.select("path", F.explode(F.aggregate(rows, start, step, lambda s: s["found"])).alias("e")).select("path", "e.key", "e.value")
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """path, kind, name, env_name, env_value of the documents of Kubernetes files; documents without variables have null ones."""
+    docs = files.select("path", F.explode(F.split("text", r"(?m)^---\s*$")).alias("doc")).where(F.col("doc").rlike(r"(?m)^kind:"))
+    env = lambda n: F.regexp_extract_all("doc", F.lit(r"-\s*name:\s*([A-Z][A-Z0-9_]*)\s*\n\s*value:\s*[\"']?([^\"'\n]*)"), F.lit(n))
+    rows = docs.select("path", F.regexp_extract("doc", r"(?m)^kind:\s*(\S+)", 1).alias("kind"), F.regexp_extract("doc", r"(?ms)^metadata:.*?^\s+name:\s*(\S+)", 1).alias("name"), F.explode_outer(F.arrays_zip(env(1).alias("n"), env(2).alias("v"))).alias("e"))
+    return rows.select("path", "kind", "name", F.col("e.n").alias("env_name"), F.col("e.v").alias("env_value"))
+
+
+#: How sure a relation is that configuration tells of.
+CONFIG_CONFIDENCE = {"datasource": 0.9, "kafka_consume": 0.85, "kafka_produce": 0.85, "depends_on": 0.6, "k8s": 0.7, "zuul_route": 0.7}
+
+
+def config_candidates(entries: DataFrame) -> DataFrame:
+    """path, relation_type, target, confidence that flattened keys (path, key, value) tell of: data sources, Kafka sides, gateway routes."""
+    key, value, sure = F.col("key"), F.col("value"), CONFIG_CONFIDENCE
+    found = lambda kind, target, c: F.struct(F.lit(kind).alias("relation_type"), target.alias("target"), F.lit(c).alias("confidence"))
+    brokers = entries.where("key = 'spring.kafka.bootstrap-servers'").select("path", F.col("value").alias("broker"))
+    rules = F.when(key.rlike(r"(^|\.)datasource\.(.*\.)?url$") & value.startswith("jdbc:"), F.array(found("read", jdbc_identity(value), sure["datasource"]), found("write", jdbc_identity(value), sure["datasource"])))
+    rules = rules.when(key.rlike(r"^spring\.kafka\.consumer\."), F.array(found("consume", F.col("broker"), sure["kafka_consume"]))).when(key.rlike(r"^spring\.kafka\.producer\."), F.array(found("produce", F.col("broker"), sure["kafka_produce"])))
+    rules = rules.when(key.rlike(r"^zuul\.routes\.[^.]+\.service-?[iI]d$"), F.array(found("call", value, sure["zuul_route"])))
+    return entries.join(brokers, "path", "left").select("path", F.explode(rules).alias("c")).select("path", "c.*").where("target <> ''").distinct()
+
+
+def manifest_candidates(rows: DataFrame) -> DataFrame:
+    """path, relation_type, target, confidence of ``manifests``: variables with a JDBC URL or Kafka brokers."""
+    sure, v = CONFIG_CONFIDENCE["k8s"], F.col("env_value")
+    kinds = F.when(v.startswith("jdbc:"), F.array(F.lit("read"), F.lit("write"))).when(F.col("env_name").contains("KAFKA"), F.array(F.lit("produce"), F.lit("consume")))
+    return rows.select("path", F.explode(kinds).alias("relation_type"), F.when(v.startswith("jdbc:"), jdbc_identity(v)).otherwise(v).alias("target")).withColumn("confidence", F.lit(sure)).where("target <> ''").distinct()
 
 
 def properties(files: DataFrame) -> DataFrame:

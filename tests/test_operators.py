@@ -184,6 +184,19 @@ def test_configuration_files(spark, tmp_path):
     assert services == {"order-service": ("service", ["db", "payment-service"]), "db": ("database", [])}
 
 
+def test_relations_from_configuration(spark):
+    from strataweave.operators import intake
+
+    app = "spring:\n  datasource:\n    url: jdbc:postgresql://db:5432/orders?x=1\n  kafka:\n    bootstrap-servers: kafka:9092\n    consumer:\n      group-id: g\n    producer:\n      acks: all\nzuul:\n  routes:\n    pay:\n      serviceId: payment\n      path: /pay/**\n"
+    k8s = "kind: Deployment\nmetadata:\n  name: gw\nspec:\n  env:\n    - name: DB_URL\n      value: jdbc:mysql://m:3306/x\n    - name: KAFKA_BROKERS\n      value: \"k:9092\"\n---\nkind: Service\nmetadata:\n  name: gw-svc\n"
+    files = spark.createDataFrame([("app.yml", app), ("k.yml", k8s), ("none.yml", None)], "path string, text string")
+    got = {tuple(r) for r in intake.config_candidates(intake.flattened(files.where("path <> 'k.yml'"))).collect()}
+    assert got == {("app.yml", "read", "db:5432/orders", 0.9), ("app.yml", "write", "db:5432/orders", 0.9), ("app.yml", "consume", "kafka:9092", 0.85), ("app.yml", "produce", "kafka:9092", 0.85), ("app.yml", "call", "payment", 0.7)}
+    rows = intake.manifests(files.where("path = 'k.yml'"))
+    assert {(r.kind, r.name, r.env_name, r.env_value) for r in rows.collect()} == {("Deployment", "gw", "DB_URL", "jdbc:mysql://m:3306/x"), ("Deployment", "gw", "KAFKA_BROKERS", "k:9092"), ("Service", "gw-svc", None, None)}
+    assert {(r.relation_type, r.target) for r in intake.manifest_candidates(rows).collect()} == {("read", "m:3306/x"), ("write", "m:3306/x"), ("produce", "k:9092"), ("consume", "k:9092")}
+
+
 def test_scopes_and_placeholders(spark):
     from strataweave.operators import intake
 
