@@ -104,6 +104,13 @@ def test_contaminated_texts_take_no_others_with_them(spark, words, tmp_path):
     assert sorted(got, key=repr) == sorted([(None, clean), (7, other), (8, clean), (None, None)], key=repr)
 
 
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = entry.queries()["pipeline"](spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids"]
+
+
 def test_every_operator_is_registered():
     found = entry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == []

@@ -349,6 +349,17 @@ def test_decontamination_equals_sql(spark):
 # Archives
 
 
+def test_a_payload_that_most_pages_share(spark, tmp_path):
+    hot, rows = "<p>" + "hot " * 400, []
+    for i in range(600):
+        rows.append((i, f"http://h/{i}", hot if i % 3 else f"<p>{i} " + "own " * 300, "x", "y"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, original string").repartition(5)
+    warc.write_warc(pages, f"file://{tmp_path}/w", records_per_file=40)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolved(warc.read_warc(spark, f"file://{tmp_path}/w")).collect()}
+    last = max(i for i in range(600) if i % 3)
+    assert got == {i: ("response", None, len(h)) if i == last or not i % 3 else ("revisit", last, len(hot)) for i, _, h, _, _ in rows}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, other = "x" * 1200 + "WARC/1.1\r\n", "é" * 600
     rows = [(1, "http://a/1", big), (2, "http://a/2\r\nX: y", big), (3, "http://a/3", big), (4, None, other), (5, "u", other), (6, "u", "small"), (7, "u", "small"), (8, "u", None), (9, "u", ""), (None, "u", big), (10, "u", "y" * 1000), (10, "u", "y" * 1000)]
