@@ -98,3 +98,16 @@ def collaborators(relations: DataFrame, members: DataFrame) -> DataFrame:
     rows = relations.join(s, "subject_id").join(o, "object_id").where("from_domain <> to_domain")
     ends = rows.select("relation_type", F.explode(F.array(F.struct(F.col("from_domain").alias("domain_id"), F.lit("OUT").alias("direction")), F.struct(F.col("to_domain").alias("domain_id"), F.lit("IN").alias("direction")))).alias("e"))
     return ends.groupBy("e.domain_id", "e.direction", "relation_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def upsert_affinities(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Affinities (object_id, domain_id, affinity) after new ones arrive: a new one takes the place of the old one of its pair."""
+    n = new.groupBy("object_id", "domain_id").agg(F.max("affinity").alias("fresh"))
+    return old.join(n, ["object_id", "domain_id"], "full").select("object_id", "domain_id", F.coalesce("fresh", "affinity").alias("affinity"), F.col("fresh").isNotNull().alias("changed"))
+
+
+def scope_edges(edges: DataFrame, affinities: DataFrame, least: float = 0.2) -> DataFrame:
+    """domain_id with each edge between two of its members of affinity ``least`` or more."""
+    m = affinities.where(F.col("affinity") >= least).select("domain_id", "object_id")
+    rows = edges.join(m.withColumnRenamed("object_id", "subject_id"), "subject_id")
+    return rows.join(m, ["domain_id", "object_id"], "left_semi")

@@ -89,6 +89,22 @@ def fuzzy_domain(spark, sf_dir):
     return rows.where("word <> name and score > 0").groupBy("word").agg(F.max_by(F.struct("name", "score"), F.struct("score", F.col("name"))).alias("b")).select("word", "b.name", F.col("b.score").cast("long").alias("score"))
 
 
+def affinity_upsert(spark, sf_dir):
+    """Affinities after services with a debt were rated anew: sure of their own domain, and new in the one four after it."""
+    g = GraphTables(spark, sf_dir)
+    s = g.source("supplier").where("s_acctbal < 0").join(F.broadcast(g.source("nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # nation: 25 rows at every scale
+    rated = s.select("s_suppkey", "n_regionkey", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(0.95).alias("a")), F.struct(F.lit(4).alias("k"), F.lit(0.25).alias("a")))).alias("x"))
+    new = rated.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("object_id"), F.concat(F.lit("D"), ((F.col("n_regionkey") + F.col("x.k")) % 5).cast("string")).alias("domain_id"), F.col("x.a").alias("affinity"))
+    return domain.upsert_affinities(g.affinities(), new)
+
+
+def domain_scope(spark, sf_dir):
+    """Members of every domain's scope and the service edges inside it, by relation type."""
+    g = GraphTables(spark, sf_dir)
+    inside = domain.scope_edges(s2s_of(g).select("relation_type", "subject_id", "object_id", "edge_weight"), g.affinities())
+    return inside.groupBy("domain_id", "relation_type").agg(F.count(F.lit(1)).alias("edges"), F.sum("edge_weight").alias("weight"))
+
+
 def table_domains(spark, sf_dir):
     """Customer names, read as table names, by the domain that their prefix names; domains are the market segments and order words."""
     g = GraphTables(spark, sf_dir)
@@ -127,6 +143,10 @@ ENTRIES = {
     "fuzzy_domain": (fuzzy_domain, """WITH n AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(r_name) FROM region),
         s AS (SELECT w.name AS word, n.name, CASE WHEN starts_with(n.name, w.name) THEN 85 WHEN contains(n.name, w.name) THEN 70 WHEN levenshtein(w.name, n.name) <= 2 THEN 60 ELSE 0 END AS score FROM n w JOIN n ON w.name <> n.name)
         SELECT word, arg_max(name, (score, name)) AS name, CAST(max(score) AS BIGINT) AS score FROM s WHERE score > 0 GROUP BY 1"""),
+    "affinity_upsert": (affinity_upsert, with_tables("""SELECT object_id, domain_id, coalesce(n.affinity, a.affinity)::DOUBLE AS affinity, n.affinity IS NOT NULL AS changed FROM affinities a FULL JOIN (
+        SELECT 'S' || s_suppkey AS object_id, 'D' || ((n_regionkey + k) % 5) AS domain_id, CASE k WHEN 0 THEN 0.95 ELSE 0.25 END AS affinity FROM supplier JOIN nation ON s_nationkey = n_nationkey, (VALUES (0), (4)) t(k) WHERE s_acctbal < 0) n USING (object_id, domain_id)""")),
+    "domain_scope": (domain_scope, with_tables("""SELECT x.domain_id, relation_type, count(*) AS edges, CAST(sum(edge_weight) AS BIGINT) AS weight FROM s2s JOIN affinities x ON x.object_id = subject_id AND x.affinity >= 0.2
+        JOIN affinities y ON y.object_id = s2s.object_id AND y.affinity >= 0.2 AND y.domain_id = x.domain_id GROUP BY ALL""")),
     "table_domains": (table_domains, """WITH t AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'd-build' ELSE 'd-' || lower(c_mktsegment) END AS domain_id, count(*) AS tables FROM customer GROUP BY 1)
         SELECT domain_id, tables, round(tables / max(tables) OVER (), 6) AS score FROM t"""),
     "collaborators": (collaborators, with_tables("""SELECT domain_id, direction, relation_type, count(*) AS n FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import NAME_SUFFIXES, name_tokens, r6, url_host, url_path
-from strataweave.operators import intake, proof
+from strataweave.operators import confidence, intake, proof
 from strataweave.plans.proofs import ENTRIES as PROOFS
 from strataweave.plans.proofs import URLS, proof_db, proof_http, proof_message
 from strataweave.sources.graph_tables import GraphTables, with_tables
@@ -70,6 +70,30 @@ def proof_run_summary(spark, sf_dir):
     return out.select("kind", "status", "n")
 
 
+def proof_rates(spark, sf_dir):
+    """Of each kind of intents the shares that closed, that were ambiguous and that stayed open."""
+    n = proof_run_summary(spark, sf_dir)
+    share = lambda c: r6(F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n"))
+    closed, several = F.col("status") == "CLOSED_ATOMIC", F.col("status").endswith("_AMBIGUOUS")
+    return n.groupBy("kind").agg(F.sum("n").alias("intents"), share(closed).alias("closed_rate"), share(several).alias("ambiguous_rate"), share(~closed & ~several).alias("open_rate"))
+
+
+def evidence_sources(spark, sf_dir):
+    """Evidence of each relation status by type and by what it speaks for (code, configuration, database)."""
+    g = GraphTables(spark, sf_dir)
+    e = g.evidences().join(g.relations().select(F.col("id").alias("relation_id"), "status"), "relation_id")
+    return e.groupBy("status", "evidence_type", confidence.source_of(F.col("evidence_type")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relation_id").alias("relations"))
+
+
+def object_labels(spark, sf_dir):
+    """Compound objects by label: the display name, else the name, else the id, blank ones counting as missing; with the number below each."""
+    o = GraphTables(spark, sf_dir).objects()
+    named = lambda c: F.nullif(F.trim(c), F.lit(""))
+    kids = o.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("below"))
+    rows = o.where("granularity = 'COMPOUND'").withColumn("display_name", F.when(F.col("object_type") != "database", F.col("display_name"))).withColumn("name", F.when(F.col("object_type") != "message_broker", F.col("name")).otherwise(""))
+    return rows.join(kids, "id", "left").select("id", F.coalesce(named("display_name"), named("name"), "id").alias("label"), F.coalesce("below", F.lit(0)).alias("below"))
+
+
 def export_json(spark, sf_dir):
     """Approved relations as JSON lines."""
     r = GraphTables(spark, sf_dir).relations().where("status = 'APPROVED'")
@@ -154,6 +178,10 @@ ENTRIES = {
     "alias_match": (alias_match, f"""WITH h AS (SELECT p_partkey, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN ({', '.join(repr(x) for x in NAME_SUFFIXES)})))) AS token FROM part),
         a AS (SELECT alias, unnest(list_distinct(list_filter(string_split_regex(lower(alias), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN ({', '.join(repr(x) for x in NAME_SUFFIXES)})))) AS token FROM (SELECT p_type AS alias FROM part UNION SELECT c_mktsegment FROM customer)) SELECT alias, count(DISTINCT p_partkey) AS parts FROM h JOIN a USING (token) GROUP BY 1"""),
     "proof_run_summary": (proof_run_summary, " UNION ALL ".join(f"SELECT '{kind}' AS kind, status, count(*) AS n FROM ({PROOFS[name][1]}) GROUP BY status" for kind, name in (("http", "proof_http"), ("db", "proof_db"), ("message", "proof_message")))),
+    "proof_rates": (proof_rates, "SELECT kind, CAST(sum(n) AS BIGINT) AS intents, round(coalesce(sum(n) FILTER (WHERE status = 'CLOSED_ATOMIC'), 0) / sum(n), 6) AS closed_rate, round(coalesce(sum(n) FILTER (WHERE status LIKE '%_AMBIGUOUS'), 0) / sum(n), 6) AS ambiguous_rate, round(coalesce(sum(n) FILTER (WHERE status <> 'CLOSED_ATOMIC' AND status NOT LIKE '%_AMBIGUOUS'), 0) / sum(n), 6) AS open_rate FROM ("
+        + " UNION ALL ".join(f"SELECT '{kind}' AS kind, status, count(*) AS n FROM ({PROOFS[name][1]}) GROUP BY status" for kind, name in (("http", "proof_http"), ("db", "proof_db"), ("message", "proof_message"))) + ") GROUP BY kind"),
+    "evidence_sources": (evidence_sources, with_tables("SELECT status, evidence_type, CASE evidence_type WHEN 'FILE' THEN 'code' WHEN 'CONFIG' THEN 'config' ELSE 'db' END AS source, count(*) AS n, count(DISTINCT relation_id) AS relations FROM evidences e JOIN relations r ON r.id = e.relation_id GROUP BY ALL")),
+    "object_labels": (object_labels, with_tables("SELECT id, CASE WHEN object_type = 'message_broker' THEN coalesce(nullif(trim(name), ''), id) ELSE name END AS label, (SELECT count(*) FROM objects k WHERE k.parent_id = o.id) AS below FROM objects o WHERE granularity = 'COMPOUND'")),
     "export_json": (export_json, with_tables("SELECT to_json({'id': id, 'relation_type': relation_type, 'subject_id': subject_id, 'object_id': object_id})::VARCHAR AS line FROM relations WHERE status = 'APPROVED'")),
     "snapshot": (snapshot, with_tables("SELECT object_type, granularity, count(*) AS n FROM objects GROUP BY ALL")),
     "export_csv": (export_csv, "SELECT s_suppkey, 'a \"b\", ' || s_name AS label, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"),
