@@ -4,7 +4,8 @@ Only headers (page id, payload digest and length) are shuffled by digest; each d
 gets one original, the response with the largest page_id, found by a partial aggregate so
 that a payload a third of all pages share does not gather anywhere. The decisions return to the pages by page id,
 and records with fresh headers are written by Spark's text writer, one gzip file a task (and per
-``records_per_file``). Reading parses the files by Content-Length and joins revisits to
+``records_per_file``). Reading streams the files through Spark's text reader, cut at record marks and put together by
+Content-Length, so a task holds a record and not a file, and joins revisits to
 their original responses by record id; the join's hot keys are left to the skew join, whose
 inputs are tables in the shared folder.
 
@@ -16,8 +17,7 @@ all responses.
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .scratch import fresh_path, stored
 
+BATCH = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,30 +66,38 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "
     df.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _inflate(blob: memoryview) -> bytes:
-    """All gzip members of a file; a file that is not compressed as it is."""
-    if bytes(blob[:2]) != b"\x1f\x8b":
-        return bytes(blob)
-    out, rest = [], bytes(blob)
-    while rest:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(rest) + d.flush())
-        rest = d.unused_data.lstrip(b"\0")
-    return b"".join(out)
-
-
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Named header fields (lower case) and block of each record, found by Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}: {first[:40]!r}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+MARK = b"WARC/1."  # starts a record; pieces of a file between marks are the rows that the reader hands on
+
+
+def records(pieces: Iterable[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Named header fields (lower case) and block of each record, from (file, piece between marks) in order.
+
+    A record goes on over marks inside it, up to its Content-Length; a task holds one record at a time.
+    """
+    parts, size, need, fields, start, at = [], 0, None, {}, 0, None
+    for file, piece in pieces:
+        if parts and file != at:
+            break
+        if not parts and not piece.strip():  # what stands before a file's first mark
+            at = file
+            continue
+        more = [MARK, piece] if parts else [piece]
+        parts, size, at = parts + more, size + sum(map(len, more)), file
+        if need is None:
+            data = b"".join(parts)
+            start = data.find(b"\r\n\r\n") + 4
+            if start < 4:
+                continue
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[: start - 4].decode("utf-8", "replace").split("\r\n")[1:])}
+            if "content-length" not in fields or "warc-type" not in fields:
+                raise ValueError(f"no WARC record in {file}: {data[:40]!r}")
+            need = start + int(fields["content-length"])
+        if size >= need:
+            data = b"".join(parts)
+            yield fields, data[start:need]
+            parts, size, need = [], 0, None
+    if parts:
+        raise ValueError(f"a record of {at} ends before its Content-Length: {parts[0][:40]!r}")
 
 
 PARSED = "page_id long, record_id string, record_type string, target_uri string, payload_digest string, refers_to_id string, payload binary, payload_bytes long, checked boolean"
@@ -97,21 +106,26 @@ PARSED = "page_id long, record_id string, record_type string, target_uri string,
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row a record. payload and payload_bytes are null for revisits; checked: the digest of the payload read is the header's."""
 
-    def run(batches):
-        for batch in batches:
-            for value in batch.column(0):
-                rows = []
-                for f, block in records(_inflate(memoryview(value.as_buffer()))):
-                    kind, digest, body = f["warc-type"], f.get("warc-payload-digest", "").removeprefix("sha1:"), None
-                    if kind == "response":
-                        body = block[block.index(b"\r\n\r\n") + 4 :]
-                    page = f.get("x-page-id")
-                    rows.append((int(page) if page else None, f["warc-record-id"], kind, f.get("warc-target-uri"), digest, f.get("warc-refers-to"), body if payloads else None, None if body is None else len(body), None if body is None else hashlib.sha1(body).hexdigest() == digest))
-                if rows:
-                    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split(" ")[0] for x in PARSED.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, PARSED)
+    names, kinds = [x.split(" ")[0] for x in PARSED.split(", ")], (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.bool_())
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for f, block in records((file.as_py(), piece.as_py()) for b in batches for file, piece in zip(b.column(0), b.column(1))):
+            kind, digest, body = f["warc-type"], f.get("warc-payload-digest", "").removeprefix("sha1:"), None
+            if kind == "response":
+                body = block[block.index(b"\r\n\r\n") + 4 :]
+            page = f.get("x-page-id")
+            rows.append((int(page) if page else None, f["warc-record-id"], kind, f.get("warc-target-uri"), digest, f.get("warc-refers-to"), body if payloads else None, None if body is None else len(body), None if body is None else hashlib.sha1(body).hexdigest() == digest))
+            held += len(body) if payloads and body else 0
+            if len(rows) >= 4096 or held >= BATCH:
+                yield table(rows)
+                rows, held = [], 0
+        if rows:
+            yield table(rows)
+
+    pieces = spark.read.option("lineSep", MARK.decode()).text(path)
+    return pieces.select(F.col("_metadata.file_name").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(run, PARSED)
 
 
 def resolved(parsed: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import functools
+import gzip
 import itertools
 import random
 import re
@@ -377,3 +378,23 @@ def test_warc_round_trip(spark, tmp_path):
         r = out[page, "revisit" if revisit else "response"]
         assert (r.payload_bytes, r.payload_digest, r.refers_to) == (len(data), digest, best[digest] if revisit else None) and r.checked
     assert parsed.where(F.col("payload").isNotNull()).count() == len([1 for r in rows]) - 4
+
+
+def test_warc_marks_inside_payloads_and_foreign_archives(spark, tmp_path):
+    """A record goes on over marks inside it; members of a gzip file and plain files read alike; a cut record is an error."""
+    inner = "<p>WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0WARC/1.</p>" * 9
+    pages = spark.createDataFrame([(1, "http://a/WARC/1.1", inner), (2, "http://b", inner), (3, "http://c", "WARC/1."), (4, "http://d", "")], "page_id long, url string, html string")
+    warc.write_warc(pages.coalesce(1), f"file://{tmp_path}/marks", min_bytes=500)
+    got = {r.page_id: r for r in warc.read_warc(spark, f"file://{tmp_path}/marks").collect()}
+    assert {k: None if r.payload is None else bytes(r.payload).decode() for k, r in got.items()} == {1: None, 2: inner, 3: "WARC/1.", 4: ""}
+    assert got[1].record_type == "revisit" and got[1].refers_to_id == got[2].record_id and got[2].checked
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "marks").glob("*.gz")))
+    cuts = [i for i in range(len(whole)) if whole.startswith(b"WARC/1.1\r\nWARC-Type: ", i) and b"WARC-Record-ID" in whole[i : i + 80]]
+    members = [whole[a:b] for a, b in zip(cuts, [*cuts[1:], len(whole)])]
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    (tmp_path / "foreign" / "plain.warc").write_bytes(whole)
+    again = warc.read_warc(spark, f"file://{tmp_path}/foreign").collect()
+    assert sorted(r.record_id for r in again) == sorted([r.record_id for r in got.values()] * 2)
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc.records([("f", b""), ("f", whole[7:300])]))
