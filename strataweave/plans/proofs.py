@@ -56,10 +56,10 @@ def owner_by_path(spark, sf_dir):
 
 
 def hash_incremental(spark, sf_dir):
-    """Documents that a second scan must read again, after those of even id were seen with a line added to every sixth."""
-    docs = GraphTables(spark, sf_dir).source("documents").select("doc_id", "text")
-    before = docs.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
-    return signals.changed_files(docs, before, "doc_id", "text")
+    """Documents that a second scan must read again, after the English ones were seen, those of one source with a line more."""
+    docs = GraphTables(spark, sf_dir).source("documents").select("doc_id", "text", "lang", "source")
+    before = docs.where("lang = 'en'").select("doc_id", F.when(F.col("source") == "src3", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))).otherwise(F.col("text")).alias("text"))
+    return signals.changed_files(docs.select("doc_id", "text"), before, "doc_id", "text")
 
 
 def _intents(g: GraphTables):
@@ -68,22 +68,22 @@ def _intents(g: GraphTables):
     return p.select(F.col("page_id").alias("intent_id"), url_path(F.col("url")).alias("path"), url_host(F.col("url")).alias("provider_id"), F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET").alias("method"))
 
 
-def _endpoints(g: GraphTables):
-    """Endpoints of each host: its pages' paths with numbers as placeholders."""
-    e = g.source("pages").where("page_id % 5 <> 4").select(url_host(F.col("url")).alias("provider_id"), F.regexp_replace(url_path(F.col("url")), "/[0-9]+", "/{id}").alias("endpoint_path"), F.when(F.col("page_id") % 2 == 0, "ANY").otherwise("GET").alias("endpoint_method")).distinct()
+def endpoint_rows(g: GraphTables):
+    """Endpoints of each host: the paths of its longer pages, with numbers as placeholders."""
+    e = g.source("pages").where("length(html) >= 1500").select(url_host(F.col("url")).alias("provider_id"), F.regexp_replace(url_path(F.col("url")), "/[0-9]+", "/{id}").alias("endpoint_path"), F.when(F.col("page_id") % 2 == 0, "ANY").otherwise("GET").alias("endpoint_method")).distinct()
     return e.withColumn("endpoint_id", F.concat_ws(" ", "endpoint_method", F.concat("provider_id", "endpoint_path")))
 
 
 def path_compat(spark, sf_dir):
     """Every path of a host against every endpoint of that host."""
     g = GraphTables(spark, sf_dir)
-    rows = _intents(g).select("provider_id", "path").distinct().join(_endpoints(g).select("provider_id", "endpoint_path").distinct(), "provider_id")
+    rows = _intents(g).select("provider_id", "path").distinct().join(endpoint_rows(g).select("provider_id", "endpoint_path").distinct(), "provider_id")
     return rows.select("provider_id", "path", "endpoint_path", r6(path_compatibility(segments(F.col("path")), segments(F.col("endpoint_path")))).alias("score"))
 
 
 def proof_http(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    return proof.endpoint_choice(_intents(g), _endpoints(g)).withColumn("score", r6(F.col("score")))
+    return proof.endpoint_choice(_intents(g), endpoint_rows(g)).withColumn("score", r6(F.col("score")))
 
 
 def route_match(spark, sf_dir):
@@ -191,7 +191,7 @@ LINKS = """k AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '
 links AS (SELECT page_id, lower(regexp_extract(l, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
   CASE WHEN contains(l, '://') THEN CASE WHEN regexp_extract(l, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(l, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) END ELSE regexp_extract(l, '^[^?#]*') END AS path FROM k)"""
 SEGS = lambda c: f"list_transform(list_filter(string_split({c}, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^(\\$?\\{{.*\\}}|:.+|\\*+)$') THEN '{{*}}' ELSE lower(s) END)"
-ENDPOINTS = """ep AS (SELECT DISTINCT host, regexp_replace(path, '/[0-9]+', '/{id}', 'g') AS endpoint_path, CASE WHEN page_id % 2 = 0 THEN 'ANY' ELSE 'GET' END AS m FROM u WHERE page_id % 5 <> 4)"""
+ENDPOINTS = """ep AS (SELECT DISTINCT host, regexp_replace(path, '/[0-9]+', '/{id}', 'g') AS endpoint_path, CASE WHEN page_id % 2 = 0 THEN 'ANY' ELSE 'GET' END AS m FROM u JOIN pages USING (page_id) WHERE length(html) >= 1500)"""
 DYN = "(regexp_full_match(c, '[0-9]+') OR regexp_full_match(c, '[0-9a-f]{24}') OR regexp_full_match(c, '[0-9a-f]{32,}') OR (regexp_matches(c, '[0-9]') AND regexp_matches(c, '[a-z]')))"
 SCORE = f"""sc AS (SELECT host, path, endpoint_path, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0
     WHEN b[len(b)] = '{{*}}' AND len(a) <> len(b) THEN CASE WHEN a[1:len(b) - 1] = b[1:len(b) - 1] THEN 0.55 ELSE 0.0 END
@@ -212,7 +212,7 @@ ENTRIES = {
         SELECT t AS table_name, b || '_id' AS column_name, b || 's' AS ref_table, CASE WHEN t = 'buildings' AND b = 'machinery' THEN 0.95 WHEN b = 'household' THEN 0.85 WHEN t = 'machinerys' THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence
         FROM c WHERE b || 's' IN (SELECT t FROM c) OR (t = 'buildings' AND b = 'machinery')"""),
     "owner_by_path": (owner_by_path, f"WITH {URLS}, p AS (SELECT DISTINCT path FROM u), s AS (SELECT path, unnest(string_split(lower(path), '/')) AS seg, generate_subscripts(string_split(lower(path), '/'), 1) AS pos FROM p) SELECT path, 'L' || arg_max(seg, pos) AS service_id FROM s WHERE seg IN (SELECT lang FROM documents) GROUP BY 1"),
-    "hash_incremental": (hash_incremental, "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id % 2 <> 0 OR doc_id % 6 = 0"),
+    "hash_incremental": (hash_incremental, "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE lang IS DISTINCT FROM 'en' OR source = 'src3'"),
     "path_compat": (path_compat, f"WITH {URLS}, {ENDPOINTS}, {SCORE} SELECT host AS provider_id, path, endpoint_path, round(score, 6)::DOUBLE AS score FROM sc"),
     "proof_http": (proof_http, f"""WITH {URLS}, {ENDPOINTS}, {SCORE}, r AS (SELECT u.page_id, ep.m || ' ' || u.host || ep.endpoint_path AS e, sc.score, sc.score >= 0.75 AND (ep.m = 'ANY' OR ep.m = CASE WHEN u.page_id % 3 = 0 THEN 'POST' ELSE 'GET' END) AS ok
           FROM u LEFT JOIN ep ON u.host = ep.host LEFT JOIN sc ON sc.host = u.host AND sc.path = u.path AND sc.endpoint_path = ep.endpoint_path),

@@ -36,10 +36,10 @@ def correlation_groups(spark, sf_dir):
 
 
 def scope_closure(spark, sf_dir):
-    """Services of even key, all below them, and what they use that is no service."""
+    """Services without debt as the selected ones, all below them, and what they use that is no service."""
     g = GraphTables(spark, sf_dir)
     o = g.objects()
-    chosen = o.where("object_type = 'service' and cast(substring(id, 2) as long) % 2 = 0").select("id")
+    chosen = g.source("supplier").where("s_acctbal >= 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"))
     below = o.join(chosen.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
     used = g.relations().join(chosen.select(F.col("id").alias("subject_id")), "subject_id", "left_semi").select(F.col("object_id").alias("id"))
     used = used.join(o.where("object_type <> 'service'").select("id"), "id", "left_semi")
@@ -168,12 +168,16 @@ def property_entries(spark, sf_dir):
     return intake.properties(files)
 
 
+CHOSEN = "ch AS (SELECT 'S' || s_suppkey AS id FROM supplier WHERE s_acctbal >= 0)"
+SCOPE = """SELECT id FROM ch UNION SELECT id FROM objects WHERE parent_id IN (SELECT id FROM ch)
+  UNION SELECT r.object_id FROM relations r JOIN objects o ON o.id = r.object_id WHERE r.subject_id IN (SELECT id FROM ch) AND object_type <> 'service'"""
+
 ENTRIES = {
     "frontier_list": (frontier_list, """SELECT o_orderkey, o_totalprice, c_name, n_name, last_line FROM (SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100) LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
         LEFT JOIN (SELECT l_orderkey, arg_max(l_linenumber, (l_shipdate, l_linenumber)) AS last_line FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""),
     "correlation_groups": (correlation_groups, f"""WITH {URLS}, f AS (SELECT u.page_id, regexp_extract(url, '://[^/]+/([a-z]+)', 1) AS owner, lower(trim(host)) AS host_key, 'a.url,b.url' AS config_key FROM u JOIN pages USING (page_id))
         SELECT owner, host_key, config_key, count(*) AS size, min(page_id) AS first_id FROM f GROUP BY ALL HAVING count(*) > 1"""),
-    "scope_closure": (scope_closure, with_tables("SELECT id FROM ch UNION SELECT id FROM objects WHERE parent_id IN (SELECT id FROM ch) UNION SELECT r.object_id FROM relations r JOIN objects o ON o.id = r.object_id WHERE r.subject_id IN (SELECT id FROM ch) AND object_type <> 'service'", "ch AS (SELECT 'S' || s_suppkey AS id FROM supplier WHERE s_suppkey % 2 = 0)")),
+    "scope_closure": (scope_closure, with_tables(SCOPE, CHOSEN)),
     "object_search": (object_search, with_tables("SELECT id, name, CASE WHEN lower(name) = 'brand#1' THEN 1 ELSE 2 END::BIGINT AS place FROM objects WHERE name ILIKE '%brand#1%'")),
     "alias_match": (alias_match, f"""WITH h AS (SELECT p_partkey, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN ({', '.join(repr(x) for x in NAME_SUFFIXES)})))) AS token FROM part),
         a AS (SELECT alias, unnest(list_distinct(list_filter(string_split_regex(lower(alias), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND x NOT IN ({', '.join(repr(x) for x in NAME_SUFFIXES)})))) AS token FROM (SELECT p_type AS alias FROM part UNION SELECT c_mktsegment FROM customer)) SELECT alias, count(DISTINCT p_partkey) AS parts FROM h JOIN a USING (token) GROUP BY 1"""),

@@ -148,10 +148,11 @@ def stale_config(spark, sf_dir):
 
 
 def dead_topics(spark, sf_dir):
-    """Every seventh message as a configured one: dead where no other message uses the same topic from the same service."""
+    """Messages of small value as configured ones: dead where no other message uses the same topic from the same service."""
     g = GraphTables(spark, sf_dir)
-    m = g.relations().where("relation_type in ('produce', 'consume')").withColumn("n", F.substring("id", 2, 20).cast("long"))
-    out = confidence.unsupported(m.where("n % 7 = 0"), m.where("n % 7 <> 0"), ["relation_type", "subject_id", "object_id"], "DEAD_TOPIC")
+    small = g.source("events").select(F.concat(F.lit("M"), F.col("event_id").cast("string")).alias("id"), (F.coalesce("value", F.lit(0.0)) < 5).alias("small"))
+    m = g.relations().where("relation_type in ('produce', 'consume')").join(small, "id")
+    out = confidence.unsupported(m.where("small"), m.where("not small"), ["relation_type", "subject_id", "object_id"], "DEAD_TOPIC")
     return out.select("id", "contradiction", r6(F.col("adjusted")).alias("adjusted"))
 
 
@@ -177,7 +178,7 @@ ENTRIES = {
     "stale_config": (stale_config, with_tables("""SELECT l_orderkey || ':' || rn AS id, 'S' || l_suppkey AS subject_id, 'DB' || p_brand AS object_id, CASE WHEN k THEN '' ELSE 'STALE_CONFIG' END AS contradiction, round(CASE WHEN k THEN 1 - l_tax ELSE least(greatest(1 - l_tax - 0.15, 0.1), 0.99) END, 6) AS adjusted FROM (
         SELECT *, EXISTS (SELECT 1 FROM relations r JOIN objects o ON o.id = r.object_id WHERE r.relation_type IN ('read', 'write') AND r.subject_id = 'S' || l_suppkey AND o.parent_id = 'DB' || p_brand) AS k FROM waiting JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A'))""")),
     "dead_topics": (dead_topics, with_tables("""SELECT id, CASE WHEN k THEN '' ELSE 'DEAD_TOPIC' END AS contradiction, round(CASE WHEN k THEN confidence ELSE least(greatest(confidence - 0.15, 0.1), 0.99) END, 6)::DOUBLE AS adjusted FROM (
-        SELECT *, bool_or(n % 7 <> 0) OVER (PARTITION BY relation_type, subject_id, object_id) AS k FROM (SELECT *, substr(id, 2)::BIGINT AS n FROM relations WHERE relation_type IN ('produce', 'consume'))) WHERE n % 7 = 0""")),
+        SELECT r.*, small, bool_or(NOT small) OVER (PARTITION BY relation_type, subject_id, object_id) AS k FROM relations r JOIN (SELECT 'M' || event_id AS id, coalesce(value, 0) < 5 AS small FROM events) e ON e.id = r.id WHERE relation_type IN ('produce', 'consume')) WHERE small""")),
     "orphan_keys": (orphan_keys, with_tables("""SELECT p_partkey, ref, CASE WHEN k THEN '' ELSE 'ORPHAN_FK' END AS contradiction, CASE WHEN k THEN 0.5 ELSE 0.35 END::DOUBLE AS adjusted FROM (
         SELECT *, EXISTS (SELECT 1 FROM relations r WHERE r.relation_type IN ('read', 'write') AND r.object_id IN ('T' || p_partkey, 'T' || ref)) AS k FROM (SELECT p_partkey, lag(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ref FROM part) WHERE ref IS NOT NULL)""")),
     "feedback_stats": (feedback_stats, with_tables("SELECT feedback_key, approved, rejected, total, rate, adjustment FROM fb", FEEDBACK)),
