@@ -73,3 +73,67 @@ def endpoint_path(metadata_path: Column, *labels: Column) -> Column:
 
 def page_size(limit: int | None, default: int = 20, most: int = 100) -> int:
     return default if limit is None else min(max(limit, 1), most)
+
+
+def _segments(key: Column) -> Column:
+    return F.filter(F.split(key, r"[./_\-\s]+"), lambda s: s != "")
+
+
+def _spans(key: Column) -> Column:
+    """All distinct substrings of a key."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(key)), lambda a: F.transform(F.sequence(F.lit(1), F.length(key) - a + 1), lambda n: F.substr(key, a, n)))))
+
+
+def key_score(asked: Column, key: Column) -> Column:
+    """How well a configuration key answers one that is asked for; both normalised and not empty."""
+    shared = F.size(F.filter(_segments(asked), lambda s: F.array_contains(_segments(key), s)))
+    part = lambda c, n: F.when(c, n).otherwise(0)
+    loose = 25 * shared + part(key.endswith(asked), 200) + part(asked.endswith(key), 120) + part(key.contains(asked) | asked.contains(key), 60)
+    return F.when(asked == key, 1000.0 + F.length(key)).otherwise(loose + F.least(F.length(key), F.lit(120)) / 10)
+
+
+def key_matches(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """asked, key, score, strategy: the best key for each one asked for (columns key); on ties the longer, then the greater.
+
+    Keys meet on a shared segment, or where one holds the other, by equi-joins over distinct keys. Such a pair scores over 25,
+    any other at most 12, so one asked for that meets none gets the longest key of all. Empty and null keys stay out; keys are taken
+    to be short, as each spreads to all its substrings.
+    """
+    clean = lambda df: df.select(F.regexp_replace(F.lower(F.trim("key")), r"\[(\d+)\]", ".$1").alias("key")).where("key <> ''").distinct()
+    a, k = clean(asked).withColumnRenamed("key", "asked"), clean(keys)
+    by = lambda df, how: df.select("*", F.explode(F.array_distinct(how(F.col(df.columns[0])))).alias("part"))
+    pairs = by(a, _segments).join(by(k, _segments), "part").select("asked", "key")
+    pairs = pairs.union(by(k, _spans).join(a.withColumn("part", F.col("asked")), "part").select("asked", "key"))
+    pairs = pairs.union(by(a, _spans).join(k.withColumn("part", F.col("key")), "part").select("asked", "key")).distinct()
+    rank = lambda c: F.struct(c.alias("score"), F.length("key").alias("n"), F.col("key").alias("key"))
+    best = pairs.groupBy("asked").agg(F.max(rank(key_score(F.col("asked"), F.col("key")))).alias("b"))
+    longest = k.agg(F.max(rank(F.least(F.length("key"), F.lit(120)) / 10)).alias("l"))
+    rows = a.join(best, "asked", "left").join(F.broadcast(longest)).select("asked", F.coalesce("b", "l").alias("b"))  # one row
+    score = F.col("b.score")
+    return rows.select("asked", "b.key", score.alias("score"), F.when(score >= 1000, "exact").when(score >= 200, "suffix").otherwise("token").alias("strategy")).where("key is not null")
+
+
+def db_contradictions(intent: tuple[Column, Column], summary: tuple[Column, Column], resolved: tuple[Column, Column], unsupported: Column, truncated: Column) -> Column:
+    """Reasons why a database intent contradicts its function's summary; each argument before the flags is (schema, table), null where not known."""
+    token = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    differ = lambda i, side: F.coalesce(token(side[i]) != token(summary[i]), F.lit(False))
+    reasons = (
+        (differ(0, intent) | differ(0, resolved), "DB_SCHEMA_CONTRADICTION"), (differ(1, intent) | differ(1, resolved), "DB_TABLE_CONTRADICTION"),
+        (unsupported, "UNSUPPORTED_SUMMARY_CONFLICT"), (truncated, "TRUNCATED_SUMMARY_CONFLICT"),
+    )
+    return F.array_compact(F.array(*[F.when(c, reason) for c, reason in reasons]))
+
+
+def section_completeness(action: Column, target: Column, source: Column, dynamic_target: Column | None = None, dynamic_source: Column | None = None) -> Column:
+    """How complete a summary's section is: action .35, target .45 and source .2, less where a path (.25) or host (.1) is made at run time."""
+    no = F.lit(False)
+    worth = lambda held, dynamic, less, full: F.when(F.coalesce(held, no), F.when(F.coalesce(dynamic if dynamic is not None else no, no), less).otherwise(full)).otherwise(0.0)
+    return F.when(F.coalesce(action, no), 0.35).otherwise(0.0) + worth(target, dynamic_target, 0.25, 0.45) + worth(source, dynamic_source, 0.1, 0.2)
+
+
+def summary_completeness(sections: list[Column], truncated: Column, unsupported: Column) -> Column:
+    """Mean of the sections that are there (null: not there; 0 if none), less .1 if cut and .15 if not understood; 0 to 1, four digits."""
+    held = F.array_compact(F.array(*sections))
+    mean = F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.size(held)
+    less = F.when(truncated, 0.1).otherwise(0.0) + F.when(unsupported, 0.15).otherwise(0.0)
+    return F.when(F.size(held) > 0, F.round(F.least(F.greatest(mean - less, F.lit(0.0)), F.lit(1.0)), 4)).otherwise(0.0)

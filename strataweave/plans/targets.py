@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import NAME_SUFFIXES, clamp, name_tokens, r6
 from strataweave.operators import targets
 from strataweave.plans import domains, proofs, reports, rollups
-from strataweave.sources.graph_tables import GraphTables, with_tables
+from strataweave.sources.graph_tables import LINE_ORDER, GraphTables, with_tables
 from strataweave.sources.scratch import stored
 
 SUFFIXES = ", ".join(f"'{x}'" for x in NAME_SUFFIXES)
@@ -111,6 +112,36 @@ def export_domains(spark, sf_dir):
     return rows.select("domain_id", F.to_json(F.struct(F.col("domain_id").alias("domain"), "name", "members", F.col("t.object_id").alias("top"))).alias("json"))
 
 
+def config_keys(spark, sf_dir):
+    """The keys 'brand.name' of parts that answer part names, brands, those keys of the largest parts, and nations."""
+    g = GraphTables(spark, sf_dir)
+    p = g.source("part")
+    keys = p.select(F.concat_ws(".", "p_brand", "p_name").alias("key"))
+    asked = p.select(F.explode(F.array("p_name", "p_brand", F.when(F.col("p_size") == 50, F.concat_ws(".", "p_brand", "p_name")))).alias("key")).union(g.source("nation").select("n_name"))
+    return targets.key_matches(asked, keys).withColumn("score", r6(F.col("score")))
+
+
+def db_contradictions(spark, sf_dir):
+    """Accesses whose part is not the one of the line before in its order, with the reasons."""
+    g = GraphTables(spark, sf_dir)
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    lines = g.source("lineitem").select("*", F.row_number().over(w).alias("rn"), F.lag("l_partkey").over(w).alias("before"))
+    named = lambda key, p: g.source("part").select(F.col("p_partkey").alias(key), F.col("p_type").alias(f"{p}_schema"), F.col("p_name").alias(f"{p}_table"))
+    rows = lines.join(named("l_partkey", "own"), "l_partkey").join(named("before", "past"), "before", "left")
+    side = lambda p: (F.col(f"{p}_schema"), F.col(f"{p}_table"))
+    none = (F.lit(None).cast("string"), F.lit(None).cast("string"))
+    reasons = targets.db_contradictions(side("past"), side("own"), none, F.col("l_returnflag") == "N", F.col("l_quantity") >= 45)
+    return rows.select("l_orderkey", F.col("rn").cast("long").alias("rn"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def page_completeness(spark, sf_dir):
+    """Pages as functions: an outbound call of their address, and a database section where they hold a table; long ones are cut, those with a script not understood."""
+    p = GraphTables(spark, sf_dir).source("pages").select("page_id", proofs.url_path(F.col("url")).alias("path"), proofs.url_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    http = targets.section_completeness(F.length("html") >= 1500, F.col("path") != "/", F.col("host") != "", F.col("path").rlike("[0-9]"), F.col("host").startswith("m."))
+    db = F.when(F.contains("html", F.lit("<table")), targets.section_completeness(F.lit(False), F.lit(True), F.lit(False)))
+    return p.select("page_id", targets.summary_completeness([http, db], F.length("html") > 5000, F.contains("html", F.lit("<script"))).alias("completeness"))
+
+
 LAID = """laid AS (SELECT c.subject_id, o.id AS object_id, c.object_id AS service_id, greatest(max(c.confidence) * 0.85::DOUBLE, 0.5::DOUBLE) AS confidence FROM candidates c JOIN objects o ON o.parent_id = c.object_id AND o.object_type = 'api_endpoint'
   WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.relation_type = 'call' AND r.subject_id = c.subject_id AND r.object_id = o.id) GROUP BY ALL)"""
 
@@ -139,4 +170,18 @@ ENTRIES = {
     "selected_scope": (selected_scope, with_tables("""SELECT id, relation_type, subject_id, object_id FROM relations WHERE subject_id IN (SELECT id FROM scope) AND object_id IN (SELECT id FROM scope)""", reports.CHOSEN, f"scope AS ({reports.SCOPE})")),
     "export_domains": (export_domains, with_tables("""SELECT o.id AS domain_id, to_json({'domain': o.id, 'name': o.name, 'members': (SELECT count(*) FROM affinities a WHERE a.domain_id = o.id),
         'top': (SELECT list(object_id ORDER BY affinity DESC, object_id) FROM (SELECT * FROM affinities a WHERE a.domain_id = o.id ORDER BY affinity DESC, object_id LIMIT 5))})::VARCHAR AS json FROM objects o WHERE object_type = 'domain'""")),
+    "config_keys": (config_keys, """WITH k AS (SELECT DISTINCT lower(p_brand || '.' || p_name) AS k FROM part),
+        a AS (SELECT lower(p_name) AS a FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT lower(p_brand || '.' || p_name) FROM part WHERE p_size = 50 UNION SELECT lower(n_name) FROM nation),
+        g AS (SELECT *, list_filter(string_split_regex(a, '[./_\\-\\s]+'), lambda s: s <> '') AS x, list_filter(string_split_regex(k, '[./_\\-\\s]+'), lambda s: s <> '') AS y FROM a, k),
+        s AS (SELECT a, k, CASE WHEN a = k THEN 1000 + len(k) ELSE 25 * len(list_filter(x, lambda s: list_contains(y, s))) + CASE WHEN ends_with(k, a) THEN 200 ELSE 0 END + CASE WHEN ends_with(a, k) THEN 120 ELSE 0 END
+          + CASE WHEN contains(k, a) OR contains(a, k) THEN 60 ELSE 0 END + least(len(k), 120) / 10::DOUBLE END::DOUBLE AS score FROM g),
+        b AS (SELECT a, arg_max(k, (score, len(k), k)) AS key, max(score) AS score FROM s GROUP BY 1)
+        SELECT a AS asked, key, round(score, 6) AS score, CASE WHEN score >= 1000 THEN 'exact' WHEN score >= 200 THEN 'suffix' ELSE 'token' END AS strategy FROM b"""),
+    "db_contradictions": (db_contradictions, """WITH l AS (SELECT *, row_number() OVER w AS rn, lag(l_partkey) OVER w AS before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount))
+        SELECT l_orderkey, rn, array_to_string(list_filter([CASE WHEN p.p_type <> b.p_type THEN 'DB_SCHEMA_CONTRADICTION' END, CASE WHEN replace(p.p_name, ' ', '') <> replace(b.p_name, ' ', '') THEN 'DB_TABLE_CONTRADICTION' END,
+          CASE WHEN l_returnflag = 'N' THEN 'UNSUPPORTED_SUMMARY_CONFLICT' END, CASE WHEN l_quantity >= 45 THEN 'TRUNCATED_SUMMARY_CONFLICT' END], lambda x: x IS NOT NULL), ',') AS reasons
+        FROM l JOIN part p ON p.p_partkey = l_partkey LEFT JOIN part b ON b.p_partkey = before"""),
+    "page_completeness": (page_completeness, f"""WITH {proofs.URLS}, s AS (SELECT u.page_id, html, CASE WHEN length(html) >= 1500 THEN 0.35::DOUBLE ELSE 0::DOUBLE END + CASE WHEN path = '/' THEN 0::DOUBLE WHEN regexp_matches(path, '[0-9]') THEN 0.25::DOUBLE ELSE 0.45::DOUBLE END
+          + CASE WHEN host = '' THEN 0::DOUBLE WHEN starts_with(host, 'm.') THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS h FROM u JOIN (SELECT page_id, coalesce(html, '') AS html FROM pages) USING (page_id))
+        SELECT page_id, round(least(greatest(CASE WHEN contains(html, '<table') THEN (h + 0.45::DOUBLE) / 2 ELSE h END - (CASE WHEN length(html) > 5000 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN contains(html, '<script') THEN 0.15::DOUBLE ELSE 0::DOUBLE END), 0), 1), 4) AS completeness FROM s"""),
 }
