@@ -137,3 +137,30 @@ def summary_completeness(sections: list[Column], truncated: Column, unsupported:
     mean = F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.size(held)
     less = F.when(truncated, 0.1).otherwise(0.0) + F.when(unsupported, 0.15).otherwise(0.0)
     return F.when(F.size(held) > 0, F.round(F.least(F.greatest(mean - less, F.lit(0.0)), F.lit(1.0)), 4)).otherwise(0.0)
+
+
+def http_targets(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Calls (host, path) with service_id, endpoint_id and how far they resolve.
+
+    A host that serves nothing leaves a call open; a path that one endpoint (service_id, path, endpoint_id) of the host alone
+    serves gives the endpoint, any other the service only.
+    """
+    services = endpoints.select(F.col("service_id").alias("host")).distinct().withColumn("service_id", F.col("host"))
+    only = endpoints.groupBy(F.col("service_id").alias("host"), "path").agg(F.min("endpoint_id").alias("endpoint_id"), F.max("endpoint_id").alias("last")).where("endpoint_id = last").drop("last")
+    rows = calls.join(services, "host", "left").join(only, ["host", "path"], "left")
+    return rows.withColumn("status", F.when(F.col("endpoint_id").isNotNull(), "endpoint").when(F.col("service_id").isNotNull(), "service").otherwise("open"))
+
+
+def intent_hashes(intents: DataFrame, anchor: list[str], hints: list[str]) -> DataFrame:
+    """intent_hash over anchor and hints (trimmed, lower case, null as empty) and anchor_hash over the anchor alone; one row an intent."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    digest = lambda cols: F.sha2(F.concat_ws("\u001f", *cols), 256)
+    held = [text(c) for c in anchor]
+    return intents.select(digest(held + [F.lower(F.trim(text(c))) for c in hints]).alias("intent_hash"), digest(held).alias("anchor_hash")).distinct()
+
+
+def retired(now: DataFrame, before: DataFrame) -> DataFrame:
+    """intent_hash, anchor_hash, status: intents that a new extraction adds, keeps or retires."""
+    mark = lambda df, name: df.withColumn(name, F.lit(True))
+    rows = mark(now, "n").join(mark(before, "b"), ["intent_hash", "anchor_hash"], "full")
+    return rows.select("intent_hash", "anchor_hash", F.when(F.col("b").isNull(), "new").when(F.col("n").isNull(), "retired").otherwise("kept").alias("status"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import NAME_SUFFIXES, clamp, name_tokens, r6
-from strataweave.operators import targets
+from strataweave.operators import signals, targets
 from strataweave.plans import domains, proofs, reports, rollups
 from strataweave.sources.graph_tables import LINE_ORDER, GraphTables, with_tables
 from strataweave.sources.scratch import stored
@@ -142,6 +142,25 @@ def page_completeness(spark, sf_dir):
     return p.select("page_id", targets.summary_completeness([http, db], F.length("html") > 5000, F.contains("html", F.lit("<script"))).alias("completeness"))
 
 
+def link_endpoints(spark, sf_dir):
+    """Hosts and paths that pages link to, resolved to the page that alone serves them, or else to the host."""
+    p = GraphTables(spark, sf_dir).source("pages")
+    served = p.select(proofs.url_host(F.col("url")).alias("service_id"), proofs.url_path(F.col("url")).alias("path"), F.col("page_id").alias("endpoint_id"))
+    return targets.http_targets(proofs.page_links(spark, sf_dir).select("host", "path", "n"), served)
+
+
+def intent_upkeep(spark, sf_dir):
+    """Intents of links, by their page's host: what an extraction over longer pages keeps of one over pages with a script."""
+    p = GraphTables(spark, sf_dir).source("pages")
+
+    def found(pages):
+        links = signals.page_links(pages).select("page_id", "link_host", "path")
+        own = pages.select("page_id", proofs.url_host(F.col("url")).alias("owner"))
+        return targets.intent_hashes(links.join(own, "page_id"), ["owner"], ["link_host", "path"])
+
+    return targets.retired(found(p.where("length(html) >= 1500")), found(p.where("contains(html, '<script')")))
+
+
 LAID = """laid AS (SELECT c.subject_id, o.id AS object_id, c.object_id AS service_id, greatest(max(c.confidence) * 0.85::DOUBLE, 0.5::DOUBLE) AS confidence FROM candidates c JOIN objects o ON o.parent_id = c.object_id AND o.object_type = 'api_endpoint'
   WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.relation_type = 'call' AND r.subject_id = c.subject_id AND r.object_id = o.id) GROUP BY ALL)"""
 
@@ -184,4 +203,10 @@ ENTRIES = {
     "page_completeness": (page_completeness, f"""WITH {proofs.URLS}, s AS (SELECT u.page_id, html, CASE WHEN length(html) >= 1500 THEN 0.35::DOUBLE ELSE 0::DOUBLE END + CASE WHEN path = '/' THEN 0::DOUBLE WHEN regexp_matches(path, '[0-9]') THEN 0.25::DOUBLE ELSE 0.45::DOUBLE END
           + CASE WHEN host = '' THEN 0::DOUBLE WHEN starts_with(host, 'm.') THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS h FROM u JOIN (SELECT page_id, coalesce(html, '') AS html FROM pages) USING (page_id))
         SELECT page_id, round(least(greatest(CASE WHEN contains(html, '<table') THEN (h + 0.45::DOUBLE) / 2 ELSE h END - (CASE WHEN length(html) > 5000 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN contains(html, '<script') THEN 0.15::DOUBLE ELSE 0::DOUBLE END), 0), 1), 4) AS completeness FROM s"""),
+    "link_endpoints": (link_endpoints, f"""WITH {proofs.URLS}, {proofs.LINKS}, c AS (SELECT host, path, count(*) AS n FROM links GROUP BY ALL), e AS (SELECT host, path, min(page_id) AS p FROM u GROUP BY ALL HAVING min(page_id) = max(page_id))
+        SELECT c.host, c.path, n, h.host AS service_id, e.p AS endpoint_id, CASE WHEN e.p IS NOT NULL THEN 'endpoint' WHEN h.host IS NOT NULL THEN 'service' ELSE 'open' END AS status
+        FROM c LEFT JOIN (SELECT DISTINCT host FROM u) h ON h.host = c.host LEFT JOIN e ON e.host = c.host AND e.path = c.path"""),
+    "intent_upkeep": (intent_upkeep, f"""WITH {proofs.URLS}, {proofs.LINKS}, i AS (SELECT sha256(u.host || chr(31) || lower(trim(l.host)) || chr(31) || lower(trim(l.path))) AS intent_hash, sha256(u.host) AS anchor_hash, length(html) >= 1500 AS n, contains(html, '<script') AS b
+        FROM links l JOIN u USING (page_id) JOIN pages USING (page_id))
+        SELECT intent_hash, anchor_hash, CASE WHEN NOT bool_or(b) THEN 'new' WHEN NOT bool_or(n) THEN 'retired' ELSE 'kept' END AS status FROM i WHERE n OR b GROUP BY ALL"""),
 }
