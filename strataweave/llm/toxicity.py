@@ -35,6 +35,9 @@ SYMBOLS = 28  # word border, a to z, any other letter
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li"}
 LEET = frozenset(LOOK_ALIKES)
 SIGN_COST, REPEAT_COST, BORDER_COST = -1.0, -0.5, -4.0
+#: What it costs to leave a sign at a word's end as it is: an exclamation mark mostly is one, the others seldom.
+TAIL_COST = {"!": -1.0, "$": -6.0, "|": -6.0}
+END_SIGNS = "".join(TAIL_COST)
 #: Nats a letter by which a reading may fall short of a uniform model.
 SLACK = 1.5
 
@@ -90,8 +93,9 @@ class Channel:
 
     @staticmethod
     def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
-        """For each step the readings and what they cost."""
+        """For each step the readings and what they cost; signs at a word's end may also stand for themselves."""
         out: list[list[tuple[str, float]]] = []
+        end = len(token.rstrip(END_SIGNS))
         at = 0
         while at < len(token):
             c, to = token[at], at + 1
@@ -101,6 +105,8 @@ class Channel:
                 out.append([("", 0.0), (" ", BORDER_COST)])
             elif c in LEET:
                 out.append([(x, SIGN_COST) for x in LOOK_ALIKES[c]])
+                if at >= end and not spaced:
+                    out[-1].append((c, TAIL_COST[c]))
             elif to - at >= 3:
                 out.append([(c, REPEAT_COST), (c * 2, 2 * REPEAT_COST)])
             elif c.isalpha():
@@ -151,6 +157,9 @@ class Channel:
             word = m.group()
             core = word.rstrip(TAIL)
             tail = word[len(core) :]
+            signs = tail[: len(tail) - len(tail.lstrip(END_SIGNS))]
+            if signs.strip("!") or any(c in LEET for c in core):  # exclamation marks alone disguise nothing
+                core, tail = core + signs, tail[len(signs) :]
             core2 = core.lstrip(HEAD)
             head, core = core[: len(core) - len(core2)], core2
             if "@" in core and "." in core.split("@")[-1]:  # an address

@@ -222,6 +222,13 @@ def test_restoring(spark):
         assert channel.restore(seen) == want
 
 
+def test_signs_at_a_words_end(spark):
+    docs = spark.createDataFrame([(i, "what a mass of grass, pass the glass and miss the class at last, an ass said to a boss") for i in range(50)], "doc_id long, text string")
+    channel = toxicity.Channel(toxicity.letter_trigrams(docs))
+    for seen, want in (("a$$", "ass"), ("a$$!", "ass!"), ("gra$$, no", "grass, no"), ("last!!", "last!!"), ("boss|", "boss|"), ("5$ 10$!", "5$ 10$!"), ("$$$", "$$$")):
+        assert channel.restore(seen) == want
+
+
 def readings(token, spaced):
     """Every path through the lattice, with its cost."""
     for path in itertools.product(*toxicity.Channel.lattice(token, spaced)):
@@ -229,7 +236,7 @@ def readings(token, spaced):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text("a1!b@l0", min_size=1, max_size=7), st.lists(st.sampled_from("ab1l0"), min_size=3, max_size=4).map(" ".join)), st.booleans())
+@given(st.one_of(st.text("a1!b@l0$", min_size=1, max_size=7), st.lists(st.sampled_from("ab1l0"), min_size=3, max_size=4).map(" ".join)), st.booleans())
 def test_the_likeliest_of_all_readings_is_found(token, spaced):
     spaced = spaced and " " in token
     channel = toxicity_channel()
