@@ -52,6 +52,7 @@ _SIGN[[ord(c) for c in LEET]] = True
 MIXED = re.compile(r"(?<!\S)[^\s0-9@$!|]*+[0-9@$!|]\S*+")
 REPEATED = re.compile(r"(?<![A-Za-z])(?=[A-Za-z]*?([A-Za-z])\1\1)[A-Za-z]++")
 SPACED = re.compile(r"(?<!\S)[A-Za-z0-9@$!|](?:[ .*_-][A-Za-z0-9@$!|](?![A-Za-z0-9@$|])){2,}+")
+ORNAMENT = re.compile(r"(.)\1\1")
 TAIL, HEAD = ".,;:?!%&*#|$\"'()[]", ".,;:?%&*#|\"'()["
 
 
@@ -158,7 +159,7 @@ class Channel:
             core = word.rstrip(TAIL)
             tail = word[len(core) :]
             signs = tail[: len(tail) - len(tail.lstrip(END_SIGNS))]
-            if signs.strip("!") or any(c in LEET for c in core):  # exclamation marks alone disguise nothing
+            if (signs.strip("!") or any(c in LEET for c in core)) and not ORNAMENT.search(signs):  # exclamation marks alone disguise nothing
                 core, tail = core + signs, tail[len(signs) :]
             core2 = core.lstrip(HEAD)
             head, core = core[: len(core) - len(core2)], core2

@@ -225,7 +225,7 @@ def test_restoring(spark):
 def test_signs_at_a_words_end(spark):
     docs = spark.createDataFrame([(i, "what a mass of grass, pass the glass and miss the class at last, an ass said to a boss") for i in range(50)], "doc_id long, text string")
     channel = toxicity.Channel(toxicity.letter_trigrams(docs))
-    for seen, want in (("a$$", "ass"), ("a$$!", "ass!"), ("gra$$, no", "grass, no"), ("last!!", "last!!"), ("boss|", "boss|"), ("5$ 10$!", "5$ 10$!"), ("$$$", "$$$")):
+    for seen, want in (("a$$", "ass"), ("a$$!", "ass!"), ("a$$$", "a$$$"), ("gra$$$$$", "gra$$$$$"), ("gra$$, no", "grass, no"), ("last!!", "last!!"), ("boss|", "boss|"), ("5$ 10$!", "5$ 10$!"), ("$$$", "$$$")):
         assert channel.restore(seen) == want
 
 
