@@ -11,12 +11,13 @@ from .pii import op3_pii
 from .quality_rules import op10_quality_rules
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
+from .token_archive import op13_token_archive
 from .toxicity import op7_toxicity
 from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_pii, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_toxicity, op8_minhash_near_dedup, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_pii, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_toxicity, op8_minhash_near_dedup, op9_substring_dedup, op10_quality_rules, op13_token_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
