@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ from .bytesops import SEP, flatten, ranges, row_slices
 from .scratch import fresh_path, stored
 
 SLICE = 8 << 20
-CACHED = 400_000
+CACHED = 200_000
 #: The parts of a tokenizer under which a text's words are encoded independently.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {
@@ -53,12 +54,9 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-LETTER = np.zeros(256, bool)
-LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-PUNCT = np.zeros(256, bool)
-PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
+BLANK, LETTER, PUNCT = 1, 2, 4
+KINDS = bytes(BLANK if SEP[b] else LETTER if chr(b).isalpha() and b < 128 else PUNCT if 0x20 < b < 0x7F and not chr(b).isdigit() else 0 for b in range(256))
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 class WordEncoder:
@@ -81,41 +79,45 @@ class WordEncoder:
         self.chars = {c: "".join(shown[b] for b in chr(c).encode()) for c in [*range(0x61, 0x7B), *range(0xDF, 0x100)] if c != 0xF7}
         self.plain = frozenset(map(chr, self.chars))
 
-    def fresh(self, word: str) -> bytes:
-        if self.plain.issuperset(word):  # lower-case letters of Latin-1: one pre-token
-            ids = [t.id for t in self.model.tokenize(word.translate(self.chars))]
+    def fresh(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # lower-case ASCII letters: one pre-token, shown as itself
+            ids = [t.id for t in self.model.tokenize(word.decode())]
+        elif self.plain.issuperset(text := word.decode()):  # lower-case letters of Latin-1: one pre-token
+            ids = [t.id for t in self.model.tokenize(text.translate(self.chars))]
         else:
-            ids = self.tok.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def word_ids(self, word: bytes) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            got = self.older.get(word)
-            if got is None:
-                got = self.fresh(word.decode())
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def words_ids(self, words: list[bytes]) -> list[bytes]:
+        got = list(map(self.known.get, words))
+        for i in [i for i, g in enumerate(got) if g is None]:
+            word = words[i]
+            got[i] = self.older.get(word) or self.fresh(word)
             if len(word) <= 64:
                 if len(self.known) >= CACHED:
                     self.known, self.older = {}, self.known
-                self.known[word] = got
+                self.known[word] = got[i]
         return got
 
     def units(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text its number of units; each unit's distinct word; and of the distinct words all ids end to end, and how many each has."""
-        inside = ~SEP[data]
+        whole = data.tobytes()
+        kinds = np.frombuffer(whole.translate(KINDS), np.uint8)
+        inside = kinds != BLANK
         first = inside.copy()
         first[1:] &= ~inside[:-1]
-        whole = data.tobytes()
         if not any(s in whole for s in self.specials):
-            first[1:] |= PUNCT[data[1:]] & LETTER[data[:-1]]
-            data = LOWER[data]
+            first[1:] |= (kinds[1:] == PUNCT) & (kinds[:-1] == LETTER)
+            data = np.frombuffer(whole.translate(LOWER), np.uint8)
         starts = np.flatnonzero(first)
         per_text = np.diff(np.searchsorted(starts, offs))
-        before = np.concatenate(([0], np.cumsum(inside)))
-        ends = before[np.append(starts, len(data))].astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+        ends = np.zeros(len(starts) + 1, np.int32)
+        if len(starts):
+            total = np.cumsum(inside, dtype=np.int32)
+            ends[1:] = total[np.append(starts[1:] - 1, len(data) - 1)]
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
         coded = packed.dictionary_encode()
-        got = [self.word_ids(w) for w in coded.dictionary.to_pylist()]
+        got = self.words_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         counts = np.fromiter(map(len, got), np.int64, len(got)) // 4
         return per_text, coded.indices.to_numpy(), np.frombuffer(b"".join(got), "<u4"), counts
 
@@ -171,7 +173,7 @@ def encoder(path: str) -> WordEncoder:
 
 # Four values a control byte: two bits each, the value's bytes less one.
 _SIZES = np.stack([((np.arange(256) >> (2 * k)) & 3) + 1 for k in range(4)], axis=1)
-_TOTAL = _SIZES.sum(axis=1)
+_TOTAL = _SIZES.sum(axis=1).astype(np.uint8)
 #: For each control byte and each of 16 bytes (4 values of 4): its place in the group's data, and whether it is there.
 _FROM = ((np.cumsum(_SIZES, axis=1) - _SIZES)[:, :, None] + np.arange(4)).reshape(256, 16)
 _THERE = (np.arange(4) < _SIZES[:, :, None]).reshape(256, 16)
@@ -196,7 +198,7 @@ def code(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def decode(control: np.ndarray, data: np.ndarray) -> np.ndarray:
     """All values of whole groups, by table lookup."""
     total = _TOTAL[control]
-    starts = np.cumsum(total) - total
+    starts = np.cumsum(total, dtype=np.int64) - total
     out = np.empty(len(control) * 4, "<u4")
     for x in range(0, len(control), 1 << 16):
         c = control[x : x + (1 << 16)]
@@ -247,7 +249,7 @@ def ranked(counts: np.ndarray) -> np.ndarray:
     return np.lexsort((np.arange(len(counts)), -counts)).astype("<u4")
 
 
-def write_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_bytes: int = 32 << 20) -> None:
+def write_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_bytes: int = 16 << 20) -> None:
     """Writes doc_id and text of ``docs`` to ``path``/shards and the ranks to ``path``/ranks."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -339,12 +341,12 @@ def read_archive(spark: SparkSession, path: str, broadcast_rows: int = 1_000_000
                 head, doc_ids, there, counts, control, data = _parsed(content)
                 n = counts.astype(np.int64)
                 groups = np.cumsum(-(-n // 4))
-                starts, bytes_to = np.cumsum(n) - n, np.concatenate(([0], np.cumsum(_TOTAL[control])))
+                starts, bytes_to = np.cumsum(n) - n, np.cumsum(np.add.reduceat(_TOTAL[control], np.concatenate(([0], groups[:-1])), dtype=np.int64))
                 a = 0
                 while a < len(n):
                     g0 = groups[a - 1] if a else 0
                     b = max(a + 1, int(np.searchsorted(groups, g0 + (1 << 18), "right")))
-                    values = decode(control[g0 : groups[b - 1]], data[bytes_to[g0] : bytes_to[groups[b - 1]]])
+                    values = decode(control[g0 : groups[b - 1]], data[bytes_to[a - 1] if a else 0 : bytes_to[b - 1]])
                     first = (np.concatenate(([g0], groups[a : b - 1])) - g0) * 4
                     ids = id_of[values[ranges(first, n[a:b])]]
                     ends = np.concatenate(([0], np.cumsum(n[a:b] * 4))).astype(np.int32)
