@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.functions.scalars import path_score
+from strataweave.functions.scalars import exact_avg, path_score
 from strataweave.sources.scratch import stored
 
 
@@ -90,7 +90,7 @@ def contributors(relations: DataFrame, objects: DataFrame, target: str, group: s
     scope = objects.where((F.col("id") == target) | F.col("path").startswith(f"/{target}/")).select(F.col("id").alias("object_id"))
     rows = relations.where("status = 'APPROVED' and relation_type <> 'expose'").join(scope, "object_id", "left_semi")
     key = {"type": "relation_type", "source": "subject_id", "target": "object_id"}[group]
-    return rows.groupBy(F.col(key).alias("group_key")).agg(F.count(F.lit(1)).alias("weight"), F.avg("confidence").alias("confidence"))
+    return rows.groupBy(F.col(key).alias("group_key")).agg(F.count(F.lit(1)).alias("weight"), exact_avg(F.col("confidence")).alias("confidence"))
 
 
 def evidence_chain(edges: DataFrame, provenance: DataFrame, evidences: DataFrame, hop: int = 0) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.functions.scalars import exact_avg
+
 EDGE = ("relation_type", "subject_id", "object_id")
 
 
@@ -30,7 +32,7 @@ def service_calls(relations: DataFrame, objects: DataFrame) -> DataFrame:
 
 def edges(lifted: DataFrame) -> DataFrame:
     """relation_type, subject_id, object_id, edge_weight, confidence."""
-    return lifted.groupBy(*EDGE).agg(F.count(F.lit(1)).alias("edge_weight"), F.avg("confidence").alias("confidence"))
+    return lifted.groupBy(*EDGE).agg(F.count(F.lit(1)).alias("edge_weight"), exact_avg(F.col("confidence")).alias("confidence"))
 
 
 def service_to_service(relations: DataFrame, objects: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.scalars import NAME_SUFFIXES, name_tokens, r6
+from strataweave.functions.scalars import NAME_SUFFIXES, exact_avg, name_tokens, r6
 from strataweave.operators import domain
 from strataweave.plans.rollups import s2s_of
-from strataweave.sources.graph_tables import GraphTables, with_tables
+from strataweave.sources.graph_tables import GraphTables, avg6_sql, with_tables
 
 SUFFIXES = ", ".join(f"'{x}'" for x in NAME_SUFFIXES)
 PRIMARY = "prime AS (SELECT object_id, arg_min(domain_id, (-affinity, domain_id)) AS domain_id, max(affinity) AS affinity FROM affinities GROUP BY 1)"
@@ -28,7 +28,7 @@ def domain_list(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
     a = g.affinities()
     first = domain.primary(a).groupBy("domain_id").agg(F.count(F.lit(1)).alias("primary_members"))
-    sums = a.groupBy("domain_id").agg(F.count(F.lit(1)).alias("members"), r6(F.avg("affinity")).alias("avg_affinity"))
+    sums = a.groupBy("domain_id").agg(F.count(F.lit(1)).alias("members"), r6(exact_avg(F.col("affinity"))).alias("avg_affinity"))
     rows = g.objects().where("object_type = 'domain'").select(F.col("id").alias("domain_id"), "name")
     return rows.join(sums, "domain_id", "left").join(first, "domain_id", "left").na.fill(0, ["members", "primary_members"])
 
@@ -125,7 +125,7 @@ ENTRIES = {
     "affinity_normalize": (affinity_normalize, with_tables("""SELECT object_id, domain_id, round(share, 6) AS share, round(max(share) OVER (PARTITION BY object_id), 6) AS purity,
         CASE WHEN row_number() OVER (PARTITION BY object_id ORDER BY affinity DESC, domain_id) = 1 THEN 'primary' WHEN share >= 0.25 THEN 'secondary' ELSE '' END AS role
         FROM (SELECT *, affinity / sum(affinity) OVER (PARTITION BY object_id) AS share FROM affinities)""")),
-    "domain_list": (domain_list, with_tables("""SELECT o.id AS domain_id, o.name, (SELECT count(*) FROM affinities a WHERE a.domain_id = o.id) AS members, (SELECT round(avg(affinity), 6) FROM affinities a WHERE a.domain_id = o.id) AS avg_affinity,
+    "domain_list": (domain_list, with_tables("""SELECT o.id AS domain_id, o.name, (SELECT count(*) FROM affinities a WHERE a.domain_id = o.id) AS members, (SELECT """ + avg6_sql("affinity") + """ FROM affinities a WHERE a.domain_id = o.id) AS avg_affinity,
         (SELECT count(*) FROM prime p WHERE p.domain_id = o.id) AS primary_members FROM objects o WHERE object_type = 'domain'""", PRIMARY)),
     "domain_summary": (domain_summary, with_tables("""SELECT domain_id, n, coalesce(i, 0) AS inner_edges, CASE WHEN n > 1 THEN round(coalesce(i, 0) / (n * (n - 1)), 6) ELSE 0.0 END AS density
         FROM (SELECT domain_id, count(*) AS n FROM prime GROUP BY 1) LEFT JOIN (SELECT x.domain_id, count(*) AS i FROM (SELECT DISTINCT subject_id, object_id FROM s2s) e JOIN prime x ON x.object_id = e.subject_id JOIN prime y ON y.object_id = e.object_id WHERE x.domain_id = y.domain_id GROUP BY 1) USING (domain_id)""", PRIMARY)),

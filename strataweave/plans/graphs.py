@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataweave.functions.scalars import cursor, r6
+from strataweave.functions.scalars import cursor, exact_avg, r6
 from strataweave.operators import graph, rollup
 from strataweave.plans.rollups import s2s_of
-from strataweave.sources.graph_tables import GraphTables, with_tables
+from strataweave.sources.graph_tables import GraphTables, avg6_sql, with_tables
 from strataweave.sources.scratch import stored
 
 ROOT = "S0"
@@ -47,7 +47,7 @@ def usage_discovery(spark, sf_dir):
     a = s2s_of(g).select(F.lit("rollup").alias("kind"), "relation_type", "object_id", "confidence")
     b = g.relations().select(F.lit("atomic").alias("kind"), "relation_type", "object_id", "confidence")
     services = g.objects().where("object_type = 'service'").select(F.col("id").alias("object_id"))
-    return a.unionAll(b).join(services, "object_id", "left_semi").groupBy("object_id", "kind", "relation_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("confidence")).alias("confidence"))
+    return a.unionAll(b).join(services, "object_id", "left_semi").groupBy("object_id", "kind", "relation_type").agg(F.count(F.lit(1)).alias("n"), r6(exact_avg(F.col("confidence"))).alias("confidence"))
 
 
 def root_ancestor(spark, sf_dir):
@@ -80,7 +80,7 @@ def _contributors(group: str):
         return out.select("group_key", "weight", r6(F.col("confidence")).alias("confidence"))
 
     key = {"type": "relation_type", "source": "subject_id", "target": "r.object_id"}[group]
-    return query, with_tables(f"SELECT {key} AS group_key, count(*) AS weight, round(avg(confidence), 6) AS confidence FROM relations r JOIN objects o ON r.object_id = o.id WHERE status = 'APPROVED' AND relation_type <> 'expose' AND (o.id = '{ROOT}' OR o.path LIKE '/{ROOT}/%') GROUP BY 1")
+    return query, with_tables(f"SELECT {key} AS group_key, count(*) AS weight, {avg6_sql('confidence')} AS confidence FROM relations r JOIN objects o ON r.object_id = o.id WHERE status = 'APPROVED' AND relation_type <> 'expose' AND (o.id = '{ROOT}' OR o.path LIKE '/{ROOT}/%') GROUP BY 1")
 
 
 def contributors_page(spark, sf_dir):
@@ -118,7 +118,7 @@ ENTRIES = {
     "impact_both": _impact("BOTH"),
     "impact_edges": (impact_edges, with_tables("SELECT DISTINCT relation_type, subject_id, object_id, edge_weight FROM s2s WHERE subject_id IN (SELECT id FROM walk WHERE depth < 2)", "walk AS (SELECT 'S0' AS id, 0 AS depth UNION SELECT object_id, depth + 1 FROM walk JOIN s2s ON subject_id = id WHERE depth < 2)")),
     "path_discovery": (path_discovery, with_tables("SELECT CAST(hops AS BIGINT) AS hops, array_to_string(path, '>') AS path, round(sum_c / hops, 6) AS avg_confidence, CAST(least_w AS BIGINT) AS least_weight, round(sum_c / hops * ln(1 + least_w) / (1 + 0.1 * (hops - 1)), 6) AS score FROM p WHERE here = 'S3' ORDER BY round(sum_c / hops * ln(1 + least_w) / (1 + 0.1 * (hops - 1)), 9) DESC, 1, 2 LIMIT 10", PATHS)),
-    "usage_discovery": (usage_discovery, with_tables("SELECT object_id, kind, relation_type, count(*) AS n, round(avg(confidence), 6) AS confidence FROM (SELECT 'rollup' AS kind, relation_type, object_id, confidence FROM s2s UNION ALL SELECT 'atomic', relation_type, object_id, confidence FROM relations) WHERE object_id IN (SELECT id FROM objects WHERE object_type = 'service') GROUP BY ALL")),
+    "usage_discovery": (usage_discovery, with_tables("SELECT object_id, kind, relation_type, count(*) AS n, " + avg6_sql("confidence") + " AS confidence FROM (SELECT 'rollup' AS kind, relation_type, object_id, confidence FROM s2s UNION ALL SELECT 'atomic', relation_type, object_id, confidence FROM relations) WHERE object_id IN (SELECT id FROM objects WHERE object_type = 'service') GROUP BY ALL")),
     "root_ancestor": (root_ancestor, with_tables("SELECT id, root AS root_id FROM up WHERE parent_id IS NULL", "up AS (SELECT id, id AS root, parent_id FROM objects UNION ALL SELECT up.id, o.id, o.parent_id FROM up JOIN objects o ON up.parent_id = o.id)")),
     "unused_atomic": (unused_atomic, with_tables("SELECT id, object_type, parent_id FROM objects o WHERE granularity = 'ATOMIC' AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.status = 'APPROVED' AND r.relation_type IN ('call', 'read', 'write') AND r.object_id = o.id)")),
     "object_detail": (object_detail, with_tables("SELECT id, object_type, name, (SELECT count(*) FROM objects k WHERE k.parent_id = o.id) AS children, (SELECT count(*) FROM relations r WHERE r.subject_id = o.id) AS outbound, (SELECT count(*) FROM relations r WHERE r.object_id = o.id) AS inbound FROM objects o WHERE granularity = 'COMPOUND'")),

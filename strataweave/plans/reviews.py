@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.scalars import r6
+from strataweave.functions.scalars import exact_avg, r6
 from strataweave.operators import confidence, review
-from strataweave.sources.graph_tables import GraphTables, with_tables
+from strataweave.sources.graph_tables import GraphTables, avg6_sql, with_tables
 
 
 def cross_validation(spark, sf_dir):
@@ -18,7 +18,7 @@ def cross_validation(spark, sf_dir):
 
 def validation_counts(spark, sf_dir):
     v = cross_validation(spark, sf_dir)
-    return v.groupBy("sources", "contradiction").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("validated").alias("validated"), r6(F.avg(F.col("adjusted") - F.col("confidence"))).alias("mean_change"))
+    return v.groupBy("sources", "contradiction").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("validated").alias("validated"), r6(exact_avg(F.col("adjusted") - F.col("confidence"))).alias("mean_change"))
 
 
 def _reviews(g: GraphTables):
@@ -174,7 +174,7 @@ valid AS (SELECT id, sources, CASE WHEN phantom THEN 'PHANTOM_CALL' ELSE '' END
 
 ENTRIES = {
     "cross_validation": (cross_validation, with_tables("SELECT * FROM valid", CAND, VALID)),
-    "validation_counts": (validation_counts, with_tables("SELECT sources, contradiction, count(*) AS candidates, count(*) FILTER (WHERE validated) AS validated, round(avg(adjusted - confidence), 6) AS mean_change FROM valid GROUP BY ALL", CAND, VALID)),
+    "validation_counts": (validation_counts, with_tables("SELECT sources, contradiction, count(*) AS candidates, count(*) FILTER (WHERE validated) AS validated, " + avg6_sql("adjusted - confidence") + " AS mean_change FROM valid GROUP BY ALL", CAND, VALID)),
     "stale_config": (stale_config, with_tables("""SELECT l_orderkey || ':' || rn AS id, 'S' || l_suppkey AS subject_id, 'DB' || p_brand AS object_id, CASE WHEN k THEN '' ELSE 'STALE_CONFIG' END AS contradiction, round(CASE WHEN k THEN 1 - l_tax ELSE least(greatest(1 - l_tax - 0.15, 0.1), 0.99) END, 6) AS adjusted FROM (
         SELECT *, EXISTS (SELECT 1 FROM relations r JOIN objects o ON o.id = r.object_id WHERE r.relation_type IN ('read', 'write') AND r.subject_id = 'S' || l_suppkey AND o.parent_id = 'DB' || p_brand) AS k FROM waiting JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A'))""")),
     "dead_topics": (dead_topics, with_tables("""SELECT id, CASE WHEN k THEN '' ELSE 'DEAD_TOPIC' END AS contradiction, round(CASE WHEN k THEN confidence ELSE least(greatest(confidence - 0.15, 0.1), 0.99) END, 6)::DOUBLE AS adjusted FROM (

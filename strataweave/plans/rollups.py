@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import r6
 from strataweave.operators import graph, rollup
-from strataweave.sources.graph_tables import GraphTables, with_tables
+from strataweave.sources.graph_tables import GraphTables, avg6_sql, with_tables
 from strataweave.sources.scratch import fresh_path, stored
 from strataweave.streaming import changes
 
 LIFT = """lifted AS (SELECT relation_type, subject_id, object_id, id, confidence FROM (
   SELECT r.relation_type, r.subject_id, r.id, r.confidence, CASE WHEN r.relation_type = 'depend_on' OR o.granularity = 'COMPOUND' THEN r.object_id ELSE o.parent_id END AS object_id
   FROM relations r JOIN objects o ON r.object_id = o.id WHERE r.status = 'APPROVED' AND r.relation_type IN ('call', 'depend_on')) WHERE object_id <> subject_id)"""
-PARENT = "SELECT relation_type, subject_id, o.parent_id AS object_id, count(*) AS edge_weight, round(avg(confidence), 6) AS confidence FROM relations r JOIN objects o ON r.object_id = o.id WHERE status = 'APPROVED' AND relation_type IN ({}) AND o.parent_id IS NOT NULL GROUP BY ALL"
+AVG6 = avg6_sql("confidence")
+PARENT = "SELECT relation_type, subject_id, o.parent_id AS object_id, count(*) AS edge_weight, " + AVG6 + " AS confidence FROM relations r JOIN objects o ON r.object_id = o.id WHERE status = 'APPROVED' AND relation_type IN ({}) AND o.parent_id IS NOT NULL GROUP BY ALL"
 
 
 def edge_columns(df):
@@ -187,7 +188,7 @@ ENTRIES = {
     "evidence_top": (evidence_top, with_tables("""SELECT s.relation_type, s.subject_id, s.object_id, s.edge_weight, coalesce(evidence_type, 'rollup') AS evidence_type, coalesce(e.id, '') AS evidence_id, round(s.confidence * s.edge_weight, 6) AS score
         FROM s2s s LEFT JOIN (SELECT DISTINCT l.relation_type, l.subject_id, l.object_id, e.id, e.evidence_type FROM lifted l JOIN evidences e ON e.relation_id = l.id) e
         ON s.relation_type = e.relation_type AND s.subject_id = e.subject_id AND s.object_id = e.object_id ORDER BY round(s.confidence * s.edge_weight, 9) DESC, s.edge_weight DESC, s.confidence DESC, 6, 2, 3, 1 LIMIT 10""", LIFT)),
-    "rollup_s2s": (rollup_s2s, with_tables("SELECT relation_type, subject_id, object_id, edge_weight, round(confidence, 6) AS confidence FROM s2s")),
+    "rollup_s2s": (rollup_s2s, with_tables("SELECT relation_type, subject_id, object_id, edge_weight, confidence6 AS confidence FROM s2s")),
     "rollup_s2db": (rollup_s2db, with_tables(PARENT.format("'read', 'write'"))),
     "rollup_s2broker": (rollup_s2broker, with_tables(PARENT.format("'produce', 'consume'"))),
     "rollup_d2d": (rollup_d2d, with_tables("""SELECT from_domain, to_domain, CAST(floor(sum(k) + 0.5) AS BIGINT) AS edge_weight, round(sum(k), 6) AS weight, round(sum(confidence * k) / sum(k), 6) AS confidence FROM (
@@ -196,12 +197,12 @@ ENTRIES = {
     "graph_stats": (graph_stats, with_tables("SELECT object_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT subject_id AS object_id, 1 AS o, 0 AS i FROM s2s UNION ALL SELECT object_id, 0, 1 FROM s2s) GROUP BY 1")),
     "hubs": (hubs, with_tables("SELECT object_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT subject_id AS object_id, 1 AS o, 0 AS i FROM s2s UNION ALL SELECT object_id, 0, 1 FROM s2s) GROUP BY 1 HAVING sum(i) >= 5")),
     "rollup_provenance": (rollup_provenance, with_tables("SELECT DISTINCT relation_type, subject_id, object_id, id AS base_relation_id FROM lifted", LIFT)),
-    "incremental_s2s": (incremental_s2s, with_tables("""SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, round(avg(confidence), 6) AS confidence FROM (
+    "incremental_s2s": (incremental_s2s, with_tables("""SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, """ + AVG6 + """ AS confidence FROM (
         SELECT a.*, CASE WHEN relation_type = 'depend_on' OR granularity = 'COMPOUND' THEN object_id ELSE parent_id END AS target FROM after a JOIN objects o ON a.object_id = o.id) WHERE target <> subject_id GROUP BY ALL""", EVENTS)),
-    "stream_s2s": (stream_s2s, with_tables("""SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, round(avg(confidence), 6) AS confidence FROM (
+    "stream_s2s": (stream_s2s, with_tables("""SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, """ + AVG6 + """ AS confidence FROM (
         SELECT a.*, CASE WHEN relation_type = 'depend_on' OR granularity = 'COMPOUND' THEN object_id ELSE parent_id END AS target FROM after a JOIN objects o ON a.object_id = o.id) WHERE target <> subject_id GROUP BY ALL""", EVENTS)),
     "generation_log": (generation_log, "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS changes FROM orders GROUP BY 1) SELECT month, changes, CASE WHEN month = (SELECT max(month) FROM m) THEN 'ACTIVE' ELSE 'ARCHIVED' END AS status FROM m"),
-    "incremental_s2db": (incremental_s2db, with_tables("""SELECT relation_type, subject_id, parent_id AS object_id, count(*) AS edge_weight, round(avg(confidence), 6) AS confidence FROM (
+    "incremental_s2db": (incremental_s2db, with_tables("""SELECT relation_type, subject_id, parent_id AS object_id, count(*) AS edge_weight, """ + AVG6 + """ AS confidence FROM (
         SELECT relation_type, subject_id, object_id, confidence FROM relations r WHERE relation_type IN ('read', 'write') AND NOT EXISTS (SELECT 1 FROM last l WHERE l.relation_type = r.relation_type AND l.subject_id = r.subject_id AND l.object_id = r.object_id)
         UNION ALL SELECT relation_type, subject_id, object_id, confidence FROM last WHERE status = 'O') a JOIN objects o ON a.object_id = o.id GROUP BY ALL""",
         """last AS (SELECT relation_type, subject_id, object_id, arg_max(confidence, e) AS confidence, arg_max(l_linestatus, e) AS status FROM (SELECT l_orderkey * 100 + rn AS e, l_linestatus, CASE WHEN l_returnflag = 'R' THEN 'read' ELSE 'write' END AS relation_type,
@@ -216,7 +217,7 @@ ENTRIES = {
     "rollup_rebuild_levels": (rollup_rebuild_levels, with_tables("""SELECT 'SERVICE_TO_SERVICE' AS rollup_level, relation_type, count(*) AS edges, CAST(sum(edge_weight) AS BIGINT) AS total_weight FROM s2s GROUP BY 2
         UNION ALL SELECT CASE WHEN relation_type IN ('read', 'write') THEN 'SERVICE_TO_DATABASE' ELSE 'SERVICE_TO_BROKER' END, relation_type, count(*), CAST(sum(n) AS BIGINT) FROM (
           SELECT relation_type, subject_id, parent_id, count(*) AS n FROM relations r JOIN objects o ON r.object_id = o.id WHERE relation_type IN ('read', 'write', 'produce', 'consume') GROUP BY ALL) GROUP BY 1, 2""")),
-    "evidence_chain": (evidence_chain, with_tables("""SELECT s.relation_type, s.subject_id, s.object_id, s.edge_weight, round(s.confidence, 6) AS confidence, coalesce(evidence_type, 'rollup') AS evidence_type, coalesce(e.id, '') AS evidence_id, round(s.confidence * s.edge_weight, 6) AS score
+    "evidence_chain": (evidence_chain, with_tables("""SELECT s.relation_type, s.subject_id, s.object_id, s.edge_weight, s.confidence6 AS confidence, coalesce(evidence_type, 'rollup') AS evidence_type, coalesce(e.id, '') AS evidence_id, round(s.confidence * s.edge_weight, 6) AS score
         FROM s2s s LEFT JOIN (SELECT DISTINCT l.relation_type, l.subject_id, l.object_id, e.id, e.evidence_type FROM lifted l JOIN evidences e ON e.relation_id = l.id) e
         ON s.relation_type = e.relation_type AND s.subject_id = e.subject_id AND s.object_id = e.object_id""", LIFT)),
 }

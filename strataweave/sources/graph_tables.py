@@ -119,8 +119,19 @@ class GraphTables:
         )
 
 
+def avg_sql(x: str) -> str:
+    """The mean as ``exact_avg`` takes it."""
+    return f"(sum(CAST(floor(({x}) * 1e12 + 0.5) AS HUGEINT))::DOUBLE / (count({x}) * 1e12))"
+
+
+def avg6_sql(x: str) -> str:
+    """That mean rounded half up to six digits, in whole numbers."""
+    total = f"sum(CAST(floor(({x}) * 1e12 + 0.5) AS HUGEINT))"
+    return f"(sign({total}) * CAST((2 * abs({total}) + 1000000 * count({x})) // (2000000 * count({x})) AS DOUBLE) / 1000000)"
+
+
 #: The same tables for DuckDB, as common table expressions.
-SQL = """
+SQL = f"""
 lines AS (SELECT *, row_number() OVER w AS rn, lag(l_suppkey) OVER w AS a_supp, lag(l_returnflag) OVER w AS a_flag FROM lineitem
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount)),
 chain AS (SELECT * FROM lines WHERE l_quantity < 48),
@@ -153,7 +164,7 @@ candidates AS (
   SELECT 'C' || l_orderkey || ':' || rn AS id, 'call' AS relation_type, 'S' || a_supp AS subject_id, 'S' || l_suppkey AS object_id, 1 - l_discount AS confidence,
     l_linestatus, l_returnflag, l_tax AS tax FROM waiting_steps),
 s2s AS (
-  SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, avg(confidence) AS confidence FROM (
+  SELECT relation_type, subject_id, target AS object_id, count(*) AS edge_weight, {avg_sql('confidence')} AS confidence, {avg6_sql('confidence')} AS confidence6 FROM (
     SELECT r.relation_type, r.subject_id, r.confidence, CASE WHEN r.relation_type = 'depend_on' OR o.granularity = 'COMPOUND' THEN r.object_id ELSE o.parent_id END AS target
     FROM relations r JOIN objects o ON r.object_id = o.id WHERE r.status = 'APPROVED' AND r.relation_type IN ('call', 'depend_on'))
   WHERE target IS NOT NULL AND target <> subject_id GROUP BY ALL)
