@@ -43,7 +43,7 @@ from .bpe import _byte_chars
 from .bytesops import SEP, flatten, ranges, row_slices
 from .scratch import fresh_path, stored
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 CACHED = 200_000
 #: The parts of a tokenizer under which a text's words are encoded independently.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
