@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataweave.plans import domains, graphs, proofs, reports, reviews, rollups, targets
+from strataweave.plans import domains, graphs, proofs, reports, resolution, reviews, rollups, targets
 
-ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES | reports.ENTRIES | targets.ENTRIES
+ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES | reports.ENTRIES | targets.ENTRIES | resolution.ENTRIES
 
 
 def queries() -> dict:
