@@ -108,30 +108,39 @@ def endpoint_matches(intents: DataFrame, endpoints: DataFrame, exact: Column | N
     return sums.select("intent_id", pick("n").alias("n"), pick("e").alias("endpoint_id"))
 
 
-def resolve_http(intents: DataFrame, services: DataFrame, bindings: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """intent_id, status, stage, provider_id, target_id: closed on one endpoint, or open with the reason.
-
-    intents also have hosts and config_keys (arrays), dynamic (boolean: host or path is only known at run time), provider_override (a chosen candidate) and hint_id (an endpoint); all may be null.
-    """
+def staged_providers(intents: DataFrame, services: DataFrame, bindings: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """The intents with stage, low and high (as provider_stages), the provider chosen or alone, and whether there are many."""
     intents = stored(intents.withColumn("hints", F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("hosts", "config_keys")])), "intents")
     staged = intents.join(provider_stages(intents, services, bindings, endpoints), "intent_id", "left")
     # A chosen provider counts where it is a candidate; the least and greatest of the candidates tell that for one of two.
     chosen = F.col("provider_override").isNotNull() & F.col("provider_override").isin(F.col("low"), F.col("high"))
     staged = staged.withColumn("provider_id", F.when(chosen, F.col("provider_override")).when(F.col("low") == F.col("high"), F.col("low"))).withColumn("many", F.col("low") != F.col("high"))
-    staged = stored(staged, "staged")
-    served = endpoints.select("provider_id").distinct().withColumn("served", F.lit(True))
-    matched = endpoint_matches(staged.where("provider_id is not null and method is not null"), endpoints)
-    rows = staged.join(served, "provider_id", "left").join(matched, "intent_id", "left")
+    return stored(staged, "staged")
+
+
+def open_reason() -> Column:
+    """Why an intent without any provider is open."""
     hint = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
-    open_ = (
+    return (
         F.when(F.coalesce("dynamic", F.lit(False)), "DYNAMIC_URI_UNRESOLVED")
         .when(~hint("hosts") & ~hint("config_keys") & F.col("path").isNotNull(), "PATH_ONLY_TARGET_UNRESOLVED")
         .when(hint("config_keys"), "CONFIG_BINDING_MISSING")
         .otherwise("HOST_ALIAS_UNRESOLVED")
     )
+
+
+def resolve_http(intents: DataFrame, services: DataFrame, bindings: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """intent_id, status, stage, provider_id, target_id: closed on one endpoint, or open with the reason.
+
+    intents also have hosts and config_keys (arrays), dynamic (boolean: host or path is only known at run time), provider_override (a chosen candidate) and hint_id (an endpoint); all may be null.
+    """
+    staged = staged_providers(intents, services, bindings, endpoints)
+    served = endpoints.select("provider_id").distinct().withColumn("served", F.lit(True))
+    matched = endpoint_matches(staged.where("provider_id is not null and method is not null"), endpoints)
+    rows = staged.join(served, "provider_id", "left").join(matched, "intent_id", "left")
     status = (
         F.when(F.col("provider_id").isNull() & F.coalesce("many", F.lit(False)), "PROVIDER_SERVICE_AMBIGUOUS")
-        .when(F.col("provider_id").isNull(), open_)
+        .when(F.col("provider_id").isNull(), open_reason())
         .when(F.col("served").isNull(), "PROVIDER_ENDPOINT_INDEX_EMPTY")
         .when(F.col("method").isNull(), "METHOD_UNKNOWN")
         .when(F.coalesce("n", F.lit(0)) == 0, "PROVIDER_ENDPOINT_NOT_FOUND")

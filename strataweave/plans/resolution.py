@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import url_host, url_path
-from strataweave.operators import providers
+from strataweave.operators import patches, providers
 from strataweave.plans.proofs import ENDPOINTS, SCORE, URLS
 from strataweave.sources.graph_tables import GraphTables
+from strataweave.sources.scratch import fresh_path, stored
 
 
 def pages(g: GraphTables):
@@ -53,6 +54,50 @@ def http_resolution(spark, sf_dir):
     return providers.resolve_http(*http_tables(GraphTables(spark, sf_dir)))
 
 
+def patch_tables(g: GraphTables):
+    """Proof states of the intents of http_tables, and patches from the events of the user with the intent's number: the event's type is the patch's, its number tells what the patch says."""
+    intents, services, bindings, ends = http_tables(g)
+    staged = providers.staged_providers(intents, services, bindings, ends)
+    offered = staged.select("intent_id", "path", F.explode(F.array("low", "high", "source_id")).alias("provider_id")).where("provider_id is not null").distinct()
+    fits = offered.join(providers.fitting_paths(offered, ends, "provider_id"), ["provider_id", "path"]).join(ends, ["provider_id", "endpoint_path"])
+    # Endpoints of at most three providers that fit one path.
+    options = fits.groupBy("intent_id").agg(F.array_sort(F.collect_list(F.struct("endpoint_id", "provider_id", F.col("endpoint_method").alias("method")))).alias("options"))
+    states = stored(staged.join(options, "intent_id", "left").select(
+        "intent_id", "provider_id", "method", (F.col("intent_id") % 10 / 10).alias("confidence"), providers.open_reason().alias("open_reason"), "hints",
+        F.array_distinct(F.array_compact(F.array("low", "high"))).alias("candidates"), "options", "source_id", "path",
+    ), "proof-states")
+    e = g.source("events").select("event_id", "event_type", (F.col("user_id") % 200).alias("intent_id")).join(states.select("intent_id", "options", "candidates", "hints", "path", "source_id"), "intent_id")
+    pick = lambda c: F.when(F.size(c) > 0, F.get(c, (F.col("event_id") % F.size(c)).cast("int")))
+    k = F.col("event_id") % 7
+    kind = F.when(F.col("event_type") == "click", "method_path_hint").when(F.col("event_type") == "view", "endpoint_disambiguation").when(F.col("event_type") == "error", "contradiction_challenge").when(F.col("event_type") == "signup", "provider_service_selection").otherwise("alias_binding")
+    patches = e.select(
+        "intent_id", F.col("event_id").alias("seq"), kind.alias("patch_type"), F.when(k < 3, "GET").when(k < 5, "POST").alias("method"), F.when(k != 2, F.col("path")).alias("path"),
+        F.when(k != 1, pick("options")["endpoint_id"]).alias("endpoint_id"), F.coalesce(pick("candidates"), "source_id").alias("service_id"), F.lit(None).cast("string").alias("host"),
+        F.coalesce(pick("hints"), F.lit("none")).alias("alias_key"), F.lit("value").alias("alias_value"), F.when(k != 3, "reopen_frontier").alias("action"), F.array(F.lit("low")).alias("reasons"),
+    )
+    return states.drop("source_id", "path"), patches
+
+
+def patch_fold(spark, sf_dir):
+    """Every patch with its verdict and the state after it."""
+    return patches.fold(*patch_tables(GraphTables(spark, sf_dir)))
+
+
+def patch_stream(spark, sf_dir):
+    """The same patches as a stream of files, in order of their numbers."""
+    states, todo = patch_tables(GraphTables(spark, sf_dir))
+    base = fresh_path(spark, "patches")
+    todo = stored(todo, "patches")
+    ends = todo.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    step = ((ends["high"] or 0) - (ends["low"] or 0)) // 3 + 1
+    for k in range(3):  # one after the other, as they would arrive: the source reads files by age
+        todo.where(F.floor((F.col("seq") - (ends["low"] or 0)) / step) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    source = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    query = patches.fold_stream(states, source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(patches.RESULT).parquet(f"{base}/out")
+
+
 def _tokens(v: str) -> str:
     kebab = f"lower(regexp_replace(regexp_replace(regexp_replace(trim({v}), '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '[_\\s]+', '-', 'g'), '-+', '-', 'g'))"
     stem = f"regexp_replace({kebab}, '{providers.ENDINGS}', '')"
@@ -84,13 +129,45 @@ sc3 AS (SELECT intent_id, ep.host AS service_id, max(score + CASE WHEN m = 'ANY'
   WHERE ep.host IS DISTINCT FROM source_id AND intent_id NOT IN (SELECT intent_id FROM c1) AND intent_id NOT IN (SELECT intent_id FROM c2) GROUP BY 1, 2),
 c3 AS (SELECT intent_id, service_id FROM (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM sc3 WINDOW w AS (PARTITION BY intent_id ORDER BY score DESC, service_id)) WHERE k = 1 AND round(score, 6) >= 0.9 AND (second IS NULL OR round(score - second, 6) >= 0.2)),
 st AS (SELECT intent_id, stage, count(*) AS n, min(service_id) AS low, max(service_id) AS high FROM (SELECT *, 'alias' AS stage FROM c1 UNION ALL SELECT *, 'host' FROM c2 UNION ALL SELECT *, 'path' FROM c3) GROUP BY 1, 2),
-pv AS (SELECT i.*, stage, coalesce(n, 0) AS n, CASE WHEN intent_id % 4 = 0 AND i.host IN (low, high) THEN i.host WHEN n = 1 THEN low END AS provider_id FROM i LEFT JOIN st USING (intent_id)),
+pv AS (SELECT i.*, stage, low, high, coalesce(n, 0) AS n, CASE WHEN intent_id % 4 = 0 AND i.host IN (low, high) THEN i.host WHEN n = 1 THEN low END AS provider_id FROM i LEFT JOIN st USING (intent_id)),
 em AS (SELECT intent_id, m || ' ' || ep.host || ep.endpoint_path AS e, pv.path = ep.endpoint_path AS same FROM pv JOIN ep ON ep.host = provider_id AND method IS NOT NULL AND (m = 'ANY' OR m = method) JOIN fits ON fits.path = pv.path AND fits.endpoint_path = ep.endpoint_path AND fits.score >= 0.75),
 en AS (SELECT intent_id, count(*) AS k, min(e) AS e FROM em WHERE same OR intent_id NOT IN (SELECT intent_id FROM em WHERE same) GROUP BY 1)
 """
 
+FOLD_SQL = f"""WITH RECURSIVE {HTTP},
+ps AS (SELECT intent_id, path, source_id, provider_id, method, intent_id % 10 / 10 AS confidence, CASE WHEN dynamic THEN 'DYNAMIC_URI_UNRESOLVED' WHEN hint IS NULL THEN 'PATH_ONLY_TARGET_UNRESOLVED' WHEN keyed THEN 'CONFIG_BINDING_MISSING' ELSE 'HOST_ALIAS_UNRESOLVED' END AS open_reason,
+  hint AS key, CASE WHEN low IS NULL THEN [] WHEN low = high THEN [low] ELSE [low, high] END AS cand, low, high FROM pv),
+op AS (SELECT intent_id, provider, m || ' ' || ep.host || ep.endpoint_path AS e, m FROM (SELECT DISTINCT intent_id, path, unnest([low, high, source_id]) AS provider FROM ps) o JOIN ep ON ep.host = provider JOIN fits ON fits.path = o.path AND fits.endpoint_path = ep.endpoint_path AND fits.score >= 0.75),
+ol AS (SELECT intent_id, list(e ORDER BY e) AS es FROM op GROUP BY 1),
+pt AS (SELECT event_id AS seq, ps.intent_id, row_number() OVER (PARTITION BY ps.intent_id ORDER BY event_id) AS r, CASE event_type WHEN 'click' THEN 'method_path_hint' WHEN 'view' THEN 'endpoint_disambiguation' WHEN 'error' THEN 'contradiction_challenge' WHEN 'signup' THEN 'provider_service_selection' ELSE 'alias_binding' END AS kind,
+  CASE WHEN event_id % 7 < 3 THEN 'GET' WHEN event_id % 7 < 5 THEN 'POST' END AS p_method, event_id % 7 <> 2 AS has_path, CASE WHEN event_id % 7 <> 1 THEN es[event_id % len(es) + 1] END AS e, coalesce(CASE WHEN len(cand) > 0 THEN cand[event_id % len(cand) + 1] END, source_id) AS service, coalesce(key, 'none') AS p_key, event_id % 7 <> 3 AS acts
+  FROM events JOIN ps ON user_id % 200 = ps.intent_id LEFT JOIN ol ON ol.intent_id = ps.intent_id),
+mt(q) AS (VALUES ('GET'), ('POST')),
+ev AS (SELECT intent_id, provider, q, count(*) AS n, min(e) AS least FROM op, mt WHERE m = q OR m = 'ANY' GROUP BY 1, 2, 3),
+z0 AS (SELECT ps.*, CASE WHEN provider_id IS NULL THEN CASE WHEN len(cand) > 1 THEN 'PROVIDER_SERVICE_AMBIGUOUS' ELSE open_reason END WHEN method IS NULL THEN 'METHOD_UNKNOWN' WHEN n IS NULL THEN 'PROVIDER_ENDPOINT_NOT_FOUND' WHEN n > 1 THEN 'ENDPOINT_MATCH_AMBIGUOUS' END AS reason, CASE WHEN n = 1 THEN least END AS target
+  FROM ps LEFT JOIN ev ON ev.intent_id = ps.intent_id AND ev.provider = provider_id AND ev.q = method),
+rec AS (SELECT intent_id, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::VARCHAR AS errors, provider_id, method, NULL::VARCHAR AS hint, FALSE AS challenged, reason, target, confidence, open_reason, key, cand FROM z0
+  UNION ALL SELECT y.intent_id, y.r, seq, kind, errors, n_provider, n_method, n_hint, n_challenged,
+    CASE WHEN n_challenged THEN 'SMART_CONTRADICTION_CHALLENGED' WHEN n_provider IS NULL THEN CASE WHEN len(cand) > 1 THEN 'PROVIDER_SERVICE_AMBIGUOUS' ELSE open_reason END WHEN n_method IS NULL THEN 'METHOD_UNKNOWN' WHEN n IS NULL THEN 'PROVIDER_ENDPOINT_NOT_FOUND' WHEN n > 1 AND h.e IS NULL THEN 'ENDPOINT_MATCH_AMBIGUOUS' END,
+    CASE WHEN NOT n_challenged THEN CASE WHEN h.e IS NOT NULL THEN h.e WHEN n = 1 THEN least END END, confidence, open_reason, key, cand FROM (
+    SELECT x.*, CASE WHEN errors = '' AND kind IN ('alias_binding', 'provider_service_selection') THEN service ELSE provider_id END AS n_provider, CASE WHEN errors = '' AND kind = 'method_path_hint' THEN p_method ELSE method END AS n_method,
+      CASE WHEN errors = '' AND kind = 'endpoint_disambiguation' THEN e ELSE hint END AS n_hint, challenged OR (errors = '' AND kind = 'contradiction_challenge') AS n_challenged FROM (
+      SELECT rec.intent_id, pt.r, pt.seq, pt.kind, rec.provider_id, rec.method, rec.hint, rec.challenged, confidence, open_reason, key, cand, service, p_method, pt.e, concat_ws('; ', CASE pt.kind
+        WHEN 'alias_binding' THEN CASE WHEN service IS NULL THEN 'service_id or host is required' WHEN reason IS NULL OR reason NOT IN ('CONFIG_BINDING_MISSING', 'HOST_ALIAS_UNRESOLVED', 'PATH_ONLY_TARGET_UNRESOLVED') THEN 'frontier does not ask for it' WHEN key IS NOT NULL AND p_key <> key THEN 'alias_key is no hint of the frontier' END
+        WHEN 'provider_service_selection' THEN CASE WHEN service IS NULL THEN 'service_id is required' WHEN reason IS DISTINCT FROM 'PROVIDER_SERVICE_AMBIGUOUS' THEN 'frontier does not ask for it' WHEN NOT list_contains(cand, service) THEN 'service is no candidate' END
+        WHEN 'method_path_hint' THEN CASE WHEN p_method IS NULL OR NOT has_path THEN NULLIF(concat_ws('; ', CASE WHEN p_method IS NULL THEN 'method is required' END, CASE WHEN NOT has_path THEN 'path is required' END), '')
+          WHEN reason IS NULL OR reason NOT IN ('METHOD_UNKNOWN', 'PATH_TEMPLATE_UNKNOWN', 'PROVIDER_ENDPOINT_NOT_FOUND') THEN 'frontier does not ask for it' WHEN rec.provider_id IS NULL THEN 'no provider' WHEN g.intent_id IS NULL THEN 'no endpoint of the provider fits' END
+        WHEN 'contradiction_challenge' THEN CASE WHEN NOT acts THEN 'action must reopen' WHEN reason IS NOT NULL THEN 'proof is not closed' WHEN confidence >= 0.65 THEN 'proof is too confident' END
+        ELSE CASE WHEN pt.e IS NULL THEN 'endpoint_id is required' WHEN reason IS DISTINCT FROM 'ENDPOINT_MATCH_AMBIGUOUS' THEN 'frontier does not ask for it' ELSE NULLIF(concat_ws('; ', CASE WHEN o.provider <> rec.provider_id THEN 'endpoint of another provider' END,
+          CASE WHEN o.provider <> rec.provider_id OR o.m NOT IN (rec.method, 'ANY') THEN 'endpoint is no candidate' END, CASE WHEN p_method <> o.m THEN 'method differs' END), '') END END) AS errors
+      FROM rec JOIN pt ON pt.intent_id = rec.intent_id AND pt.r = rec.r + 1 LEFT JOIN op o ON o.intent_id = pt.intent_id AND o.e = pt.e LEFT JOIN (SELECT DISTINCT intent_id, provider, m FROM op) g ON g.intent_id = rec.intent_id AND g.provider = rec.provider_id AND g.m = p_method) x) y
+    LEFT JOIN ev ON ev.intent_id = y.intent_id AND ev.provider = n_provider AND ev.q = n_method LEFT JOIN op h ON h.intent_id = y.intent_id AND h.e = n_hint AND h.provider = n_provider AND h.m IN (n_method, 'ANY'))
+SELECT intent_id, seq, kind AS patch_type, CASE WHEN errors = '' THEN 'ACCEPTED' ELSE 'REJECTED' END AS verdict, errors, CASE WHEN reason IS NULL THEN 'CLOSED_ATOMIC' ELSE 'FRONTIER' END AS status, reason, provider_id, method, target AS target_id FROM rec WHERE r > 0"""
+
 ENTRIES = {
     "http_resolution": (http_resolution, f"""WITH {HTTP} SELECT intent_id, CASE WHEN provider_id IS NULL AND n > 1 THEN 'PROVIDER_SERVICE_AMBIGUOUS' WHEN provider_id IS NULL THEN CASE WHEN dynamic THEN 'DYNAMIC_URI_UNRESOLVED' WHEN hint IS NULL THEN 'PATH_ONLY_TARGET_UNRESOLVED' WHEN keyed THEN 'CONFIG_BINDING_MISSING' ELSE 'HOST_ALIAS_UNRESOLVED' END
         WHEN provider_id NOT IN (SELECT host FROM ep) THEN 'PROVIDER_ENDPOINT_INDEX_EMPTY' WHEN method IS NULL THEN 'METHOD_UNKNOWN' WHEN k IS NULL THEN 'PROVIDER_ENDPOINT_NOT_FOUND' WHEN k > 1 THEN 'ENDPOINT_MATCH_AMBIGUOUS' ELSE 'CLOSED_ATOMIC' END AS status,
         stage, provider_id, CASE WHEN k = 1 THEN e END AS target_id FROM pv LEFT JOIN en USING (intent_id)"""),
+    "patch_fold": (patch_fold, FOLD_SQL),
+    "patch_stream": (patch_stream, FOLD_SQL),
 }
