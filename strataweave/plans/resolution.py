@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import url_host, url_path
-from strataweave.operators import patches, providers
+from strataweave.operators import families, patches, providers
 from strataweave.plans.proofs import ENDPOINTS, SCORE, URLS
 from strataweave.sources.graph_tables import GraphTables
 from strataweave.sources.scratch import fresh_path, stored
@@ -98,6 +98,51 @@ def patch_stream(spark, sf_dir):
     return spark.read.schema(patches.RESULT).parquet(f"{base}/out")
 
 
+def route_families(spark, sf_dir):
+    """Each page's address as a gateway route to its host: exact, or for all below the last slash; children, or why there are none."""
+    p = pages(GraphTables(spark, sf_dir))
+    inner = F.regexp_replace("path", "/[0-9]+", "/{id}")
+    exact = F.col("page_id") % 3 == 0
+    external = F.concat(F.lit("/gw"), inner)
+    match = F.when(exact, external).otherwise(F.concat(F.regexp_replace(external, "/[^/]*/?$", ""), F.lit("/**")))
+    routes = p.select(F.col("page_id").alias("route_id"), F.col("host").alias("provider_id"), F.when(exact, "exact").otherwise("prefix").alias("mode"), F.when(exact, external).otherwise(F.regexp_replace(match, "/[*]+$", "")).alias("external"), match.alias("match_path"))
+    routes = routes.select("route_id", "provider_id", "mode", families.composed_paths(F.col("external"), F.col("match_path"), F.lit(1), F.lit("")).alias("paths"))
+    return families.route_families(routes, endpoints(p))
+
+
+def _alias(g: GraphTables):
+    """Pages without a long text are open on their host's name, its labels and the start of the name; hosts are services."""
+    p = pages(g)
+    hint = lambda h, named=False: F.struct(h.alias("hint"), F.lit(named).alias("name_hint"))
+    said = F.array(hint(F.when(F.col("page_id") % 3 == 0, F.col("name")).otherwise(""), True), hint(F.regexp_extract("host", "^([a-z]+)", 1)), hint(F.substring("name", 1, 5)), hint(F.when(F.col("page_id") % 2 == 0, F.col("host")).otherwise("")))
+    hints = p.where("length(html) < 3000").select(F.col("page_id").alias("frontier_id"), F.explode(said).alias("h")).select("frontier_id", "h.*")
+    services = p.select(F.col("host").alias("service_id"), "name", F.array(F.col("host"), F.regexp_extract("host", "^([a-z]+[.][a-z-]+)", 1)).alias("hosts")).distinct()
+    return hints, services
+
+
+def alias_scores(spark, sf_dir):
+    """The seven keys of every service that a frontier's hints touch."""
+    return families.alias_scores(*_alias(GraphTables(spark, sf_dir)))
+
+
+def alias_best(spark, sf_dir):
+    """The best service of each frontier; none where two tie on all seven keys."""
+    return families.best_alias(families.alias_scores(*_alias(GraphTables(spark, sf_dir))))
+
+
+def proof_projection(spark, sf_dir):
+    """Candidates after the intents of http_resolution were closed or reopened: earlier ones were made for all long pages, decided by their number."""
+    g = GraphTables(spark, sf_dir)
+    intents, services, bindings, ends = http_tables(g)
+    done = providers.resolve_http(intents, services, bindings, ends).join(intents.select("intent_id", "source_id"), "intent_id")
+    k = F.col("intent_id")
+    proofs = stored(done.select(F.concat(F.lit("P"), k.cast("string")).alias("proof_id"), "status", F.lit("call").alias("relation_type"), F.coalesce("source_id", F.lit("edge")).alias("subject_id"), F.col("target_id").alias("object_id"), (k % 10 / 10).alias("confidence"), k.alias("k")), "proofs")
+    before = proofs.where("k % 2 = 0").withColumn("object_id", F.coalesce("object_id", F.lit("gone"))).withColumn("status", F.when(F.col("k") % 6 == 0, "PENDING").when(F.col("k") % 6 == 2, "REJECTED").otherwise("APPROVED"))
+    before = before.withColumn("proof_id", F.when(F.col("k") % 4 == 0, F.col("proof_id"))).drop("k")
+    manual = proofs.where("k % 15 = 1 and object_id is not null")
+    return families.projected(proofs.drop("k"), before, manual)
+
+
 def _tokens(v: str) -> str:
     kebab = f"lower(regexp_replace(regexp_replace(regexp_replace(trim({v}), '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '[_\\s]+', '-', 'g'), '-+', '-', 'g'))"
     stem = f"regexp_replace({kebab}, '{providers.ENDINGS}', '')"
@@ -164,10 +209,46 @@ rec AS (SELECT intent_id, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::VARCHAR AS
     LEFT JOIN ev ON ev.intent_id = y.intent_id AND ev.provider = n_provider AND ev.q = n_method LEFT JOIN op h ON h.intent_id = y.intent_id AND h.e = n_hint AND h.provider = n_provider AND h.m IN (n_method, 'ANY'))
 SELECT intent_id, seq, kind AS patch_type, CASE WHEN errors = '' THEN 'ACCEPTED' ELSE 'REJECTED' END AS verdict, errors, CASE WHEN reason IS NULL THEN 'CLOSED_ATOMIC' ELSE 'FRONTIER' END AS status, reason, provider_id, method, target AS target_id FROM rec WHERE r > 0"""
 
+SEGS = lambda c: f"list_filter(string_split(lower({c}), '/'), lambda s: s <> '')"
+ROUTE_SQL = f"""WITH {MOUNTED}, {ENDPOINTS},
+rt AS (SELECT page_id, host, page_id % 3 = 0 AS exact, '/gw' || regexp_replace(path, '/[0-9]+', '/{{id}}', 'g') AS ext FROM u),
+r2 AS (SELECT *, CASE WHEN exact THEN ext ELSE regexp_replace(ext, '/[^/]*/?$', '') END AS base FROM rt),
+r3 AS (SELECT page_id, host, exact, list_filter([{SEGS('base')}[2:], {SEGS('base')}], lambda x: len(x) > 0) AS ps FROM r2),
+rp AS (SELECT DISTINCT page_id, host, exact, unnest(ps) AS p FROM r3),
+e2 AS (SELECT host, m || ' ' || host || endpoint_path AS e, {SEGS('endpoint_path')} AS q FROM ep),
+{FITS.replace('u.path', 'pp.path').replace('FROM u, ep', "FROM (SELECT DISTINCT '/' || array_to_string(p, '/') AS path FROM rp WHERE NOT exact) pp, (SELECT DISTINCT '/' || array_to_string(q, '/') AS endpoint_path FROM e2) ep")},
+rc AS (SELECT DISTINCT page_id, e, q FROM rp JOIN e2 USING (host) LEFT JOIN fits ON fits.path = '/' || array_to_string(p, '/') AND fits.endpoint_path = '/' || array_to_string(q, '/') WHERE CASE WHEN exact THEN p = q ELSE q[1:len(p)] = p OR coalesce(fits.score, 0) >= 0.75 END),
+rs AS (SELECT page_id, count(*) AS n, max(k) AS most FROM (SELECT page_id, count(*) OVER (PARTITION BY page_id, q) AS k FROM rc) GROUP BY 1),
+rr AS (SELECT rt.page_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'ROUTE_FAMILY_DERIVATION_EMPTY' WHEN most = 1 THEN 'DERIVED_CHILDREN' WHEN n = (SELECT count(*) FROM e2 WHERE e2.host = rt.host) THEN 'ROUTE_FAMILY_TOO_BROAD' ELSE 'ENDPOINT_SET_OPEN' END AS status FROM rt LEFT JOIN rs USING (page_id))
+SELECT rr.page_id AS route_id, status, n, e AS child_id FROM rr LEFT JOIN rc ON rc.page_id = rr.page_id AND status = 'DERIVED_CHILDREN'"""
+
+ALIAS = f"""{MOUNTED},
+p AS (SELECT page_id, host, regexp_extract(host, '([a-z0-9-]+)\\.example\\.', 1) AS name, html FROM u JOIN pages USING (page_id)),
+h0 AS (SELECT page_id, unnest([{{'h': CASE WHEN page_id % 3 = 0 THEN name ELSE '' END, 'n': TRUE}}, {{'h': regexp_extract(host, '^([a-z]+)', 1), 'n': FALSE}}, {{'h': name[1:5], 'n': FALSE}}, {{'h': CASE WHEN page_id % 2 = 0 THEN host ELSE '' END, 'n': FALSE}}], recursive := true) FROM p WHERE length(html) < 3000),
+h1 AS (SELECT DISTINCT page_id, regexp_replace(lower(trim(h)), '[^a-z0-9]+', '', 'g') AS hint, CASE WHEN n THEN lower(trim(h)) END AS named FROM h0),
+sv AS (SELECT DISTINCT host, name FROM p),
+tk AS (SELECT DISTINCT host, regexp_replace(name, '[^a-z0-9]+', '', 'g') AS t, 'name' AS kind FROM sv UNION SELECT host, regexp_replace(x, '[^a-z0-9]+', '', 'g'), 'host' FROM (SELECT host, unnest([host, regexp_extract(host, '^([a-z]+[.][a-z-]+)', 1)]) AS x FROM sv)),
+lv AS (SELECT page_id, hint, host, max(CASE WHEN hint = t AND kind = 'name' THEN 4 WHEN hint = t THEN 3 WHEN kind = 'name' THEN 2 ELSE 1 END) AS l FROM (SELECT DISTINCT page_id, hint FROM h1 WHERE hint <> '') JOIN tk ON t <> '' AND (contains(t, hint) OR contains(hint, t)) GROUP BY 1, 2, 3),
+ex AS (SELECT page_id, host, count(*) AS k FROM h1 JOIN sv ON lower(trim(name)) = named WHERE hint <> '' GROUP BY 1, 2),
+az AS (SELECT lv.page_id AS frontier_id, lv.host AS service_id, CAST(max(CASE WHEN l >= 3 THEN 3 ELSE 1 END) AS BIGINT) AS score, count(*) FILTER (WHERE l = 4) AS exact_names, count(*) FILTER (WHERE l = 3) AS exact_hosts, count(*) FILTER (WHERE l = 2) AS partial_names, count(*) FILTER (WHERE l = 1) AS partial_hosts,
+  coalesce(any_value(k), 0) AS exact_service_names, CAST(sum(length(hint)) AS BIGINT) AS coverage FROM lv LEFT JOIN ex ON ex.page_id = lv.page_id AND ex.host = lv.host GROUP BY 1, 2)"""
+
+PROJECTION_SQL = f"""WITH {HTTP},
+rs AS (SELECT pv.intent_id AS k, 'P' || pv.intent_id AS proof_id, 'call' AS relation_type, coalesce(source_id, 'edge') AS subject_id, CASE WHEN method IS NOT NULL AND en.k = 1 THEN e END AS object_id, pv.intent_id % 10 / 10 AS confidence FROM pv LEFT JOIN en USING (intent_id)),
+bf AS (SELECT CASE WHEN k % 4 = 0 THEN proof_id END AS proof_id, relation_type, subject_id, coalesce(object_id, 'gone') AS object_id, confidence, CASE k % 6 WHEN 0 THEN 'PENDING' WHEN 2 THEN 'REJECTED' ELSE 'APPROVED' END AS status FROM rs WHERE k % 2 = 0),
+kp AS (SELECT * FROM bf WHERE status <> 'PENDING' OR proof_id IS NULL),
+sd AS (SELECT subject_id, object_id FROM rs WHERE k % 15 = 1 UNION SELECT subject_id, object_id FROM kp WHERE status = 'APPROVED')
+SELECT * FROM kp UNION ALL SELECT proof_id, relation_type, subject_id, object_id, confidence, 'PENDING' FROM rs WHERE object_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM kp WHERE kp.proof_id = rs.proof_id AND kp.object_id = rs.object_id AND kp.subject_id = rs.subject_id AND kp.status <> 'PENDING') AND NOT EXISTS (SELECT 1 FROM sd WHERE sd.subject_id = rs.subject_id AND sd.object_id = rs.object_id)"""
+
 ENTRIES = {
     "http_resolution": (http_resolution, f"""WITH {HTTP} SELECT intent_id, CASE WHEN provider_id IS NULL AND n > 1 THEN 'PROVIDER_SERVICE_AMBIGUOUS' WHEN provider_id IS NULL THEN CASE WHEN dynamic THEN 'DYNAMIC_URI_UNRESOLVED' WHEN hint IS NULL THEN 'PATH_ONLY_TARGET_UNRESOLVED' WHEN keyed THEN 'CONFIG_BINDING_MISSING' ELSE 'HOST_ALIAS_UNRESOLVED' END
         WHEN provider_id NOT IN (SELECT host FROM ep) THEN 'PROVIDER_ENDPOINT_INDEX_EMPTY' WHEN method IS NULL THEN 'METHOD_UNKNOWN' WHEN k IS NULL THEN 'PROVIDER_ENDPOINT_NOT_FOUND' WHEN k > 1 THEN 'ENDPOINT_MATCH_AMBIGUOUS' ELSE 'CLOSED_ATOMIC' END AS status,
         stage, provider_id, CASE WHEN k = 1 THEN e END AS target_id FROM pv LEFT JOIN en USING (intent_id)"""),
     "patch_fold": (patch_fold, FOLD_SQL),
     "patch_stream": (patch_stream, FOLD_SQL),
+    "route_families": (route_families, ROUTE_SQL),
+    "alias_scores": (alias_scores, f"WITH {ALIAS} SELECT * FROM az"),
+    "alias_best": (alias_best, f"WITH {ALIAS}, q AS (SELECT *, rank() OVER (PARTITION BY frontier_id ORDER BY score DESC, exact_names DESC, exact_hosts DESC, partial_names DESC, partial_hosts DESC, exact_service_names DESC, coverage DESC) AS place FROM az) SELECT frontier_id, count(*) AS n, CASE WHEN count(*) = 1 THEN min(service_id) END AS service_id, max(score) AS score FROM q WHERE place = 1 GROUP BY 1"),
+    "proof_projection": (proof_projection, PROJECTION_SQL),
 }
