@@ -114,8 +114,8 @@ def key_matches(asked: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def db_contradictions(intent: tuple[Column, Column], summary: tuple[Column, Column], resolved: tuple[Column, Column], unsupported: Column, truncated: Column) -> Column:
-    """Reasons why a database intent contradicts its function's summary; each argument before the flags is (schema, table), null where not known."""
-    token = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    """Reasons why a database intent contradicts its function's summary; each argument before the flags is (schema, table), null or empty where not known."""
+    token = lambda c: F.nullif(F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""), F.lit(""))
     differ = lambda i, side: F.coalesce(token(side[i]) != token(summary[i]), F.lit(False))
     reasons = (
         (differ(0, intent) | differ(0, resolved), "DB_SCHEMA_CONTRADICTION"), (differ(1, intent) | differ(1, resolved), "DB_TABLE_CONTRADICTION"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataweave.plans import domains, graphs, proofs, reports, resolution, reviews, rollups, structure, targets
+from strataweave.plans import domains, graphs, proofs, reports, resolution, resources, reviews, rollups, structure, targets
 
-ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES | reports.ENTRIES | targets.ENTRIES | resolution.ENTRIES | structure.ENTRIES
+ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES | reports.ENTRIES | targets.ENTRIES | resolution.ENTRIES | resources.ENTRIES | structure.ENTRIES
 
 
 def queries() -> dict:
