@@ -25,9 +25,10 @@ def _lifted(relations: DataFrame, objects: DataFrame, target: Column) -> DataFra
 
 def service_calls(relations: DataFrame, objects: DataFrame) -> DataFrame:
     """Relation rows lifted to service level: a call's target is the object if compound, else its parent; no self edges."""
-    calls = _lifted(approved(relations, "call"), objects, F.when(F.col("granularity") == "COMPOUND", F.col("object_id")).otherwise(F.col("parent_id")))
-    depends = _lifted(approved(relations, "depend_on"), objects, F.col("object_id"))
-    return calls.unionByName(depends).where("subject_id <> object_id").drop("granularity", "parent_id")
+    # One pass: both kinds meet the objects together.
+    whole = (F.col("relation_type") == "depend_on") | (F.col("granularity") == "COMPOUND")
+    lifted = _lifted(approved(relations, "call", "depend_on"), objects, F.when(whole, F.col("object_id")).otherwise(F.col("parent_id")))
+    return lifted.where("subject_id <> object_id").drop("granularity", "parent_id")
 
 
 def edges(lifted: DataFrame) -> DataFrame:
