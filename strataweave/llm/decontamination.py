@@ -7,11 +7,13 @@ diagonal (once a diagonal), and the pair counts if some ``window`` aligned words
 
 The seeds of the benchmark are broadcast while they are fewer than ``broadcast_rows``; a larger
 benchmark is handled in as many parts, each a pass over the documents. Hits gather by document, item and diagonal with partial
-aggregates; hot passages only mean more hits in each document.
+aggregates; hot passages only mean more hits in each document. Hits on items of over ``carried`` words carry no words with them: their diagonals are
+gathered first, and the texts join again.
 
 Words are runs between white space, lower-cased and without .,;:!?"'() around or in them. Defined results: null and
 empty texts match nothing; items of fewer words than the window must match in all but the share of
-words that the window allows; items shorter than the shortest mask match nothing.
+words that the window allows; items shorter than the shortest mask match nothing. Rows with one doc_id and different texts are matched each for
+itself, and ``contaminated`` gives one row for all of them and an item (the best).
 """
 
 from __future__ import annotations
@@ -53,9 +55,9 @@ def seeds(df: DataFrame, words: str, masks: tuple[str, ...] = MASKS) -> DataFram
     return rows.where(F.expr(fits)).withColumn("seed", F.expr(_by_mask([_seed(words, "pos", k, x) for k, x in enumerate(masks)])))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal: int = 11, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal: int = 11, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 1_000_000, carried: int = 512) -> DataFrame:
     """doc_id, item_id, equal_words (most in a window), first_word (where the item would begin in the document), seed_hits (of ``masks``)."""
-    laid = _laid(docs, benchmark, window, least_equal, masks, broadcast_rows)
+    laid = _laid(docs, benchmark, window, least_equal, masks, broadcast_rows, carried)
     best = F.max(F.struct("equal_words", (-F.col("first_word")).alias("o")))
     out = laid.groupBy("doc_id", "item_id").agg(best.alias("best"), F.sum("seed_hits").alias("seed_hits"))
     return out.select("doc_id", "item_id", F.col("best.equal_words").cast("long").alias("equal_words"), (-F.col("best.o")).cast("long").alias("first_word"), "seed_hits")
@@ -72,11 +74,11 @@ def _text_key(words: Column) -> Column:
     return F.xxhash64(words)
 
 
-def _laid(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal: int = 11, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _laid(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal: int = 11, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 1_000_000, carried: int = 512) -> DataFrame:
     """The diagonals that count: doc_id, dkey (of the text), item_id, first_word, equal_words, seed_hits."""
     counted, shortest = len(masks), min(map(len, masks))
     items = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("iw")).where(F.size("iw") >= shortest)
-    total = items.agg(F.sum(F.size("iw")).alias("n"), F.min(F.size("iw")).alias("least")).first()
+    total = items.agg(F.sum(F.size("iw")).alias("n"), F.min(F.size("iw")).alias("least"), F.max(F.size("iw")).alias("most")).first()
     masks = masks + CONTIGUOUS + (OF_SEVEN if total.least == 7 else ())
     positions = (total.n or 0) * len(masks)
     parts = max(1, -(-positions // broadcast_rows))
@@ -87,13 +89,22 @@ def _laid(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_equal:
         known = seeds(some, "iw", masks).select("seed", (F.col("mask_no") < counted).alias("counts"), F.col("pos").alias("ipos"), "item_id", F.size("iw").alias("n"))
         found.append(seeds(texts, "dw", masks).join(F.broadcast(known), "seed"))  # at most about broadcast_rows rows
     hits = reduce(DataFrame.unionByName, found).withColumn("first_word", F.col("pos") - F.col("ipos"))
-    # Up to here all is generated code and a position is no row of its own; a hit takes along the words under the item.
-    under = F.expr("slice(dw, greatest(0, first_word) + 1, least(n - greatest(0, -first_word), size(dw) - greatest(0, first_word)))")
-    hits = hits.select("doc_id", "dkey", "item_id", "first_word", "counts", under.alias("under"))
-    hits = hits.groupBy("doc_id", "dkey", "item_id", "first_word").agg(F.first("under").alias("under"), F.count_if("counts").alias("seed_hits"))
-    laid = hits.join(items, "item_id")
+    # Up to here all is generated code and a position is no row of its own. A hit on a short item takes along the words under the item; hits on long ones
+    # are gathered by diagonal first, and the texts that they name are read again, so that a long item's words are laid over each diagonal once.
+    cut = lambda words: F.expr(f"slice({words}, greatest(0, first_word) + 1, least(n - greatest(0, -first_word), size({words}) - greatest(0, first_word)))").alias("under")
+    key = ["doc_id", "dkey", "item_id", "first_word"]
+    near = hits.where(F.col("n") <= carried).select(*key, "counts", cut("dw")).groupBy(*key).agg(F.first("under").alias("under"), F.count_if("counts").alias("seed_hits"))
+    if (total.most or 0) > carried:
+        far = hits.where(F.col("n") > carried).select(*key, "n", "counts").groupBy(*key, "n").agg(F.count_if("counts").alias("seed_hits"))
+        named = far.withColumnRenamed("doc_id", "_doc").withColumnRenamed("dkey", "_key")
+        again = texts.dropDuplicates(["doc_id", "dkey"]).join(named, F.expr("doc_id <=> _doc and dkey = _key"))
+        near = near.unionByName(again.select(*key, cut("dw"), "seed_hits"))
+    laid = near.join(items, "item_id")
     eq = F.expr("zip_with(under, slice(iw, greatest(0, -first_word) + 1, size(under)), (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END)")
-    sums = F.expr(f"transform(sequence(0, greatest(0, size(eq) - {window})), s -> aggregate(slice(eq, s + 1, {window}), 0, (t, x) -> t + x))")
+    # The equal words of each window: the words from the first, second, ... place on, added place by place (a slice copies its array, so one a window would be quadratic).
+    places = F.expr(f"greatest(1, size(eq) - {window - 1})")
+    shifted = [F.slice("eq", F.lit(k + 1), places) for k in range(window)]
+    sums = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p + F.coalesce(q, F.lit(0))), shifted)
     need = F.expr(f"CASE WHEN size(iw) >= {window} THEN {least_equal} ELSE ceil(size(iw) * {least_equal} / {window}D) END")
     return laid.withColumn("eq", eq).withColumn("equal_words", F.array_max(sums)).where(F.col("equal_words") >= need)
 

@@ -1,4 +1,4 @@
-"""Conversation tries, spelling variants and token archives against plain versions."""
+"""Conversation tries, spelling variants, token archives and long benchmark items against plain versions."""
 
 import hashlib
 import math
@@ -212,3 +212,15 @@ def test_damaged_archives_are_refused(spark, tmp_path):
     shard.write_bytes(raw)
     with pytest.raises(Exception, match="damaged"):
         archive.read_archive(spark, f"file://{tmp_path}/d").collect()
+
+
+def test_long_items_are_laid_once_a_diagonal(spark, words):
+    """Hits on long items carry no words; the result is that of items whose hits do."""
+    from strataweave.llm import decontamination
+
+    items = [(k, words(k, n)) for k, n in enumerate((7, 9, 13, 40, 700, 3000))]
+    docs = [(k, f"{words(50, 5)} {t} {words(51, 9)}") for k, t in items] + [(None, items[4][1]), (9, None), (10, items[5][1][2000:9000]), (10, words(60, 900))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted(map(tuple, decontamination.contaminated(d, b, carried=n).collect()), key=repr) for n in (1, 512, 1 << 20)]
+    assert found[0] == found[1] == found[2]
+    assert {r[:2] for r in found[0]} >= {(k, k) for k, _ in items} | {(None, 4), (10, 5)}
