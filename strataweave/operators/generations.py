@@ -44,7 +44,7 @@ class Generations:
         entries = log.select("version", "seq", F.explode_outer("meta").alias("k", "v")).groupBy("version", "k").agg(F.max_by("v", "seq").alias("v"))
         meta = entries.where("k is not null").groupBy("version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("meta"))
         rows = log.where("action = 'CREATED'").select("version").distinct().join(last, "version", "left").join(meta, "version", "left")
-        status = F.when(F.col("at").isNull(), "BUILDING").when(F.col("at") == F.col("newest"), "ACTIVE").otherwise("ARCHIVED")
+        status = F.when(F.col("at").isNull(), "BUILDING").when(F.col("at") == newest, "ACTIVE").otherwise("ARCHIVED")
         return rows.select("version", status.alias("status"), F.coalesce("meta", F.create_map().cast("map<string,string>")).alias("meta"))
 
     def active(self) -> int | None:
