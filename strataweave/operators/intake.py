@@ -110,3 +110,65 @@ def compose_services(files: DataFrame) -> DataFrame:
 def jdbc_identity(url: Column) -> Column:
     """host:port/database of a JDBC URL, lower case, without options."""
     return F.lower(F.regexp_extract(url, r"^jdbc:[a-z0-9:]+//([^/?;]+/[A-Za-z0-9_\-]+)", 1))
+
+
+#: Files that mark a project, in order, with its language, and folders that are not looked into.
+MARKERS = (("package.json", "node"), ("pom.xml", "java"), ("build.gradle", "java"), ("build.gradle.kts", "kotlin"), ("pyproject.toml", "python"), ("setup.py", "python"), ("go.mod", "go"), ("Cargo.toml", "rust"))
+NOT_PROJECTS = ("node_modules", ".git", ".svn", "dist", "build", "target", "__pycache__", ".next", ".turbo", ".cache", "vendor")
+
+
+def under_root(rows: DataFrame, root: Column | str) -> DataFrame:
+    """Rows whose path is the root or below it."""
+    root = F.regexp_replace(F.col(root) if isinstance(root, str) else root, "/+$", "")
+    return rows.where((F.col("path") == root) | F.col("path").startswith(F.concat(root, F.lit("/"))))
+
+
+def projects(files: DataFrame) -> DataFrame:
+    """root, path, name, language, marker: projects at a root or in a folder right below it, by the first marker that lies there. files: root, path."""
+    inner = F.substring("path", F.length("root") + 2, F.length("path"))
+    parts = files.where(F.col("path").startswith(F.concat("root", F.lit("/")))).select("root", F.split(inner, "/").alias("p")).where("size(p) <= 2")
+    parts = parts.select("root", F.when(F.size("p") == 2, F.col("p")[0]).alias("folder"), F.element_at("p", -1).alias("marker")).where(F.col("folder").isNull() | ~(F.col("folder").isin(*NOT_PROJECTS) | F.col("folder").startswith(".")))
+    rank = F.when(F.lit(False), F.struct(F.lit(0).alias("k"), F.lit("").alias("language"), F.lit("").alias("marker")))
+    for k, (marker, language) in enumerate(MARKERS):
+        rank = rank.when(F.col("marker") == marker, F.struct(F.lit(k).alias("k"), F.lit(language).alias("language"), F.lit(marker).alias("marker")))
+    best = parts.select("root", "folder", rank.alias("m")).where("m is not null").groupBy("root", "folder").agg(F.min("m").alias("m"))
+    name = F.coalesce("folder", F.element_at(F.split("root", "/"), -1))
+    return best.select("root", F.when(F.col("folder").isNull(), F.col("root")).otherwise(F.concat_ws("/", "root", "folder")).alias("path"), name.alias("name"), "m.language", "m.marker")
+
+
+def json_entries(files: DataFrame, levels: int = 32) -> DataFrame:
+    """path, key, value: dotted keys of JSON files, list items by number; a level a round, until no value is an object or a list. Text that is no JSON has no entries."""
+    kind = lambda v: F.schema_of_variant(v)
+    nested = lambda v: kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY")
+    spark = files.sparkSession
+    live, done = files.select("path", F.lit("").alias("key"), F.try_parse_json("text").alias("v")).where("v is not null"), None
+    for _ in range(levels):
+        leaf = live.where(~nested(F.col("v")) & (F.col("key") != "")).select("path", "key", F.col("v").cast("string").alias("value"))
+        done = leaf if done is None else done.unionByName(leaf)
+        live = live.where(nested(F.col("v")))
+        if live.isEmpty():
+            return done
+        live.createOrReplaceTempView("_json_level")
+        live = spark.sql("SELECT path, concat_ws('.', nullif(t.key, ''), coalesce(e.key, cast(e.pos AS string))) AS key, e.value AS v FROM _json_level t, LATERAL variant_explode(t.v) e")
+    raise ValueError(f"JSON is nested deeper than {levels} levels")
+
+
+def named_services(entries: DataFrame, services: DataFrame) -> DataFrame:
+    """path and service_id: the service that a file's spring.application.name names, letter case and separators aside, if exactly one bears the name."""
+    bare = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[-_]", "")
+    names = services.groupBy(bare(F.col("name")).alias("bare")).agg(F.min("id").alias("service_id"), F.count_distinct("id").alias("n")).where("n = 1")
+    return entries.where("key = 'spring.application.name'").select("path", bare(F.col("value")).alias("bare")).join(names, "bare").select("path", "service_id")
+
+
+def relation_candidates(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """subject_id, relation_type, target, confidence, files: what files tell of their services, each once with its surest source and number of files. found: path, relation_type, target, confidence."""
+    rows = found.join(owners, "path")
+    return rows.groupBy(F.col("service_id").alias("subject_id"), "relation_type", "target").agg(F.max("confidence").alias("confidence"), F.count_distinct("path").alias("files"))
+
+
+def compose_candidates(services: DataFrame) -> DataFrame:
+    """path, subject, relation_type, target, confidence of ``compose_services``: a service that waits for a database reads and writes it, for a broker produces and consumes, for a service depends on it."""
+    kinds = services.select("path", F.col("service").alias("target"), F.col("kind").alias("target_kind"))
+    waits = services.where("kind = 'service'").select("path", F.col("service").alias("subject"), F.explode("depends_on").alias("target")).join(kinds, ["path", "target"])
+    types = F.when(F.col("target_kind") == "database", F.array(F.lit("read"), F.lit("write"))).when(F.col("target_kind") == "message_broker", F.array(F.lit("produce"), F.lit("consume"))).otherwise(F.array(F.lit("depend_on")))
+    return waits.select("path", "subject", F.explode(types).alias("relation_type"), "target", F.lit(CONFIG_CONFIDENCE["depends_on"]).alias("confidence")).distinct()
