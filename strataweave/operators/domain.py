@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import name_tokens, round_half_up
+from strataweave.operators.texts import holding_pairs
 
 
 def primary(affinities: DataFrame) -> DataFrame:
@@ -69,8 +70,7 @@ def _edits(name: Column) -> Column:
 
 def fuzzy_pairs(words: DataFrame, names: DataFrame) -> DataFrame:
     """(word, name) of all pairs that fuzzy_score can rate above 0, by equi-joins: names that hold the word, and pairs within two edits, which share a form with one or two letters left out."""
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda a: F.transform(F.sequence(F.lit(1), F.length("name") - a + 1), lambda n: F.substr("name", a, n))))
-    held = names.select("name", F.explode(F.array_distinct(spans)).alias("word")).join(words.select(F.col("name").alias("word")), "word")
+    held = holding_pairs(words.withColumnRenamed("name", "word"), "word", names, "name").where(F.contains("name", F.col("word")))
     form = lambda df, c: df.select("name", F.explode(_edits(F.col("name"))).alias("form")).withColumnRenamed("name", c)
     close = form(words, "word").join(form(names, "name"), "form")
     return held.select("word", "name").union(close.select("word", "name")).distinct()
@@ -79,15 +79,13 @@ def fuzzy_pairs(words: DataFrame, names: DataFrame) -> DataFrame:
 def table_domains(tables: DataFrame, domains: DataFrame) -> DataFrame:
     """tables with domain_id: the domain (name, domain_id) that the part of table_name before its first '_' names, or else holds or is held by; least id of several.
 
-    Prefixes meet names by equi-joins on substrings, once for each distinct prefix.
+    Prefixes meet names by equi-joins on parts of them, once for each distinct prefix.
     """
     prefix = F.lower(F.regexp_extract("table_name", "^([^_]+|_.*)", 1))
     keyed = tables.withColumn("prefix", prefix)
-    parts = lambda df: df.select("*", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda a: F.transform(F.sequence(F.lit(1), F.length("name") - a + 1), lambda n: F.substr("name", a, n))))).alias("part"))
-    d, p = domains.select(F.lower("name").alias("name"), "domain_id"), keyed.select(F.col("prefix").alias("name")).where("name <> ''").distinct()
-    inside = parts(d).join(p.select(F.col("name").alias("part")), "part").select(F.col("part").alias("prefix"), "domain_id", (F.col("name") != F.col("part")).alias("loose"))
-    around = parts(p).join(d.select(F.col("name").alias("part"), "domain_id"), "part").select(F.col("name").alias("prefix"), "domain_id", (F.col("name") != F.col("part")).alias("loose"))
-    best = inside.union(around).groupBy("prefix").agg(F.min_by("domain_id", F.struct("loose", "domain_id")).alias("domain_id"))
+    d, p = domains.select(F.lower("name").alias("name"), "domain_id"), keyed.select("prefix").where("prefix <> ''").distinct()
+    pairs = holding_pairs(p, "prefix", d, "name").join(d, "name").withColumn("loose", F.col("name") != F.col("prefix"))
+    best = pairs.groupBy("prefix").agg(F.min_by("domain_id", F.struct("loose", "domain_id")).alias("domain_id"))
     return keyed.join(best, "prefix").drop("prefix")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.operators.providers import fitting_paths
+from strataweave.operators.texts import holding_pairs
 from strataweave.sources.scratch import stored
 
 
@@ -63,22 +64,6 @@ def route_families(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
 KEYS = ("score", "exact_names", "exact_hosts", "partial_names", "partial_hosts", "exact_service_names", "coverage")
 
 
-def _inside(hints: DataFrame, tokens: DataFrame) -> DataFrame:
-    """hint and token where one holds the other, by equi-joins: each text is cut into its parts of the lengths that the other side has.
-
-    Lengths are few (names are short), and are read from the data, so parts are not all substrings of a text.
-    """
-    h, t = hints.select("hint").distinct(), tokens.select("token").distinct()
-    sizes = lambda df, c: [r[0] for r in df.select(F.length(c)).distinct().orderBy(F.length(c)).collect()]  # noqa: E731  lengths of names
-
-    def cut(df: DataFrame, whole: str, part: str, lengths: list[int]) -> DataFrame:
-        ks = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: k <= F.length(whole))
-        pieces = F.flatten(F.transform(ks, lambda k: F.transform(F.sequence(F.lit(1), F.length(whole) - k + 1), lambda i: F.substring(F.col(whole), i, k))))
-        return df.select(whole, F.explode(F.array_distinct(pieces)).alias(part))
-
-    return cut(h, "hint", "token", sizes(t, "token") or [0]).join(t, "token").select("hint", "token").unionByName(cut(t, "token", "hint", sizes(h, "hint") or [0]).join(h, "hint").select("hint", "token")).distinct()
-
-
 def alias_scores(hints: DataFrame, services: DataFrame) -> DataFrame:
     """frontier_id, service_id and the seven keys, most telling first. hints: frontier_id, hint, name_hint (boolean: the hint may be a service's exact name). services: service_id, name, hosts (array).
 
@@ -88,7 +73,7 @@ def alias_scores(hints: DataFrame, services: DataFrame) -> DataFrame:
     h = stored(hints.select("frontier_id", norm(F.col("hint")).alias("hint"), F.when(F.col("name_hint"), F.lower(F.trim("hint"))).alias("named")).where("hint <> ''").distinct(), "alias-hints")
     names = services.select("service_id", norm(F.col("name")).alias("token"), F.lit("name").alias("kind"))
     tokens = stored(names.unionByName(services.select("service_id", F.explode(F.transform("hosts", norm)).alias("token"), F.lit("host").alias("kind"))).where("token <> ''").distinct(), "alias-tokens")
-    pairs = _inside(h, tokens).join(tokens, "token")
+    pairs = holding_pairs(h, "hint", tokens, "token").join(tokens, "token")
     kind, same = F.col("kind"), F.col("hint") == F.col("token")
     level = F.when(same & (kind == "name"), 4).when(same, 3).when(kind == "name", 2).otherwise(1)
     best = pairs.groupBy("hint", "service_id").agg(F.max(level).alias("level"))

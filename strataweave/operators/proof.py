@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.scalars import clamp, path_compatibility, segments
+from strataweave.functions.scalars import clamp
+from strataweave.operators.providers import FIT, fitting_paths
 from strataweave.sources.scratch import stored
 
 
@@ -28,8 +29,11 @@ def route_matches(intents: DataFrame, rules: DataFrame, keep: tuple[str, ...] =
     exact = (F.col("mode") == "exact") & ~F.col("match_path").contains("*")
     fits = F.when(regex, F.rlike(F.col("path"), F.col("match_path"))).when(stem.isin("", "/"), True).when(exact, F.col("path") == F.col("match_path")).otherwise((F.col("path") == stem) | F.col("path").startswith(F.concat(stem, F.lit("/"))))
     near = i.join(rules.where(~open_).withColumn("seg", first(stem)), "seg").where(fits)
-    anywhere = rules.where(open_).agg(F.collect_list(F.struct(*names)).alias("rules"))  # one row
-    far = i.join(F.broadcast(anywhere)).withColumn("rule", F.explode("rules")).select("intent_id", *keep, "path", "rule.*").where(fits)
+    loose = rules.where(open_)
+    parts, far = -(-loose.count() // 1000), near.select("intent_id", *keep, "path", *names).limit(0)
+    for k in range(parts):  # lists of about a thousand rules
+        some = loose.where(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == k).agg(F.collect_list(F.struct(*names)).alias("rules"))  # one row
+        far = far.unionByName(i.join(F.broadcast(some)).withColumn("rule", F.explode("rules")).select("intent_id", *keep, "path", "rule.*").where(fits))
     rows = near.select("intent_id", *keep, "path", *names).unionByName(far).withColumn("spec", specificity(F.col("mode"), F.col("match_path")))
     # Rules of an intent are few: its bests are gathered as one array, least id first.
     top = rows.groupBy("intent_id").agg(F.max(F.struct("priority", "spec")).alias("top"), F.array_sort(F.collect_list(F.struct("priority", "spec", "rule_id"))).alias("all"))
@@ -47,9 +51,10 @@ def transformed(path: Column, strip: Column, prepend: Column) -> Column:
 
 def endpoint_choice(intents: DataFrame, endpoints: DataFrame, least: float = 0.75) -> DataFrame:
     """intent_id, status, endpoint_id, score: the endpoints of the intent's provider that fit its path; none or several leave it open."""
-    # A score of .75 needs paths of the same number of segments, or one more or less; only such pairs meet.
-    e = endpoints.withColumn("size", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.size(segments(F.col("endpoint_path"))))))
-    rows = intents.withColumn("size", F.size(segments(F.col("path")))).join(e, ["provider_id", "size"], "left").withColumn("score", path_compatibility(segments(F.col("path")), segments(F.col("endpoint_path"))))
+    if least < FIT:
+        raise ValueError(f"paths are paired from a score of {FIT}")
+    pairs = fitting_paths(intents, endpoints, "provider_id").join(endpoints, ["provider_id", "endpoint_path"])
+    rows = intents.join(pairs, ["provider_id", "path"], "left")
     rows = rows.withColumn("ok", F.coalesce(F.col("score") >= least, F.lit(False)) & ((F.col("method") == F.col("endpoint_method")) | (F.col("endpoint_method") == "ANY")))
     best = rows.groupBy("intent_id").agg(F.max(F.when(F.col("ok"), F.col("score"))).alias("best"))
     rows = rows.join(best, "intent_id")

@@ -26,7 +26,8 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 def line_signals(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line, kind, confidence: the first pattern that a line matches."""
     kind = F.coalesce(*[F.when(F.col("content").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("confidence"))) for k, p, c in LINE_SIGNALS])
-    return lines(docs, key, text).withColumn("s", kind).where("s is not null").select(key, "line", "s.kind", "s.confidence")
+    some = "|".join(p for _, p, _ in LINE_SIGNALS)  # most lines match none: one pattern tells
+    return lines(docs, key, text).where(F.col("content").rlike(some)).withColumn("s", kind).where("s is not null").select(key, "line", "s.kind", "s.confidence")
 
 
 def merge_signals(signals: DataFrame, key: list[str]) -> DataFrame:
@@ -37,9 +38,8 @@ def merge_signals(signals: DataFrame, key: list[str]) -> DataFrame:
 def config_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, name, value of name = \"value\" entries, wherever they stand."""
     pattern = r'([A-Za-z_][A-Za-z0-9_.-]*)\s*=\s*"([^"]+)"'
-    names = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2))
-    return docs.select(key, F.explode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("e")).select(key, "e.name", "e.value")
+    found = docs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("e"))  # texts are searched once, entries taken apart
+    return found.select(key, F.regexp_extract("e", pattern, 1).alias("name"), F.regexp_extract("e", pattern, 2).alias("value"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.operators.texts import holding_pairs
+
 #: What each signal counts towards an affinity, for tables and for all other objects.
 DEFAULT_WEIGHTS = {"path": 0.1, "route": 0.3, "topic": 0.2, "name": 0.15, "code": 0.2, "table": 0.05}
 TABLE_WEIGHTS = {"path": 0.05, "route": 0.2, "topic": 0.1, "name": 0.15, "code": 0.1, "table": 0.4}
@@ -79,32 +81,29 @@ def _segments(key: Column) -> Column:
     return F.filter(F.split(key, r"[./_\-\s]+"), lambda s: s != "")
 
 
-def _spans(key: Column) -> Column:
-    """All distinct substrings of a key."""
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(key)), lambda a: F.transform(F.sequence(F.lit(1), F.length(key) - a + 1), lambda n: F.substr(key, a, n)))))
+#: Fixed values of the score: equal keys, the asked one at the end of the other, the other at its end, one inside the other, a shared segment.
+EQUAL, ENDS, ENDED, INSIDE, SEGMENT = 1000.0, 200, 120, 60, 25
 
 
 def key_score(asked: Column, key: Column) -> Column:
     """How well a configuration key answers one that is asked for; both normalised and not empty."""
     shared = F.size(F.filter(_segments(asked), lambda s: F.array_contains(_segments(key), s)))
     part = lambda c, n: F.when(c, n).otherwise(0)
-    loose = 25 * shared + part(key.endswith(asked), 200) + part(asked.endswith(key), 120) + part(key.contains(asked) | asked.contains(key), 60)
-    return F.when(asked == key, 1000.0 + F.length(key)).otherwise(loose + F.least(F.length(key), F.lit(120)) / 10)
+    loose = SEGMENT * shared + part(key.endswith(asked), ENDS) + part(asked.endswith(key), ENDED) + part(key.contains(asked) | asked.contains(key), INSIDE)
+    return F.when(asked == key, EQUAL + F.length(key)).otherwise(loose + F.least(F.length(key), F.lit(120)) / 10)
 
 
 def key_matches(asked: DataFrame, keys: DataFrame) -> DataFrame:
     """asked, key, score, strategy: the best key for each one asked for (columns key); on ties the longer, then the greater.
 
     Keys meet on a shared segment, or where one holds the other, by equi-joins over distinct keys. Such a pair scores over 25,
-    any other at most 12, so one asked for that meets none gets the longest key of all. Empty and null keys stay out; keys are taken
-    to be short, as each spreads to all its substrings.
+    any other at most 12, so one asked for that meets none gets the longest key of all. Empty and null keys stay out.
     """
     clean = lambda df: df.select(F.regexp_replace(F.lower(F.trim("key")), r"\[(\d+)\]", ".$1").alias("key")).where("key <> ''").distinct()
     a, k = clean(asked).withColumnRenamed("key", "asked"), clean(keys)
     by = lambda df, how: df.select("*", F.explode(F.array_distinct(how(F.col(df.columns[0])))).alias("part"))
     pairs = by(a, _segments).join(by(k, _segments), "part").select("asked", "key")
-    pairs = pairs.union(by(k, _spans).join(a.withColumn("part", F.col("asked")), "part").select("asked", "key"))
-    pairs = pairs.union(by(a, _spans).join(k.withColumn("part", F.col("key")), "part").select("asked", "key")).distinct()
+    pairs = pairs.union(holding_pairs(a, "asked", k, "key").select("asked", "key")).distinct()
     rank = lambda c: F.struct(c.alias("score"), F.length("key").alias("n"), F.col("key").alias("key"))
     best = pairs.groupBy("asked").agg(F.max(rank(key_score(F.col("asked"), F.col("key")))).alias("b"))
     longest = k.agg(F.max(rank(F.least(F.length("key"), F.lit(120)) / 10)).alias("l"))

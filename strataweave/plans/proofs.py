@@ -142,7 +142,8 @@ def route_chain(spark, sf_dir):
     langs = _intents(g).select(F.regexp_extract("path", "^/([a-z]+)(/|$)", 1).alias("l")).where("l <> ''").distinct()
     first = langs.select(F.concat(F.lit("a-"), F.col("l")).alias("rule_id"), F.lit("prefix").alias("mode"), F.concat(F.lit("/"), F.col("l"), F.lit("/**")).alias("match_path"), F.lit(1).alias("priority"), F.lit(1).alias("strip"), F.lit("/V1").alias("prepend"))
     second = spark.range(1).select(F.lit("b").alias("rule_id"), F.lit("prefix").alias("mode"), F.lit("/V1/**").alias("match_path"), F.lit(1).alias("priority"), F.lit(1).alias("strip"), F.lit("/INTERNAL").alias("prepend"))
-    return proof.route_chain(_intents(g), first.unionByName(second)).select("intent_id", "path", F.col("hops").cast("long").alias("hops"), "status")
+    twins = first.where("rule_id > 'a-f'").withColumn("rule_id", F.concat(F.lit("c"), F.substring("rule_id", 2, 99)))  # as strong as the first: paths stay where they tie
+    return proof.route_chain(_intents(g), first.unionByName(second).unionByName(twins)).select("intent_id", "path", F.col("hops").cast("long").alias("hops"), "status")
 
 
 def provider_choice(spark, sf_dir):
@@ -228,7 +229,7 @@ ENTRIES = {
     "proof_confidence": (proof_confidence, with_tables("""SELECT l_orderkey, rn, round(least(greatest(((1 - l_discount) * 0.45::DOUBLE + l_tax * 10 * 0.25::DOUBLE + least(0.2::DOUBLE, 0.05::DOUBLE * l_linenumber) + CASE WHEN l_returnflag = 'R' THEN 0.2::DOUBLE ELSE 0.12::DOUBLE END - CASE WHEN l_quantity < 5 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) * CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END, 0), 1), 6) AS confidence FROM chain""")),
     "impacted_intents": (impacted_intents, "SELECT DISTINCT l_orderkey AS intent_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"),
     "route_chain": (route_chain, f"""WITH {URLS}, i AS (SELECT page_id, path, regexp_extract(path, '^/([a-z]+)(/|$)', 1) AS l FROM u)
-        SELECT page_id AS intent_id, CASE WHEN l = '' THEN path ELSE '/INTERNAL' || rtrim(substr(path, len(l) + 2), '/') END AS path, CASE WHEN l = '' THEN 0 ELSE 2 END::BIGINT AS hops, '' AS status FROM i"""),
+        SELECT page_id AS intent_id, CASE WHEN l = '' OR l > 'f' THEN path ELSE '/INTERNAL' || rtrim(substr(path, len(l) + 2), '/') END AS path, CASE WHEN l = '' OR l > 'f' THEN 0 ELSE 2 END::BIGINT AS hops, CASE WHEN l > 'f' THEN 'ROUTE_RULE_CONFLICT' ELSE '' END AS status FROM i"""),
     "provider_choice": (provider_choice, """WITH p AS (SELECT regexp_extract(url, '://[^/]*\\.([a-z]+)(/|$)', 1) AS c, regexp_extract(url, '://[^/]+/([a-z]+)', 1) AS segment FROM pages),
         n AS (SELECT segment, c, count(*) / sum(count(*)) OVER (PARTITION BY segment) AS score FROM p GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS second FROM n WINDOW w AS (PARTITION BY segment ORDER BY score DESC, c))

@@ -161,7 +161,7 @@ def generation_log(spark, sf_dir):
 
 def rollup_rebuild_levels(spark, sf_dir):
     """A whole rebuild: edges and total weight of each level and relation type."""
-    g = GraphTables(spark, sf_dir)
+    g = GraphTables(spark, sf_dir, keep=True)
     r, o = g.relations(), g.objects()
     out = None
     for level, df in (("SERVICE_TO_SERVICE", rollup.service_to_service(r, o)), ("SERVICE_TO_DATABASE", rollup.service_to_database(r, o)), ("SERVICE_TO_BROKER", rollup.service_to_broker(r, o))):
@@ -171,15 +171,15 @@ def rollup_rebuild_levels(spark, sf_dir):
 
 
 def evidence_chain(spark, sf_dir):
-    g = GraphTables(spark, sf_dir)
-    lifted = rollup.service_calls(g.relations(), called(g))
+    g = GraphTables(spark, sf_dir, keep=True)
+    lifted = stored(rollup.service_calls(g.relations(), called(g)), "lifted")
     return graph.evidence_chain(rollup.edges(lifted), rollup.provenance(lifted), g.evidences()).withColumn("confidence", r6(F.col("confidence"))).withColumn("score", r6(F.col("score")))
 
 
 def evidence_top(spark, sf_dir):
     """The ten best items of evidence for the calls and dependencies of all services."""
-    g = GraphTables(spark, sf_dir)
-    lifted = rollup.service_calls(g.relations(), called(g))
+    g = GraphTables(spark, sf_dir, keep=True)
+    lifted = stored(rollup.service_calls(g.relations(), called(g)), "lifted")
     items = graph.evidence_chain(rollup.edges(lifted), rollup.provenance(lifted), g.evidences()).withColumn("hop", F.lit(0))
     return graph.top_evidence(items).select("relation_type", "subject_id", "object_id", "edge_weight", "evidence_type", "evidence_id", r6(F.col("score")).alias("score"))
 

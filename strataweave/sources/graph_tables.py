@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataweave.sources.scratch import stored
+
 LINE_ORDER = ("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount")
 
 
@@ -28,19 +30,24 @@ WAITING = "l_quantity >= 48"
 
 
 class GraphTables:
-    """Derived tables over one data folder, each from whole tables."""
+    """Derived tables over one data folder, each from whole tables. With ``keep`` the order lines and their places are stored at first use, for queries that need them more than once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
+        self.spark, self.sf_dir, self.keep, self._lines = spark, sf_dir, keep, None
 
     def source(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
     def lines(self) -> DataFrame:
         """All order lines with their place in the order and the supplier and flag of the line before, by one window."""
+        if self._lines is not None:
+            return self._lines
         w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
         out = self.source("lineitem").withColumn("rn", F.row_number().over(w))
-        return out.withColumn("a_supp", F.lag("l_suppkey").over(w)).withColumn("a_flag", F.lag("l_returnflag").over(w))
+        out = out.withColumn("a_supp", F.lag("l_suppkey").over(w)).withColumn("a_flag", F.lag("l_returnflag").over(w))
+        if self.keep:
+            out = self._lines = stored(out, "lines")
+        return out
 
     def chain(self, waiting: bool = False) -> DataFrame:
         """Lines that make relations, or those that wait."""

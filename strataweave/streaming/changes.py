@@ -17,8 +17,8 @@ BASE = -1
 
 
 def last_events(events: DataFrame) -> DataFrame:
-    """The event of each relation with the largest event_id."""
-    return events.groupBy(*KEY).agg(F.max_by(F.struct("event_id", "kind", "confidence"), "event_id").alias("e")).select("e.event_id", "e.kind", *KEY, "e.confidence")
+    """The event that made or took away each relation with the largest event_id; events of other kinds change no relation."""
+    return events.where("kind in ('RELATION_CREATED', 'RELATION_DELETED')").groupBy(*KEY).agg(F.max_by(F.struct("event_id", "kind", "confidence"), "event_id").alias("e")).select("e.event_id", "e.kind", *KEY, "e.confidence")
 
 
 def applied(relations: DataFrame, last: DataFrame) -> DataFrame:
@@ -75,6 +75,8 @@ class RollupMaintainer:
         last = last_events(events)
         last.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id}")
         now = self.relations(batch_id + 1)
+        if events.where("kind in ('EXPOSE_CHANGED', 'OBJECT_PARENT_CHANGED')").isEmpty():
+            now = now.limit(0)  # other events name the services themselves: no relation needs to be read
         self.scope(events, now).distinct().write.mode("overwrite").parquet(f"{self.path}/touched/batch={batch_id}")
         touched = self.spark.read.schema("subject_id string").parquet(f"{self.path}/touched/batch={batch_id}")
         log = last_events(self._read("log", EVENT_SCHEMA, batch_id + 1).join(touched, "subject_id", "left_semi"))
