@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import r6
-from strataweave.operators import hierarchy, symbols
+from strataweave.operators import hierarchy, seeding, symbols
 from strataweave.sources.graph_tables import GraphTables, with_tables
 from strataweave.sources.scratch import stored
 
@@ -120,6 +120,37 @@ def split_domains(spark, sf_dir):
     return hierarchy.part_cohesion(parts, relations).select("cluster_id", F.col("part").cast("long").alias("part"), "object_id", r6(F.col("cohesion")).alias("cohesion"))
 
 
+def _seeded(g: GraphTables):
+    """Parts as tables and functions with names, paths, classes, files, packages, routes and topics made of their words."""
+    k, p = F.col("p_partkey"), g.source("part")
+    first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    kind = F.lower("p_type")
+    objects = p.select(
+        k.alias("id"), F.when(k % 2 == 0, "db_table").otherwise("function").alias("object_type"), F.when(k % 2 == 0, F.concat_ws("_", first, second)).otherwise(F.concat(first, F.initcap(second), F.lit("Service"))).alias("name"),
+        F.when(k % 3 == 0, F.concat(F.lit("/api/v1/"), kind, F.lit("/x"))).otherwise(F.concat(F.lit("/app/"), k.cast("string"))).alias("path"), F.when(k % 3 == 1, F.concat(F.initcap(second), F.lit("Core"), F.initcap(kind), F.lit("Dao"))).alias("class_name"),
+        F.when(k % 5 == 0, F.concat(F.lit("/src/"), second, F.lit("/"), F.initcap(first), F.lit("Mapper.java"))).alias("file_path"),
+    )
+    artifacts = p.where("p_partkey % 4 = 0").select(k.alias("object_id"), F.lit(None).cast("string").alias("file_path"), F.concat(F.when(k % 8 == 0, "com.acme.").otherwise("x.io."), kind, F.lit("."), second).alias("package"))
+    intents = p.where("p_partkey % 6 < 2").select(k.alias("object_id"), F.when(k % 6 == 0, F.concat(F.lit("/api/"), first, F.lit("/list/{id}/"), k.cast("string"), F.lit("/"), second)).alias("route"), F.when(k % 6 == 1, F.concat(kind, F.lit("."), first)).alias("topic"))
+    return stored(objects, "objects"), artifacts, intents
+
+
+def seed_slugs(spark, sf_dir):
+    """How many parts bear each slug, by the kind of seed."""
+    return seeding.seeds(*_seeded(GraphTables(spark, sf_dir))).groupBy("slug", "source").agg(F.count(F.lit(1)).alias("objects"), F.min("object_id").alias("first_id"))
+
+
+def seeded_clusters(spark, sf_dir):
+    """The members of each slug's cluster with their affinity by all eight kinds of seeds."""
+    objects, artifacts, intents = _seeded(GraphTables(spark, sf_dir))
+    return seeding.clusters(objects, seeding.seeds(objects, artifacts, intents))
+
+
+LISTED = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+SEEDED = f"""w AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b, lower(p_type) AS t FROM part),
+sd0 AS (SELECT k, unnest(CASE WHEN k % 3 = 0 THEN [t] ELSE [CAST(k AS VARCHAR)] END) AS slug, 'path' AS source FROM w UNION ALL SELECT k, unnest([a, b]), 'name' FROM w UNION ALL SELECT k, unnest([b, 'core', t]), 'class' FROM w WHERE k % 3 = 1 UNION ALL SELECT k, a, 'file' FROM w WHERE k % 5 = 0
+  UNION ALL SELECT k, unnest([a, b]), 'table' FROM w WHERE k % 2 = 0 UNION ALL SELECT k, unnest([t, b]), 'package' FROM w WHERE k % 4 = 0 UNION ALL SELECT k, unnest([a, b]), 'route' FROM w WHERE k % 6 = 0 UNION ALL SELECT k, t, 'topic' FROM w WHERE k % 6 = 1),
+sd AS (SELECT DISTINCT k AS object_id, slug, source FROM sd0 WHERE slug NOT IN {LISTED(seeding.LOW_VALUE)} AND length(slug) >= 2)"""
 TREE = """tree AS (SELECT 'R' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders)"""
 PLACE = "substr(sha1(file || ':' || line_start || '-' || line_end), 1, 16)"
 EVIDENCE = """ev AS (SELECT CASE WHEN l_returnflag <> 'N' THEN p_brand END AS file, rn AS line_start, CAST(rn + l_quantity AS BIGINT) AS line_end, 'S' || l_suppkey AS source_id, p_type AS action, l_suppkey AS service FROM lines JOIN part ON p_partkey = l_partkey)"""
@@ -151,4 +182,9 @@ ENTRIES = {
         "m AS (SELECT p_brand AS cluster_id, p_partkey AS object_id, CASE WHEN lower(p_name) = 'red ' || word THEN 1 WHEN contains(string_split(p_name, ' ')[-1], word) THEN 2 WHEN lower(p_type) = 'economy' THEN 3 WHEN contains(lower(p_name), 'blue') THEN 4 END::BIGINT AS part FROM w)",
         "fl AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY rn) AS b FROM lines)",
         "o AS (SELECT a, b FROM fl WHERE b IS NOT NULL UNION ALL SELECT b, a FROM fl WHERE b IS NOT NULL)")),
+    "seed_slugs": (seed_slugs, f"WITH {SEEDED} SELECT slug, source, count(*) AS objects, min(object_id) AS first_id FROM sd GROUP BY 1, 2"),
+    "seeded_clusters": (seeded_clusters, f"""WITH {SEEDED}, f AS (SELECT object_id, slug, bool_or(source = 'path')::INT AS p, bool_or(source = 'route')::INT AS r, bool_or(source = 'topic')::INT AS o, bool_or(source IN ('class', 'file', 'package'))::INT AS c, bool_or(source = 'table')::INT AS t, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM sd GROUP BY 1, 2),
+        n AS (SELECT f.*, CASE WHEN slug IN (a, b) THEN 1 / len(list_distinct([a, b])) ELSE 0 END AS j FROM f JOIN w ON w.k = object_id),
+        x AS (SELECT slug, object_id, sources, CASE WHEN object_id % 2 = 0 THEN 0.05 * p + 0.2 * r + 0.1 * o + 0.15 * j + 0.1 * c + 0.4 * t ELSE 0.1 * p + 0.3 * r + 0.2 * o + 0.15 * j + 0.2 * c + 0.05 * t END AS a FROM n)
+        SELECT slug, object_id, round(a::DOUBLE, 3) AS affinity, sources FROM x WHERE round(a, 9) >= 0.2"""),
 }
