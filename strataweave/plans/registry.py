@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataweave.plans import decisions, domains, graphs, proofs, reports, resolution, resources, reviews, rollups, serving, structure, targets
+from strataweave.plans import decisions, domains, exchange, graphs, proofs, reports, resolution, resources, reviews, rollups, serving, structure, targets
 
-ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES | reports.ENTRIES | targets.ENTRIES | resolution.ENTRIES | resources.ENTRIES | structure.ENTRIES | serving.ENTRIES | decisions.ENTRIES
+ENTRIES = rollups.ENTRIES | graphs.ENTRIES | domains.ENTRIES | reviews.ENTRIES | proofs.ENTRIES | reports.ENTRIES | targets.ENTRIES | resolution.ENTRIES | resources.ENTRIES | structure.ENTRIES | serving.ENTRIES | decisions.ENTRIES | exchange.ENTRIES
 
 
 def queries() -> dict:
