@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +30,15 @@ def csv_line(*columns: Column) -> Column:
 def write_csv(df: DataFrame, path: str, *columns: str) -> None:
     """Files of CSV text, each with a byte order mark and a header, as spreadsheets expect it; lines end with CR LF."""
     head = "﻿" + ",".join(columns)
-    parts = df.select(F.spark_partition_id().alias("p"), csv_line(*map(F.col, columns)).alias("value"))
-    # Each partition becomes a file: its header goes before its first line.
-    first = parts.select("p").distinct().select("p", F.lit(0).alias("k"), F.lit(head).alias("value"))
-    rows = first.unionByName(parts.select("p", F.lit(1).alias("k"), "value")).repartition("p").sortWithinPartitions("p", "k")
-    rows.select("value").write.option("lineSep", "\r\n").text(path)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task writes a file: the header goes before its first line."""
+        for k, batch in enumerate(b for b in batches if b.num_rows):
+            if not k:
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
+
+    df.select(csv_line(*map(F.col, columns)).alias("value")).mapInArrow(headed, "value string").write.option("lineSep", "\r\n").text(path)
 
 
 def save(tables: dict[str, DataFrame], path: str) -> None:
