@@ -46,10 +46,13 @@ def contributors(requests: DataFrame, relations: DataFrame, objects: DataFrame,
     r = stored(r, "requests")
     scope = lambda end: scopes(r.select("request_id", F.col(end).alias("root_id"), "threshold"), objects, affinities)
     rows = relations.where("status = 'APPROVED'").select(F.col("id").alias("relation_id"), "relation_type", "subject_id", "object_id").dropDuplicates(["relation_id"])
-    rows = rows.join(scope("target_id").withColumnRenamed("id", "object_id"), "object_id").join(r, "request_id")
+    targets, sources = scope("target_id").withColumnRenamed("id", "object_id"), scope("source_id").withColumnRenamed("id", "subject_id")
+    # Requests of one subtree begin at their source, which has few relations; only those from anywhere read all that their target has.
+    inner = r.where("scope_mode is distinct from 'GLOBAL'").select("request_id")
+    below = rows.join(sources.join(inner, "request_id", "left_semi"), "subject_id").join(targets, ["request_id", "object_id"])
+    anywhere = rows.join(targets.join(inner, "request_id", "left_anti"), "object_id")
+    rows = below.unionByName(anywhere).join(r, "request_id")
     rows = rows.where(~F.array_contains("excluded", F.col("relation_type")) & (F.coalesce(F.size("relation_types"), F.lit(0)).isin(0, -1) | F.array_contains("relation_types", F.col("relation_type"))))
-    inside = scope("source_id").withColumnRenamed("id", "subject_id").withColumn("inside", F.lit(True))
-    rows = rows.join(inside, ["request_id", "subject_id"], "left").where("scope_mode = 'GLOBAL' or inside")
     root = objects.select(F.col("id").alias("object_id"), F.element_at(F.filter(F.split("path", "/"), lambda s: s != ""), 1).alias("compound"))
     rows = rows.join(root, "object_id", "left")
     key = F.when(F.col("group_by") == "relationType", F.col("relation_type")).when(F.col("group_by") == "sourceAtomic", F.col("subject_id")).when(F.col("group_by") == "targetAtomic", F.col("object_id")).otherwise(F.coalesce("compound", "object_id"))
