@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.scalars import cursor
+from strataweave.operators.texts import held_parts
 from strataweave.sources.scratch import stored
 
 #: Groups of a page if none or too many are asked for, the affinity that makes a member, and what is left out unless asked otherwise.
@@ -83,20 +84,16 @@ def find_objects(objects: DataFrame, asked: DataFrame, block: int = 1000) -> Dat
     """request_id, object_id, match (exact, part or first), n: the object that a name means. asked: request_id, text, object_type (null: any).
 
     An equal name, else a name that holds the text (in it % and _ are themselves), letter case aside, else the first object; of several the least name, then id.
-    The texts are a stated set of questions to all objects; they meet them in blocks of about ``block`` distinct texts, by hash.
+    Distinct names are cut into their parts of the lengths that texts have, ``block`` lengths at a time, which meet the distinct texts by an equi-join.
     """
     low = lambda c: F.lower(F.trim(c))
-    o = objects.select(F.col("id").alias("object_id"), "object_type", label().alias("label")).withColumn("low", low("label"))
+    o = objects.select("object_type", F.struct(label().alias("label"), F.col("id").alias("object_id")).alias("first")).withColumn("low", low("first.label"))
+    names = stored(o.groupBy("object_type", "low").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")), "names")
     q = stored(asked.select("request_id", low("text").alias("text"), "object_type"), "asked")
-    texts = stored(q.select("text").where("text <> ''").distinct(), "texts")
-    n, hits = -(-texts.count() // block), None
-    for at in range(n):
-        some = texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == at)
-        found = o.join(F.broadcast(some), F.contains(F.col("low"), F.col("text"))).groupBy("text", "object_type").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct((F.col("low") != F.col("text")).alias("partly"), "label", "object_id")).alias("best"))
-        hits = found if hits is None else hits.unionByName(found)
-    first = o.groupBy("object_type").agg(F.min(F.struct("label", "object_id")).alias("first"))
-    every = q.join(first.select(F.col("object_type").alias("kind"), "first"), F.expr("object_type is null or object_type = kind"))  # a row a type of object
-    rows = every.join(hits.withColumnRenamed("object_type", "kind"), ["text", "kind"], "left") if hits is not None else every.withColumn("n", F.lit(None).cast("long")).withColumn("best", F.lit(None).cast("struct<partly:boolean,label:string,object_id:string>"))
+    found = held_parts(names.select("low"), "low", q.select("text"), "text", block)
+    hits = names.join(found, "low").groupBy("text", F.col("object_type").alias("kind")).agg(F.sum("n").alias("n"), F.min(F.struct((F.col("low") != F.col("text")).alias("partly"), "first.label", "first.object_id")).alias("best"))
+    first = names.groupBy(F.col("object_type").alias("kind")).agg(F.min("first").alias("first"))
+    every = q.join(first, F.expr("object_type is null or object_type = kind"))  # a row a type of object
+    rows = every.join(hits, ["text", "kind"], "left")
     sums = rows.groupBy("request_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("best").alias("best"), F.min("first").alias("first"))
     return sums.select("request_id", F.coalesce("best.object_id", "first.object_id").alias("object_id"), F.when(F.col("best").isNull(), "first").when(F.col("best.partly"), "part").otherwise("exact").alias("match"), "n")

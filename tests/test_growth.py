@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strataweave.operators import proof
+from strataweave.operators import drilldown, proof
 
 
 def rows(df, *columns):
@@ -34,3 +34,16 @@ def test_name_choice_keeps_a_row_an_intent(spark):
     got = proof.name_choice(intents, targets, "hint", "OPEN", "MANY")
     assert rows(got.where("intent_id <= 0"), "intent_id", "status", "target_id") == [(-1, "CLOSED_ATOMIC", "x"), (-2, "OPEN", None), (-3, "OPEN", None), (0, "MANY", None)]
     assert most_rows(got) <= 403
+
+
+def test_search_by_parts_of_names(spark):
+    objects = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("object_type"), F.concat(F.lit("Name "), F.col("id") % 5).alias("name"), F.lit(None).cast("string").alias("display_name"))
+    asked = spark.range(2000).select(F.col("id").alias("request_id"), F.when(F.col("id") < 5, F.concat(F.lit("name "), "id")).when(F.col("id") == 5, "ME").otherwise(F.concat(F.lit("NO_"), "id")).alias("text"), F.lit(None).cast("string").alias("object_type"))
+    got = drilldown.find_objects(objects, asked)
+    assert rows(got.where("request_id < 7"), "request_id", "object_id", "match", "n") == [(k, least, "exact", 100) for k, least in enumerate(("0", "1", "102", "103", "104"))] + [(5, "0", "part", 500), (6, "0", "first", 0)]
+
+
+def test_search_has_no_join_a_block_of_texts(spark):
+    objects = spark.createDataFrame([("1", "a", "x", None)], "id string, object_type string, name string, display_name string")
+    asked = spark.range(3000).select(F.col("id").alias("request_id"), F.col("id").cast("string").alias("text"), F.lit(None).cast("string").alias("object_type"))
+    assert str(drilldown.find_objects(objects, asked)._jdf.queryExecution().optimizedPlan()).count("Join") <= 4
