@@ -24,15 +24,27 @@ def offset_of(token: Column) -> Column:
     return F.greatest(F.lit(0), F.coalesce(F.try_to_binary(padded, F.lit("base64")).cast("string").try_cast("int"), F.lit(0)))
 
 
-def scopes(roots: DataFrame, objects: DataFrame, affinities: DataFrame) -> DataFrame:
-    """request_id, id: what a compound object holds. roots: request_id, root_id, threshold. A domain holds the services that belong to it by the threshold, with all below
-    them, and itself; any other object itself and all below it; an object that is not there itself alone. Each object knows its ancestors by its path, so all meet by equi-joins."""
+#: The reach of what lies below an object by its path, or is it: within any threshold.
+INSIDE = float("inf")
+
+
+def holders(objects: DataFrame, affinities: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, holds: those of roots (root_id) that hold each object, as an array of (root_id, reach). A domain holds the services that belong to it, with all below them, as far as their
+    affinity reaches; any other object holds all below it. Each object knows its ancestors by its path, so all meet by equi-joins; itself is left to ``held``."""
     above = objects.select("id", F.explode(F.array_distinct(F.filter(F.concat(F.split("path", "/"), F.array("id")), lambda s: s != ""))).alias("root_id"))
-    domains = objects.where("object_type = 'domain'").select(F.col("id").alias("root_id"))
-    plain = roots.join(domains, "root_id", "left_anti").join(above, "root_id").select("request_id", "id")
-    members = roots.join(domains, "root_id", "left_semi").join(affinities.withColumnRenamed("domain_id", "root_id"), "root_id").where("affinity >= threshold").select("request_id", F.col("object_id").alias("root_id"))
-    inner = members.join(above, "root_id").select("request_id", "id")
-    return plain.unionByName(inner).unionByName(roots.select("request_id", F.col("root_id").alias("id"))).distinct()
+    domains = objects.where("object_type = 'domain'").select(F.col("id").alias("root_id")).distinct()
+    plain = above.where("root_id <> id").join(domains, "root_id", "left_anti").select("id", "root_id", F.lit(INSIDE).alias("reach"))
+    member = affinities.withColumnRenamed("domain_id", "root_id").join(domains, "root_id", "left_semi").groupBy("object_id", "root_id").agg(F.max("affinity").cast("double").alias("reach"))
+    inner = above.withColumnRenamed("root_id", "object_id").join(member, "object_id").select("id", "root_id", "reach")
+    most = plain.unionByName(inner).groupBy("id", "root_id").agg(F.max("reach").alias("reach"))
+    return most.where("root_id <> id").join(roots, "root_id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("root_id", "reach")).alias("holds"))
+
+
+def held(df: DataFrame, at: str, holding: DataFrame, root: str, reach: str) -> DataFrame:
+    """A row for each object that holds the one in column ``at``, and for itself."""
+    own = F.array(F.struct(F.col(at).alias("root_id"), F.lit(INSIDE).alias("reach")))
+    rows = df.join(holding.withColumnRenamed("id", at), at, "left")
+    return rows.withColumn("h", F.explode(F.concat(F.coalesce("holds", F.array().cast("array<struct<root_id:string,reach:double>>")), own))).select(*df.columns, F.col("h.root_id").alias(root), F.col("h.reach").alias(reach))
 
 
 def contributors(requests: DataFrame, relations: DataFrame, objects: DataFrame, affinities: DataFrame, evidences: DataFrame) -> DataFrame:
@@ -40,34 +52,59 @@ def contributors(requests: DataFrame, relations: DataFrame, objects: DataFrame,
 
     requests: request_id, source_id, target_id, group_by (relationType, sourceAtomic, targetAtomic, else the target's compound), scope_mode (SUBTREE or GLOBAL: from anywhere),
     relation_types and excluded_types (arrays; null: all, and expose), threshold, page_size, cursor (a next_cursor). All requests run as one job.
+
+    What requests ask for is counted once for all that ask for it: first by ends, threshold and grouping, a cell a type of relation; then by types; pages only pick places.
     """
     sized = lambda c: F.coalesce(F.col(c), F.lit(None).cast("array<string>"))
-    r = requests.withColumn("threshold", F.coalesce("threshold", F.lit(MEMBER))).withColumn("excluded", F.coalesce(sized("excluded_types"), F.array(*map(F.lit, LEFT_OUT))))
+    r = requests.withColumn("threshold", F.coalesce("threshold", F.lit(MEMBER)).cast("double")).withColumn("excluded", F.coalesce(sized("excluded_types"), F.array(*map(F.lit, LEFT_OUT))))
     r = r.withColumn("page_size", F.greatest(F.lit(1), F.least(F.lit(MOST), F.coalesce("page_size", F.lit(PAGE))))).withColumn("page_offset", offset_of(F.col("cursor")))
+    r = r.withColumn("grouping", F.when(F.col("group_by").isin("relationType", "sourceAtomic", "targetAtomic"), F.col("group_by")).otherwise("targetCompound")).withColumn("anywhere", F.col("scope_mode").eqNullSafe("GLOBAL"))
+    wide = F.coalesce(F.size("relation_types"), F.lit(0)).isin(0, -1)
+    r = r.withColumn("types", F.when(~wide, F.array_sort(F.array_distinct("relation_types"))).otherwise(F.array().cast("array<string>"))).withColumn("excluded", F.array_sort(F.array_distinct("excluded")))
+    r = r.withColumn("ends", F.to_json(F.struct(F.when(~F.col("anywhere"), F.col("source_id")), F.col("target_id"), F.col("threshold"), F.col("grouping"), "anywhere"))).withColumn("asked", F.to_json(F.struct("ends", "types", "excluded")))
     r = stored(r, "requests")
-    scope = lambda end: scopes(r.select("request_id", F.col(end).alias("root_id"), "threshold"), objects, affinities)
-    rows = relations.where("status = 'APPROVED'").select(F.col("id").alias("relation_id"), "relation_type", "subject_id", "object_id").dropDuplicates(["relation_id"])
-    targets, sources = scope("target_id").withColumnRenamed("id", "object_id"), scope("source_id").withColumnRenamed("id", "subject_id")
-    # Requests of one subtree begin at their source, which has few relations; only those from anywhere read all that their target has.
-    inner = r.where("scope_mode is distinct from 'GLOBAL'").select("request_id")
-    below = rows.join(sources.join(inner, "request_id", "left_semi"), "subject_id").join(targets, ["request_id", "object_id"])
-    anywhere = rows.join(targets.join(inner, "request_id", "left_anti"), "object_id")
-    rows = below.unionByName(anywhere).join(r, "request_id")
-    rows = rows.where(~F.array_contains("excluded", F.col("relation_type")) & (F.coalesce(F.size("relation_types"), F.lit(0)).isin(0, -1) | F.array_contains("relation_types", F.col("relation_type"))))
+    ends = r.select("ends", "source_id", "target_id", "threshold", "grouping", "anywhere").dropDuplicates(["ends"])
+    ends = stored(ends.withColumn("end_no", F.monotonically_increasing_id()), "ends")  # a number is carried, not the text
+
+    seen = evidences.select("id", "relation_id").repartition("relation_id").distinct().groupBy("relation_id").agg(F.count(F.lit(1)).alias("k"))
+    live = relations.where("status = 'APPROVED'").select(F.col("id").alias("relation_id"), "relation_type", "subject_id", "object_id").dropDuplicates(["relation_id"]).join(seen, "relation_id", "left")
+    sums = lambda weight, k: (F.sum(weight).alias("weight"), F.coalesce(F.sum(k), F.lit(0)).alias("k"))
+    pairs = stored(live.groupBy("relation_type", "subject_id", "object_id").agg(*sums(F.lit(1), "k")), "pairs")
+    holding = lambda some, end: stored(holders(objects, affinities, some.select(F.col(end).alias("root_id")).distinct()), "holders")
     root = objects.select(F.col("id").alias("object_id"), F.element_at(F.filter(F.split("path", "/"), lambda s: s != ""), 1).alias("compound"))
-    rows = rows.join(root, "object_id", "left")
-    key = F.when(F.col("group_by") == "relationType", F.col("relation_type")).when(F.col("group_by") == "sourceAtomic", F.col("subject_id")).when(F.col("group_by") == "targetAtomic", F.col("object_id")).otherwise(F.coalesce("compound", "object_id"))
-    seen = evidences.select("id", "relation_id").distinct().groupBy("relation_id").agg(F.count(F.lit(1)).alias("k"))
-    groups = rows.withColumn("group_key", key).join(seen, "relation_id", "left").groupBy("request_id", "page_size", "page_offset", "group_by", "group_key").agg(F.count(F.lit(1)).alias("weight"), F.coalesce(F.sum("k"), F.lit(0)).alias("evidence_count"))
-    groups = stored(groups, "groups")
-    sums = groups.groupBy("request_id").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("all"))
-    placed = groups.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("weight"), "group_key")))
-    page = placed.where("place > page_offset and place <= page_offset + page_size").join(sums, "request_id")
+
+    def cells(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.groupBy("end_no", "relation_type", key.alias("group_key")).agg(*sums("weight", "k"))
+
+    target = F.when(F.col("grouping") == "relationType", F.col("relation_type")).when(F.col("grouping") == "sourceAtomic", F.col("subject_id")).when(F.col("grouping") == "targetAtomic", F.col("object_id")).otherwise(F.coalesce("compound", "object_id"))
+    # From a source: its few relations first, then whether the target holds their other ends.
+    some = ends.where(~F.col("anywhere"))
+    below = held(pairs, "subject_id", holding(some, "source_id"), "source_id", "source_reach").join(some, "source_id").where("source_reach >= threshold")
+    below = below.select("end_no", "grouping", "threshold", F.col("target_id").alias("wanted"), "relation_type", "subject_id", "object_id", "weight", "k")
+    below = held(below, "object_id", holding(some, "target_id"), "target_id", "target_reach").where("target_id = wanted and target_reach >= threshold").join(root, "object_id", "left")
+
+    def far(rows: DataFrame, grouped: Column) -> DataFrame:
+        some = ends.where(F.col("anywhere") & grouped)
+        return held(rows, "object_id", holding(some, "target_id"), "target_id", "target_reach").join(some.drop("source_id"), "target_id").where("target_reach >= threshold")
+
+    # From anywhere: sources are summed up before targets fan out, but where they are the groups.
+    by_source = F.col("grouping") == "sourceAtomic"
+    summed = pairs.groupBy("relation_type", "object_id").agg(*sums("weight", "k")).join(root, "object_id", "left").withColumn("subject_id", F.lit(None).cast("string"))
+    found = cells(below, target).unionByName(cells(far(pairs, by_source), F.col("subject_id"))).unionByName(cells(far(summed, ~by_source), target))
+
+    kinds = r.select("asked", "ends", "types", "excluded").dropDuplicates(["asked"]).join(ends.select("ends", "end_no"), "ends")
+    fits = ~F.array_contains("excluded", F.col("relation_type")) & ((F.size("types") == 0) | F.array_contains("types", F.col("relation_type")))
+    groups = stored(found.join(kinds, "end_no").where(fits).groupBy("asked", "group_key").agg(*sums("weight", "k")), "groups")
+    totals = groups.groupBy("asked").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("all"))
+    placed = groups.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("weight"), "group_key")))
+    end = F.col("page_offset").cast("long") + F.col("page_size")
+    asked = r.join(totals, "asked").withColumn("last", F.least(end, F.col("all"))).where("page_offset < last")
+    places = asked.select("request_id", "asked", "grouping", "page_offset", "page_size", "total", "all", F.explode(F.sequence(F.col("page_offset").cast("long") + 1, "last")).alias("place"))
+    page = places.join(placed, ["asked", "place"])
     names = objects.select(F.col("id").alias("group_key"), label().alias("named"))
-    end = F.col("page_offset") + F.col("page_size")
     return page.join(names, "group_key", "left").select(
-        "request_id", F.col("place").cast("long").alias("place"), "group_key", F.when(F.col("group_by") == "relationType", F.col("group_key")).otherwise(F.coalesce("named", "group_key")).alias("group_label"),
-        "weight", "evidence_count", "total", F.when(end < F.col("all"), cursor(end)).alias("next_cursor"),
+        "request_id", F.col("place").cast("long").alias("place"), "group_key", F.when(F.col("grouping") == "relationType", F.col("group_key")).otherwise(F.coalesce("named", "group_key")).alias("group_label"),
+        "weight", F.col("k").alias("evidence_count"), "total", F.when(end < F.col("all"), cursor(end)).alias("next_cursor"),
     )
 
 

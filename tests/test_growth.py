@@ -25,7 +25,7 @@ def most_rows(df):
         return found
 
     df.collect()
-    return max(walk(df._jdf.queryExecution().executedPlan()))
+    return max(walk(df._jdf.queryExecution().executedPlan()), default=0)
 
 
 def test_name_choice_keeps_a_row_an_intent(spark):
@@ -47,3 +47,18 @@ def test_search_has_no_join_a_block_of_texts(spark):
     objects = spark.createDataFrame([("1", "a", "x", None)], "id string, object_type string, name string, display_name string")
     asked = spark.range(3000).select(F.col("id").alias("request_id"), F.col("id").cast("string").alias("text"), F.lit(None).cast("string").alias("object_type"))
     assert str(drilldown.find_objects(objects, asked)._jdf.queryExecution().optimizedPlan()).count("Join") <= 4
+
+
+def test_requests_for_one_domain_share_what_it_holds(spark, monkeypatch):
+    services = spark.range(150).select(F.concat(F.lit("S"), "id").alias("id"), F.lit("service").alias("object_type"), F.concat(F.lit("/S"), "id").alias("path"))
+    objects = services.union(spark.createDataFrame([("D", "domain", "/D")], "id string, object_type string, path string")).withColumn("name", F.col("id")).withColumn("display_name", F.lit(None).cast("string"))
+    relations = spark.range(150).select(F.col("id").cast("string").alias("id"), F.lit("call").alias("relation_type"), F.lit("S0").alias("subject_id"), F.concat(F.lit("S"), "id").alias("object_id"), F.lit("APPROVED").alias("status"))
+    affinities = services.select(F.col("id").alias("object_id"), F.lit("D").alias("domain_id"), F.lit(0.9).alias("affinity"))
+    requests = spark.range(150).select(
+        F.col("id").alias("request_id"), F.lit("S0").alias("source_id"), F.lit("D").alias("target_id"), F.lit("sourceAtomic").alias("group_by"), F.when(F.col("id") % 2 == 0, "GLOBAL").alias("scope_mode"), F.lit(None).cast("array<string>").alias("relation_types"),
+        F.lit(None).cast("array<string>").alias("excluded_types"), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("int").alias("page_size"), F.lit(None).cast("string").alias("cursor"))
+    real, steps = drilldown.stored, []
+    monkeypatch.setattr(drilldown, "stored", lambda df, name: (steps.append(most_rows(df)), real(df, name))[1])
+    got = drilldown.contributors(requests, relations, objects, affinities, spark.createDataFrame([], "id string, relation_id string"))
+    assert rows(got.select("group_key", "weight", "evidence_count", "total").distinct(), "group_key", "weight", "evidence_count", "total") == [("S0", 150, 0, 150)]
+    assert got.count() == 150 and max(steps + [most_rows(got)]) <= 1000
