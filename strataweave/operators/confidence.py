@@ -13,6 +13,15 @@ def source_of(evidence_type: Column) -> Column:
     return F.when(evidence_type.isin("CONFIG", "LLM_CONFIG"), "config").when(evidence_type.isin("FILE", "LLM_CODE"), "code").when(evidence_type == "SCHEMA", "db")
 
 
+def by_source(evidences: DataFrame, relations: DataFrame) -> DataFrame:
+    """status, evidence_type, source, n, relations: evidence (relation_id, evidence_type) of relations (relation_id, status), and how many different relations it names.
+
+    Counted by relation first, where the join has put the rows, so none of them moves again.
+    """
+    each = evidences.join(relations, "relation_id").groupBy("relation_id", "status", "evidence_type").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("status", "evidence_type", source_of(F.col("evidence_type")).alias("source")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("relations"))
+
+
 def adjusted(original: Column, sources: Column, contradictions: Column, boost: float = 0.3, penalty: float = 0.15) -> Column:
     """Unchanged for a single source without contradiction, else raised by support and lowered by contradictions, within .1 and .99."""
     new = clamp(original + support_boost(sources, boost) - penalty * contradictions, 0.1, 0.99)

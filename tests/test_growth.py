@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from strataweave.operators import drilldown, proof
+from strataweave.operators import confidence, drilldown, proof
+from strataweave.sources import scratch
 
 
 def rows(df, *columns):
@@ -62,3 +63,18 @@ def test_requests_for_one_domain_share_what_it_holds(spark, monkeypatch):
     got = drilldown.contributors(requests, relations, objects, affinities, spark.createDataFrame([], "id string, relation_id string"))
     assert rows(got.select("group_key", "weight", "evidence_count", "total").distinct(), "group_key", "weight", "evidence_count", "total") == [("S0", 150, 0, 150)]
     assert got.count() == 150 and max(steps + [most_rows(got)]) <= 1000
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_evidence_is_counted_where_it_met_its_relation(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "PART_ROWS", 10)
+    evidences = spark.createDataFrame([("a", "FILE"), ("a", "FILE"), ("a", "SCHEMA"), ("b", "FILE"), ("x", "FILE")], "relation_id string, evidence_type string")
+    relations = spark.createDataFrame([("a", "APPROVED"), ("b", "APPROVED"), ("b", "REJECTED")], "relation_id string, status string")
+    got = confidence.by_source(scratch.spread(evidences, 80, "relation_id"), scratch.spread(relations, 80, "relation_id").hint("merge"))
+    assert exchanges(got) == 3  # each side once, and the sums
+    assert rows(got, "status", "evidence_type", "source", "n", "relations") == [("APPROVED", "FILE", "code", 3, 2), ("APPROVED", "SCHEMA", "db", 1, 1), ("REJECTED", "FILE", "code", 1, 1)]
+    # more rows make more partitions, not larger ones
+    assert scratch.spread(evidences, 80, "relation_id").rdd.getNumPartitions() == 8 and scratch.spread(evidences, 800, "relation_id").rdd.getNumPartitions() == 80
