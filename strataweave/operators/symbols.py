@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strataweave.sources.scratch import stored
 
@@ -47,6 +51,8 @@ def resolve_calls(starts: DataFrame, implements: DataFrame, interfaces: DataFram
 
 #: Levels of dyadic blocks: lines are under 2^LEVELS.
 LEVELS = 31
+#: Lines of a chunk: 2^CHUNK.
+CHUNK = 10
 
 
 def _blocks(low: Column, high: Column) -> Column:
@@ -68,13 +74,48 @@ def _blocks(low: Column, high: Column) -> Column:
 def owners(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """lines (file, line and other columns) with function_id: the function whose range holds the line and began last (ties: that ends first, then the least id), else null.
 
-    functions: file, function_id, line_start, line_end. A range is cut into dyadic blocks, all of whose lines it holds, and a block keeps its innermost function,
-    so a line meets at most one row a level by an equi-join: no range products, and a file that has a third of all lines is spread by its blocks.
+    functions: file, function_id, line_start, line_end. Files are cut into chunks of 2^CHUNK lines. A range makes at most two pieces that lie within a chunk, of which
+    only the innermost with the same ends is kept; a task goes through the sorted lines and pieces of a chunk with those that are open. Chunks that longer ranges
+    hold whole meet them as dyadic blocks, by an equi-join, and take the innermost as one more piece. So no range products, and a file that has a third of all
+    lines is spread by its chunks.
     """
-    inner = F.struct((-F.col("line_start")).alias("later"), F.col("line_end").alias("ends"), F.col("function_id").alias("id"))
-    cut = functions.where("line_start <= line_end and line_start >= 0").select("file", inner.alias("f"), F.explode(_blocks(F.col("line_start"), F.col("line_end"))).alias("x"))
-    best = stored(cut.groupBy("file", F.col("x.level").alias("level"), F.col("x.block").alias("block")).agg(F.min("f").alias("f")), "blocks")
-    top = best.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
-    points = lines.select("file", "line").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("block", F.expr("shiftright(cast(line as bigint), level)"))
-    found = points.join(best, ["file", "level", "block"]).groupBy("file", "line").agg(F.min("f").alias("f")).select("file", "line", F.col("f.id").alias("function_id"))
-    return lines.join(found, ["file", "line"], "left")
+    line, size = F.col("line").cast("long"), 1 << CHUNK
+    inner = F.struct((-F.col("line_start").cast("long")).alias("later"), F.col("line_end").cast("long").alias("ends"), F.col("function_id").alias("id"))
+    whole = functions.where("file is not null and line_start <= line_end and line_start >= 0").select("file", F.col("line_start").cast("long").alias("a"), F.col("line_end").cast("long").alias("b"), inner.alias("f"))
+    chunk = lambda c: F.shiftright(c, CHUNK)
+    first, last = chunk(F.col("a")), chunk(F.col("b"))
+    piece = lambda c, s, e: F.struct(c.alias("chunk"), s.alias("s"), e.alias("e"))
+    ends = F.array(piece(first, F.col("a"), F.least("b", (first + 1) * size - 1)), F.when(last > first, piece(last, last * size, F.col("b"))))
+    pieces = whole.select("file", "f", F.explode(ends).alias("x")).where("x is not null").select("file", "x.*", "f")
+    long = whole.where(last > first + 1).select("file", "f", F.explode(_blocks(first + 1, last - 1)).alias("x"))
+    best = stored(long.groupBy("file", F.col("x.level").alias("level"), F.col("x.block").alias("block")).agg(F.min("f").alias("f")), "blocks")
+    top = best.agg(F.max("level")).first()[0]
+    if top is not None:
+        here = lines.select("file", chunk(line).alias("chunk")).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("block", F.expr("shiftright(chunk, level)"))
+        pieces = pieces.unionByName(here.join(best, ["file", "level", "block"]).select("file", "chunk", (F.col("chunk") * size).alias("s"), ((F.col("chunk") + 1) * size - 1).alias("e"), "f"))
+    pieces = pieces.groupBy("file", "chunk", "s", "e").agg(F.min("f").alias("f"))
+    rows = lines.select("file", chunk(line).alias("chunk"), line.alias("at"), F.struct(*lines.columns).alias("row"))
+    rows = rows.unionByName(pieces.select("file", "chunk", F.col("s").alias("at"), "e", "f"), allowMissingColumns=True)
+    ordered = rows.repartition("file", "chunk").sortWithinPartitions("file", "chunk", "at", F.col("e").isNull(), F.desc("f"))  # pieces before lines, the innermost last
+    ordered = ordered.select("file", "chunk", "at", "e", F.col("f.id").alias("function_id"), "row")
+    schema = StructType([ordered.schema["row"], StructField("function_id", ordered.schema["function_id"].dataType)])
+    return ordered.mapInArrow(_innermost, schema).select("row.*", "function_id")
+
+
+def _innermost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line's row with the innermost piece that is open there. Pieces open in order; one that ended stays closed, as lines come in order too."""
+    place, pieces = None, []
+    for batch in batches:
+        found, kept = [], []
+        file, chunk, at, end, name = (batch.column(k).to_pylist() for k in range(5))
+        for k, here in enumerate(zip(file, chunk)):
+            if here != place:
+                place, pieces = here, []
+            if end[k] is not None:
+                pieces.append((end[k], name[k]))
+                continue
+            while pieces and pieces[-1][0] < at[k]:
+                pieces.pop()
+            kept.append(k)
+            found.append(pieces[-1][1] if pieces else None)
+        yield pa.RecordBatch.from_arrays([batch.column(5).take(pa.array(kept, pa.int64())), pa.array(found, batch.column(4).type)], ["row", "function_id"])

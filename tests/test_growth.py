@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strataweave.operators import confidence, drilldown, proof
+from strataweave.operators import confidence, drilldown, proof, symbols
 from strataweave.sources import scratch
 
 
@@ -78,3 +78,15 @@ def test_evidence_is_counted_where_it_met_its_relation(spark, monkeypatch):
     assert rows(got, "status", "evidence_type", "source", "n", "relations") == [("APPROVED", "FILE", "code", 3, 2), ("APPROVED", "SCHEMA", "db", 1, 1), ("REJECTED", "FILE", "code", 1, 1)]
     # more rows make more partitions, not larger ones
     assert scratch.spread(evidences, 80, "relation_id").rdd.getNumPartitions() == 8 and scratch.spread(evidences, 800, "relation_id").rdd.getNumPartitions() == 80
+
+
+def test_lines_meet_the_ranges_of_their_chunk(spark, monkeypatch):
+    ranges = [(f"f{i % 3}", f"{i:03}", i * 37 % 400, i * 37 % 400 + i * i % 211 - 1) for i in range(300)] + [(None, "x", 0, 400)]
+    places = [(f"f{k % 4}", k // 4) for k in range(2000)] + [("f0", None), (None, 5), ("f1", -3)]
+    inside = lambda f, n: [(-a, b, i) for g, i, a, b in ranges if f is not None and n is not None and g == f and a <= n <= b]
+    want = sorted(((f, n, min(inside(f, n))[2] if inside(f, n) else None) for f, n in places), key=repr)
+    lines, functions = spark.createDataFrame(places, "file string, line long"), spark.createDataFrame(ranges, "file string, function_id string, line_start long, line_end long")
+    got = symbols.owners(lines, functions)
+    assert rows(got, "file", "line", "function_id") == want and most_rows(got) <= len(places) + 2 * len(ranges)
+    monkeypatch.setattr(symbols, "CHUNK", 3)  # most ranges hold whole chunks
+    assert rows(symbols.owners(lines, functions), "file", "line", "function_id") == want
