@@ -31,7 +31,7 @@ def _built(spark, g: GraphTables) -> tuple[Generations, object]:
 
 def generation_levels(spark, sf_dir):
     """Each generation with its state, what was noted on it, and its edges a level."""
-    store, _ = _built(spark, GraphTables(spark, sf_dir))
+    store, _ = _built(spark, GraphTables(spark, sf_dir, keep=True))
     state = store.state()
     rows = None
     for version in (1, 2):
@@ -43,7 +43,7 @@ def generation_levels(spark, sf_dir):
 
 def dispatched(spark, sf_dir):
     """The same requests on the first generation and on the active one: impact, usage and a domain, with the generation that answered."""
-    g = GraphTables(spark, sf_dir)
+    g = GraphTables(spark, sf_dir, keep=True)
     store, relations = _built(spark, g)
     out = None
     for version in (1, None):

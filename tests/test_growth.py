@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strataweave.operators import confidence, drilldown, proof, symbols
+from strataweave.operators import confidence, drilldown, proof, rollup, symbols
 from strataweave.sources import scratch
 
 
@@ -90,3 +90,9 @@ def test_lines_meet_the_ranges_of_their_chunk(spark, monkeypatch):
     assert rows(got, "file", "line", "function_id") == want and most_rows(got) <= len(places) + 2 * len(ranges)
     monkeypatch.setattr(symbols, "CHUNK", 3)  # most ranges hold whole chunks
     assert rows(symbols.owners(lines, functions), "file", "line", "function_id") == want
+
+
+def test_scope_reads_relations_only_if_events_name_objects(spark):
+    events = spark.createDataFrame([("RELATION_CREATED", "call", "S1", "E1"), ("DOMAIN_AFFINITY_CHANGED", "call", "S2", "E1")], "kind string, relation_type string, subject_id string, object_id string")
+    unread = spark.range(1).select(F.raise_error(F.lit("read")).cast("string").alias("id"), F.lit("call").alias("relation_type"), F.lit("S1").alias("subject_id"), F.raise_error(F.lit("read")).cast("string").alias("object_id"), F.lit("APPROVED").alias("status"))
+    assert rows(rollup.affected_scope(events, unread), "level", "service_id") == [("DOMAIN_TO_DOMAIN", None), ("SERVICE_TO_SERVICE", "S1")]
