@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strataweave.operators import confidence, drilldown, proof, rollup, symbols
+from strataweave.plans import decisions
 from strataweave.sources import scratch
 
 
@@ -96,3 +97,8 @@ def test_scope_reads_relations_only_if_events_name_objects(spark):
     events = spark.createDataFrame([("RELATION_CREATED", "call", "S1", "E1"), ("DOMAIN_AFFINITY_CHANGED", "call", "S2", "E1")], "kind string, relation_type string, subject_id string, object_id string")
     unread = spark.range(1).select(F.raise_error(F.lit("read")).cast("string").alias("id"), F.lit("call").alias("relation_type"), F.lit("S1").alias("subject_id"), F.raise_error(F.lit("read")).cast("string").alias("object_id"), F.lit("APPROVED").alias("status"))
     assert rows(rollup.affected_scope(events, unread), "level", "service_id") == [("DOMAIN_TO_DOMAIN", None), ("SERVICE_TO_SERVICE", "S1")]
+
+
+def test_domain_profile_derives_dependencies_once(spark):
+    plan = decisions.domain_profile(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
