@@ -25,18 +25,22 @@ def resolve_calls(starts: DataFrame, implements: DataFrame, interfaces: DataFram
     in each, marked and with a tenth of penalty more; of none nowhere. Each level is one join over distinct states, stored; paths that reach the
     same state are one row, so a cycle adds at most max_depth levels.
     """
-    classes = implements.select(F.col("interface").alias("type"), "class").distinct()
     known = implementations(implements).select(F.col("interface").alias("type"), "n")
-    faces = stored(interfaces.select("type").distinct().join(known, "type", "left").join(classes, "type", "left").select("type", F.lit(True).alias("face"), "n", "class"), "interfaces")
+    faces = stored(interfaces.select("type").distinct().join(known, "type", "left").select("type", F.lit(True).alias("face"), "n"), "interfaces")
+    classes = stored(implements.select(F.col("interface").alias("type"), "class").distinct().join(faces.select("type"), "type", "left_semi"), "classes")
+    nested, direct = stored(nested.distinct(), "nested-calls"), stored(direct.distinct(), "direct-calls")  # each level reads them
 
     def landed(states: DataFrame) -> DataFrame:
-        rows = states.join(faces, "type", "left").where("face is null or class is not null")
+        rows = states.join(faces, "type", "left").where("face is null or n is not null")
         through = F.col("face").isNotNull()
         several = F.col("n") > 1
-        return rows.select(
-            "start", F.coalesce("class", "type").alias("type"), "method", "depth", F.when(through, F.col("class")).otherwise(F.col("impl")).alias("impl"),
-            F.when(through, several).otherwise(F.col("ambiguous")).alias("ambiguous"), (F.col("penalty") + F.when(several, 1).otherwise(0)).alias("penalty"),
+        # What led to an interface counts no more, so its states are one row before they fan out to the classes.
+        rows = rows.select(
+            "start", "type", "method", "depth", F.when(~through, F.col("impl")).alias("impl"), F.when(through, several).otherwise(F.col("ambiguous")).alias("ambiguous"),
+            (F.col("penalty") + F.when(several, 1).otherwise(0)).alias("penalty"),
         ).distinct()
+        rows = rows.join(classes, "type", "left")
+        return rows.select("start", F.coalesce("class", "type").alias("type"), "method", "depth", F.coalesce("class", "impl").alias("impl"), "ambiguous", "penalty").distinct()
 
     live = starts.select("start", "type", "method", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("impl"), F.lit(None).cast("boolean").alias("ambiguous"), F.lit(0).alias("penalty"))
     out = None

@@ -17,10 +17,9 @@ def call_targets(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
     suppliers = g.source("supplier")
     nation = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("nation"))
-    lines = stored(g.lines().select("rn", "a_supp", "l_suppkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_discount", "l_tax"), "lines")
-    steps = lines.where("rn > 1 and l_discount = 0.1 and l_returnflag = 'N'").join(nation, "l_suppkey")
+    steps = g.lines().where("rn > 1 and l_discount = 0.1 and l_returnflag = 'N'").join(nation, "l_suppkey")
     nested = steps.select(S("a_supp").alias("type"), METHOD("rn").alias("method"), F.when(F.col("l_linestatus") == "O", F.col("nation")).otherwise(S("l_suppkey")).alias("to_type"), METHOD("l_linenumber").alias("to_method")).distinct()
-    direct = lines.where("l_returnflag = 'R' and l_tax = 0").select(S("l_suppkey").alias("type"), METHOD("l_linenumber").alias("method"), F.concat(F.lit("E"), F.col("l_suppkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("target")).distinct()
+    direct = g.source("lineitem").where("l_returnflag = 'R' and l_tax = 0").select(S("l_suppkey").alias("type"), METHOD("l_linenumber").alias("method"), F.concat(F.lit("E"), F.col("l_suppkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("target")).distinct()
     faces = g.source("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("type"))
     implements = suppliers.where("s_acctbal > 8000").select(S("s_suppkey").alias("class"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("interface"))
     starts = faces.select("type", F.explode(F.array(*[F.lit(f"m{k}") for k in range(3)])).alias("method")).withColumn("start", F.concat_ws(".", "type", "method"))

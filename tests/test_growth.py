@@ -102,3 +102,15 @@ def test_scope_reads_relations_only_if_events_name_objects(spark):
 def test_domain_profile_derives_dependencies_once(spark):
     plan = decisions.domain_profile(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
+
+
+def test_calls_of_an_interface_meet_before_they_fan_out(spark, monkeypatch):
+    classes = spark.range(120).select(F.concat(F.when(F.col("id") < 60, "A").otherwise("B"), "id").alias("class"), F.when(F.col("id") < 60, "I").otherwise("J").alias("interface"))
+    faces, starts = spark.createDataFrame([("I",), ("J",)], "type string"), spark.createDataFrame([("s", "I", "m")], "start string, type string, method string")
+    nested = classes.where("interface = 'I'").select(F.col("class").alias("type"), F.lit("m").alias("method"), F.lit("J").alias("to_type"), F.lit("m").alias("to_method"))
+    direct = classes.where("interface = 'J'").select(F.col("class").alias("type"), F.lit("m").alias("method"), F.concat(F.lit("t"), "class").alias("target"))
+    real, steps = symbols.stored, []
+    monkeypatch.setattr(symbols, "stored", lambda df, name: (steps.append(most_rows(df)), real(df, name))[1])
+    got = symbols.resolve_calls(starts, classes, faces, nested, direct, 3)
+    assert rows(got, "target", "depth", "impl", "ambiguous", "penalty") == sorted((f"tB{k}", 2, f"B{k}", True, 0.2) for k in range(60, 120))
+    assert max(steps + [most_rows(got)]) <= 250  # 60 states fan out to 60 classes, not 60 each
