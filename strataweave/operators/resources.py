@@ -22,42 +22,47 @@ def access_type(action: Column) -> Column:
     return F.when(a.isin(*READS), "read").when(a.isin(*WRITES), "write")
 
 
-def bound_tokens(intents: DataFrame, bindings: DataFrame) -> DataFrame:
-    """intent_id and token: what the bindings that share a form with one of an intent's hints (array) resolve to."""
+def bound_tokens(hinted: DataFrame, bindings: DataFrame) -> DataFrame:
+    """hints and token: what the bindings that share a form with one of some hints (array) resolve to. hinted: distinct hints."""
     keys = F.array_distinct(F.concat(*[lookup_tokens(F.coalesce(c, F.lit(""))) for c in ("alias_key", "alias_value", "host")]))
     to = F.array_distinct(F.filter(F.array(kebab(F.coalesce("service_id", F.lit(""))), kebab(F.coalesce("host", F.lit("")))), lambda t: t != ""))
     aliases = bindings.select(F.explode(keys).alias("form"), to.alias("to")).select("form", F.explode("to").alias("token")).distinct()
-    forms = intents.select("intent_id", F.explode(F.array_distinct(F.flatten(F.transform("hints", lookup_tokens)))).alias("form"))
-    return forms.join(aliases, "form").select("intent_id", "token").distinct()
+    forms = hinted.select("hints", F.explode(F.array_distinct(F.flatten(F.transform("hints", lookup_tokens)))).alias("form"))
+    return forms.join(aliases, "form").select("hints", "token").distinct()
 
 
-def resource_choice(intents: DataFrame, resources: DataFrame, bound: DataFrame) -> DataFrame:
-    """intent_id, narrowed, many_names (several bear the name), n (0, 1 or 2: several), target_id: of name and, where the intent has one, schema.
+def resource_choice(intents: DataFrame, resources: DataFrame, bindings: DataFrame) -> DataFrame:
+    """The intents without their hints, with narrowed, many_names (several bear the name), n (0, 1 or 2: several), target_id: of name and, where the intent has one, schema.
 
-    intents: intent_id, kind, name, schema. resources: id, kind, name, schema, tokens. An intent whose bindings point at any resource of its kind sees those
-    alone. Postings hold the least and greatest id of a name, so a name or token that a third of all resources bear is one row.
+    intents (stored, as they are read more than once): kind, name, schema, hints, any others. resources: id, kind, name, schema, tokens. An intent whose bindings
+    point at any resource of its kind sees those alone. Intents that ask the same (kind, name, schema, tokens pointed at) are answered as one, and meet the answer by
+    one join. Postings hold the least and greatest id of a name, so a name or token that a third of all resources bear is one row.
     """
     low = lambda c: F.lower(F.trim(c))
-    r = stored(resources.select("id", "kind", low("name").alias("name"), low("schema").alias("schema"), "tokens"), "resources")
-    i = intents.select("intent_id", "kind", low("name").alias("name"), low("schema").alias("schema"))
+    others = [c for c in intents.columns if c not in ("kind", "name", "schema", "hints")]
+    r = stored(resources.select("id", "kind", low("name").alias("low_name"), low("schema").alias("low_schema"), "tokens"), "resources")
     ends = [F.min("id").alias("low"), F.max("id").alias("high")]
-    tokens = r.select("id", "kind", "name", "schema", F.explode("tokens").alias("token"))
-    pointed = stored(i.join(bound, "intent_id").join(tokens.select("kind", "token").distinct(), ["kind", "token"]).select("intent_id", "kind", "name", "schema", "token"), "pointed")
-    narrowed = pointed.select("intent_id").distinct()
-    wide = i.join(narrowed, "intent_id", "left_anti")
-
-    def found(asked: DataFrame, among: DataFrame, on: list[str]) -> DataFrame:
-        any_ = asked.join(among.groupBy(*on, "name").agg(*ends), [*on, "name"]).select("intent_id", "low", "high", F.lit(False).alias("in_schema"))
-        exact = asked.where("schema is not null").join(among.groupBy(*on, "name", "schema").agg(*ends), [*on, "name", "schema"]).select("intent_id", "low", "high", F.lit(True).alias("in_schema"))
+    tokens = r.select("id", "kind", "low_name", "low_schema", F.explode("tokens").alias("token"))
+    hinted = intents.where(F.size("hints") > 0).select("hints").distinct()
+    pointed = bound_tokens(hinted, bindings).join(tokens.select("kind", "token").distinct(), "token").groupBy("kind", "hints").agg(F.array_sort(F.collect_list("token")).alias("pointed"))
+    i = intents.join(stored(pointed, "pointed"), ["kind", "hints"], "left").withColumn("low_name", low("name")).withColumn("low_schema", low("schema"))
+    key = ["kind", "low_name", "low_schema", "pointed"]
+    asked = stored(i.select(*key).where("low_name is not null").distinct(), "questions")
+
+    def found(some: DataFrame, among: DataFrame, on: list[str]) -> DataFrame:
+        any_ = some.join(among.groupBy(*on, "low_name").agg(*ends), [*on, "low_name"]).select(*key, "low", "high", F.lit(False).alias("in_schema"))
+        exact = some.where("low_schema is not null").join(among.groupBy(*on, "low_name", "low_schema").agg(*ends), [*on, "low_name", "low_schema"]).select(*key, "low", "high", F.lit(True).alias("in_schema"))
         return any_.unionByName(exact)
 
-    rows = found(wide, r, ["kind"]).unionByName(found(pointed, tokens, ["kind", "token"]))
+    rows = found(asked.where("pointed is null"), r, ["kind"]).unionByName(found(asked.where("pointed is not null").withColumn("token", F.explode("pointed")), tokens, ["kind", "token"]))
     s = F.col("in_schema")
-    sums = rows.groupBy("intent_id").agg(F.min(F.when(~s, F.col("low"))).alias("l"), F.max(F.when(~s, F.col("high"))).alias("h"), F.min(F.when(s, F.col("low"))).alias("sl"), F.max(F.when(s, F.col("high"))).alias("sh"))
-    out = i.join(sums, "intent_id", "left").join(narrowed.withColumn("narrowed", F.lit(True)), "intent_id", "left")
-    first, last = F.when(F.col("schema").isNotNull(), F.col("sl")).otherwise(F.col("l")), F.when(F.col("schema").isNotNull(), F.col("sh")).otherwise(F.col("h"))
+    sums = rows.groupBy(*key).agg(F.min(F.when(~s, F.col("low"))).alias("l"), F.max(F.when(~s, F.col("high"))).alias("h"), F.min(F.when(s, F.col("low"))).alias("sl"), F.max(F.when(s, F.col("high"))).alias("sh"))
+    first, last = F.when(F.col("low_schema").isNotNull(), F.col("sl")).otherwise(F.col("l")), F.when(F.col("low_schema").isNotNull(), F.col("sh")).otherwise(F.col("h"))
     n = F.when(first.isNull(), 0).when(first == last, 1).otherwise(2)
-    return out.select("intent_id", F.coalesce("narrowed", F.lit(False)).alias("narrowed"), F.coalesce(F.col("l") != F.col("h"), F.lit(False)).alias("many_names"), n.alias("n"), F.when(n == 1, first).alias("target_id"))
+    answers = sums.select(*[F.col(c).alias(f"a_{c}") for c in key], (F.col("l") != F.col("h")).alias("many"), n.alias("found"), F.when(n == 1, first).alias("target_id"))
+    same = [F.col(c) == F.col(f"a_{c}") for c in ("kind", "low_name")] + [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in ("low_schema", "pointed")]
+    out = i.join(answers, same, "left")
+    return out.select(*others, "kind", "name", "schema", F.col("pointed").isNotNull().alias("narrowed"), F.coalesce("many", F.lit(False)).alias("many_names"), F.coalesce("found", F.lit(0)).alias("n"), "target_id")
 
 
 def resolve_tables(intents: DataFrame, tables: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def resolve_tables(intents: DataFrame, tables: DataFrame, bindings: DataFrame) -
     part = F.filter(F.transform(F.split("resource", "[.]"), F.trim), lambda s: s != "")
     i = intents.withColumn("part", part).withColumn("schema", F.coalesce("schema", F.when(F.size("part") > 1, F.col("part")[0]))).withColumn("name", F.when(F.size("part") > 0, F.element_at("part", -1)))
     i = stored(i.select("intent_id", "hints", "name", "schema", access_type(F.col("action")).alias("relation_type"), F.lit("db_table").alias("kind")), "table-intents")
-    rows = i.select("intent_id", "relation_type", "name", "schema").join(resource_choice(i, tables.withColumn("kind", F.lit("db_table")), bound_tokens(i, bindings)), "intent_id")
+    rows = resource_choice(i, tables.withColumn("kind", F.lit("db_table")), bindings)
     status = (
         F.when(F.col("relation_type").isNull(), "DB_ACTION_UNKNOWN").when(F.col("name").isNull(), "DB_TABLE_UNRESOLVED").when(F.col("schema").isNull() & F.col("many_names"), "DB_SCHEMA_AMBIGUOUS")
         .when(F.col("n") == 0, "DB_TABLE_UNRESOLVED").when(F.col("n") > 1, "TABLE_MATCH_AMBIGUOUS").otherwise("CLOSED_ATOMIC")
@@ -77,7 +82,7 @@ def resolve_channels(intents: DataFrame, channels: DataFrame, bindings: DataFram
     """intent_id, status, target_id, narrowed. intents: intent_id, channel, kind (topic or queue; null: topic), hints (array). channels: id, kind, names (array), tokens (array)."""
     i = stored(intents.select("intent_id", "hints", F.coalesce("kind", F.lit("topic")).alias("kind"), F.col("channel").alias("name"), F.lit(None).cast("string").alias("schema")), "channel-intents")
     named = channels.select("id", "kind", F.explode("names").alias("name"), F.lit(None).cast("string").alias("schema"), "tokens")
-    rows = resource_choice(i, named, bound_tokens(i, bindings))
+    rows = resource_choice(i, named, bindings)
     status = F.when(F.col("n") == 0, "MESSAGE_TARGET_UNRESOLVED").when(F.col("n") > 1, "TOPIC_MATCH_AMBIGUOUS").otherwise("CLOSED_ATOMIC")
     return rows.select("intent_id", status.alias("status"), "target_id", "narrowed")
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strataweave.operators import confidence, drilldown, proof, rollup, symbols
+from strataweave.operators import confidence, drilldown, proof, resources, rollup, symbols
 from strataweave.plans import decisions
 from strataweave.sources import scratch
 
@@ -114,3 +114,14 @@ def test_calls_of_an_interface_meet_before_they_fan_out(spark, monkeypatch):
     got = symbols.resolve_calls(starts, classes, faces, nested, direct, 3)
     assert rows(got, "target", "depth", "impl", "ambiguous", "penalty") == sorted((f"tB{k}", 2, f"B{k}", True, 0.2) for k in range(60, 120))
     assert max(steps + [most_rows(got)]) <= 250  # 60 states fan out to 60 classes, not 60 each
+
+
+def test_intents_that_ask_the_same_are_answered_as_one(spark, monkeypatch):
+    intents = spark.range(400).select(F.col("id").alias("intent_id"), F.lit("read").alias("action"), F.lit("S.T").alias("resource"), F.lit(None).cast("string").alias("schema"), F.when(F.col("id") % 2 == 0, F.array(F.lit("ds"))).alias("hints"))
+    tables = spark.range(9).select(F.concat(F.lit("t"), "id").alias("id"), F.lit("t").alias("name"), F.when(F.col("id") == 3, "s").when(F.col("id") == 8, "S").otherwise("x").alias("schema"), F.array(F.concat(F.lit("b"), "id")).alias("tokens"))
+    bindings = spark.range(8).select(F.lit("ds").alias("alias_key"), F.lit(None).cast("string").alias("alias_value"), F.concat(F.lit("b"), "id").alias("service_id"), F.lit(None).cast("string").alias("host"))
+    real, steps = resources.stored, []
+    monkeypatch.setattr(resources, "stored", lambda df, name: (steps.append(most_rows(df)), real(df, name))[1])
+    got = resources.resolve_tables(intents, tables, bindings)
+    assert rows(got.where("intent_id < 2"), "intent_id", "status", "target_id", "narrowed") == [(0, "CLOSED_ATOMIC", "t3", True), (1, "TABLE_MATCH_AMBIGUOUS", None, False)]
+    assert got.count() == 400 and max(steps + [most_rows(got)]) <= 400  # not a row an intent and token
