@@ -150,10 +150,12 @@ def fold_stream(states: DataFrame, patches: DataFrame) -> DataFrame:
     rows = patches.select("intent_id", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(*patches.columns), {"ignoreNullFields": "false"}).alias("body")).join(first, "intent_id")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        todo = sorted((r for f in frames for r in zip(f["seq"], f["body"], f["state"])), key=lambda r: r[:2])
-        state = json.loads(kept.get[0]) if kept.exists else json.loads(todo[0][2])
-        out = []
-        for _, body, _ in todo:
+        held, todo = kept.get[0] if kept.exists else None, []
+        for f in frames:  # all rows of an intent bring the same state: one is held
+            held = f["state"].iloc[0] if held is None and len(f) else held
+            todo += zip(f["seq"], f["body"])
+        state, out = json.loads(held), []
+        for _, body in sorted(todo):
             patch = json.loads(body)
             state, errors = applied(state, patch)
             out.append(_row(state, patch, errors))

@@ -90,11 +90,11 @@ def patch_stream(spark, sf_dir):
     todo = stored(todo, "patches")
     ends = todo.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
     step = ((ends["high"] or 0) - (ends["low"] or 0)) // 3 + 1
-    for k in range(3):  # one after the other, as they would arrive: the source reads files by age
-        todo.where(F.floor((F.col("seq") - (ends["low"] or 0)) / step) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    query = patches.fold_stream(states, source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for k in range(3):  # as they would arrive: a batch each, of as many files as they make, and the stream goes on where it stood
+        todo.where(F.floor((F.col("seq") - (ends["low"] or 0)) / step) == k).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(todo.schema).parquet(f"{base}/in")
+        query = patches.fold_stream(states, source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(patches.RESULT).parquet(f"{base}/out")
 
 

@@ -1,9 +1,11 @@
 """Steps whose work must grow with their input, not with its square; rows are counted in the plans that ran."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from strataweave.operators import confidence, drilldown, proof, resources, rollup, symbols
-from strataweave.plans import decisions
+from strataweave.plans import decisions, resolution
 from strataweave.sources import scratch
 
 
@@ -125,3 +127,15 @@ def test_intents_that_ask_the_same_are_answered_as_one(spark, monkeypatch):
     got = resources.resolve_tables(intents, tables, bindings)
     assert rows(got.where("intent_id < 2"), "intent_id", "status", "target_id", "narrowed") == [(0, "CLOSED_ATOMIC", "t3", True), (1, "TABLE_MATCH_AMBIGUOUS", None, False)]
     assert got.count() == 400 and max(steps + [most_rows(got)]) <= 400  # not a row an intent and token
+
+
+def test_patches_arrive_in_as_many_files_as_they_make(spark, monkeypatch, tmp_path):
+    schema = "intent_id long, seq long, patch_type string, method string, path string, endpoint_id string, service_id string, host string, alias_key string, alias_value string, action string, reasons array<string>"
+    todo = spark.createDataFrame([(i, 10 * k + i, "method_path_hint", "GET" if k else None, "/x", *[None] * 7) for k in range(9) for i in range(10)], schema).repartition(16)
+    states = spark.range(9).select(F.col("id").alias("intent_id"), F.lit("a").alias("provider_id"), F.lit(None).cast("string").alias("method"), F.lit(0.5).alias("confidence"), F.lit("X").alias("open_reason"), F.array().cast("array<string>").alias("hints"), F.array(F.lit("a")).alias("candidates"), F.expr("array(named_struct('endpoint_id', 'e', 'provider_id', 'a', 'method', 'GET'))").alias("options"))
+    monkeypatch.setattr(resolution, "GraphTables", lambda *a: None)
+    monkeypatch.setattr(resolution, "patch_tables", lambda g: (states, todo))
+    monkeypatch.setattr(resolution, "fresh_path", lambda spark, name: f"{tmp_path}/s")
+    got = rows(resolution.patch_stream(spark, ""), "intent_id", "seq", "verdict", "status", "target_id")
+    assert got == sorted([(i, 10 * k + i, "ACCEPTED" if k == 1 else "REJECTED", "CLOSED_ATOMIC" if k else "FRONTIER", "e" if k else None) for k in range(9) for i in range(9)], key=repr)
+    assert len(glob.glob(f"{tmp_path}/s/in/part-*")) > 6  # not one file an arrival
