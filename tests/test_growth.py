@@ -4,8 +4,8 @@ import glob
 
 from pyspark.sql import functions as F
 
-from strataweave.operators import confidence, drilldown, proof, resources, rollup, symbols
-from strataweave.plans import decisions, resolution
+from strataweave.operators import confidence, drilldown, graph, proof, resources, rollup, symbols
+from strataweave.plans import decisions, graphs, resolution
 from strataweave.sources import scratch
 
 
@@ -139,3 +139,13 @@ def test_patches_arrive_in_as_many_files_as_they_make(spark, monkeypatch, tmp_pa
     got = rows(resolution.patch_stream(spark, ""), "intent_id", "seq", "verdict", "status", "target_id")
     assert got == sorted([(i, 10 * k + i, "ACCEPTED" if k == 1 else "REJECTED", "CLOSED_ATOMIC" if k else "FRONTIER", "e" if k else None) for k in range(9) for i in range(9)], key=repr)
     assert len(glob.glob(f"{tmp_path}/s/in/part-*")) > 6  # not one file an arrival
+
+
+def test_impact_makes_pairs_alone(spark, monkeypatch):
+    real, plans = graph.stored, []
+    monkeypatch.setattr(graph, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, name))[1])
+    graphs.ENTRIES["impact_both"][0](spark, "/root/testdata/sf0.001")
+    assert plans[0].count("Window [") == 1 and "sum(" not in plans[0]  # lines once, no means
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("b", "c"), ("d", "d")], "subject_id string, object_id string")
+    assert rows(graph.neighbours(e, "BOTH").distinct(), "src", "dst") == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("d", "d")]
+    assert rows(graph.neighbours(e, "UPSTREAM"), "src", "dst") == [("a", "b"), ("b", "a"), ("c", "b"), ("d", "d")]
