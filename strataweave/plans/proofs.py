@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataweave.functions.scalars import path_compatibility, r6, segments, url_host, url_path
 from strataweave.operators import proof, signals
 from strataweave.sources.graph_tables import GraphTables, with_tables
+from strataweave.sources.scratch import stored
 
 
 def code_signals(spark, sf_dir):
@@ -83,7 +84,8 @@ def path_compat(spark, sf_dir):
 
 def proof_http(spark, sf_dir):
     g = GraphTables(spark, sf_dir)
-    return proof.endpoint_choice(_intents(g), endpoint_rows(g)).withColumn("score", r6(F.col("score")))
+    endpoints = stored(endpoint_rows(g), "endpoints")  # used as patterns and as targets: the pages' texts are read once
+    return proof.endpoint_choice(_intents(g), endpoints).withColumn("score", r6(F.col("score")))
 
 
 def route_match(spark, sf_dir):

@@ -149,3 +149,11 @@ def test_impact_makes_pairs_alone(spark, monkeypatch):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("b", "c"), ("d", "d")], "subject_id string, object_id string")
     assert rows(graph.neighbours(e, "BOTH").distinct(), "src", "dst") == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("d", "d")]
     assert rows(graph.neighbours(e, "UPSTREAM"), "src", "dst") == [("a", "b"), ("b", "a"), ("c", "b"), ("d", "d")]
+
+
+def test_endpoints_meet_intents_once(spark):
+    intents = spark.createDataFrame([(1, "h", "/a/1", "GET"), (2, "h", "/a/1", "POST"), (3, "h", "/z/z/z", "GET"), (4, None, "/a/1", "GET"), (5, "k", "/a/1", "POST")], "intent_id long, provider_id string, path string, method string")
+    endpoints = spark.createDataFrame([("h", "/a/{id}", "GET", "g"), ("h", "/a/{id}", "ANY", "x"), ("h", "/a/1", "POST", "p"), ("k", "/a/{id}", "GET", "g")], "provider_id string, endpoint_path string, endpoint_method string, endpoint_id string")
+    got = proof.endpoint_choice(intents, endpoints)
+    assert rows(got, "intent_id", "status", "endpoint_id") == [(1, "ENDPOINT_MATCH_AMBIGUOUS", None), (2, "CLOSED_ATOMIC", "p"), (3, "PROVIDER_ENDPOINT_NOT_FOUND", None), (4, "PROVIDER_ENDPOINT_NOT_FOUND", None), (5, "PROVIDER_ENDPOINT_NOT_FOUND", None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
