@@ -101,18 +101,27 @@ def route_match(spark, sf_dir):
     return out.select("intent_id", "rule_id", F.col("spec").cast("long").alias("spec"), "tied", proof.transformed(F.col("path"), F.lit(1), F.lit("/internal")).alias("internal_path"))
 
 
-def proof_db(spark, sf_dir):
-    """Table intents from part names: a name that one table bears closes, others are ambiguous."""
+def db_intents(spark, sf_dir):
+    """Table intents from part names, the tables, and what an answer needs beside them."""
     g = GraphTables(spark, sf_dir)
     intents = g.source("part").select(F.col("p_partkey").alias("intent_id"), F.col("p_name").alias("table_hint"))
-    return proof.name_choice(intents, g.objects().where("object_type = 'db_table'"), "table_hint", "DB_TABLE_UNRESOLVED", "TABLE_MATCH_AMBIGUOUS")
+    return intents, g.objects().where("object_type = 'db_table'"), "table_hint", "DB_TABLE_UNRESOLVED", "TABLE_MATCH_AMBIGUOUS"
 
 
-def proof_message(spark, sf_dir):
-    """Topic intents from events of every user."""
+def message_intents(spark, sf_dir):
+    """Topic intents from events of every user, the topics, and what an answer needs beside them."""
     g = GraphTables(spark, sf_dir)
     intents = g.source("events").select(F.col("event_id").alias("intent_id"), F.concat(F.lit("TP"), "event_type", F.lit(":"), (F.hour("ts") + F.col("event_id") % 3).cast("string")).alias("topic_hint"))
-    return proof.name_choice(intents, g.objects().where("object_type = 'topic'"), "topic_hint", "MESSAGE_TARGET_UNRESOLVED", "TOPIC_MATCH_AMBIGUOUS")
+    return intents, g.objects().where("object_type = 'topic'"), "topic_hint", "MESSAGE_TARGET_UNRESOLVED", "TOPIC_MATCH_AMBIGUOUS"
+
+
+def proof_db(spark, sf_dir):
+    """Table intents: a name that one table bears closes, others are ambiguous."""
+    return proof.name_choice(*db_intents(spark, sf_dir))
+
+
+def proof_message(spark, sf_dir):
+    return proof.name_choice(*message_intents(spark, sf_dir))
 
 
 def proof_confidence(spark, sf_dir):

@@ -1,11 +1,12 @@
 """Steps whose work must grow with their input, not with its square; rows are counted in the plans that ran."""
 
 import glob
+import os
 
 from pyspark.sql import functions as F
 
 from strataweave.operators import confidence, drilldown, graph, proof, resources, rollup, symbols
-from strataweave.plans import decisions, graphs, resolution
+from strataweave.plans import decisions, graphs, proofs, reports, resolution
 from strataweave.sources import scratch
 
 
@@ -151,6 +152,36 @@ def test_impact_makes_pairs_alone(spark, monkeypatch):
     assert rows(graph.neighbours(e, "UPSTREAM"), "src", "dst") == [("a", "b"), ("b", "a"), ("c", "b"), ("d", "d")]
 
 
+def shuffled(df):
+    """The rows that the plan's exchanges wrote, once df was collected."""
+
+    def walk(node):
+        kind, n = node.getClass().getSimpleName(), 0
+        if node.metrics().contains("shuffleRecordsWritten"):
+            n += node.metrics().apply("shuffleRecordsWritten").value()
+        if kind == "AdaptiveSparkPlanExec":
+            n += walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            n += walk(node.plan())
+        return n + sum(walk(node.children().apply(i)) for i in range(node.children().length()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_statuses_are_counted_by_what_intents_ask_for(spark, tmp_path, monkeypatch):
+    for name in ("part", "lineitem", "events", "region", "supplier"):
+        os.symlink(f"/root/testdata/sf0.01/{name}.parquet", tmp_path / f"{name}.parquet")
+    monkeypatch.setattr(reports, "proof_http", lambda spark, sf_dir: spark.createDataFrame([(1, "CLOSED_ATOMIC")], "intent_id long, status string"))
+    got = reports.proof_run_summary(spark, str(tmp_path))
+    counts = {(r.kind, r.status): r.n for r in got.collect()}
+    for kind, query in (("db", proofs.proof_db), ("message", proofs.proof_message)):
+        for r in query(spark, str(tmp_path)).groupBy("status").count().collect():
+            assert counts.pop((kind, r.status)) == r["count"]
+    assert counts == {("http", "CLOSED_ATOMIC"): 1}
+    assert shuffled(got) < 6000  # 10,000 events and 2,000 parts ask for some two hundred names; the lines' 2,000 part keys are the most that moves
+
+
 def test_endpoints_meet_intents_once(spark):
     intents = spark.createDataFrame([(1, "h", "/a/1", "GET"), (2, "h", "/a/1", "POST"), (3, "h", "/z/z/z", "GET"), (4, None, "/a/1", "GET"), (5, "k", "/a/1", "POST")], "intent_id long, provider_id string, path string, method string")
     endpoints = spark.createDataFrame([("h", "/a/{id}", "GET", "g"), ("h", "/a/{id}", "ANY", "x"), ("h", "/a/1", "POST", "p"), ("k", "/a/{id}", "GET", "g")], "provider_id string, endpoint_path string, endpoint_method string, endpoint_id string")
