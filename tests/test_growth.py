@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataweave.operators import confidence, drilldown, graph, proof, resources, rollup, symbols
 from strataweave.plans import decisions, graphs, proofs, reports, resolution
 from strataweave.sources import scratch
+from strataweave.sources.graph_tables import GraphTables
 
 
 def rows(df, *columns):
@@ -188,3 +189,26 @@ def test_endpoints_meet_intents_once(spark):
     got = proof.endpoint_choice(intents, endpoints)
     assert rows(got, "intent_id", "status", "endpoint_id") == [(1, "ENDPOINT_MATCH_AMBIGUOUS", None), (2, "CLOSED_ATOMIC", "p"), (3, "PROVIDER_ENDPOINT_NOT_FOUND", None), (4, "PROVIDER_ENDPOINT_NOT_FOUND", None), (5, "PROVIDER_ENDPOINT_NOT_FOUND", None)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+
+
+def test_weights_are_made_of_what_a_path_can_take(spark, monkeypatch):
+    pairs = [("S0", "S1", 0.9), ("S1", "S3", 0.8), ("S0", "S2", 0.7), ("S2", "S4", 0.6), ("S8", "S9", 0.5), ("S3", "S5", 0.5), ("S5", "S0", 0.5)]
+    calls = spark.createDataFrame([("x", "call", *pair) for pair in pairs], "id string, relation_type string, subject_id string, object_id string, confidence double")
+    real, met = rollup.edges, []
+    monkeypatch.setattr(rollup, "service_calls", lambda relations, objects: calls)
+    monkeypatch.setattr(rollup, "edges", lambda lifted: (met.append(rows(lifted, "subject_id", "object_id")), real(lifted))[1])
+    assert [r.path for r in graphs.path_discovery(spark, "/root/testdata/sf0.001").collect()] == ["S0>S1>S3"]
+    assert met == [[("S0", "S1"), ("S0", "S2"), ("S1", "S3"), ("S2", "S4")]]
+
+
+def test_what_no_path_can_take_loses_no_path(spark):
+    calls = spark.range(45).select(F.lit("call").alias("relation_type"), (F.col("id") * 7 % 11).cast("string").alias("subject_id"), (F.col("id") * F.col("id") * 3 % 13).cast("string").alias("object_id"), (F.col("id") % 9 / 10).alias("confidence"))
+    calls = calls.where("subject_id <> object_id").localCheckpoint()
+    for hops in (1, 2, 4):
+        every, some = (rows(graph.simple_paths(rollup.edges(c), "7", "10", hops, 5), "path", "score") for c in (calls, graph.ahead(calls, "7", "10", hops)))
+        assert some == every and (hops < 4 or every)
+
+
+def test_columns_of_relations_that_nobody_asks_for_are_not_made(spark):
+    plan = GraphTables(spark, "/root/testdata/sf0.001").relations("call", "read").select("subject_id", "object_id")._jdf.queryExecution().executedPlan().toString()
+    assert "l_tax" not in plan and "l_discount" in plan  # the discount orders the lines
