@@ -39,7 +39,7 @@ def reachable(routes: DataFrame, endpoints: DataFrame) -> DataFrame:
     exact = at.where("mode = 'exact'").join(e.withColumnRenamed("endpoint_path", "path"), ["provider_id", "path"])
     prefix = at.where("mode = 'prefix'")
     below = prefix.join(prefixes, ["provider_id", "path"])
-    fit = prefix.join(fitting_paths(prefix, e, "provider_id"), ["provider_id", "path"]).join(e, ["provider_id", "endpoint_path"])
+    fit = prefix.join(fitting_paths(prefix, e, "provider_id").hint("merge"), ["provider_id", "path"]).join(e.hint("shuffle_hash"), ["provider_id", "endpoint_path"])
     pair = ["route_id", "endpoint_id"]
     return exact.select(pair).unionByName(below.select(pair)).unionByName(fit.select(pair)).distinct()
 

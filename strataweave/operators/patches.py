@@ -147,7 +147,8 @@ def fold(states: DataFrame, patches: DataFrame, partitions: int | None = None) -
 def fold_stream(states: DataFrame, patches: DataFrame) -> DataFrame:
     """The same over a stream of patches: the first patch of an intent brings its state, which is kept from then on."""
     first = states.select("intent_id", F.to_json(F.struct(*states.columns), {"ignoreNullFields": "false"}).alias("state"))
-    rows = patches.select("intent_id", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(*patches.columns), {"ignoreNullFields": "false"}).alias("body")).join(first, "intent_id")
+    # Merged: states pass through no driver, and rows are sorted before they carry one.
+    rows = patches.select("intent_id", F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(*patches.columns), {"ignoreNullFields": "false"}).alias("body")).join(first.hint("merge"), "intent_id")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         held, todo = kept.get[0] if kept.exists else None, []

@@ -3,6 +3,9 @@
 Each stage sees only what the ones before left open: alias bindings together with the services' own tokens, then hosts that bindings name, then
 the path alone. Whether an intent has no provider, one or several shows in the least and greatest id of its candidates, so postings of a token hold two ids
 however many services share it, and a token that a third of all bindings bear joins as one row.
+
+Stored tables of texts that repeat are tiny as files and large as rows, so Spark would take them for small and send them through the driver: joins here say
+that both sides are shuffled (by hash where a side has a row or few a key, else by merge).
 """
 
 from __future__ import annotations
@@ -47,18 +50,20 @@ def provider_stages(intents: DataFrame, services: DataFrame, bindings: DataFrame
     own = stored(own, "service-tokens")
     keys = F.array_distinct(F.concat(*[lookup_tokens(F.coalesce(c, F.lit(""))) for c in ("alias_key", "alias_value", "host")]))
     named = bindings.select(F.coalesce("owner_id", F.lit("")).alias("owner_id"), "service_id", F.explode(keys).alias("token"), service_token(F.coalesce("host", F.lit(""))).alias("host_token"))
-    aliases = named.where("service_id is not null").groupBy("token", "owner_id").agg(*_ends("service_id"))
-    hosts = named.where("host_token <> ''").select("token", "owner_id", "host_token").distinct().join(own.withColumnRenamed("token", "host_token"), "host_token").groupBy("token", "owner_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # Stored, so that a join with them shuffles both sides anew and a frequent token's intents can be dealt to several tasks.
+    aliases = stored(named.where("service_id is not null").groupBy("token", "owner_id").agg(*_ends("service_id")), "alias-tokens").hint("shuffle_hash")
+    hosts = named.where("host_token <> ''").select("token", "owner_id", "host_token").distinct().join(own.withColumnRenamed("token", "host_token").hint("shuffle_hash"), "host_token").groupBy("token", "owner_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hosts = stored(hosts, "host-tokens").hint("shuffle_hash")
 
     looked = stored(intents.select("intent_id", "source_id", F.array_distinct(F.flatten(F.transform("hints", lookup_tokens))).alias("tokens")), "looked-up")
-    scoped = looked.select("intent_id", F.explode("tokens").alias("token"), F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("source_id", F.lit(""))))).alias("owner_id"))
+    scoped = lambda rows: rows.select("intent_id", F.explode("tokens").alias("token"), F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("source_id", F.lit(""))))).alias("owner_id"))
     direct = looked.select("intent_id", F.explode(F.array_distinct(F.transform(F.flatten(F.transform("tokens", lookup_tokens)), service_token))).alias("token"))
-    found = scoped.join(aliases, ["token", "owner_id"]).select("intent_id", "low", "high").unionByName(direct.join(own, "token").select("intent_id", "low", "high"))
+    found = scoped(looked).join(aliases, ["token", "owner_id"]).select("intent_id", "low", "high").unionByName(direct.join(own.hint("shuffle_hash"), "token").select("intent_id", "low", "high"))
     merge = lambda rows, stage: rows.groupBy("intent_id").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("stage", F.lit(stage))
     first = stored(merge(found, "alias"), "by-alias")
-    second = scoped.join(first, "intent_id", "left_anti").join(hosts, ["token", "owner_id"]).select("intent_id", "low", "high")
+    second = scoped(looked.join(first.hint("shuffle_hash"), "intent_id", "left_anti")).join(hosts, ["token", "owner_id"]).select("intent_id", "low", "high")
     closed = stored(first.unionByName(merge(second, "host")), "by-host")
-    third = by_path(intents.join(closed, "intent_id", "left_anti"), endpoints)
+    third = by_path(intents.join(closed.hint("shuffle_hash"), "intent_id", "left_anti"), endpoints)
     return closed.unionByName(third.select("intent_id", F.col("provider_id").alias("low"), F.col("provider_id").alias("high"), F.lit("path").alias("stage")))
 
 
@@ -77,7 +82,7 @@ def fitting_paths(paths: DataFrame, patterns: DataFrame, *on: str) -> DataFrame:
     e = patterns.select(*on, "endpoint_path").distinct().withColumn("pattern", segments(F.col("endpoint_path"))).withColumn("size", F.size("pattern"))
     e = e.withColumn("place", F.explode(F.array_union(places(F.col("size")), F.array(F.lit(-1)))))
     e = e.withColumn("key", F.explode(F.when(F.col("place") < 0, F.array(F.lit(""))).otherwise(F.array(F.get("pattern", F.col("place")), F.lit("{any}")))))
-    rows = p.join(e, [*on, "size", "place", "key"]).select(*on, "path", "endpoint_path", path_compatibility(F.col("segs"), F.col("pattern")).alias("score")).where(F.col("score") >= FIT)
+    rows = p.join(e.hint("shuffle_hash"), [*on, "size", "place", "key"]).select(*on, "path", "endpoint_path", path_compatibility(F.col("segs"), F.col("pattern")).alias("score")).where(F.col("score") >= FIT)
     return rows.distinct()
 
 
@@ -87,7 +92,7 @@ def by_path(intents: DataFrame, endpoints: DataFrame) -> DataFrame:
     Of the providers of one pattern and method three are enough: without the source two are left, and two of equal score leave the intent open.
     """
     some = endpoints.select("endpoint_path", "endpoint_method", "provider_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("endpoint_path", "endpoint_method").orderBy("provider_id"))).where("k <= 3").drop("k")
-    rows = intents.select("intent_id", "source_id", "path", "method").join(fitting_paths(intents, endpoints), "path").join(some, "endpoint_path").where("not (provider_id <=> source_id)")
+    rows = intents.select("intent_id", "source_id", "path", "method").join(fitting_paths(intents, endpoints).hint("merge"), "path").join(some.hint("shuffle_hash"), "endpoint_path").where("not (provider_id <=> source_id)")
     fits = (F.col("endpoint_method") == "ANY") | (F.col("endpoint_method") == F.coalesce("method", F.lit("ANY")))
     scores = rows.groupBy("intent_id", "provider_id").agg(F.max(F.col("score") + F.when(fits, METHOD_BONUS).otherwise(0.0)).alias("score"))
     w = Window.partitionBy("intent_id").orderBy(F.desc("score"), "provider_id")
@@ -98,7 +103,7 @@ def by_path(intents: DataFrame, endpoints: DataFrame) -> DataFrame:
 def endpoint_matches(intents: DataFrame, endpoints: DataFrame, exact: Column | None = None) -> DataFrame:
     """intent_id, n and endpoint_id (the least): the endpoints of the provider with a fitting method, those of equal path if any, else those that fit; an intent's hint decides among them."""
     e = endpoints.select("provider_id", "endpoint_path", "endpoint_method", "endpoint_id")
-    rows = intents.join(fitting_paths(intents, e, "provider_id"), ["provider_id", "path"]).join(e, ["provider_id", "endpoint_path"])
+    rows = intents.join(fitting_paths(intents, e, "provider_id").hint("merge"), ["provider_id", "path"]).join(e.hint("shuffle_hash"), ["provider_id", "endpoint_path"])
     rows = rows.where((F.col("endpoint_method") == "ANY") | (F.col("endpoint_method") == F.col("method")))
     same = segments(F.col("path")) == segments(F.col("endpoint_path"))
     hinted = F.coalesce(F.col("endpoint_id") == F.col("hint_id"), F.lit(False))
@@ -111,7 +116,7 @@ def endpoint_matches(intents: DataFrame, endpoints: DataFrame, exact: Column | N
 def staged_providers(intents: DataFrame, services: DataFrame, bindings: DataFrame, endpoints: DataFrame) -> DataFrame:
     """The intents with stage, low and high (as provider_stages), the provider chosen or alone, and whether there are many."""
     intents = stored(intents.withColumn("hints", F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("hosts", "config_keys")])), "intents")
-    staged = intents.join(provider_stages(intents, services, bindings, endpoints), "intent_id", "left")
+    staged = intents.join(provider_stages(intents, services, bindings, endpoints).hint("merge"), "intent_id", "left")
     # A chosen provider counts where it is a candidate; the least and greatest of the candidates tell that for one of two.
     chosen = F.col("provider_override").isNotNull() & F.col("provider_override").isin(F.col("low"), F.col("high"))
     staged = staged.withColumn("provider_id", F.when(chosen, F.col("provider_override")).when(F.col("low") == F.col("high"), F.col("low"))).withColumn("many", F.col("low") != F.col("high"))
@@ -137,7 +142,7 @@ def resolve_http(intents: DataFrame, services: DataFrame, bindings: DataFrame, e
     staged = staged_providers(intents, services, bindings, endpoints)
     served = endpoints.select("provider_id").distinct().withColumn("served", F.lit(True))
     matched = endpoint_matches(staged.where("provider_id is not null and method is not null"), endpoints)
-    rows = staged.join(served, "provider_id", "left").join(matched, "intent_id", "left")
+    rows = staged.join(served, "provider_id", "left").join(matched.hint("merge"), "intent_id", "left")
     status = (
         F.when(F.col("provider_id").isNull() & F.coalesce("many", F.lit(False)), "PROVIDER_SERVICE_AMBIGUOUS")
         .when(F.col("provider_id").isNull(), open_reason())

@@ -59,14 +59,14 @@ def patch_tables(g: GraphTables):
     intents, services, bindings, ends = http_tables(g)
     staged = providers.staged_providers(intents, services, bindings, ends)
     offered = staged.select("intent_id", "path", F.explode(F.array("low", "high", "source_id")).alias("provider_id")).where("provider_id is not null").distinct()
-    fits = offered.join(providers.fitting_paths(offered, ends, "provider_id"), ["provider_id", "path"]).join(ends, ["provider_id", "endpoint_path"])
+    fits = offered.join(providers.fitting_paths(offered, ends, "provider_id").hint("merge"), ["provider_id", "path"]).join(ends.hint("shuffle_hash"), ["provider_id", "endpoint_path"])
     # Endpoints of at most three providers that fit one path.
     options = fits.groupBy("intent_id").agg(F.array_sort(F.collect_list(F.struct("endpoint_id", "provider_id", F.col("endpoint_method").alias("method")))).alias("options"))
-    states = stored(staged.join(options, "intent_id", "left").select(
+    states = stored(staged.join(options.hint("merge"), "intent_id", "left").select(
         "intent_id", "provider_id", "method", (F.col("intent_id") % 10 / 10).alias("confidence"), providers.open_reason().alias("open_reason"), "hints",
         F.array_distinct(F.array_compact(F.array("low", "high"))).alias("candidates"), "options", "source_id", "path",
     ), "proof-states")
-    e = g.source("events").select("event_id", "event_type", (F.col("user_id") % 200).alias("intent_id")).join(states.select("intent_id", "options", "candidates", "hints", "path", "source_id"), "intent_id")
+    e = g.source("events").select("event_id", "event_type", (F.col("user_id") % 200).alias("intent_id")).join(states.select("intent_id", "options", "candidates", "hints", "path", "source_id").hint("merge"), "intent_id")
     pick = lambda c: F.when(F.size(c) > 0, F.get(c, (F.col("event_id") % F.size(c)).cast("int")))
     k = F.col("event_id") % 7
     kind = F.when(F.col("event_type") == "click", "method_path_hint").when(F.col("event_type") == "view", "endpoint_disambiguation").when(F.col("event_type") == "error", "contradiction_challenge").when(F.col("event_type") == "signup", "provider_service_selection").otherwise("alias_binding")
@@ -134,7 +134,7 @@ def proof_projection(spark, sf_dir):
     """Candidates after the intents of http_resolution were closed or reopened: earlier ones were made for all long pages, decided by their number."""
     g = GraphTables(spark, sf_dir)
     intents, services, bindings, ends = http_tables(g)
-    done = providers.resolve_http(intents, services, bindings, ends).join(intents.select("intent_id", "source_id"), "intent_id")
+    done = providers.resolve_http(intents, services, bindings, ends).join(intents.select("intent_id", "source_id").hint("merge"), "intent_id")
     k = F.col("intent_id")
     proofs = stored(done.select(F.concat(F.lit("P"), k.cast("string")).alias("proof_id"), "status", F.lit("call").alias("relation_type"), F.coalesce("source_id", F.lit("edge")).alias("subject_id"), F.col("target_id").alias("object_id"), (k % 10 / 10).alias("confidence"), k.alias("k")), "proofs")
     before = proofs.where("k % 2 = 0").withColumn("object_id", F.coalesce("object_id", F.lit("gone"))).withColumn("status", F.when(F.col("k") % 6 == 0, "PENDING").when(F.col("k") % 6 == 2, "REJECTED").otherwise("APPROVED"))

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from strataweave.operators import confidence, drilldown, graph, proof, resources, rollup, symbols
+from strataweave.operators import confidence, drilldown, graph, patches, proof, providers, resources, rollup, symbols
 from strataweave.plans import decisions, graphs, proofs, reports, resolution
 from strataweave.sources import scratch
 from strataweave.sources.graph_tables import GraphTables
@@ -212,3 +212,23 @@ def test_what_no_path_can_take_loses_no_path(spark):
 def test_columns_of_relations_that_nobody_asks_for_are_not_made(spark):
     plan = GraphTables(spark, "/root/testdata/sf0.001").relations("call", "read").select("subject_id", "object_id")._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan and "l_discount" in plan  # the discount orders the lines
+
+
+def test_states_of_patches_go_through_no_driver(spark, monkeypatch, tmp_path, capsys):
+    real, plans = scratch.stored, []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (providers, resolution):
+        monkeypatch.setattr(module, "stored", lambda df, name: (plans.append(plan(df)), real(df, name))[1])
+    g = GraphTables(spark, "/root/testdata/sf0.01")
+    states, todo = resolution.patch_tables(g)
+    plans += [plan(todo), plan(providers.resolve_http(*resolution.http_tables(g)))]
+    todo.limit(50).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(todo.schema).parquet(f"{tmp_path}/in")
+    query = patches.fold_stream(states, source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    capsys.readouterr()
+    query.explain()
+    plans.append(capsys.readouterr().out)
+    sent = [line.strip() for p in plans for line in p.splitlines() if "Broadcast" in line and "Join" in line]
+    # The next page's host is sized by the pages' own files and served hosts by what was shuffled, both right; all else would be sized by small files of texts that repeat.
+    assert "SortMergeJoin" in plans[-1] and [x for x in sent if "Inner" in x or "page_id" not in x and "[provider_id#" not in x] == []
